@@ -28,3 +28,24 @@ def label_map(df: DataFrame, label: str = "label", language: str = "language",
             F.max_by(F.col(language), F.col("_first")).alias("name"))
     return (df.select(F.col(label).alias("label")).distinct()
             .select("label", F.concat(F.lit(generic_prefix), F.col("label").cast("string")).alias("name")))
+
+
+def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
+    """Balanced class weights n / (k * n_c) over the K-row count table."""
+    from pyspark.sql import Window
+    counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    allw = Window.partitionBy(F.lit(0))
+    return counts.select("label", "n", (F.sum("n").over(allw).cast("double")
+                                        / (F.count(F.lit(1)).over(allw) * F.col("n"))).alias("weight"))
+
+
+def with_class_weight(df: DataFrame, weights: DataFrame, label: str = "label",
+                      out: str = "weight") -> DataFrame:
+    """Attach each row's class weight (weights hold one row per class)."""
+    w = weights.select(F.col("label").alias("_wl"), F.col("weight").alias(out))
+    return df.join(F.broadcast(w), F.col(label) == F.col("_wl"), "left").drop("_wl")
+
+
+def inverse_label_map(label_map_df: DataFrame) -> DataFrame:
+    """(name, label): the lowest label per name, for turning names into labels."""
+    return label_map_df.groupBy("name").agg(F.min("label").alias("label"))

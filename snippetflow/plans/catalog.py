@@ -160,3 +160,275 @@ def flagship(spark, sf_dir):
     sc = scored(spark, sf_dir)
     rep = metrics.classification_report(metrics.confusion_counts(sc), label_map_of(sc))
     return rep.select("class", *[r6(c).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+# ------------------------------------------- cleaning, order, sampling -----
+
+from snippetflow.functions import text as X  # noqa: E402
+from snippetflow.functions.rand import sql_uniform  # noqa: E402
+from snippetflow.operators import ensemble, labels, profile, sampling  # noqa: E402
+from snippetflow.schema import with_file_order  # noqa: E402
+
+# Nulls are injected for every row of one source (50 rows at sf0.01).
+NULL_SOURCE = "src3"
+
+
+def samples_with_nulls(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"),
+                    F.when(F.col("source") == NULL_SOURCE, F.lit(None).cast("string"))
+                     .otherwise(F.col("text")).alias("code"),
+                    F.col("lang").alias("language"), label_of(F.col("lang")).alias("label"))
+
+
+NULL_SAMPLES_SQL = (f"(SELECT doc_id AS id, CASE WHEN source = '{NULL_SOURCE}' THEN NULL ELSE text END AS code, "
+                    f"lang AS language, {LABEL_SQL} AS label FROM documents)")
+
+
+@register("drop_null_code", f"SELECT id, code FROM {NULL_SAMPLES_SQL} WHERE code IS NOT NULL")
+def q_drop_null_code(spark, sf_dir):
+    return clean.handle_null_code(samples_with_nulls(spark, sf_dir)).select("id", "code")
+
+
+@register("preprocess_stringify", f"""
+SELECT id, code, language, label FROM (SELECT id, coalesce(code, 'None') AS code, language, label FROM {NULL_SAMPLES_SQL})
+QUALIFY row_number() OVER (PARTITION BY code ORDER BY id) = 1""")
+def q_preprocess_stringify(spark, sf_dir):
+    return clean.preprocess(samples_with_nulls(spark, sf_dir), null_policy="stringify")
+
+
+@register("dedup_first", f"""
+SELECT id, language, label FROM {SAMPLES_SQL} QUALIFY row_number() OVER (PARTITION BY code ORDER BY id) = 1""")
+def q_dedup_first(spark, sf_dir):
+    return clean.dedup_first(samples(spark, sf_dir)).select("id", "language", "label")
+
+
+@register("short_codes", f"SELECT id, code, length(code)::INTEGER AS code_length FROM {SAMPLES_SQL} WHERE length(code) < 10")
+def q_short_codes(spark, sf_dir):
+    return clean.short_codes(samples(spark, sf_dir)).select("id", "code", X.code_length("code").alias("code_length"))
+
+
+@register("row_ids", "SELECT doc_id AS row_id, doc_id FROM documents")
+def q_row_ids(spark, sf_dir):
+    # the table is read as if it had no id: positions come from file order
+    d = with_file_order(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.dense_row_ids(d, "_ord", out="row_id").select("row_id", "doc_id")
+
+
+SAMPLE_N = 500   # the sampling operator's cap in this query
+
+
+@register("sample_exact", f"""
+SELECT id FROM {SAMPLES_SQL} ORDER BY {sql_uniform(42, 'id')}, id LIMIT {SAMPLE_N}""")
+def q_sample_exact(spark, sf_dir):
+    return sampling.sample_exact(samples(spark, sf_dir), SAMPLE_N, seed=42).select("id")
+
+
+VAL_CAP = 300
+
+
+@register("load_splits", f"""
+SELECT 'train' AS split, doc_id AS id FROM documents
+UNION ALL (SELECT 'val', doc_id FROM documents ORDER BY {sql_uniform(42, 'doc_id')}, doc_id LIMIT {VAL_CAP})
+UNION ALL SELECT 'test', doc_id FROM documents""")
+def q_load_splits(spark, sf_dir):
+    p = f"{sf_dir}/documents.parquet"
+    s = sampling.load_splits(spark, {"train": p, "val": p, "test": p},
+                             {"train": None, "val": VAL_CAP}, seed=42, id_col="doc_id")
+    return s.select("split", F.col("doc_id").alias("id"))
+
+
+def _split_sql(source_sql: str, label_expr: str, val_size=0.2, test_size=0.1, seed=42) -> str:
+    vf = repr(val_size / (1 - test_size))
+    def mode(src, cnt, draws):
+        return f"""(SELECT *, (fl + CASE WHEN rk <= need THEN 1 ELSE 0 END)::BIGINT AS alloc FROM (
+            SELECT *, draws - sum(fl) OVER () AS need,
+                   row_number() OVER (ORDER BY cont - fl DESC, label) AS rk FROM (
+              SELECT *, floor(cont)::BIGINT AS fl FROM (
+                SELECT *, ({cnt}::DOUBLE / sum({cnt}) OVER ()) * ({draws})::DOUBLE AS cont,
+                       ({draws}) AS draws FROM {src}))))"""
+    cc = f"(SELECT label, count(*) AS c FROM r GROUP BY 1)"
+    first = mode(cc, "c", f"sum(c) OVER () - CAST(ceil({test_size}::DOUBLE * sum(c) OVER ()) AS BIGINT)")
+    q1 = f"(SELECT label, c, alloc AS trainval FROM {first})"
+    second = mode(q1, "trainval",
+                  f"sum(trainval) OVER () - CAST(ceil({vf}::DOUBLE * sum(trainval) OVER ()) AS BIGINT)")
+    q2 = f"(SELECT label, c, trainval, alloc AS n_train, trainval - alloc AS n_val FROM {second})"
+    return f"""WITH r AS (SELECT id, {label_expr} AS label,
+        row_number() OVER (PARTITION BY {label_expr} ORDER BY {sql_uniform(seed, 'id')}, id) - 1 AS rank
+        FROM {source_sql}), q AS {q2}
+SELECT r.id, CASE WHEN rank < n_train THEN 'train' WHEN rank < n_train + n_val THEN 'val' ELSE 'test' END AS split
+FROM r JOIN q ON r.label = q.label"""
+
+
+@register("stratified_split", _split_sql(SAMPLES_SQL, "label"))
+def q_stratified_split(spark, sf_dir):
+    return sampling.stratified_split(samples(spark, sf_dir), "label", "id", seed=42).select("id", "split")
+
+
+@register("split_unstratified", _split_sql(SAMPLES_SQL, "0"))
+def q_split_unstratified(spark, sf_dir):
+    s = samples(spark, sf_dir).drop("label")
+    return sampling.stratified_split(s, None, "id", seed=42).select("id", "split")
+
+
+@register("split_counts", f"SELECT split, count(*) AS n FROM ({_split_sql(SAMPLES_SQL, 'label')}) GROUP BY 1")
+def q_split_counts(spark, sf_dir):
+    return sampling.split_counts(sampling.stratified_split(samples(spark, sf_dir), "label", "id", seed=42))
+
+
+# ------------------------------------------------------------- labels ------
+
+@register("label_map", f"SELECT * FROM {LABEL_MAP_SQL}")
+def q_label_map(spark, sf_dir):
+    return labels.label_map(samples(spark, sf_dir))
+
+
+@register("label_map_generic", f"SELECT DISTINCT label, 'Language_' || label::VARCHAR AS name FROM {SAMPLES_SQL}")
+def q_label_map_generic(spark, sf_dir):
+    return labels.label_map(samples(spark, sf_dir).drop("language"))
+
+
+@register("class_weights", """
+SELECT quality AS label, count(*) AS n,
+       (sum(count(*)) OVER ())::DOUBLE / (count(*) OVER () * count(*)) AS weight
+FROM labels GROUP BY 1""")
+def q_class_weights(spark, sf_dir):
+    return labels.class_weights(table(spark, sf_dir, "labels"), "quality")
+
+
+WEIGHTS_SQL = """(SELECT quality AS label, (sum(count(*)) OVER ())::DOUBLE / (count(*) OVER () * count(*)) AS weight
+                  FROM labels GROUP BY 1)"""
+
+
+def training_rows(spark, sf_dir) -> DataFrame:
+    """Binary task: documents with a quality label (labels.quality)."""
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    return samples(spark, sf_dir).drop("label").join(lab, "id")
+
+
+TRAIN_ROWS_SQL = f"(SELECT s.id, s.code, s.language, l.quality AS label FROM {SAMPLES_SQL} s JOIN labels l ON s.id = l.doc_id)"
+
+
+@register("weighted_train_rows", f"""
+SELECT t.id, t.label, round(w.weight, 6) AS weight FROM {TRAIN_ROWS_SQL} t JOIN {WEIGHTS_SQL} w ON t.label = w.label""")
+def q_weighted_train_rows(spark, sf_dir):
+    t = training_rows(spark, sf_dir)
+    w = labels.class_weights(t, "label")
+    return labels.with_class_weight(t, w).select("id", "label", r6("weight").alias("weight"))
+
+
+# ------------------------------------------------------------ profile ------
+
+@register("label_counts", f"SELECT label, count(*) AS n FROM {SAMPLES_SQL} WHERE label IS NOT NULL GROUP BY 1")
+def q_label_counts(spark, sf_dir):
+    return profile.label_counts(samples(spark, sf_dir))
+
+
+@register("class_balance", f"""
+SELECT label, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct
+FROM {SAMPLES_SQL} WHERE label IS NOT NULL GROUP BY 1""")
+def q_class_balance(spark, sf_dir):
+    return profile.class_balance(samples(spark, sf_dir)).select("label", "n", r6("pct").alias("pct"))
+
+
+@register("missing_values", f"""
+SELECT * FROM (VALUES ('id', 0), ('code', 1), ('language', 2), ('label', 3)) AS c(column, position)
+JOIN (SELECT count(*) - count(id) AS n_id, count(*) - count(code) AS n_code,
+             count(*) - count(language) AS n_language, count(*) - count(label) AS n_label
+      FROM {NULL_SAMPLES_SQL}) m ON true""")
+def q_missing_values_unused(spark, sf_dir):  # replaced below
+    return profile.missing_values(samples_with_nulls(spark, sf_dir))
+
+
+ORACLE["missing_values"] = f"""
+WITH m AS (SELECT count(*) - count(id) AS a, count(*) - count(code) AS b,
+                  count(*) - count(language) AS c, count(*) - count(label) AS d FROM {NULL_SAMPLES_SQL})
+SELECT 'id' AS "column", 0 AS position, a::BIGINT AS n_missing FROM m
+UNION ALL SELECT 'code', 1, b::BIGINT FROM m
+UNION ALL SELECT 'language', 2, c::BIGINT FROM m
+UNION ALL SELECT 'label', 3, d::BIGINT FROM m"""
+
+
+@register("duplicate_count", f"SELECT (count(*) - count(DISTINCT code))::BIGINT AS n_duplicates FROM {SAMPLES_SQL}")
+def q_duplicate_count(spark, sf_dir):
+    return profile.duplicate_count(samples(spark, sf_dir))
+
+
+@register("length_describe", f"""
+SELECT count(l)::BIGINT AS count, round(avg(l), 6) AS mean, round(stddev_samp(l), 6) AS std, min(l)::BIGINT AS min,
+       round(quantile_cont(l, 0.25), 6) AS q25, round(quantile_cont(l, 0.5), 6) AS q50,
+       round(quantile_cont(l, 0.75), 6) AS q75, max(l)::BIGINT AS max
+FROM (SELECT length(code) AS l FROM {SAMPLES_SQL})""")
+def q_length_describe(spark, sf_dir):
+    d = profile.length_describe(samples(spark, sf_dir))
+    return d.select("count", *[r6(c).alias(c) for c in ("mean", "std")], "min",
+                    *[r6(c).alias(c) for c in ("q25", "q50", "q75")], "max")
+
+
+@register("length_histogram", f"""
+WITH l AS (SELECT length(code) AS len FROM {SAMPLES_SQL} WHERE code IS NOT NULL),
+s AS (SELECT min(len) AS mn, max(len) AS mx FROM l),
+p AS (SELECT CASE WHEN mx > mn THEN mn::DOUBLE ELSE mn - 0.5 END AS lo,
+             CASE WHEN mx > mn THEN (mx - mn)::DOUBLE ELSE 1.0 END AS w FROM s),
+c AS (SELECT least(floor((len - lo) * 50.0 / w), 49)::INTEGER AS bin, count(*) AS n FROM l, p GROUP BY 1),
+g AS (SELECT range::INTEGER AS bin, lo, w FROM range(50), p)
+SELECT g.bin, round(lo + w * g.bin / 50, 6) AS lo, round(lo + w * (g.bin + 1) / 50, 6) AS hi,
+       coalesce(c.n, 0)::BIGINT AS n FROM g LEFT JOIN c ON g.bin = c.bin""")
+def q_length_histogram(spark, sf_dir):
+    h = profile.length_histogram(samples(spark, sf_dir))
+    return h.select("bin", r6("lo").alias("lo"), r6("hi").alias("hi"), "n")
+
+
+@register("length_box_by_label", f"""
+WITH l AS (SELECT label, length(code) AS len FROM {SAMPLES_SQL}),
+q AS (SELECT label, quantile_cont(len, 0.25) AS q1, quantile_cont(len, 0.5) AS median,
+             quantile_cont(len, 0.75) AS q3 FROM l GROUP BY 1),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT f.label, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+       min(CASE WHEN len >= lo AND len <= hi THEN len END)::BIGINT AS whisker_low,
+       max(CASE WHEN len >= lo AND len <= hi THEN len END)::BIGINT AS whisker_high,
+       sum(CASE WHEN len >= lo AND len <= hi THEN 0 ELSE 1 END)::BIGINT AS n_outliers, count(*) AS n
+FROM l JOIN f ON l.label = f.label GROUP BY f.label, q1, median, q3""")
+def q_length_box_by_label(spark, sf_dir):
+    b = profile.length_box_by_label(samples(spark, sf_dir))
+    return b.select("label", r6("q1").alias("q1"), r6("median").alias("median"), r6("q3").alias("q3"),
+                    "whisker_low", "whisker_high", "n_outliers", "n")
+
+
+ORACLE["table_info"] = f"""
+WITH m AS (SELECT count(id) AS a, count(code) AS b, count(language) AS c, count(label) AS d FROM {NULL_SAMPLES_SQL})
+SELECT 0 AS position, 'id' AS "column", 'bigint' AS type, a::BIGINT AS non_null FROM m
+UNION ALL SELECT 1, 'code', 'string', b::BIGINT FROM m
+UNION ALL SELECT 2, 'language', 'string', c::BIGINT FROM m
+UNION ALL SELECT 3, 'label', 'int', d::BIGINT FROM m"""
+
+
+@register("table_info")
+def q_table_info(spark, sf_dir):
+    return profile.table_info(samples_with_nulls(spark, sf_dir))
+
+
+@register("missing_values")
+def q_missing_values(spark, sf_dir):
+    return profile.missing_values(samples_with_nulls(spark, sf_dir))
+
+
+EVENT_WEIGHT = "CAST(get_json_object(props, '$.k') AS INT)"
+
+
+@register("running_average", """
+SELECT event_id, user_id,
+       round(CASE WHEN sum(k) OVER w <> 0 THEN (sum(v * k) OVER w)::DOUBLE / (sum(k) OVER w)::DOUBLE END, 6) AS running_avg
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value::DECIMAL(12, 2) AS v FROM events)
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def q_running_average(spark, sf_dir):
+    ev = (table(spark, sf_dir, "events").withColumn("k", F.expr(EVENT_WEIGHT))
+          .withColumn("v", F.col("value").cast("decimal(12,2)")))
+    ra = profile.running_average(ev, "user_id", ["ts", "event_id"], "v", "k",
+                                 bucket=F.to_date("ts"))
+    return ra.select("event_id", "user_id", r6("running_avg").alias("running_avg"))
+
+
+@register("code_length", f"SELECT id, length(code)::INTEGER AS code_length FROM {SAMPLES_SQL}")
+def q_code_length(spark, sf_dir):
+    return samples(spark, sf_dir).select("id", X.code_length("code").alias("code_length"))
