@@ -55,7 +55,7 @@ def crop_window(code="code", n: int = CROP_CHARS, seed=42, keys=("id",)) -> Colu
 
 def crop_choice(seed=42, keys=("id",), probs=CROP_PROBS) -> Column:
     """Which view a training row gets: 'head', 'tail' or 'middle'."""
-    u = uniform(seed, "crop", *keys)
+    u = uniform(seed, F.lit("crop"), *keys)
     return (F.when(u < F.lit(probs[0]), F.lit("head"))
             .when(u < F.lit(probs[0] + probs[1]), F.lit("tail"))
             .otherwise(F.lit("middle")))

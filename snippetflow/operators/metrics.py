@@ -66,14 +66,14 @@ def with_class_name(df: DataFrame, label_map: DataFrame | None, label: str = "la
 
 
 def per_class_metrics(conf: DataFrame) -> DataFrame:
-    """A3: (label, precision, recall, f1, support) for each label of the universe."""
+    """A3: (label, precision, recall, f1, support, tp) for each label of the universe."""
     t = class_totals(conf)
     return t.select(
         "label",
         _div(F.col("tp"), F.col("n_pred")).alias("precision"),
         _div(F.col("tp"), F.col("support")).alias("recall"),
         _div(2 * F.col("tp"), F.col("support") + F.col("n_pred")).alias("f1"),
-        "support")
+        "support", "tp")
 
 
 def accuracy(conf: DataFrame) -> DataFrame:

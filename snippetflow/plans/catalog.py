@@ -432,3 +432,199 @@ def q_running_average(spark, sf_dir):
 @register("code_length", f"SELECT id, length(code)::INTEGER AS code_length FROM {SAMPLES_SQL}")
 def q_code_length(spark, sf_dir):
     return samples(spark, sf_dir).select("id", X.code_length("code").alias("code_length"))
+
+
+# ----------------------------------------------------- evaluation tables ---
+
+def _conf(spark, sf_dir):
+    return metrics.confusion_counts(scored(spark, sf_dir))
+
+
+REPORT_SQL = f"""
+WITH pc AS {PC_SQL}, lm AS {LABEL_MAP_SQL},
+s AS (SELECT avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
+             CASE WHEN sum(support) > 0 THEN sum(precision * support) / sum(support) ELSE 0.0 END AS wp,
+             CASE WHEN sum(support) > 0 THEN sum(recall * support) / sum(support) ELSE 0.0 END AS wr,
+             CASE WHEN sum(support) > 0 THEN sum(f1 * support) / sum(support) ELSE 0.0 END AS wf,
+             CASE WHEN sum(support) > 0 THEN sum(tp)::DOUBLE / sum(support) ELSE 0.0 END AS acc,
+             sum(support)::BIGINT AS n FROM pc)
+SELECT coalesce(lm.name, 'Class_' || pc.label::VARCHAR) AS class, round(precision, 6) AS precision,
+       round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM pc LEFT JOIN lm ON pc.label = lm.label
+UNION ALL SELECT 'accuracy', NULL, NULL, round(acc, 6), n FROM s
+UNION ALL SELECT 'macro avg', round(mp, 6), round(mr, 6), round(mf, 6), n FROM s
+UNION ALL SELECT 'weighted avg', round(wp, 6), round(wr, 6), round(wf, 6), n FROM s"""
+
+
+@register("classification_report", REPORT_SQL)
+def q_classification_report(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@register("metrics_long", f"""
+WITH pc AS {PC_SQL}, lm AS {LABEL_MAP_SQL},
+s AS (SELECT avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
+             CASE WHEN sum(support) > 0 THEN sum(f1 * support) / sum(support) ELSE 0.0 END AS wf,
+             CASE WHEN sum(support) > 0 THEN sum(tp)::DOUBLE / sum(support) ELSE 0.0 END AS acc FROM pc)
+SELECT 'test_accuracy' AS metric, round(acc, 6) AS value FROM s
+UNION ALL SELECT 'test_macro_f1', round(mf, 6) FROM s
+UNION ALL SELECT 'test_weighted_f1', round(wf, 6) FROM s
+UNION ALL SELECT 'test_macro_precision', round(mp, 6) FROM s
+UNION ALL SELECT 'test_macro_recall', round(mr, 6) FROM s
+UNION ALL SELECT 'test_f1_' || coalesce(lm.name, 'Class_' || pc.label::VARCHAR), round(f1, 6)
+FROM pc LEFT JOIN lm ON pc.label = lm.label""")
+def q_metrics_long(spark, sf_dir):
+    sc = scored(spark, sf_dir)
+    m = metrics.metrics_long(metrics.confusion_counts(sc), label_map_of(sc), prefix="test_")
+    return m.select("metric", r6("value").alias("value"))
+
+
+@register("per_class_long", f"""
+SELECT label, 'precision' AS metric, round(precision, 6) AS value FROM {PC_SQL}
+UNION ALL SELECT label, 'recall', round(recall, 6) FROM {PC_SQL}
+UNION ALL SELECT label, 'f1', round(f1, 6) FROM {PC_SQL}""")
+def q_per_class_long(spark, sf_dir):
+    return metrics.per_class_long(_conf(spark, sf_dir)).select("label", "metric", r6("value").alias("value"))
+
+
+@register("confusion_matrix_dense", f"""
+WITH c AS {CONF_SQL}, u AS (SELECT true_label AS l FROM c UNION SELECT predicted_label FROM c)
+SELECT a.l AS true_label, b.l AS predicted_label, coalesce(c.n, 0)::BIGINT AS n
+FROM u a CROSS JOIN u b LEFT JOIN c ON c.true_label = a.l AND c.predicted_label = b.l""")
+def q_confusion_matrix_dense(spark, sf_dir):
+    return metrics.confusion_dense(_conf(spark, sf_dir))
+
+
+@register("label_universe", f"""
+SELECT true_label AS label FROM {CONF_SQL} UNION SELECT predicted_label FROM {CONF_SQL}""")
+def q_label_universe(spark, sf_dir):
+    return metrics.label_universe(_conf(spark, sf_dir))
+
+
+@register("align_predictions", f"""
+SELECT s.id, s.label, p.predicted_label FROM {SAMPLES_SQL} s
+JOIN {TEXT_CUE_TABLE.sql_classify(SAMPLES_SQL, "id", "code")} p ON s.id = p.id""")
+def q_align_predictions(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    preds = s.select("id", TEXT_CUE_TABLE.label_index(F.col("code")).alias("predicted_label"))
+    return metrics.align_predictions(s.select("id", "label"), preds, "id")
+
+
+MIS_SQL = f"(SELECT id, code, label AS true_label, predicted_label FROM {SCORED_SQL} WHERE label IS DISTINCT FROM predicted_label)"
+
+
+@register("misclassified", f"SELECT id, true_label, predicted_label FROM {MIS_SQL}")
+def q_misclassified(spark, sf_dir):
+    return metrics.misclassified(scored(spark, sf_dir)).select("id", "true_label", "predicted_label")
+
+
+@register("misclassified_named", f"""
+WITH lm AS {LABEL_MAP_SQL}
+SELECT m.id, m.true_label, m.predicted_label, a.name AS true_class, b.name AS predicted_class
+FROM {MIS_SQL} m LEFT JOIN lm a ON m.true_label = a.label LEFT JOIN lm b ON m.predicted_label = b.label""")
+def q_misclassified_named(spark, sf_dir):
+    sc = scored(spark, sf_dir)
+    return metrics.misclassified(sc, label_map=label_map_of(sc)).select(
+        "id", "true_label", "predicted_label", "true_class", "predicted_class")
+
+
+MIS_TOP = 100   # the reference's max_samples for the error table
+
+
+@register("misclassified_top", f"SELECT id, code, true_label, predicted_label FROM {MIS_SQL} ORDER BY id LIMIT {MIS_TOP}")
+def q_misclassified_top(spark, sf_dir):
+    return metrics.misclassified_top(scored(spark, sf_dir), "id", MIS_TOP).select(
+        "id", "code", "true_label", "predicted_label")
+
+
+@register("preview", f"SELECT id, label, length(code)::INTEGER AS code_length, substring(code, 1, 300) || '...' AS preview "
+                     f"FROM {SAMPLES_SQL} ORDER BY id LIMIT 3")
+def q_preview(spark, sf_dir):
+    return sampling.preview(samples(spark, sf_dir), 3, "id").select(
+        "id", "label", X.code_length("code").alias("code_length"), X.preview("code").alias("preview"))
+
+
+# ------------------------------------------------------ text functions ------
+
+CROP = X.CROP_CHARS
+
+
+@register("crop_head", f"SELECT id, substring(code, 1, {CROP}) AS view_text FROM {SAMPLES_SQL}")
+def q_crop_head(spark, sf_dir):
+    return samples(spark, sf_dir).select("id", X.crop_head("code", CROP).alias("view_text"))
+
+
+@register("crop_tail", f"SELECT id, CASE WHEN length(code) <= {CROP} THEN code ELSE right(code, {CROP}) END AS view_text FROM {SAMPLES_SQL}")
+def q_crop_tail(spark, sf_dir):
+    return samples(spark, sf_dir).select("id", X.crop_tail("code", CROP).alias("view_text"))
+
+
+def _sql_window(n, seed=42, keys=("id",)):
+    start = f"floor({sql_uniform(seed, *keys)} * (greatest(length(code) - {n}, 0) + 1))::BIGINT"
+    return f"CASE WHEN length(code) <= {n} THEN code ELSE substring(code, {start} + 1, {n}) END"
+
+
+@register("crop_window", f"SELECT id, {_sql_window(CROP)} AS view_text FROM {SAMPLES_SQL}")
+def q_crop_window(spark, sf_dir):
+    return samples(spark, sf_dir).select("id", X.crop_window("code", CROP, 42, ("id",)).alias("view_text"))
+
+
+def _sql_choice(seed=42):
+    u = sql_uniform(seed, "'crop'", "id")
+    return f"CASE WHEN {u} < 0.45 THEN 'head' WHEN {u} < 0.9 THEN 'tail' ELSE 'middle' END"
+
+
+@register("crop_augment", f"""
+SELECT id, view, CASE view WHEN 'head' THEN substring(code, 1, {CROP})
+                 WHEN 'tail' THEN (CASE WHEN length(code) <= {CROP} THEN code ELSE right(code, {CROP}) END)
+                 ELSE {_sql_window(CROP)} END AS view_text
+FROM (SELECT *, {_sql_choice()} AS view FROM {SAMPLES_SQL})""")
+def q_crop_augment(spark, sf_dir):
+    return samples(spark, sf_dir).select("id", X.crop_choice(42, ("id",)).alias("view"),
+                                         X.crop_augment("code", CROP, 42, ("id",)).alias("view_text"))
+
+
+@register("two_view_expand", f"""
+SELECT id, 'head' AS view, substring(code, 1, {CROP}) AS view_text FROM {SAMPLES_SQL}
+UNION ALL SELECT id, 'tail', CASE WHEN length(code) <= {CROP} THEN code ELSE right(code, {CROP}) END FROM {SAMPLES_SQL}""")
+def q_two_view_expand(spark, sf_dir):
+    return ensemble.two_view_expand(samples(spark, sf_dir).select("id", "code")).select("id", "view", "view_text")
+
+
+@register("prompt_build", f"""
+SELECT id, 2 AS n_turns, 'Code snippet:' || chr(10) || chr(10) || substring(code, 1, 2048) || chr(10) || chr(10)
+       || 'Identify the language:' AS user_content FROM {SAMPLES_SQL}""")
+def q_prompt_build(spark, sf_dir):
+    from snippetflow.functions.cues import CODE_LANGUAGES
+    p = samples(spark, sf_dir).select("id", X.chat_prompt(CODE_LANGUAGES, "code").alias("prompt"))
+    return p.select("id", F.size("prompt").alias("n_turns"), F.col("prompt")[1]["content"].alias("user_content"))
+
+
+# Python str.strip() white space, listed for RE2 (whose \\s is ASCII only)
+_PY_WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@register("response_clean", f"""
+SELECT conv_id, turn, replace(replace(regexp_replace(regexp_replace(text, '^{_PY_WS}+', ''), '{_PY_WS}+$', ''),
+       '''', ''), '"', '') AS response FROM conversations WHERE role = 'assistant'""")
+def q_response_clean(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", X.clean_response("text").alias("response"))
+
+
+@register("format_duration", """
+SELECT event_id, CASE WHEN h > 0 THEN h::VARCHAR || 'h ' || m::VARCHAR || 'm ' || s::VARCHAR || 's'
+                      WHEN m > 0 THEN m::VARCHAR || 'm ' || s::VARCHAR || 's' ELSE s::VARCHAR || 's' END AS duration
+FROM (SELECT event_id, floor(x / 3600)::BIGINT AS h, floor((x - floor(x / 3600) * 3600) / 60)::BIGINT AS m,
+             floor(x - floor(x / 60) * 60)::BIGINT AS s FROM (SELECT event_id, value * 120 AS x FROM events))""")
+def q_format_duration(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    return ev.select("event_id", X.format_duration(F.col("value") * 120).alias("duration"))
+
+
+@register("tokens_truncated", f"""
+SELECT id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (
+  SELECT id, list_filter(regexp_split_to_array(lower(code), '{X.TOKEN_SPLIT}'), lambda x: x <> '')[1:{X.MAX_TOKENS}] AS t
+  FROM {SAMPLES_SQL})""")
+def q_tokens_truncated(spark, sf_dir):
+    t = samples(spark, sf_dir).select("id", X.tokens_truncated("code").alias("t"))
+    return t.select("id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
