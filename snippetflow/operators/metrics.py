@@ -199,3 +199,27 @@ def misclassified(scored: DataFrame, truth: str = "label", pred: str = "predicte
 def misclassified_top(scored: DataFrame, order_col: str = "id", n: int = 100, **kw) -> DataFrame:
     """The first n misclassified rows in source order (top-k, n bounded)."""
     return misclassified(scored, **kw).orderBy(order_col).limit(n)
+
+
+def grouped_summary(scored: DataFrame, by: str, truth: str = "label",
+                    pred: str = "predicted_label") -> DataFrame:
+    """Per group (e.g. candidate model): accuracy, macro P/R/F1 and weighted F1
+    from one aggregate over (group, true, predicted)."""
+    conf = (scored.groupBy(by, F.col(truth).alias("true_label"), F.col(pred).alias("predicted_label"))
+            .agg(F.count(F.lit(1)).alias("n")))
+    support = conf.groupBy(by, F.col("true_label").alias("label")).agg(
+        F.sum("n").alias("support"),
+        F.sum(F.when(F.col("true_label") == F.col("predicted_label"), F.col("n")).otherwise(F.lit(0))).alias("tp"))
+    predicted = conf.groupBy(by, F.col("predicted_label").alias("label")).agg(F.sum("n").alias("n_pred"))
+    t = (support.join(predicted, [by, "label"], "full_outer")
+         .select(by, "label", F.coalesce("tp", F.lit(0)).alias("tp"),
+                 F.coalesce("support", F.lit(0)).alias("support"), F.coalesce("n_pred", F.lit(0)).alias("n_pred")))
+    pc = t.select(by, "label", "tp", "support",
+                  _div(F.col("tp"), F.col("n_pred")).alias("precision"),
+                  _div(F.col("tp"), F.col("support")).alias("recall"),
+                  _div(2 * F.col("tp"), F.col("support") + F.col("n_pred")).alias("f1"))
+    return pc.groupBy(by).agg(
+        F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
+        F.avg("f1").alias("macro_f1"),
+        _div(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"),
+        _div(F.sum("tp"), F.sum("support")).alias("accuracy"))

@@ -628,3 +628,225 @@ SELECT id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (
 def q_tokens_truncated(spark, sf_dir):
     t = samples(spark, sf_dir).select("id", X.tokens_truncated("code").alias("t"))
     return t.select("id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+# ----------------------------------------------------------- stage 2 -------
+
+from snippetflow.operators import classify as C  # noqa: E402
+
+NB_SPLIT_SQL = C.NB_SPLIT
+
+
+@register("classify_nb", f"""
+WITH tr AS {TRAIN_ROWS_SQL},
+trt AS (SELECT id, token, count(*) AS x FROM (SELECT id, unnest(regexp_split_to_array(lower(code), '{NB_SPLIT_SQL}')) AS token FROM tr)
+        WHERE token <> '' GROUP BY 1, 2),
+cnt AS (SELECT token, label, sum(x) AS cnt FROM trt JOIN tr USING (id) GROUP BY 1, 2),
+v AS (SELECT count(DISTINCT token) AS nv FROM cnt),
+cls AS (SELECT d.label, ln((d.n_c + 1.0) / (sum(d.n_c) OVER () + count(*) OVER () * 1.0)) AS prior,
+               ln(coalesce(t.tot, 0) + 1.0 * v.nv) AS norm
+        FROM (SELECT label, count(*) AS n_c FROM tr GROUP BY 1) d
+        LEFT JOIN (SELECT label, sum(cnt) AS tot FROM cnt GROUP BY 1) t USING (label) CROSS JOIN v),
+w AS (SELECT token, label, ln(cnt + 1.0) - ln(1.0) AS w FROM cnt),
+dt AS (SELECT id, token, count(*) AS x FROM (SELECT id, unnest(regexp_split_to_array(lower(code), '{NB_SPLIT_SQL}')) AS token FROM {SAMPLES_SQL})
+       WHERE token <> '' GROUP BY 1, 2),
+known AS (SELECT * FROM dt WHERE token IN (SELECT token FROM cnt)),
+nk AS (SELECT id, sum(x) AS n_known FROM known GROUP BY 1),
+sp AS (SELECT known.id, w.label, sum(x * w.w) AS s FROM known JOIN w USING (token) GROUP BY 1, 2),
+sc AS (SELECT s.id, c.label, c.prior + coalesce(nk.n_known, 0) * (ln(1.0) - c.norm) + coalesce(sp.s, 0) AS score
+       FROM {SAMPLES_SQL} s CROSS JOIN cls c LEFT JOIN nk ON nk.id = s.id
+       LEFT JOIN sp ON sp.id = s.id AND sp.label = c.label)
+SELECT id, label AS predicted_label FROM sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, label) = 1""")
+def q_classify_nb(spark, sf_dir):
+    model = C.fit_naive_bayes(training_rows(spark, sf_dir))
+    return C.predict_naive_bayes(model, samples(spark, sf_dir)).select("id", "predicted_label")
+
+
+# ----------------------------------------------------------- ensembles -----
+
+from snippetflow.functions.cues import TEXT_CUES, CueTable  # noqa: E402
+from snippetflow.plans import jobs  # noqa: E402
+from snippetflow.sources import io  # noqa: E402
+
+# Three "models" for the ensemble queries, derived from the cue table by rule:
+# all cues, the first three cues of each label, the last three of each label.
+MODELS = {
+    "m0": TEXT_CUE_TABLE,
+    "m1": CueTable({k: v[:3] for k, v in TEXT_CUES.items()}),
+    "m2": CueTable({k: v[-3:] for k, v in TEXT_CUES.items()}),
+}
+
+
+def _model_preds_sql(source=SAMPLES_SQL):
+    return " UNION ALL ".join(
+        f"SELECT id, '{m}' AS model, predicted_label FROM {t.sql_classify(source, 'id', 'code')}"
+        for m, t in MODELS.items())
+
+
+@register("ensemble_vote", f"""
+WITH p AS ({_model_preds_sql()}), c AS (SELECT id, predicted_label, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT id, predicted_label FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, predicted_label) = 1""")
+def q_ensemble_vote(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    preds = {m: C.classify(s.select("id", "code"), t) for m, t in MODELS.items()}
+    return ensemble.majority_vote(ensemble.stack_predictions(preds))
+
+
+ENSEMBLE_WEIGHTS = {"detect": 0.5, "classify": 0.5}   # config: LLM, BERT
+
+
+@register("ensemble_weighted", f"""
+WITH lm AS {LABEL_MAP_SQL}, inv AS (SELECT name, min(label) AS label FROM lm GROUP BY 1),
+d AS {TEXT_CUE_TABLE.sql_detect(SAMPLES_SQL, "id", "code", "detected_language")},
+p AS (SELECT d.id, inv.label AS predicted_label, 0.5 AS weight FROM d JOIN inv ON d.detected_language = inv.name
+      UNION ALL SELECT id, predicted_label, 0.5 FROM {MODELS["m1"].sql_classify(SAMPLES_SQL, "id", "code")}),
+w AS (SELECT id, predicted_label, sum(weight) AS w FROM p GROUP BY 1, 2)
+SELECT id, predicted_label FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, predicted_label) = 1""")
+def q_ensemble_weighted(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    inv = labels.inverse_label_map(labels.label_map(s))
+    det = detect.detect_language(s.select("id", "code"))
+    # K-row inverse map
+    stage1 = det.join(F.broadcast(inv), det["detected_language"] == inv["name"]).select("id", "label")
+    stage2 = C.classify(s.select("id", "code"), MODELS["m1"])
+    stacked = ensemble.stack_predictions({"detect": stage1.withColumnRenamed("label", "predicted_label"),
+                                          "classify": stage2}, weights=ENSEMBLE_WEIGHTS)
+    return ensemble.weighted_vote(stacked)
+
+
+def _candidate_sql():
+    parts = []
+    for i, (m, t) in enumerate(MODELS.items()):
+        conf = f"(SELECT label AS true_label, predicted_label, count(*) AS n FROM {t.sql_classify(PRE_SQL, 'id', 'code', 'predicted_label', 'label')} GROUP BY 1, 2)"
+        pc = PC_SQL.replace(CONF_SQL, conf)
+        parts.append(f"SELECT {i} AS candidate, avg(f1) AS macro_f1, sum(tp)::DOUBLE / sum(support) AS accuracy FROM {pc}")
+    return " UNION ALL ".join(parts)
+
+
+@register("best_candidate", f"""
+SELECT candidate, round(macro_f1, 6) AS macro_f1, round(accuracy, 6) AS accuracy FROM ({_candidate_sql()})
+QUALIFY row_number() OVER (ORDER BY macro_f1 DESC, candidate) = 1""")
+def q_best_candidate(spark, sf_dir):
+    pre = clean.preprocess(samples(spark, sf_dir))
+    wide = pre.select("label", *[t.label_index(F.col("code")).alias(f"p{i}") for i, t in enumerate(MODELS.values())])
+    long = wide.unpivot("label", [f"p{i}" for i in range(len(MODELS))], "model", "predicted_label") \
+        .withColumn("candidate", F.substring("model", 2, 8).cast("int"))
+    cands = metrics.grouped_summary(long, "candidate").select("candidate", "macro_f1", "accuracy")
+    best = ensemble.best_candidate(cands, "candidate", "macro_f1")
+    return best.select("candidate", r6("macro_f1").alias("macro_f1"), r6("accuracy").alias("accuracy"))
+
+
+def _two_view_sql(n=X.CROP_CHARS):
+    t = TEXT_CUE_TABLE
+    head = t.sql_scores(f"substring(code, 1, {n})")
+    tail = t.sql_scores(f"(CASE WHEN length(code) <= {n} THEN code ELSE right(code, {n}) END)")
+    names = [f"_a{i}" for i in range(len(head))]
+    cols = ", ".join(f"({h} + {tl})::DOUBLE / 2.0 AS {nm}" for h, tl, nm in zip(head, tail, names))
+    return f"SELECT id, {t.sql_argmax(names)} AS predicted_label FROM (SELECT id, {cols} FROM {SAMPLES_SQL})"
+
+
+@register("two_view_predict", _two_view_sql())
+def q_two_view_predict(spark, sf_dir):
+    return ensemble.two_view_predict(samples(spark, sf_dir), TEXT_CUE_TABLE).select("id", "predicted_label")
+
+
+# ------------------------------------------------------------- jobs ---------
+
+@register("detect_unknown", "SELECT * FROM " + TEXT_CUE_TABLE.sql_detect(NULL_SAMPLES_SQL, "id", "code"))
+def q_detect_unknown(spark, sf_dir):
+    return detect.detect_language(samples_with_nulls(spark, sf_dir)).select("id", "detected_language")
+
+
+@register("predict_detect_only", "SELECT * FROM " + TEXT_CUE_TABLE.sql_detect(SAMPLES_SQL, "id", "code"))
+def q_predict_detect_only(spark, sf_dir):
+    out = jobs.predict_job(samples(spark, sf_dir), stages=("detect",))
+    assert "predicted_label" not in out.columns
+    return out.select("id", "detected_language")
+
+
+@register("predict_job", f"""
+SELECT id, detected_language, predicted_label FROM
+  {TEXT_CUE_TABLE.sql_detect(SAMPLES_SQL, "id", "code")} JOIN {TEXT_CUE_TABLE.sql_classify(SAMPLES_SQL, "id", "code")} USING (id)""")
+def q_predict_job(spark, sf_dir):
+    return jobs.predict_job(samples(spark, sf_dir)).select("id", "detected_language", "predicted_label")
+
+
+@register("submission", f"SELECT id, predicted_label AS label FROM {TEXT_CUE_TABLE.sql_classify(SAMPLES_SQL, 'id', 'code')}")
+def q_submission(spark, sf_dir):
+    path = io.scratch_path(spark, "submission")
+    jobs.submission_job(samples(spark, sf_dir), path)
+    return io.read_csv(spark, path, io.SUBMISSION)
+
+
+@register("evaluate_job", ORACLE["metrics_long"])
+def q_evaluate_job(spark, sf_dir):
+    out = jobs.evaluate_job(samples(spark, sf_dir), output_dir=io.scratch_path(spark, "eval"))
+    return out["metrics"].select("metric", r6("value").alias("value"))
+
+
+@register("processed_roundtrip", f"SELECT * FROM {PRE_SQL}")
+def q_processed_roundtrip(spark, sf_dir):
+    path = io.scratch_path(spark, "processed")
+    io.save_parquet(clean.preprocess(samples(spark, sf_dir)), path)
+    return spark.read.parquet(path)
+
+
+ERRORS_SCHEMA = "id bigint, code string, true_label int, predicted_label int"
+
+
+@register("errors_csv_roundtrip", f"SELECT id, code, true_label, predicted_label FROM {MIS_SQL}")
+def q_errors_csv_roundtrip(spark, sf_dir):
+    path = io.scratch_path(spark, "errors")
+    io.write_csv(metrics.misclassified(scored(spark, sf_dir)).select("id", "code", "true_label", "predicted_label"), path)
+    return io.read_csv(spark, path, ERRORS_SCHEMA)
+
+
+@register("metrics_json")
+def q_metrics_json(spark, sf_dir):
+    base = io.scratch_path(spark, "eval-json")
+    jobs.evaluate_job(samples(spark, sf_dir), output_dir=base)
+    return io.read_json(spark, f"{base}/test_metrics.json")
+
+
+# ------------------------------------------------------ Spark ML stage 2 ----
+
+_TRAINED: dict = {}
+
+
+def _splits(spark, sf_dir):
+    pre = clean.preprocess(samples(spark, sf_dir))
+    return sampling.stratified_split(pre, "label", "id", seed=42)
+
+
+def _trained(spark, sf_dir):
+    key = (id(spark), sf_dir)
+    if key not in _TRAINED:
+        sp = _splits(spark, sf_dir)
+        tr = sp.filter(F.col("split") == "train").drop("split")
+        va = sp.filter(F.col("split") == "val").drop("split")
+        _TRAINED[key] = C.train_classifier(tr, va)
+    return _TRAINED[key]
+
+
+@register("train_classifier")
+def q_train_classifier(spark, sf_dir):
+    return _trained(spark, sf_dir).best
+
+
+@register("validate_candidates")
+def q_validate_candidates(spark, sf_dir):
+    return _trained(spark, sf_dir).candidates
+
+
+@register("classify")
+def q_classify(spark, sf_dir):
+    test = _splits(spark, sf_dir).filter(F.col("split") == "test").drop("split")
+    return C.classify(test, _trained(spark, sf_dir).model).select("id", "label", "predicted_label")
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    path = io.scratch_path(spark, "model")
+    C.save_model(_trained(spark, sf_dir).model, path)
+    test = _splits(spark, sf_dir).filter(F.col("split") == "test").drop("split")
+    return C.classify(test, C.load_model(path)).select("id", "predicted_label")
