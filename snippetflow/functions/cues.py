@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "Unknown"
@@ -107,6 +107,28 @@ class CueTable:
         t = F.coalesce(_c(text), F.lit(""))
         return self.argmax_index(self.scores(t))
 
+    def apply(self, df: DataFrame, text: str = "code", out: str = "detected_language",
+              kind: str = "label") -> DataFrame:
+        """Add the label (``kind='label'``) or the 0-based class index
+        (``kind='index'``) as three projections - tokens, per-label scores,
+        winner - so the text is tokenized once per row however many labels
+        and comparisons follow (Catalyst does not re-inline such columns)."""
+        t = F.col(text)
+        names = [f"_cue_s{i}" for i in range(len(self.cues))]
+        if self.mode == "tokens":
+            tokd = df.withColumn("_cue_tok", F.split(F.lower(F.coalesce(t, F.lit(""))), self.split_pattern))
+            scored = tokd.select("*", *[F.size(F.filter("_cue_tok", _count_in(ws))).alias(n)
+                                        for ws, n in zip(self.cues.values(), names)]).drop("_cue_tok")
+        else:
+            scored = df.select("*", *[c.alias(n) for c, n in
+                                      zip(self.scores(F.coalesce(t, F.lit(""))), names)])
+        cols = [F.col(n) for n in names]
+        if kind == "index":
+            res = self.argmax_index(cols)
+        else:
+            res = F.when(t.isNull(), F.lit(self.unknown)).otherwise(self.pick(cols))
+        return scored.withColumn(out, res).drop(*names)
+
     def label(self, text="code") -> Column:
         """Detected label for the text column; null text -> unknown."""
         t = _c(text)

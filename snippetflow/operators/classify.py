@@ -115,7 +115,7 @@ def load_model(path: str):
 def classify(df: DataFrame, model, code: str = "code", out: str = "predicted_label") -> DataFrame:
     """M5: add the integer prediction with whichever model kind is given."""
     if isinstance(model, CueTable):
-        return df.withColumn(out, model.label_index(F.col(code)))
+        return model.apply(df, code, out, "index")
     if hasattr(model, "transform"):
         return predict_model(model, df, out)
     if callable(model):

@@ -81,6 +81,8 @@ def detection_column(code: Column, backend=TEXT_CUE_TABLE) -> Column:
 def detect_language(df: DataFrame, backend=TEXT_CUE_TABLE, code: str = "code",
                     out: str = "detected_language") -> DataFrame:
     """M1: add the detected language; narrow (no shuffle)."""
+    if isinstance(backend, CueTable):
+        return backend.apply(df, code, out, "label")
     return df.withColumn(out, detection_column(F.col(code), backend))
 
 

@@ -35,8 +35,14 @@ def register(name: str, sql: str | None = None):
 
 # ---------------------------------------------------------------- inputs ---
 
+# Row-id column per table: thin scans are spread by it (sources.io.spread).
+TABLE_KEYS = {"documents": "doc_id", "labels": "doc_id", "events": "event_id",
+              "conversations": "conv_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from snippetflow.sources.io import read_table
+    return read_table(spark, f"{sf_dir}/{name}.parquet", TABLE_KEYS.get(name))
 
 
 def label_of(lang_col) -> "F.Column":
@@ -63,7 +69,7 @@ def r6(c):
 def scored(spark, sf_dir) -> DataFrame:
     """Preprocessed samples with the cue classifier's integer prediction."""
     s = clean.preprocess(samples(spark, sf_dir))
-    return s.withColumn("predicted_label", TEXT_CUE_TABLE.label_index(F.col("code")))
+    return TEXT_CUE_TABLE.apply(s, "code", "predicted_label", "index")
 
 
 PRE_SQL = f"(SELECT * FROM {SAMPLES_SQL} WHERE code IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code ORDER BY id) = 1)"
@@ -505,7 +511,7 @@ SELECT s.id, s.label, p.predicted_label FROM {SAMPLES_SQL} s
 JOIN {TEXT_CUE_TABLE.sql_classify(SAMPLES_SQL, "id", "code")} p ON s.id = p.id""")
 def q_align_predictions(spark, sf_dir):
     s = samples(spark, sf_dir)
-    preds = s.select("id", TEXT_CUE_TABLE.label_index(F.col("code")).alias("predicted_label"))
+    preds = TEXT_CUE_TABLE.apply(s.select("id", "code"), "code", "predicted_label", "index").drop("code")
     return metrics.align_predictions(s.select("id", "label"), preds, "id")
 
 
@@ -728,7 +734,10 @@ SELECT candidate, round(macro_f1, 6) AS macro_f1, round(accuracy, 6) AS accuracy
 QUALIFY row_number() OVER (ORDER BY macro_f1 DESC, candidate) = 1""")
 def q_best_candidate(spark, sf_dir):
     pre = clean.preprocess(samples(spark, sf_dir))
-    wide = pre.select("label", *[t.label_index(F.col("code")).alias(f"p{i}") for i, t in enumerate(MODELS.values())])
+    wide = pre.select("label", "code")
+    for i, t in enumerate(MODELS.values()):
+        wide = t.apply(wide, "code", f"p{i}", "index")
+    wide = wide.drop("code")
     long = wide.unpivot("label", [f"p{i}" for i in range(len(MODELS))], "model", "predicted_label") \
         .withColumn("candidate", F.substring("model", 2, 8).cast("int"))
     cands = metrics.grouped_summary(long, "candidate").select("candidate", "macro_f1", "accuracy")

@@ -24,6 +24,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/snippetflow-out/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by ``key`` when the scan yields fewer partitions than
+    the session can run at once (e.g. one large single-row-group file), so
+    per-row text work uses every core.  A scan of many files already has
+    enough partitions and is left alone (no shuffle).  Using the session's
+    shuffle partition count lets later joins on ``key`` reuse the layout."""
+    spark = df.sparkSession
+    want = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    have = df.rdd.getNumPartitions()
+    if have >= min(want, spark.sparkContext.defaultParallelism):
+        return df
+    return df.repartition(want, key)
+
+
+def read_table(spark: SparkSession, path: str, spread_key: str | None = None) -> DataFrame:
+    """Parquet scan; optionally spread thin inputs over the cluster (``spread``)."""
+    df = spark.read.parquet(path)
+    return spread(df, spread_key) if spread_key else df
+
+
 def load_samples(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Parquet scan; with a schema, only its columns are read (pruned scan)."""
     r = spark.read
