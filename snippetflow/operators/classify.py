@@ -152,65 +152,70 @@ def doc_terms(df: DataFrame, id_col: str = "id", code: str = "code", pattern: st
 
 @dataclass
 class NaiveBayesModel:
-    weights: DataFrame    # (token, label, w) for observed pairs: log(count + a) - log(a)
-    classes: DataFrame    # (label, prior, norm): log-prior and log(total_c + a*|V|)
-    vocab: DataFrame      # (token)
+    weights: DataFrame    # (token, w): w[k] = log(count(token, class k) + a), dense over the K classes
+    classes: DataFrame    # (label, prior, norm) sorted by label: log-prior, log(total_c + a*|V|)
+    labels: list          # the K class labels in order (K is the class count)
     alpha: float
 
 
 def fit_naive_bayes(train: DataFrame, label: str = "label", id_col: str = "id", code: str = "code",
                     alpha: float = 1.0, pattern: str = NB_SPLIT) -> NaiveBayesModel:
     """Multinomial NB with additive smoothing (prior smoothed as well:
-    log((n_c + a) / (n + K a))).  Only observed (token, class) pairs are stored;
-    unobserved pairs share the constant log(a) that is folded into the score."""
+    log((n_c + a) / (n + K a))).
+
+    One aggregate over (token, label) with partial aggregation gives the
+    counts; the model keeps one row per vocabulary token with a K-vector of
+    log(count + a).  Only the K class labels reach the driver.
+    """
     from pyspark.sql import Window
-    t = train.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(code).alias("code"))
-    terms = doc_terms(t, "id", "code", pattern).join(t.select("id", "label"), "id")
-    counts = terms.groupBy("token", "label").agg(F.sum("x").alias("cnt"))
-    vocab = counts.select("token").distinct()
-    allw = Window.partitionBy(F.lit(0))
-    n_vocab = vocab.select(F.count(F.lit(1))).scalar()
-    totals = counts.groupBy("label").agg(F.sum("cnt").alias("tot"))
+    t = train.select(F.col(label).alias("label"), F.col(code).alias("code"))
+    toks = t.select("label", F.explode(F.split(F.lower(F.col("code")), pattern)).alias("token"))
+    counts = toks.filter(F.col("token") != "").groupBy("token", "label").agg(F.count(F.lit(1)).alias("cnt"))
     docs = t.groupBy("label").agg(F.count(F.lit(1)).alias("n_c"))
+    labels_k = [r["label"] for r in docs.select("label").orderBy("label").collect()]   # K values
+    n_vocab = counts.select(F.count_distinct("token")).scalar()
+    totals = counts.groupBy("label").agg(F.sum("cnt").alias("tot"))
+    allw = Window.partitionBy(F.lit(0))
     classes = (docs.join(totals, "label", "left")
                .select("label",
                        F.log((F.col("n_c") + alpha) / (F.sum("n_c").over(allw) + F.count(F.lit(1)).over(allw) * alpha))
                        .alias("prior"),
                        F.log(F.coalesce(F.col("tot"), F.lit(0)) + alpha * n_vocab).alias("norm")))
-    weights = counts.select("token", "label", (F.log(F.col("cnt") + alpha) - F.lit(float(__import__("math").log(alpha))))
-                            .alias("w"))
-    return NaiveBayesModel(weights, classes, vocab, alpha)
+    la = float(__import__("math").log(alpha))
+    per_token = counts.groupBy("token").agg(
+        F.map_from_entries(F.collect_list(F.struct("label", F.log(F.col("cnt") + alpha)))).alias("_m"))
+    weights = per_token.select("token", F.array(*[F.coalesce(F.element_at("_m", F.lit(k)), F.lit(la))
+                                                  for k in labels_k]).alias("w"))
+    return NaiveBayesModel(weights, classes, labels_k, alpha)
 
 
 def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "id", code: str = "code",
                         out: str = "predicted_label", pattern: str = NB_SPLIT) -> DataFrame:
-    """argmax_c prior_c + sum_t x_t * (log a - norm_c) + sum_(observed t,c) x_t * w_tc.
-
-    Ties go to the lowest label.  The weight table is grouped to one row per
-    token (at most K weights each) and joined with the per-document term
-    counts on token; AQE splits the partitions of very common tokens.  A
-    marker entry per matched token carries the count of known tokens.  Every
-    document meets every class through the K-row class table, so documents
-    without any known token still get the prior.
+    """argmax_k prior_k + sum_t x_t * w[t][k] - n_known * norm_k, ties -> lowest label.
+
+    Token occurrences meet the one-row-per-token weight table in a join on
+    token (AQE splits the partitions of very common tokens); a single
+    aggregate per document then sums the K class scores and the count of
+    known tokens.  Documents without any known token keep the prior.
     """
-    import math
-    la = math.log(model.alpha)
-    ltype = model.classes.schema["label"].dataType
-    by_token = model.weights.groupBy("token").agg(F.collect_list(F.struct("label", "w")).alias("lw"))
-    marker = F.array(F.struct(F.lit(None).cast(ltype).alias("label"), F.lit(0.0).alias("w")))
-    hits = (doc_terms(df, id_col, code, pattern).join(by_token, "token")
-            .select("id", "x", F.explode(F.concat(F.col("lw"), marker)).alias("e"))
-            .groupBy("id", F.col("e.label").alias("label"))
-            .agg(F.sum(F.col("x") * F.col("e.w")).alias("s"), F.sum("x").alias("nx")))
-    n_known = hits.filter(F.col("label").isNull()).select("id", F.col("nx").alias("n_known"))
-    sparse = hits.filter(F.col("label").isNotNull()).select("id", "label", "s")
-    class_list = model.classes.select(F.sort_array(F.collect_list(F.struct("label", "prior", "norm"))).alias("cl"))
-    grid = (df.select(F.col(id_col).alias("id"), F.explode(class_list.select("cl").scalar()).alias("c"))
-            .select("id", "c.label", "c.prior", "c.norm"))
-    scored = (grid.join(n_known, "id", "left").join(sparse, ["id", "label"], "left")
-              .select("id", "label",
-                      (F.col("prior") + F.coalesce("n_known", F.lit(0)) * (F.lit(la) - F.col("norm"))
-                       + F.coalesce("s", F.lit(0.0))).alias("score")))
-    best = scored.groupBy("id").agg(
-        F.max_by("label", F.struct(F.col("score"), -F.col("label"))).alias(out))
-    return df.join(best.withColumnRenamed("id", id_col), id_col)
+    k = len(model.labels)
+    # token occurrences (one row each): the per-document aggregate below
+    # combines repeats map-side, so no separate (doc, token) shuffle is needed
+    occ = (df.select(F.col(id_col).alias("id"), F.explode(F.split(F.lower(F.col(code)), pattern)).alias("token"))
+           .filter(F.col("token") != ""))
+    # shuffle join: both map sides run at once and AQE can split hot tokens;
+    # a broadcast would wait for the whole weight table first
+    terms = occ.join(model.weights.hint("merge"), "token")
+    per_doc = terms.groupBy(F.col("id").alias("_nb_id")).agg(
+        F.count(F.lit(1)).alias("_nk"), *[F.sum(F.col("w")[i]).alias(f"_nb{i}") for i in range(k)])
+    cl = model.classes.select(F.sort_array(F.collect_list(F.struct("label", "prior", "norm"))).alias("cl"))
+    cl_arr = cl.select("cl").scalar()
+    joined = df.join(per_doc, F.col(id_col) == F.col("_nb_id"), "left")
+    scores = [cl_arr[i]["prior"] + F.coalesce(F.col(f"_nb{i}"), F.lit(0.0))
+              - F.coalesce(F.col("_nk"), F.lit(0)) * cl_arr[i]["norm"] for i in range(k)]
+    best = F.greatest(*scores) if k > 1 else scores[0]
+    pick = None
+    for i, sc in enumerate(scores):
+        lab = F.lit(model.labels[i])
+        pick = F.when(sc == best, lab) if pick is None else pick.when(sc == best, lab)
+    return joined.withColumn(out, pick).drop("_nb_id", "_nk", *[f"_nb{i}" for i in range(k)])
