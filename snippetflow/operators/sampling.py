@@ -76,9 +76,10 @@ def split_quotas(class_counts: DataFrame, val_size: float = 0.2, test_size: floa
     q = _approximate_mode(q, "_draw", "trainval", "n_train").drop("_m", "_draw")
     q = q.withColumn("n_val", F.col("trainval") - F.col("n_train")) \
          .withColumn("n_test", F.col("c") - F.col("trainval"))
-    guard = F.when(F.col("c") < 2, F.raise_error(F.lit("a class has fewer than 2 rows")))
-    return q.select("label", F.coalesce(guard.cast("long"), F.col("c")).alias("c"),
-                    "n_train", "n_val", "n_test")
+    # the check sits in n_train, which every consumer reads (never pruned)
+    n_train = F.when(F.col("c") < 2, F.raise_error(F.lit("a class has fewer than 2 rows"))
+                     ).otherwise(F.col("n_train"))
+    return q.select("label", "c", n_train.cast("long").alias("n_train"), "n_val", "n_test")
 
 
 def class_ranks(df: DataFrame, label: str, id_col: str, seed: int, buckets: int = RANK_BUCKETS) -> DataFrame:
