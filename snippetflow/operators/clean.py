@@ -38,14 +38,16 @@ def handle_null_code(df: DataFrame, code: str = "code", null_policy: str = "drop
 def dedup_first(df: DataFrame, subset: str = "code", order_col: str = "id") -> DataFrame:
     """Keep the first row (lowest order_col) of each group of equal ``subset``.
 
-    Only (order, sha256) pairs are shuffled to find the survivors, with
-    partial aggregation, so a text repeated in a third of all rows collapses
-    map-side instead of landing in one task.  The survivors are matched back
-    by ``order_col`` (unique, hence evenly spread) with a left-semi join.
+    One scan and one shuffle: rows are grouped by the SHA-256 of ``subset``
+    and ``min_by(row, order_col)`` keeps the first.  The aggregate is partial
+    map-side, so a text repeated in a third of all rows is reduced to one row
+    per map task before the shuffle instead of landing in one task.
+    Equals ``row_number() over (partition by subset order by order_col) = 1``.
     """
-    keys = df.select(F.col(order_col).alias("_o"), code_key(F.col(subset)).alias("_h"))
-    first = keys.groupBy("_h").agg(F.min("_o").alias("_o"))
-    return df.join(first.select("_o"), F.col(order_col) == F.col("_o"), "left_semi")
+    cols = df.columns
+    first = df.groupBy(code_key(F.col(subset)).alias("_dedup_h")).agg(
+        F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_dedup_r"))
+    return first.select(*[F.col(f"_dedup_r.{c}").alias(c) for c in cols])
 
 
 def preprocess(df: DataFrame, code: str = "code", null_policy: str = "drop",

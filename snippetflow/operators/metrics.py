@@ -32,6 +32,14 @@ def confusion_counts(df: DataFrame, truth: str = "label", pred: str = "predicted
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def confusion_table(df: DataFrame, truth: str = "label", pred: str = "predicted_label") -> DataFrame:
+    """A1, materialized: the K^2-row table is written once to the shared
+    checkpoint folder, so every metric derived from it reads that small table
+    instead of re-running the scan and the model once per metric branch."""
+    from snippetflow.session import cut_lineage
+    return cut_lineage(confusion_counts(df, truth, pred))
+
+
 def label_universe(conf: DataFrame) -> DataFrame:
     """Sorted union of true and predicted labels (from the K^2 table)."""
     return (conf.select(F.col("true_label").alias("label"))

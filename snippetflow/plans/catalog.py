@@ -92,8 +92,10 @@ LABEL_MAP_SQL = f"""(SELECT label, arg_max(language, first_ord) AS name FROM
 
 
 def label_map_of(df: DataFrame) -> DataFrame:
+    """Label map, materialized (K rows) so several consumers do not rescan."""
     from snippetflow.operators.labels import label_map
-    return label_map(df)
+    from snippetflow.session import cut_lineage
+    return cut_lineage(label_map(df))
 
 
 # ------------------------------------------------------- first slice -------
@@ -128,7 +130,7 @@ def q_confusion_counts(spark, sf_dir):
 SELECT round(sum(CASE WHEN true_label = predicted_label THEN n ELSE 0 END)::DOUBLE / sum(n), 6) AS accuracy,
        sum(n)::BIGINT AS n FROM {CONF_SQL}""")
 def q_accuracy(spark, sf_dir):
-    a = metrics.accuracy(metrics.confusion_counts(scored(spark, sf_dir)))
+    a = metrics.accuracy(_conf(spark, sf_dir))
     return a.select(r6("accuracy").alias("accuracy"), "n")
 
 
@@ -139,7 +141,7 @@ SELECT pc.label, coalesce(lm.name, 'Class_' || pc.label::VARCHAR) AS class_name,
 FROM pc LEFT JOIN lm ON pc.label = lm.label""")
 def q_per_class_metrics(spark, sf_dir):
     sc = scored(spark, sf_dir)
-    pc = metrics.per_class_metrics(metrics.confusion_counts(sc))
+    pc = metrics.per_class_metrics(metrics.confusion_table(sc))
     pc = metrics.with_class_name(pc, label_map_of(sc), "label", "class_name")
     return pc.select("label", "class_name", r6("precision").alias("precision"),
                      r6("recall").alias("recall"), r6("f1").alias("f1"), "support")
@@ -149,7 +151,7 @@ def q_per_class_metrics(spark, sf_dir):
 SELECT round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall,
        round(avg(f1), 6) AS macro_f1 FROM {PC_SQL}""")
 def q_macro_metrics(spark, sf_dir):
-    m = metrics.macro_metrics(metrics.per_class_metrics(metrics.confusion_counts(scored(spark, sf_dir))))
+    m = metrics.macro_metrics(metrics.per_class_metrics(_conf(spark, sf_dir)))
     return m.select(*[r6(c).alias(c) for c in m.columns])
 
 
@@ -157,14 +159,14 @@ def q_macro_metrics(spark, sf_dir):
 SELECT round(CASE WHEN sum(support) > 0 THEN sum(f1 * support) / sum(support) ELSE 0.0 END, 6) AS weighted_f1
 FROM {PC_SQL}""")
 def q_weighted_f1(spark, sf_dir):
-    w = metrics.weighted_f1(metrics.per_class_metrics(metrics.confusion_counts(scored(spark, sf_dir))))
+    w = metrics.weighted_f1(metrics.per_class_metrics(_conf(spark, sf_dir)))
     return w.select(r6("weighted_f1").alias("weighted_f1"))
 
 
 def flagship(spark, sf_dir):
     """entry(): classification report of the cue classifier on preprocessed documents."""
     sc = scored(spark, sf_dir)
-    rep = metrics.classification_report(metrics.confusion_counts(sc), label_map_of(sc))
+    rep = metrics.classification_report(metrics.confusion_table(sc), label_map_of(sc))
     return rep.select("class", *[r6(c).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
@@ -443,7 +445,7 @@ def q_code_length(spark, sf_dir):
 # ----------------------------------------------------- evaluation tables ---
 
 def _conf(spark, sf_dir):
-    return metrics.confusion_counts(scored(spark, sf_dir))
+    return metrics.confusion_table(scored(spark, sf_dir))
 
 
 REPORT_SQL = f"""
@@ -480,7 +482,7 @@ UNION ALL SELECT 'test_f1_' || coalesce(lm.name, 'Class_' || pc.label::VARCHAR),
 FROM pc LEFT JOIN lm ON pc.label = lm.label""")
 def q_metrics_long(spark, sf_dir):
     sc = scored(spark, sf_dir)
-    m = metrics.metrics_long(metrics.confusion_counts(sc), label_map_of(sc), prefix="test_")
+    m = metrics.metrics_long(metrics.confusion_table(sc), label_map_of(sc), prefix="test_")
     return m.select("metric", r6("value").alias("value"))
 
 

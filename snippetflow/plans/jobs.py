@@ -56,29 +56,39 @@ def submission_job(df: DataFrame, path: str | None = None, **kw) -> DataFrame:
 def evaluate_job(test: DataFrame, classifier=TEXT_CUE_TABLE, output_dir: str | None = None,
                  prefix: str = "test_", truth: str = "label", order_col: str = "id",
                  metric_names=None, save_predictions: bool = False, save_errors: bool = True,
-                 max_errors: int = 100) -> dict:
-    """Preprocess -> label map -> predict once -> every evaluation table.
-
-    The scored (id, truth, prediction) table is cut from its lineage once
-    (reliable checkpoint), so the confusion aggregate, error table and sinks
-    do not re-run the model.  Returns the named DataFrames; with
-    ``output_dir`` also writes metrics JSON, errors CSV and predictions.
+                 max_errors: int = 100, code: str = "code") -> dict:
+    """Preprocess -> predict once -> every evaluation table.
+
+    Only the narrow scored keys (order, truth, language, prediction) are cut
+    from their lineage (reliable checkpoint); the K^2 confusion table and the
+    K-row label map are materialized from them, and every metric reads those
+    small tables.  The error table picks its first ``max_errors`` ids from the
+    keys and joins the text back for those rows only.  Returns the named
+    DataFrames; with ``output_dir`` also writes metrics JSON, errors CSV and
+    (optionally) all predictions.
     """
-    pre = clean.preprocess(test, order_col=order_col)
-    lmap = labels.label_map(pre)
-    scored = cut_lineage(C.classify(pre, classifier))
-    conf = metrics.confusion_counts(scored, truth, "predicted_label")
+    from snippetflow.session import cut_lineage
+    pre = clean.preprocess(test, code=code, order_col=order_col)
+    scored = C.classify(pre, classifier, code)
+    keep = [c for c in (order_col, truth, "language", "predicted_label") if c in scored.columns]
+    keys = cut_lineage(scored.select(*keep))
+    lmap = cut_lineage(labels.label_map(keys, truth, "language", order_col))
+    conf = metrics.confusion_table(keys, truth, "predicted_label")
     mlong = metrics.metrics_long(conf, lmap, prefix)
     if metric_names:
         mlong = mlong.filter(F.col("metric").isin([prefix + m for m in metric_names]))
+    top = metrics.misclassified_top(keys, order_col, max_errors, truth=truth, label_map=lmap)
+    # at most max_errors rows: the join back to the text is bounded by that
+    errors = pre.join(F.broadcast(top.drop(*[c for c in (truth, "language") if c in top.columns])),
+                      order_col).orderBy(order_col)
     out = {
-        "scored": scored,
+        "scored": keys,
         "confusion": conf,
         "confusion_dense": metrics.confusion_dense(conf),
         "metrics": mlong,
         "report": metrics.classification_report(conf, lmap),
         "per_class": metrics.per_class_long(conf),
-        "errors": metrics.misclassified_top(scored, order_col, max_errors, truth=truth, label_map=lmap),
+        "errors": errors,
     }
     if output_dir:
         base = output_dir.rstrip("/")
