@@ -51,6 +51,38 @@ def vote_columns(cols: list) -> Column:
     return -best["neg"]
 
 
+def score_all(df: DataFrame, models: dict, code: str = "code", prefix: str = "pred_") -> DataFrame:
+    """M8 in one pass: every model adds its prediction column to the same rows.
+
+    Cue tables with the same split rule share one tokenization; fitted Spark
+    ML models are applied one after the other in the same projection chain.
+    No model re-reads the input, and no shuffle is involved.
+    """
+    from snippetflow.operators.classify import classify
+    out = df
+    token_tables = {n: m for n, m in models.items() if isinstance(m, CueTable) and m.mode == "tokens"}
+    patterns = {m.split_pattern for m in token_tables.values()}
+    if len(patterns) == 1 and token_tables:
+        pattern = patterns.pop()
+        out = out.withColumn("_ens_tok", F.split(F.lower(F.coalesce(F.col(code), F.lit(""))), pattern))
+        for name, m in token_tables.items():
+            out = out.withColumn(f"_ens_{name}", F.array(*[F.size(F.filter("_ens_tok", _member(ws)))
+                                                           for ws in m.cues.values()]))
+        out = out.drop("_ens_tok")
+        for name, m in token_tables.items():
+            sc = [F.col(f"_ens_{name}")[i] for i in range(len(m.cues))]
+            out = out.withColumn(prefix + name, m.argmax_index(sc)).drop(f"_ens_{name}")
+    for name, m in models.items():
+        if prefix + name not in out.columns:
+            out = classify(out, m, code, prefix + name)
+    return out
+
+
+def _member(values):
+    lits = [F.lit(v) for v in values]
+    return lambda t: t.isin(*lits)
+
+
 def best_candidate(candidates: DataFrame, order_col: str = "candidate", score: str = "macro_f1") -> DataFrame:
     """The candidate with the highest score; the earliest wins ties."""
     pick = candidates.agg(F.max_by(F.col(order_col), F.struct(F.col(score), -F.col(order_col))).alias("_b"))

@@ -82,18 +82,17 @@ def split_quotas(class_counts: DataFrame, val_size: float = 0.2, test_size: floa
     return q.select("label", "c", n_train.cast("long").alias("n_train"), "n_val", "n_test")
 
 
-def class_ranks(df: DataFrame, label: str, id_col: str, seed: int, buckets: int = RANK_BUCKETS) -> DataFrame:
-    """(id, label, rank): 0-based position of each row inside its class by (u, id).
-
-    A class may hold most of the rows, so ranks are not computed by one window
-    per class: rows are cut into (class, floor(u * B)) cells, cell offsets come
-    from a running sum over the K*B cell counts, and a window numbers rows
-    inside a cell only.
-    """
+def _rank_keys(df: DataFrame, label: str, id_col: str, seed: int, buckets: int) -> DataFrame:
     keys = df.select(F.col(id_col).alias("_id"), F.col(label).alias("label"),
                      uniform(seed, id_col).alias("_u"))
-    keys = keys.withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
-    cells = keys.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    return keys.withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
+
+
+def _cells(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+
+
+def _ranks(keys: DataFrame, cells: DataFrame, id_col: str) -> DataFrame:
     offs = cells.select("label", "_b", (F.sum("_cnt").over(Window.partitionBy("label").orderBy("_b"))
                                         - F.col("_cnt")).alias("_off"))
     w = Window.partitionBy("label", "_b").orderBy("_u", "_id")
@@ -103,18 +102,33 @@ def class_ranks(df: DataFrame, label: str, id_col: str, seed: int, buckets: int
                     (F.col("_off") + F.row_number().over(w) - 1).cast("long").alias("rank")))
 
 
+def class_ranks(df: DataFrame, label: str, id_col: str, seed: int, buckets: int = RANK_BUCKETS) -> DataFrame:
+    """(id, label, rank): 0-based position of each row inside its class by (u, id).
+
+    A class may hold most of the rows, so ranks are not computed by one window
+    per class: rows are cut into (class, floor(u * B)) cells (u is evenly
+    spread, so cells are balanced), cell offsets come from a running sum over
+    the K*B cell counts, and a window numbers rows inside a cell only.
+    """
+    keys = _rank_keys(df, label, id_col, seed, buckets)
+    return _ranks(keys, _cells(keys), id_col)
+
+
 def stratified_split(df: DataFrame, label: str | None = "label", id_col: str = "id",
                      val_size: float = 0.2, test_size: float = 0.1, seed: int = DEFAULT_SEED,
-                     out: str = "split") -> DataFrame:
+                     out: str = "split", buckets: int = RANK_BUCKETS) -> DataFrame:
     """Add ``split`` in {train, val, test}; stratified by ``label`` when given.
 
     Exact per-class quotas (see ``split_quotas``); which rows land where
-    depends on the seeded uniform of each id.
+    depends on the seeded uniform of each id.  Class sizes come from the same
+    (class, bucket) cell table as the rank offsets.
     """
     work = df if label else df.withColumn("_one", F.lit(0))
     lab = label or "_one"
-    ranks = class_ranks(work, lab, id_col, seed)
-    counts = ranks.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
+    keys = _rank_keys(work, lab, id_col, seed, buckets)
+    cells = _cells(keys)
+    ranks = _ranks(keys, cells, id_col)
+    counts = cells.groupBy("label").agg(F.sum("_cnt").alias("c"))
     quotas = split_quotas(counts, val_size, test_size)
     # K-row quota table
     assigned = ranks.join(F.broadcast(quotas), "label").select(

@@ -695,8 +695,16 @@ def _model_preds_sql(source=SAMPLES_SQL):
 WITH p AS ({_model_preds_sql()}), c AS (SELECT id, predicted_label, count(*) AS n FROM p GROUP BY 1, 2)
 SELECT id, predicted_label FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, predicted_label) = 1""")
 def q_ensemble_vote(spark, sf_dir):
-    s = samples(spark, sf_dir)
-    preds = {m: C.classify(s.select("id", "code"), t) for m, t in MODELS.items()}
+    # all models score the same rows in one pass; the vote is per row (no shuffle)
+    wide = ensemble.score_all(samples(spark, sf_dir).select("id", "code"), MODELS)
+    return wide.select("id", ensemble.vote_columns([f"pred_{m}" for m in MODELS]).alias("predicted_label"))
+
+
+@register("ensemble_vote_stacked", ORACLE["ensemble_vote"])
+def q_ensemble_vote_stacked(spark, sf_dir):
+    """J2/U2/A10 long form, for models that run separately: stack, then vote per id."""
+    s = samples(spark, sf_dir).select("id", "code")
+    preds = {m: C.classify(s, t) for m, t in MODELS.items()}
     return ensemble.majority_vote(ensemble.stack_predictions(preds))
 
 
