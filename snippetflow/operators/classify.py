@@ -24,11 +24,12 @@ from snippetflow.functions.text import TOKEN_SPLIT
 from snippetflow.operators import labels as L
 from snippetflow.operators import metrics as M
 
-DEFAULT_CANDIDATES = ({"regParam": 0.01, "maxIter": 30}, {"regParam": 0.1, "maxIter": 30})
+DEFAULT_CANDIDATES = ({"regParam": 0.01, "maxIter": 20}, {"regParam": 0.1, "maxIter": 20})
+DEFAULT_FEATURES = 1 << 14
 NB_SPLIT = r"[^\p{L}]+"
 
 
-def build_pipeline(num_features: int = 1 << 16, reg_param: float = 0.01, max_iter: int = 30,
+def build_pipeline(num_features: int = DEFAULT_FEATURES, reg_param: float = 0.01, max_iter: int = 30,
                    code: str = "code", label: str = "label", weight: str | None = "weight",
                    language_feature: str | None = None):
     """M4 estimator.  ``language_feature`` adds a one-hot of a string column
@@ -71,20 +72,27 @@ class TrainResult:
     model: object
     candidates: DataFrame       # (candidate, reg_param, max_iter, val_macro_f1, val_accuracy)
     best: DataFrame             # the chosen row
+    models: list | None = None  # every fitted candidate, in candidate order
 
 
 def train_classifier(train: DataFrame, val: DataFrame, candidates=DEFAULT_CANDIDATES,
-                     class_weighted: bool = True, num_features: int = 1 << 16,
+                     class_weighted: bool = True, num_features: int = DEFAULT_FEATURES,
                      label: str = "label", language_feature: str | None = None) -> TrainResult:
     """M4 + M7 + A23: fit each candidate with class weights (A9/J5), score the
     validation rows, keep the first best macro-F1.  The candidate table and
     the returned model are computed once; the choice of model is a driver
     decision over at most len(candidates) numbers."""
     from snippetflow.operators.ensemble import best_candidate
+    from snippetflow.session import cut_lineage
     spark = train.sparkSession
-    tr = train
+    # every candidate's IDF pass, optimizer iterations and validation pass
+    # read these: materialize the needed columns once instead of re-running
+    # sampling / dedup / stage 1 per pass
+    need = [c for c in ("id", "code", label, language_feature) if c and c in train.columns]
+    tr = cut_lineage(train.select(*need))
+    val = cut_lineage(val.select(*[c for c in need if c in val.columns]))
     if class_weighted:
-        tr = L.with_class_weight(train, L.class_weights(train, label), label, "weight")
+        tr = L.with_class_weight(tr, L.class_weights(tr, label), label, "weight")
     rows, models = [], []
     for i, cand in enumerate(candidates):
         est = build_pipeline(num_features, cand["regParam"], cand["maxIter"], label=label,
@@ -98,7 +106,7 @@ def train_classifier(train: DataFrame, val: DataFrame, candidates=DEFAULT_CANDID
     schema = "candidate int, reg_param double, max_iter int, val_macro_f1 double, val_accuracy double"
     table = spark.createDataFrame(rows, schema)
     best_i = max(range(len(rows)), key=lambda k: (rows[k][3], -k))   # strict '>' -> earliest wins
-    return TrainResult(models[best_i], table, best_candidate(table, "candidate", "val_macro_f1"))
+    return TrainResult(models[best_i], table, best_candidate(table, "candidate", "val_macro_f1"), models)
 
 
 def save_model(model, path: str) -> None:

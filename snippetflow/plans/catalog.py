@@ -869,3 +869,18 @@ def q_model_roundtrip(spark, sf_dir):
     C.save_model(_trained(spark, sf_dir).model, path)
     test = _splits(spark, sf_dir).filter(F.col("split") == "test").drop("split")
     return C.classify(test, C.load_model(path)).select("id", "predicted_label")
+
+
+@register("ensemble_checkpoints")
+def q_ensemble_checkpoints(spark, sf_dir):
+    """M8: save every candidate model, load them back, score the test rows in
+    one pass and take the per-row majority vote."""
+    res = _trained(spark, sf_dir)
+    loaded = {}
+    for i, m in enumerate(res.models):
+        path = io.scratch_path(spark, f"ckpt{i}")
+        C.save_model(m, path)
+        loaded[f"c{i}"] = C.load_model(path)
+    test = _splits(spark, sf_dir).filter(F.col("split") == "test").drop("split")
+    wide = ensemble.score_all(test, loaded)
+    return wide.select("id", ensemble.vote_columns([f"pred_{k}" for k in loaded]).alias("predicted_label"))

@@ -73,3 +73,15 @@ def test_train_save_load(spark):
     a = C.classify(va, res.model).select("id", "predicted_label").collect()
     b = C.classify(va, C.load_model(p)).select("id", "predicted_label").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_language_feature_pipeline(spark):
+    """M9: stage-1 language as an extra one-hot feature of stage 2."""
+    from snippetflow.operators import detect
+    sp = catalog._splits(spark, SF)
+    tr = detect.detect_language(sp.filter("split = 'train'").drop("split"))
+    va = detect.detect_language(sp.filter("split = 'val'").drop("split"))
+    res = C.train_classifier(tr, va, candidates=({"regParam": 0.1, "maxIter": 5},),
+                             language_feature="detected_language")
+    out = C.classify(va, res.model)
+    assert out.count() == va.count() and "predicted_label" in out.columns
