@@ -172,28 +172,35 @@ def fit_naive_bayes(train: DataFrame, label: str = "label", id_col: str = "id",
     log((n_c + a) / (n + K a))).
 
     One aggregate over (token, label) with partial aggregation gives the
-    counts; the model keeps one row per vocabulary token with a K-vector of
-    log(count + a).  Only the K class labels reach the driver.
+    sufficient statistics; like any fit this is eager: the counts, the
+    one-row-per-token weight table (K-vector of log(count + a)) and the
+    K-row class table are materialized with reliable checkpoints, so
+    prediction reads model tables, not the training lineage.  Only the K
+    class labels and the vocabulary size reach the driver.
     """
+    import math
     from pyspark.sql import Window
+    from snippetflow.session import cut_lineage
     t = train.select(F.col(label).alias("label"), F.col(code).alias("code"))
     toks = t.select("label", F.explode(F.split(F.lower(F.col("code")), pattern)).alias("token"))
-    counts = toks.filter(F.col("token") != "").groupBy("token", "label").agg(F.count(F.lit(1)).alias("cnt"))
-    docs = t.groupBy("label").agg(F.count(F.lit(1)).alias("n_c"))
+    counts = cut_lineage(toks.filter(F.col("token") != "").groupBy("token", "label")
+                         .agg(F.count(F.lit(1)).alias("cnt")))
+    docs = cut_lineage(t.groupBy("label").agg(F.count(F.lit(1)).alias("n_c")))
     labels_k = [r["label"] for r in docs.select("label").orderBy("label").collect()]   # K values
-    n_vocab = counts.select(F.count_distinct("token")).scalar()
+    n_vocab = counts.select(F.count_distinct("token")).first()[0]
     totals = counts.groupBy("label").agg(F.sum("cnt").alias("tot"))
     allw = Window.partitionBy(F.lit(0))
-    classes = (docs.join(totals, "label", "left")
-               .select("label",
-                       F.log((F.col("n_c") + alpha) / (F.sum("n_c").over(allw) + F.count(F.lit(1)).over(allw) * alpha))
-                       .alias("prior"),
-                       F.log(F.coalesce(F.col("tot"), F.lit(0)) + alpha * n_vocab).alias("norm")))
-    la = float(__import__("math").log(alpha))
+    classes = cut_lineage(
+        docs.join(totals, "label", "left")
+        .select("label",
+                F.log((F.col("n_c") + alpha) / (F.sum("n_c").over(allw) + F.count(F.lit(1)).over(allw) * alpha))
+                .alias("prior"),
+                F.log(F.coalesce(F.col("tot"), F.lit(0)) + alpha * n_vocab).alias("norm")))
+    la = float(math.log(alpha))
     per_token = counts.groupBy("token").agg(
         F.map_from_entries(F.collect_list(F.struct("label", F.log(F.col("cnt") + alpha)))).alias("_m"))
-    weights = per_token.select("token", F.array(*[F.coalesce(F.element_at("_m", F.lit(k)), F.lit(la))
-                                                  for k in labels_k]).alias("w"))
+    weights = cut_lineage(per_token.select(
+        "token", F.array(*[F.coalesce(F.element_at("_m", F.lit(k)), F.lit(la)) for k in labels_k]).alias("w")))
     return NaiveBayesModel(weights, classes, labels_k, alpha)
 
 

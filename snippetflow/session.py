@@ -55,10 +55,18 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+    """Materialize ``df`` as a parquet table in the shared checkpoint folder
+    and return a DataFrame reading it back.
 
-    Used where a result is read by several later stages and must not be
-    recomputed differently after an executor loss.  Never a local checkpoint.
+    Used where a result is read by several later stages and must be computed
+    once and survive executor loss.  One write job computes the plan once
+    (``Dataset.checkpoint`` would compute it twice: once to count, once to
+    write), the files are compressed and columnar, and later reads get column
+    pruning and filter pushdown.  Never a local checkpoint.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/snippetflow-tables/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
