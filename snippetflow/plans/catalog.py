@@ -140,9 +140,9 @@ SELECT pc.label, coalesce(lm.name, 'Class_' || pc.label::VARCHAR) AS class_name,
        round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support
 FROM pc LEFT JOIN lm ON pc.label = lm.label""")
 def q_per_class_metrics(spark, sf_dir):
-    sc = scored(spark, sf_dir)
-    pc = metrics.per_class_metrics(metrics.confusion_table(sc))
-    pc = metrics.with_class_name(pc, label_map_of(sc), "label", "class_name")
+    ev = evaluation(spark, sf_dir)
+    pc = metrics.per_class_metrics(ev["confusion"])
+    pc = metrics.with_class_name(pc, ev["label_map"], "label", "class_name")
     return pc.select("label", "class_name", r6("precision").alias("precision"),
                      r6("recall").alias("recall"), r6("f1").alias("f1"), "support")
 
@@ -163,10 +163,16 @@ def q_weighted_f1(spark, sf_dir):
     return w.select(r6("weighted_f1").alias("weighted_f1"))
 
 
+def evaluation(spark, sf_dir) -> dict:
+    """One text pass: preprocess + score, materialize the narrow scored keys,
+    then the K^2 confusion table and the K-row label map from those keys."""
+    from snippetflow.plans.jobs import evaluate_job
+    return evaluate_job(samples(spark, sf_dir))
+
+
 def flagship(spark, sf_dir):
     """entry(): classification report of the cue classifier on preprocessed documents."""
-    sc = scored(spark, sf_dir)
-    rep = metrics.classification_report(metrics.confusion_table(sc), label_map_of(sc))
+    rep = evaluation(spark, sf_dir)["report"]
     return rep.select("class", *[r6(c).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
@@ -481,8 +487,7 @@ UNION ALL SELECT 'test_macro_recall', round(mr, 6) FROM s
 UNION ALL SELECT 'test_f1_' || coalesce(lm.name, 'Class_' || pc.label::VARCHAR), round(f1, 6)
 FROM pc LEFT JOIN lm ON pc.label = lm.label""")
 def q_metrics_long(spark, sf_dir):
-    sc = scored(spark, sf_dir)
-    m = metrics.metrics_long(metrics.confusion_table(sc), label_map_of(sc), prefix="test_")
+    m = evaluation(spark, sf_dir)["metrics"]
     return m.select("metric", r6("value").alias("value"))
 
 
@@ -530,8 +535,8 @@ WITH lm AS {LABEL_MAP_SQL}
 SELECT m.id, m.true_label, m.predicted_label, a.name AS true_class, b.name AS predicted_class
 FROM {MIS_SQL} m LEFT JOIN lm a ON m.true_label = a.label LEFT JOIN lm b ON m.predicted_label = b.label""")
 def q_misclassified_named(spark, sf_dir):
-    sc = scored(spark, sf_dir)
-    return metrics.misclassified(sc, label_map=label_map_of(sc)).select(
+    ev = evaluation(spark, sf_dir)
+    return metrics.misclassified(ev["scored"], label_map=ev["label_map"]).select(
         "id", "true_label", "predicted_label", "true_class", "predicted_class")
 
 

@@ -83,6 +83,7 @@ def evaluate_job(test: DataFrame, classifier=TEXT_CUE_TABLE, output_dir: str | N
                       order_col).orderBy(order_col)
     out = {
         "scored": keys,
+        "label_map": lmap,
         "confusion": conf,
         "confusion_dense": metrics.confusion_dense(conf),
         "metrics": mlong,
