@@ -889,3 +889,41 @@ def q_ensemble_checkpoints(spark, sf_dir):
     test = _splits(spark, sf_dir).filter(F.col("split") == "test").drop("split")
     wide = ensemble.score_all(test, loaded)
     return wide.select("id", ensemble.vote_columns([f"pred_{k}" for k in loaded]).alias("predicted_label"))
+
+
+PRED_SCHEMA = "id bigint, code string, language string, label int, detected_language string, predicted_label int"
+
+
+@register("predictions_csv_roundtrip", f"""
+SELECT s.id, s.code, s.language, s.label, d.detected_language, p.predicted_label FROM {SAMPLES_SQL} s
+JOIN {TEXT_CUE_TABLE.sql_detect(SAMPLES_SQL, "id", "code")} d USING (id)
+JOIN {TEXT_CUE_TABLE.sql_classify(SAMPLES_SQL, "id", "code")} p USING (id)""")
+def q_predictions_csv_roundtrip(spark, sf_dir):
+    """Every column of the predictions (multi-line text included) as CSV and back."""
+    path = io.scratch_path(spark, "predictions")
+    io.write_csv(jobs.predict_job(samples(spark, sf_dir)), path)
+    return io.read_csv(spark, path, PRED_SCHEMA)
+
+
+# Python str.strip() white space again, for the stripped preview
+@register("preview_stripped", f"""
+SELECT id, substring(regexp_replace(regexp_replace(code, '^{_PY_WS}+', ''), '{_PY_WS}+$', ''), 1, 80) || '...' AS preview
+FROM {SAMPLES_SQL}""")
+def q_preview_stripped(spark, sf_dir):
+    """X9 (demo form): code.strip()[:80] + '...' for every row."""
+    return samples(spark, sf_dir).select("id", X.preview("code", 80, strip=True).alias("preview"))
+
+
+STREAM_DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@register("stream_predict", ORACLE["predict_job"])
+def q_stream_predict(spark, sf_dir):
+    """The per-row stages as a Structured Streaming query over the documents
+    file (available-now trigger, exactly-once parquet sink), read back."""
+    from snippetflow.streaming import stream as S
+    src = S.read_samples_stream(spark, f"{sf_dir}/documents*.parquet", STREAM_DOC_SCHEMA)
+    sink = io.scratch_path(spark, "stream-predict")
+    q = S.predict_stream(S.samples_view(src), sink)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("id", "detected_language", "predicted_label")
