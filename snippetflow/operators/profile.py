@@ -58,22 +58,23 @@ def length_describe(df: DataFrame, code: str = "code") -> DataFrame:
 def length_histogram(df: DataFrame, code: str = "code", bins: int = 50) -> DataFrame:
     """``bins`` equal-width bins from min to max length, last bin closed;
     (bin, lo, hi, n) including empty bins.  min == max: the range becomes
-    min-0.5 .. max+0.5 and every row falls in the middle bin."""
+    min-0.5 .. max+0.5 and every row falls in the middle bin.
+
+    One scalar subquery yields (min, max); one aggregate counts rows per bin;
+    the bin list itself is a ``bins``-row range.
+    """
     lens = df.select(F.length(F.col(code)).alias("len")).filter(F.col("len").isNotNull())
-    stats = lens.agg(F.min("len").alias("mn"), F.max("len").alias("mx"))
-    mn = lens.select(F.min("len")).scalar()
-    mx = lens.select(F.max("len")).scalar()
+    mm = lens.agg(F.struct(F.min("len").alias("mn"), F.max("len").alias("mx")).alias("mm")).scalar()
+    mn, mx = mm["mn"], mm["mx"]
     lo = F.when(mx > mn, mn.cast("double")).otherwise(mn - F.lit(0.5))
     width = F.when(mx > mn, (mx - mn).cast("double")).otherwise(F.lit(1.0))
     b = F.least(F.floor((F.col("len") - lo) * F.lit(float(bins)) / width), F.lit(bins - 1)).cast("int")
     counts = lens.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    lo_s = F.when(F.col("mx") > F.col("mn"), F.col("mn").cast("double")).otherwise(F.col("mn") - 0.5)
-    w_s = F.when(F.col("mx") > F.col("mn"), (F.col("mx") - F.col("mn")).cast("double")).otherwise(F.lit(1.0))
-    grid = stats.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
-                        lo_s.alias("_lo"), w_s.alias("_w"))
-    return (grid.join(counts, "bin", "left")
-            .select("bin", (F.col("_lo") + F.col("_w") * F.col("bin") / bins).alias("lo"),
-                    (F.col("_lo") + F.col("_w") * (F.col("bin") + 1) / bins).alias("hi"),
+    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    # bins rows on the grid side
+    return (grid.join(F.broadcast(counts), "bin", "left")
+            .select("bin", (lo + width * F.col("bin") / bins).alias("lo"),
+                    (lo + width * (F.col("bin") + 1) / bins).alias("hi"),
                     F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
