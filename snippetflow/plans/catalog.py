@@ -91,13 +91,6 @@ LABEL_MAP_SQL = f"""(SELECT label, arg_max(language, first_ord) AS name FROM
   (SELECT label, language, min(id) AS first_ord FROM {SAMPLES_SQL} GROUP BY 1, 2) GROUP BY 1)"""
 
 
-def label_map_of(df: DataFrame) -> DataFrame:
-    """Label map, materialized (K rows) so several consumers do not rescan."""
-    from snippetflow.operators.labels import label_map
-    from snippetflow.session import cut_lineage
-    return cut_lineage(label_map(df))
-
-
 # ------------------------------------------------------- first slice -------
 
 register("scan_samples", f"SELECT * FROM {SAMPLES_SQL}")(lambda spark, d: samples(spark, d))
@@ -345,15 +338,6 @@ def q_class_balance(spark, sf_dir):
     return profile.class_balance(samples(spark, sf_dir)).select("label", "n", r6("pct").alias("pct"))
 
 
-@register("missing_values", f"""
-SELECT * FROM (VALUES ('id', 0), ('code', 1), ('language', 2), ('label', 3)) AS c(column, position)
-JOIN (SELECT count(*) - count(id) AS n_id, count(*) - count(code) AS n_code,
-             count(*) - count(language) AS n_language, count(*) - count(label) AS n_label
-      FROM {NULL_SAMPLES_SQL}) m ON true""")
-def q_missing_values_unused(spark, sf_dir):  # replaced below
-    return profile.missing_values(samples_with_nulls(spark, sf_dir))
-
-
 ORACLE["missing_values"] = f"""
 WITH m AS (SELECT count(*) - count(id) AS a, count(*) - count(code) AS b,
                   count(*) - count(language) AS c, count(*) - count(label) AS d FROM {NULL_SAMPLES_SQL})
