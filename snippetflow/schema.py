@@ -48,7 +48,8 @@ def with_file_order(df: DataFrame, out: str = "_ord") -> DataFrame:
     """Add a numeric order column equal to file order for parquet inputs.
 
     Rows are ordered by (file path, row index within file); files are ranked
-    by name through a small distinct table (one row per file).
+    by name through a distinct table with one row per file (a window over
+    that table only, bounded by the file count).
     """
     base = df.select("*", F.col("_metadata.file_path").alias("_fp"),
                      F.col("_metadata.row_index").alias("_ri"))
@@ -56,7 +57,8 @@ def with_file_order(df: DataFrame, out: str = "_ord") -> DataFrame:
     from pyspark.sql import Window
     ranked = files.select("_fp", (F.dense_rank().over(Window.orderBy("_fp")) - 1)
                           .cast("long").alias("_frank"))
-    # one row per input file: broadcast is bounded by the file count
-    out_df = base.join(F.broadcast(ranked), "_fp").withColumn(
+    # one row per input file; AQE broadcasts it when the file list is small
+    # and shuffles it otherwise (rows per file are even, so no skew)
+    out_df = base.join(ranked, "_fp").withColumn(
         out, F.col("_frank") * F.lit(1 << 40) + F.col("_ri"))
     return out_df.drop("_fp", "_ri", "_frank")

@@ -32,8 +32,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     shuffle partition count lets later joins on ``key`` reuse the layout."""
     spark = df.sparkSession
     want = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    have = df.rdd.getNumPartitions()
-    if have >= min(want, spark.sparkContext.defaultParallelism):
+    try:
+        have = df.rdd.getNumPartitions()
+        slots = spark.sparkContext.defaultParallelism
+    except Exception:       # no RDD access (e.g. a Connect session): leave as is
+        return df
+    if have >= min(want, slots):
         return df
     return df.repartition(want, key)
 
