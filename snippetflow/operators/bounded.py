@@ -1,0 +1,23 @@
+"""Broadcast of tables whose size has a stated bound, checked in the plan.
+
+Class-keyed tables (label maps, class weights, quotas, per-class statistics)
+hold one row per class.  ``bounded_broadcast`` adds a guard that fails the
+job if such a table ever exceeds its bound, instead of silently shipping a
+large table to every executor.  The guard is a count over the (small) table
+itself.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+MAX_CLASSES = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_CLASSES, what: str = "class table") -> DataFrame:
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    guard = F.when(n > F.lit(max_rows),
+                   F.raise_error(F.lit(f"{what} has more than {max_rows} rows; not broadcast")))
+    checked = df.withColumn("_bound_ok", F.coalesce(guard.cast("boolean"), F.lit(True)))
+    return F.broadcast(checked.filter(F.col("_bound_ok")).drop("_bound_ok"))

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from snippetflow.operators.bounded import bounded_broadcast
+
 METRIC_NAMES = ("accuracy", "macro_f1", "weighted_f1", "macro_precision", "macro_recall")
 
 
@@ -68,8 +70,8 @@ def with_class_name(df: DataFrame, label_map: DataFrame | None, label: str = "la
     if label_map is None:
         return df.withColumn(out, fb)
     m = label_map.select(F.col("label").alias("_ml"), F.col("name").alias("_mn"))
-    # label maps hold one row per class: broadcast is bounded by K
-    return (df.join(F.broadcast(m), F.col(label) == F.col("_ml"), "left")
+    # label maps hold one row per class: broadcast bounded (and checked) by K
+    return (df.join(bounded_broadcast(m, what="label map"), F.col(label) == F.col("_ml"), "left")
             .withColumn(out, F.coalesce(F.col("_mn"), fb)).drop("_ml", "_mn"))
 
 
@@ -196,10 +198,12 @@ def misclassified(scored: DataFrame, truth: str = "label", pred: str = "predicte
            .withColumn("predicted_label", F.col(pred)))
     if label_map is not None:
         m = label_map.select("label", "name")
-        # K-row label map: broadcast bounded by the class count
-        out = (out.join(F.broadcast(m.select(F.col("label").alias("_tl"), F.col("name").alias("true_class"))),
+        # K-row label map: broadcast bounded (and checked) by the class count
+        out = (out.join(bounded_broadcast(m.select(F.col("label").alias("_tl"), F.col("name").alias("true_class")),
+                                          what="label map"),
                         F.col("true_label") == F.col("_tl"), "left").drop("_tl")
-               .join(F.broadcast(m.select(F.col("label").alias("_pl"), F.col("name").alias("predicted_class"))),
+               .join(bounded_broadcast(m.select(F.col("label").alias("_pl"), F.col("name").alias("predicted_class")),
+                                       what="label map"),
                      F.col("predicted_label") == F.col("_pl"), "left").drop("_pl"))
     return out
 

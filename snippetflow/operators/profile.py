@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from snippetflow.operators.bounded import bounded_broadcast
 from snippetflow.operators.clean import code_key
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -88,8 +89,8 @@ def length_box_by_label(df: DataFrame, code: str = "code", label: str = "label",
                  F.col("_q")[2].alias("q3"))
     q = q.withColumn("_lo", F.col("q1") - whis * (F.col("q3") - F.col("q1"))) \
          .withColumn("_hi", F.col("q3") + whis * (F.col("q3") - F.col("q1")))
-    # one row per label: broadcast bounded by the class count
-    j = lens.join(F.broadcast(q.select("label", "_lo", "_hi")), "label")
+    # one row per label: broadcast bounded (and checked) by the class count
+    j = lens.join(bounded_broadcast(q.select("label", "_lo", "_hi"), what="per-label fences"), "label")
     inside = (F.col("len") >= F.col("_lo")) & (F.col("len") <= F.col("_hi"))
     agg = j.groupBy("label").agg(
         F.min(F.when(inside, F.col("len"))).cast("long").alias("whisker_low"),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snippetflow.functions.rand import uniform
+from snippetflow.operators.bounded import MAX_CLASSES, bounded_broadcast
 from snippetflow.operators.clean import dense_row_ids
 
 DEFAULT_SEED = 42
@@ -96,8 +97,8 @@ def _ranks(keys: DataFrame, cells: DataFrame, id_col: str) -> DataFrame:
     offs = cells.select("label", "_b", (F.sum("_cnt").over(Window.partitionBy("label").orderBy("_b"))
                                         - F.col("_cnt")).alias("_off"))
     w = Window.partitionBy("label", "_b").orderBy("_u", "_id")
-    # cell table: at most K * B rows
-    return (keys.join(F.broadcast(offs), ["label", "_b"])
+    # cell table: at most K * B rows (checked)
+    return (keys.join(bounded_broadcast(offs, MAX_CLASSES * RANK_BUCKETS, "cell offsets"), ["label", "_b"])
             .select(F.col("_id").alias(id_col), "label",
                     (F.col("_off") + F.row_number().over(w) - 1).cast("long").alias("rank")))
 
@@ -130,8 +131,8 @@ def stratified_split(df: DataFrame, label: str | None = "label", id_col: str = "
     ranks = _ranks(keys, cells, id_col)
     counts = cells.groupBy("label").agg(F.sum("_cnt").alias("c"))
     quotas = split_quotas(counts, val_size, test_size)
-    # K-row quota table
-    assigned = ranks.join(F.broadcast(quotas), "label").select(
+    # K-row quota table (checked)
+    assigned = ranks.join(bounded_broadcast(quotas, what="split quotas"), "label").select(
         id_col,
         F.when(F.col("rank") < F.col("n_train"), F.lit("train"))
          .when(F.col("rank") < F.col("n_train") + F.col("n_val"), F.lit("val"))

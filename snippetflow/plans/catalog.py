@@ -711,8 +711,10 @@ def q_ensemble_weighted(spark, sf_dir):
     s = samples(spark, sf_dir)
     inv = labels.inverse_label_map(labels.label_map(s))
     det = detect.detect_language(s.select("id", "code"))
-    # K-row inverse map
-    stage1 = det.join(F.broadcast(inv), det["detected_language"] == inv["name"]).select("id", "label")
+    # K-row inverse map (checked)
+    from snippetflow.operators.bounded import bounded_broadcast
+    inv = bounded_broadcast(inv, what="inverse label map")
+    stage1 = det.join(inv, det["detected_language"] == inv["name"]).select("id", "label")
     stage2 = C.classify(s.select("id", "code"), MODELS["m1"])
     stacked = ensemble.stack_predictions({"detect": stage1.withColumnRenamed("label", "predicted_label"),
                                           "classify": stage2}, weights=ENSEMBLE_WEIGHTS)

@@ -58,3 +58,12 @@ def test_cue_scoring_tokenizes_once(spark):
     from snippetflow.functions.cues import TEXT_CUE_TABLE
     df = TEXT_CUE_TABLE.apply(catalog.samples(spark, SF), "code", "p", "index")
     assert plan(df).count("split(lower(") == 1
+
+
+def test_bounded_broadcast_guard(spark):
+    import pytest
+    from snippetflow.operators.bounded import bounded_broadcast
+    small = spark.range(5)
+    assert spark.range(10).join(bounded_broadcast(small, 5), "id").count() == 5
+    with pytest.raises(Exception):
+        spark.range(10).join(bounded_broadcast(spark.range(6), 5), "id").count()
