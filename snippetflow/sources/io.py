@@ -28,8 +28,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition by ``key`` when the scan yields fewer partitions than
     the session can run at once (e.g. one large single-row-group file), so
     per-row text work uses every core.  A scan of many files already has
-    enough partitions and is left alone (no shuffle).  Using the session's
-    shuffle partition count lets later joins on ``key`` reuse the layout."""
+    enough partitions and is left alone (no shuffle).  The target is the
+    smaller of the shuffle partition count and the task slots; when the two
+    agree, later joins on ``key`` reuse the layout."""
     spark = df.sparkSession
     want = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
@@ -37,9 +38,10 @@ def spread(df: DataFrame, key: str) -> DataFrame:
         slots = spark.sparkContext.defaultParallelism
     except Exception:       # no RDD access (e.g. a Connect session): leave as is
         return df
-    if have >= min(want, slots):
+    target = min(want, slots)
+    if have >= target:
         return df
-    return df.repartition(want, key)
+    return df.repartition(target, key)
 
 
 def read_table(spark: SparkSession, path: str, spread_key: str | None = None) -> DataFrame:
