@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from snippetflow.schema import require_code
 
 NULL_POLICIES = ("drop", "stringify")
+ROWS_PER_RANGE = 2_000_000   # target rows per numbering range in dense_row_ids
 
 
 def code_key(code: Column) -> Column:
@@ -77,7 +78,11 @@ def dense_row_ids(df: DataFrame, order_cols, out: str = "row_id", buckets: int |
         order_cols = [order_cols]
     spark = df.sparkSession
     if buckets is None:
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+        # enough ranges that one range (one window task) holds about
+        # ROWS_PER_RANGE rows; the count is one cheap pass over the keys
+        n_rows = df.select(*order_cols[:1]).count()
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8,
+                      -(-n_rows // ROWS_PER_RANGE))
     if bucket_col is not None:
         b = df.withColumn("_b", bucket_col.cast("int"))
     else:
@@ -85,14 +90,17 @@ def dense_row_ids(df: DataFrame, order_cols, out: str = "row_id", buckets: int |
         first = order_cols[0]
         tmp = df.withColumn("_od", F.col(first).cast("double"))
         qd = QuantileDiscretizer(numBuckets=buckets, inputCol="_od", outputCol="_bd",
-                                 relativeError=1.0 / (buckets * 4), handleInvalid="keep")
+                                 relativeError=max(1.0 / (buckets * 4), 1e-6), handleInvalid="keep")
         b = qd.fit(tmp.select("_od")).transform(tmp).withColumn("_b", F.col("_bd").cast("int")) \
             .drop("_od", "_bd")
     counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per bucket: the window over all buckets is bounded by ``buckets``
     offsets = counts.select("_b", (F.sum("_cnt").over(Window.orderBy("_b")) - F.col("_cnt"))
                             .alias("_off"))
+    if buckets <= 100_000:
+        from snippetflow.operators.bounded import bounded_broadcast
+        offsets = bounded_broadcast(offsets, buckets, "range offsets")
     w = Window.partitionBy("_b").orderBy(*order_cols)
-    return (b.join(F.broadcast(offsets), "_b")
+    return (b.join(offsets, "_b")
             .withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
             .drop("_b", "_off"))

@@ -13,27 +13,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snippetflow.functions.rand import uniform
-from snippetflow.operators.bounded import MAX_CLASSES, bounded_broadcast
-from snippetflow.operators.clean import dense_row_ids
+from snippetflow.operators.bounded import bounded_broadcast
 
 DEFAULT_SEED = 42
-RANK_BUCKETS = 256
+# Fine cells of the seeded uniform: floor(u * CELLS).  u is evenly spread,
+# so every cell holds about N / CELLS rows; cell tables have at most CELLS
+# rows per class.
+CELLS = 1 << 20
+RANK_BUCKETS = CELLS   # kept for callers that pass buckets explicitly
+
+
+def _split_of(rank, n_train, n_val):
+    return (F.when(rank < n_train, F.lit("train"))
+            .when(rank < n_train + n_val, F.lit("val"))
+            .otherwise(F.lit("test")))
 
 
 def sample_exact(df: DataFrame, n: int | None, seed: int = DEFAULT_SEED, id_col: str = "id",
-                 buckets: int = RANK_BUCKETS) -> DataFrame:
+                 buckets: int = CELLS) -> DataFrame:
     """Exactly min(n, count) rows, the n smallest seeded uniforms (ties by id).
 
-    ``n`` falsy (None or 0) means no cap.  The rank is computed over the id
-    column only, in ``buckets`` ranges of the uniform (which is evenly spread,
-    so fixed-width ranges are balanced) and matched back with a left-semi join.
+    ``n`` falsy (None or 0) means no cap.  Only (id, u) are handled: rows are
+    counted per fine cell of u, a running sum over the (at most ``buckets``)
+    cell counts gives each cell its offset, cells wholly below n are taken
+    as they are, and only the one cell straddling n is numbered with a
+    window.  The chosen ids are matched back with a left-semi join.
     """
     if not n:
         return df
-    keys = df.select(F.col(id_col).alias("_id"), uniform(seed, id_col).alias("_u"))
-    ranked = dense_row_ids(keys, ["_u", "_id"], out="_r", buckets=buckets,
-                           bucket_col=F.floor(F.col("_u") * buckets))
-    chosen = ranked.filter(F.col("_r") < F.lit(int(n))).select("_id")
+    n = int(n)
+    keys = (df.select(F.col(id_col).alias("_id"), uniform(seed, id_col).alias("_u"))
+            .withColumn("_b", F.floor(F.col("_u") * buckets).cast("int")))
+    cells = keys.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    # one row per cell: this window is bounded by ``buckets``
+    offs = cells.select("_b", "_cnt", (F.sum("_cnt").over(Window.orderBy("_b")) - F.col("_cnt")).alias("_off"))
+    whole = offs.filter(F.col("_off") + F.col("_cnt") <= n).select("_b")
+    edge = offs.filter((F.col("_off") < n) & (F.col("_off") + F.col("_cnt") > n)).select("_b", "_off")
+    inside = keys.join(bounded_broadcast(whole, buckets, "sample cells"), "_b", "left_semi").select("_id")
+    w = Window.partitionBy("_b").orderBy("_u", "_id")
+    # at most one straddling cell
+    cut = (keys.join(bounded_broadcast(edge, 1, "straddling cell"), "_b")
+           .withColumn("_r", F.col("_off") + F.row_number().over(w) - 1)
+           .filter(F.col("_r") < n).select("_id"))
+    chosen = inside.unionByName(cut)
     return df.join(chosen, F.col(id_col) == F.col("_id"), "left_semi")
 
 
@@ -89,55 +111,59 @@ def _rank_keys(df: DataFrame, label: str, id_col: str, seed: int, buckets: int)
     return keys.withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
 
 
-def _cells(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-
+def _cell_offsets(keys: DataFrame) -> DataFrame:
+    """(label, _b, _cnt, _off): rows per cell and rows of the class before it."""
+    cells = keys.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    return cells.withColumn("_off", F.sum("_cnt").over(Window.partitionBy("label").orderBy("_b"))
+                            - F.col("_cnt"))
 
-def _ranks(keys: DataFrame, cells: DataFrame, id_col: str) -> DataFrame:
-    offs = cells.select("label", "_b", (F.sum("_cnt").over(Window.partitionBy("label").orderBy("_b"))
-                                        - F.col("_cnt")).alias("_off"))
-    w = Window.partitionBy("label", "_b").orderBy("_u", "_id")
-    # cell table: at most K * B rows (checked)
-    return (keys.join(bounded_broadcast(offs, MAX_CLASSES * RANK_BUCKETS, "cell offsets"), ["label", "_b"])
-            .select(F.col("_id").alias(id_col), "label",
-                    (F.col("_off") + F.row_number().over(w) - 1).cast("long").alias("rank")))
 
-
-def class_ranks(df: DataFrame, label: str, id_col: str, seed: int, buckets: int = RANK_BUCKETS) -> DataFrame:
+def class_ranks(df: DataFrame, label: str, id_col: str, seed: int, buckets: int = CELLS) -> DataFrame:
     """(id, label, rank): 0-based position of each row inside its class by (u, id).
 
     A class may hold most of the rows, so ranks are not computed by one window
     per class: rows are cut into (class, floor(u * B)) cells (u is evenly
-    spread, so cells are balanced), cell offsets come from a running sum over
-    the K*B cell counts, and a window numbers rows inside a cell only.
+    spread, so cells are small and balanced), cell offsets come from a running
+    sum over the cell counts, and a window numbers rows inside a cell only.
     """
     keys = _rank_keys(df, label, id_col, seed, buckets)
-    return _ranks(keys, _cells(keys), id_col)
+    offs = _cell_offsets(keys).select("label", "_b", "_off")
+    w = Window.partitionBy("label", "_b").orderBy("_u", "_id")
+    return (keys.join(offs, ["label", "_b"])
+            .select(F.col("_id").alias(id_col), "label",
+                    (F.col("_off") + F.row_number().over(w) - 1).cast("long").alias("rank")))
 
 
 def stratified_split(df: DataFrame, label: str | None = "label", id_col: str = "id",
                      val_size: float = 0.2, test_size: float = 0.1, seed: int = DEFAULT_SEED,
-                     out: str = "split", buckets: int = RANK_BUCKETS) -> DataFrame:
+                     out: str = "split", buckets: int = CELLS) -> DataFrame:
     """Add ``split`` in {train, val, test}; stratified by ``label`` when given.
 
-    Exact per-class quotas (see ``split_quotas``); which rows land where
-    depends on the seeded uniform of each id.  Class sizes come from the same
-    (class, bucket) cell table as the rank offsets.
+    Exact per-class quotas (``split_quotas``); a row's split is decided by its
+    rank in its class by the seeded uniform (ties by id).  Ranks are only
+    needed near the two quota boundaries of each class: a cell whose whole
+    rank range falls inside one split assigns it directly, and a window
+    numbers the rows of the (at most two per class) straddling cells.
     """
     work = df if label else df.withColumn("_one", F.lit(0))
     lab = label or "_one"
     keys = _rank_keys(work, lab, id_col, seed, buckets)
-    cells = _cells(keys)
-    ranks = _ranks(keys, cells, id_col)
-    counts = cells.groupBy("label").agg(F.sum("_cnt").alias("c"))
+    offs = _cell_offsets(keys)
+    counts = offs.groupBy("label").agg(F.sum("_cnt").alias("c"))
     quotas = split_quotas(counts, val_size, test_size)
     # K-row quota table (checked)
-    assigned = ranks.join(bounded_broadcast(quotas, what="split quotas"), "label").select(
-        id_col,
-        F.when(F.col("rank") < F.col("n_train"), F.lit("train"))
-         .when(F.col("rank") < F.col("n_train") + F.col("n_val"), F.lit("val"))
-         .otherwise(F.lit("test")).alias(out))
-    res = work.join(assigned, id_col)
+    info = offs.join(bounded_broadcast(quotas, what="split quotas"), "label")
+    lo = _split_of(F.col("_off"), F.col("n_train"), F.col("n_val"))
+    hi = _split_of(F.col("_off") + F.col("_cnt") - 1, F.col("n_train"), F.col("n_val"))
+    info = info.select("label", "_b", "_off", "n_train", "n_val",
+                       F.when(lo == hi, lo).alias("_whole"))
+    rows = keys.join(info, ["label", "_b"])
+    direct = rows.filter(F.col("_whole").isNotNull()).select(F.col("_id").alias(id_col), F.col("_whole").alias(out))
+    w = Window.partitionBy("label", "_b").orderBy("_u", "_id")
+    edge = rows.filter(F.col("_whole").isNull()).withColumn(
+        "_rank", F.col("_off") + F.row_number().over(w) - 1)
+    edge = edge.select(F.col("_id").alias(id_col), _split_of(F.col("_rank"), F.col("n_train"), F.col("n_val")).alias(out))
+    res = work.join(direct.unionByName(edge), id_col)
     return res.drop("_one") if not label else res
 
 
