@@ -44,10 +44,17 @@ def with_ids(df: DataFrame) -> tuple[DataFrame, str]:
 
 
 def submission_job(df: DataFrame, path: str | None = None, **kw) -> DataFrame:
-    """predict -> (id, label); written as CSV when a path is given."""
-    pred = predict_job(df, stages=kw.pop("stages", STAGES), **kw)
-    pred, idc = with_ids(pred)
-    sub = io.submission(pred, idc)
+    """predict -> (id, label); written as CSV when a path is given.
+
+    Without an id column the rows are numbered in file order after the
+    prediction is reduced to (order, label), so no text is shuffled."""
+    stages = kw.pop("stages", STAGES)
+    idc = id_column(df)
+    if idc is not None:
+        sub = io.submission(predict_job(df, stages=stages, **kw), idc)
+    else:
+        pred = predict_job(with_file_order(df), stages=stages, **kw).select("_ord", "predicted_label")
+        sub = io.submission(clean.dense_row_ids(pred, "_ord", out="id"), "id")
     if path:
         io.write_csv(sub, path, single_file=True)
     return sub
@@ -78,8 +85,10 @@ def evaluate_job(test: DataFrame, classifier=TEXT_CUE_TABLE, output_dir: str | N
     if metric_names:
         mlong = mlong.filter(F.col("metric").isin([prefix + m for m in metric_names]))
     top = metrics.misclassified_top(keys, order_col, max_errors, truth=truth, label_map=lmap)
-    # at most max_errors rows: the join back to the text is bounded by that
-    errors = pre.join(F.broadcast(top.drop(*[c for c in (truth, "language") if c in top.columns])),
+    # at most max_errors rows: the text comes from the input by id (ids are
+    # unique, so no second dedup pass), through a broadcast bounded by that
+    src = test.withColumn(code, F.col(code).cast("string"))
+    errors = src.join(F.broadcast(top.drop(*[c for c in (truth, "language") if c in top.columns])),
                       order_col).orderBy(order_col)
     out = {
         "scored": keys,

@@ -85,3 +85,12 @@ def test_language_feature_pipeline(spark):
                              language_feature="detected_language")
     out = C.classify(va, res.model)
     assert out.count() == va.count() and "predicted_label" in out.columns
+
+
+def test_submission_without_ids(spark):
+    p = io.scratch_path(spark, "noid") + "/t.parquet"
+    texts = ["the of and", "der die das", "le la les", "el los las", "xyz", "und ist nicht"]
+    spark.createDataFrame([(t,) for t in texts], "code string").coalesce(1).write.parquet(p)
+    sub = jobs.submission_job(spark.read.parquet(p)).orderBy("id").collect()
+    assert [r["id"] for r in sub] == list(range(6))
+    assert [r["label"] for r in sub] == [1, 0, 3, 2, 0, 0]
