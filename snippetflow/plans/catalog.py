@@ -14,8 +14,16 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snippetflow.functions import text as X
+from snippetflow.functions.cues import TEXT_CUES, CueTable
 from snippetflow.functions.cues import TEXT_CUE_TABLE
+from snippetflow.functions.rand import sql_uniform
+from snippetflow.operators import classify as C
 from snippetflow.operators import clean, detect, metrics
+from snippetflow.operators import ensemble, labels, profile, sampling
+from snippetflow.plans import jobs
+from snippetflow.schema import with_file_order
+from snippetflow.sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -171,10 +179,6 @@ def flagship(spark, sf_dir):
 
 # ------------------------------------------- cleaning, order, sampling -----
 
-from snippetflow.functions import text as X  # noqa: E402
-from snippetflow.functions.rand import sql_uniform  # noqa: E402
-from snippetflow.operators import ensemble, labels, profile, sampling  # noqa: E402
-from snippetflow.schema import with_file_order  # noqa: E402
 
 # Nulls are injected for every row of one source (50 rows at sf0.01).
 NULL_SOURCE = "src3"
@@ -629,7 +633,6 @@ def q_tokens_truncated(spark, sf_dir):
 
 # ----------------------------------------------------------- stage 2 -------
 
-from snippetflow.operators import classify as C  # noqa: E402
 
 NB_SPLIT_SQL = C.NB_SPLIT
 
@@ -661,9 +664,6 @@ def q_classify_nb(spark, sf_dir):
 
 # ----------------------------------------------------------- ensembles -----
 
-from snippetflow.functions.cues import TEXT_CUES, CueTable  # noqa: E402
-from snippetflow.plans import jobs  # noqa: E402
-from snippetflow.sources import io  # noqa: E402
 
 # Three "models" for the ensemble queries, derived from the cue table by rule:
 # all cues, the first three cues of each label, the last three of each label.
