@@ -39,16 +39,20 @@ def handle_null_code(df: DataFrame, code: str = "code", null_policy: str = "drop
 def dedup_first(df: DataFrame, subset: str = "code", order_col: str = "id") -> DataFrame:
     """Keep the first row (lowest order_col) of each group of equal ``subset``.
 
-    One scan and one shuffle: rows are grouped by the SHA-256 of ``subset``
-    and ``min_by(row, order_col)`` keeps the first.  The aggregate is partial
-    map-side, so a text repeated in a third of all rows is reduced to one row
-    per map task before the shuffle instead of landing in one task.
+    The winners are found on 40-byte keys only: ``(sha256(subset), order_col)``
+    is grouped with ``min(order_col)``, a fixed-width hash aggregate that is
+    partial map-side, so a text repeated in a third of all rows shrinks to one
+    key per map task before the shuffle.  Rows are then kept with a left-semi
+    join on the (unique) order column, shuffled on that uniform key and
+    probed against a hash table of winner ids: no sort of the text anywhere
+    (carrying the row through ``min_by`` would force a sort-based aggregate
+    of every row on both sides of the shuffle).
     Equals ``row_number() over (partition by subset order by order_col) = 1``.
     """
-    cols = df.columns
-    first = df.groupBy(code_key(F.col(subset)).alias("_dedup_h")).agg(
-        F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_dedup_r"))
-    return first.select(*[F.col(f"_dedup_r.{c}").alias(c) for c in cols])
+    winners = (df.select(code_key(F.col(subset)).alias("_dedup_h"), F.col(order_col).alias("_dedup_o"))
+               .groupBy("_dedup_h").agg(F.min("_dedup_o").alias("_dedup_o"))
+               .select("_dedup_o"))
+    return df.join(winners.hint("shuffle_hash"), F.col(order_col) == F.col("_dedup_o"), "left_semi")
 
 
 def preprocess(df: DataFrame, code: str = "code", null_policy: str = "drop",

@@ -31,13 +31,32 @@ def stack_predictions(preds: dict, id_col: str = "id", pred: str = "predicted_la
 
 
 def majority_vote(stacked: DataFrame) -> DataFrame:
-    """A10: most frequent label per id; ties -> smallest label."""
-    return stacked.groupBy("id").agg(F.mode("predicted_label", deterministic=True).alias("predicted_label"))
+    """A10: most frequent label per id; ties -> smallest label.
+
+    The stacked rows are shuffled once, on ``id``; both aggregates then run
+    inside that layout.  Votes per (id, label) are counted, and the winner
+    is the max of ``count * 2^32 + (2^31 - 1 - label)``: one long, so both
+    steps are fixed-width hash aggregates (no sort, no per-id hash map).
+    """
+    by_id = stacked.select("id", "predicted_label").repartition("id")
+    votes = by_id.groupBy("id", "predicted_label").agg(F.count(F.lit(1)).alias("_n"))
+    packed = F.col("_n") * F.lit(1 << 32) + (F.lit(LABEL_TOP) - F.col("predicted_label").cast("long"))
+    best = votes.groupBy("id").agg(F.max(packed).alias("_k"))
+    label = F.lit(LABEL_TOP) - F.col("_k").bitwiseAND(F.lit(0xFFFFFFFF))
+    return best.select("id", label.cast("int").alias("predicted_label"))
+
+
+# largest int label; (LABEL_TOP - label) maps every int label into 32 bits
+LABEL_TOP = (1 << 31) - 1
 
 
 def weighted_vote(stacked: DataFrame) -> DataFrame:
-    """Label with the largest weight sum per id; ties -> smallest label."""
-    s = stacked.groupBy("id", "predicted_label").agg(F.sum("weight").alias("_w"))
+    """Label with the largest weight sum per id; ties -> smallest label.
+
+    One shuffle on ``id``; the per-(id, label) sums and the pick run inside
+    that layout on narrow (id, label, weight) rows."""
+    by_id = stacked.select("id", "predicted_label", "weight").repartition("id")
+    s = by_id.groupBy("id", "predicted_label").agg(F.sum("weight").alias("_w"))
     return s.groupBy("id").agg(
         F.max_by("predicted_label", F.struct(F.col("_w"), -F.col("predicted_label"))).alias("predicted_label"))
 

@@ -56,7 +56,9 @@ def submission_job(df: DataFrame, path: str | None = None, **kw) -> DataFrame:
         pred = predict_job(with_file_order(df), stages=stages, **kw).select("_ord", "predicted_label")
         sub = io.submission(clean.dense_row_ids(pred, "_ord", out="id"), "id")
     if path:
-        io.write_csv(sub, path, single_file=True)
+        # one part file per task: the table has a row per input row, so it is
+        # never funnelled through a single task
+        io.write_csv(sub, path)
     return sub
 
 

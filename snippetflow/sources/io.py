@@ -84,8 +84,9 @@ def submission(df: DataFrame, id_col: str = "id", pred: str = "predicted_label",
 
 
 def write_submission(df: DataFrame, path: str, **kw) -> str:
-    """Two-column CSV (rows are two integers, one file is fine)."""
-    return write_csv(submission(df, **kw), path, single_file=True)
+    """Two-column CSV with a header, written in parallel (one part file
+    per task; the folder is the submission table)."""
+    return write_csv(submission(df, **kw), path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:

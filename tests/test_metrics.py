@@ -86,6 +86,14 @@ def test_votes(spark):
     assert [r[0] for r in wide.select(ensemble.vote_columns(["a", "b", "c"])).collect()] == [1, 5]
 
 
+def test_majority_vote_full_int_range(spark):
+    lo, hi = -(1 << 31), (1 << 31) - 1
+    rows = [(1, "a", hi), (1, "b", lo), (2, "a", -3), (2, "b", -3), (2, "c", 7),
+            (3, "a", hi), (3, "b", hi), (3, "c", lo)]
+    long = spark.createDataFrame(rows, "id long, model string, predicted_label int")
+    assert as_dict(ensemble.majority_vote(long), "id", "predicted_label") == {1: lo, 2: -3, 3: hi}
+
+
 def test_best_candidate(spark):
     c = spark.createDataFrame([(0, 0.5), (1, 0.7), (2, 0.7)], "candidate int, macro_f1 double")
     assert [r["candidate"] for r in ensemble.best_candidate(c).collect()] == [1]

@@ -19,10 +19,15 @@ def test_sample_uses_semi_join(spark):
     assert "LeftSemi" in p
 
 
-def test_dedup_is_one_partial_aggregate_no_window(spark):
-    p = plan(clean.dedup_first(catalog.samples(spark, SF)))
-    assert "partial_min_by" in p and "Window" not in p
-    assert p.count("FileScan") == 1
+def test_dedup_hashes_keys_and_never_sorts_rows(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")   # the static plan, before runtime re-planning
+    try:
+        p = plan(clean.dedup_first(catalog.samples(spark, SF)))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "partial_min(" in p and "HashAggregate" in p
+    assert "SortAggregate" not in p and "Sort [" not in p and "Window" not in p
+    assert "ShuffledHashJoin" in p and "LeftSemi" in p
 
 
 def _row_windows(p):
