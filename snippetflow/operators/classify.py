@@ -164,6 +164,18 @@ class NaiveBayesModel:
     classes: DataFrame    # (label, prior, norm) sorted by label: log-prior, log(total_c + a*|V|)
     labels: list          # the K class labels in order (K is the class count)
     alpha: float
+    n_vocab: int = -1     # rows of ``weights`` (distinct tokens), counted at fit
+
+    def weights_bytes(self) -> int:
+        """Upper estimate of the weight table in memory: token text plus K doubles per row."""
+        return self.n_vocab * (NB_TOKEN_BYTES + 8 * (len(self.labels) + 2))
+
+
+# Broadcast budget for the NB weight table.  The table is broadcast only when
+# its size, computed from the vocabulary count taken at fit, is under this
+# budget; larger vocabularies take the shuffle join.
+NB_BROADCAST_BYTES = 64 << 20
+NB_TOKEN_BYTES = 48     # generous per-token allowance (UTF-8 text + row overhead)
 
 
 def fit_naive_bayes(train: DataFrame, label: str = "label", id_col: str = "id", code: str = "code",
@@ -201,7 +213,7 @@ def fit_naive_bayes(train: DataFrame, label: str = "label", id_col: str = "id",
         F.map_from_entries(F.collect_list(F.struct("label", F.log(F.col("cnt") + alpha)))).alias("_m"))
     weights = cut_lineage(per_token.select(
         "token", F.array(*[F.coalesce(F.element_at("_m", F.lit(k)), F.lit(la)) for k in labels_k]).alias("w")))
-    return NaiveBayesModel(weights, classes, labels_k, alpha)
+    return NaiveBayesModel(weights, classes, labels_k, alpha, int(n_vocab))
 
 
 def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "id", code: str = "code",
@@ -209,18 +221,23 @@ def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "id
     """argmax_k prior_k + sum_t x_t * w[t][k] - n_known * norm_k, ties -> lowest label.
 
     Token occurrences meet the one-row-per-token weight table in a join on
-    token (AQE splits the partitions of very common tokens); a single
-    aggregate per document then sums the K class scores and the count of
-    known tokens.  Documents without any known token keep the prior.
+    token; a single aggregate per document then sums the K class scores and
+    the count of known tokens.  Documents without any known token keep the
+    prior.  When the weight table is within ``NB_BROADCAST_BYTES`` (its row
+    count is known from the fit) it is broadcast: occurrences are never
+    shuffled, and since a document's tokens stay in its task, the partial
+    aggregate leaves one row per document for the exchange.  Beyond the
+    budget it is a shuffle join on token, where AQE splits hot tokens.
     """
     k = len(model.labels)
     # token occurrences (one row each): the per-document aggregate below
     # combines repeats map-side, so no separate (doc, token) shuffle is needed
     occ = (df.select(F.col(id_col).alias("id"), F.explode(F.split(F.lower(F.col(code)), pattern)).alias("token"))
            .filter(F.col("token") != ""))
-    # shuffle join: both map sides run at once and AQE can split hot tokens;
-    # a broadcast would wait for the whole weight table first
-    terms = occ.join(model.weights.hint("merge"), "token")
+    if 0 <= model.n_vocab and model.weights_bytes() <= NB_BROADCAST_BYTES:
+        terms = occ.join(F.broadcast(model.weights), "token")
+    else:
+        terms = occ.join(model.weights.hint("merge"), "token")
     per_doc = terms.groupBy(F.col("id").alias("_nb_id")).agg(
         F.count(F.lit(1)).alias("_nk"), *[F.sum(F.col("w")[i]).alias(f"_nb{i}") for i in range(k)])
     cl = model.classes.select(F.sort_array(F.collect_list(F.struct("label", "prior", "norm"))).alias("cl"))

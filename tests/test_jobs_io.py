@@ -35,6 +35,22 @@ def test_naive_bayes_matches_spark_ml(spark):
     assert ours == ml
 
 
+def test_naive_bayes_join_strategy_follows_vocabulary_budget(spark, monkeypatch):
+    train = catalog.training_rows(spark, SF)
+    test = catalog.samples(spark, SF)
+    model = C.fit_naive_bayes(train)
+    assert model.n_vocab == train.select(F.explode(F.split(F.lower("code"), C.NB_SPLIT)).alias("t")) \
+        .filter("t != ''").distinct().count()
+    small = C.predict_naive_bayes(model, test)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(C, "NB_BROADCAST_BYTES", model.weights_bytes() - 1)
+    big = C.predict_naive_bayes(model, test)
+    p = big._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+    pick = lambda d: sorted(d.select("id", "predicted_label").collect())
+    assert pick(small) == pick(big)
+
+
 def test_predict_job_keeps_every_row(spark):
     s = catalog.samples(spark, SF)
     out = jobs.predict_job(s)
