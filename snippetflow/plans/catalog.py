@@ -426,8 +426,10 @@ WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED P
 def q_running_average(spark, sf_dir):
     ev = (table(spark, sf_dir, "events").withColumn("k", F.expr(EVENT_WEIGHT))
           .withColumn("v", F.col("value").cast("decimal(12,2)")))
+    # minute cells: a user holding a third of all events is still cut into
+    # many (user, minute) cells, each numbered by its own window task
     ra = profile.running_average(ev, "user_id", ["ts", "event_id"], "v", "k",
-                                 bucket=F.to_date("ts"))
+                                 bucket=F.date_trunc("minute", "ts"))
     return ra.select("event_id", "user_id", r6("running_avg").alias("running_avg"))
 
 
