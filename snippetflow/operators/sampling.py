@@ -33,30 +33,34 @@ def sample_exact(df: DataFrame, n: int | None, seed: int = DEFAULT_SEED, id_col:
                  buckets: int = CELLS) -> DataFrame:
     """Exactly min(n, count) rows, the n smallest seeded uniforms (ties by id).
 
-    ``n`` falsy (None or 0) means no cap.  Only (id, u) are handled: rows are
-    counted per fine cell of u, a running sum over the (at most ``buckets``)
-    cell counts gives each cell its offset, cells wholly below n are taken
-    as they are, and only the one cell straddling n is numbered with a
-    window.  The chosen ids are matched back with a left-semi join.
+    ``n`` falsy (None or 0) means no cap.  Rows are counted per fine cell of
+    u (one pass over the ids), and a running sum over the (at most
+    ``buckets``) cell counts finds the one cell where the sample ends: two
+    numbers that reach the driver.  Rows of earlier cells are kept where
+    they are (a filter, no join and no shuffle of the rows); only the rows
+    of that one edge cell, about N / ``buckets`` of them, are numbered by a
+    window.
     """
     if not n:
         return df
     n = int(n)
-    keys = (df.select(F.col(id_col).alias("_id"), uniform(seed, id_col).alias("_u"))
-            .withColumn("_b", F.floor(F.col("_u") * buckets).cast("int")))
-    cells = keys.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    u = uniform(seed, id_col)
+    cell = F.floor(u * buckets).cast("int")
+    cells = df.select(cell.alias("_b")).groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per cell: this window is bounded by ``buckets``
     offs = cells.select("_b", "_cnt", (F.sum("_cnt").over(Window.orderBy("_b")) - F.col("_cnt")).alias("_off"))
-    whole = offs.filter(F.col("_off") + F.col("_cnt") <= n).select("_b")
-    edge = offs.filter((F.col("_off") < n) & (F.col("_off") + F.col("_cnt") > n)).select("_b", "_off")
-    inside = keys.join(bounded_broadcast(whole, buckets, "sample cells"), "_b", "left_semi").select("_id")
-    w = Window.partitionBy("_b").orderBy("_u", "_id")
-    # at most one straddling cell
-    cut = (keys.join(bounded_broadcast(edge, 1, "straddling cell"), "_b")
-           .withColumn("_r", F.col("_off") + F.row_number().over(w) - 1)
-           .filter(F.col("_r") < n).select("_id"))
-    chosen = inside.unionByName(cut)
-    return df.join(chosen, F.col(id_col) == F.col("_id"), "left_semi")
+    # the first cell not wholly inside the sample, and the row count before it
+    edge = offs.filter(F.col("_off") + F.col("_cnt") > n).agg(
+        F.min("_b").alias("b"), F.min_by("_off", "_b").alias("off")).first()
+    if edge["b"] is None:          # n or fewer rows: the whole table
+        return df
+    b, room = int(edge["b"]), n - int(edge["off"])
+    keyed = df.withColumn("_u", u).withColumn("_b", cell)
+    whole = keyed.filter(F.col("_b") < b)
+    w = Window.partitionBy("_b").orderBy("_u", id_col)
+    cut = (keyed.filter(F.col("_b") == b).withColumn("_r", F.row_number().over(w))
+           .filter(F.col("_r") <= room).drop("_r"))
+    return whole.unionByName(cut).drop("_u", "_b")
 
 
 def preview(df: DataFrame, n: int = 5, order_col: str = "id") -> DataFrame:
@@ -140,10 +144,14 @@ def stratified_split(df: DataFrame, label: str | None = "label", id_col: str = "
     """Add ``split`` in {train, val, test}; stratified by ``label`` when given.
 
     Exact per-class quotas (``split_quotas``); a row's split is decided by its
-    rank in its class by the seeded uniform (ties by id).  Ranks are only
-    needed near the two quota boundaries of each class: a cell whose whole
-    rank range falls inside one split assigns it directly, and a window
-    numbers the rows of the (at most two per class) straddling cells.
+    rank in its class by the seeded uniform (ties by id).  Ranks grow with
+    the cell floor(u * B), so the split is a function of the cell except in
+    the (at most two per class) cells that straddle a quota boundary.  One
+    pass over (id, label) counts rows per cell; a K-row cut table (first
+    val cell, first test cell, the straddling cells and their offsets) is
+    broadcast and decides every other row in place.  Only the rows of the
+    straddling cells, about 2 / B of the data, are shuffled and numbered by
+    a window; the rows are never joined back by id.
     """
     work = df if label else df.withColumn("_one", F.lit(0))
     lab = label or "_one"
@@ -152,18 +160,34 @@ def stratified_split(df: DataFrame, label: str | None = "label", id_col: str = "
     counts = offs.groupBy("label").agg(F.sum("_cnt").alias("c"))
     quotas = split_quotas(counts, val_size, test_size)
     # K-row quota table (checked)
-    info = offs.join(bounded_broadcast(quotas, what="split quotas"), "label")
+    cells = offs.join(bounded_broadcast(quotas, what="split quotas"), "label")
     lo = _split_of(F.col("_off"), F.col("n_train"), F.col("n_val"))
     hi = _split_of(F.col("_off") + F.col("_cnt") - 1, F.col("n_train"), F.col("n_val"))
-    info = info.select("label", "_b", "_off", "n_train", "n_val",
-                       F.when(lo == hi, lo).alias("_whole"))
-    rows = keys.join(info, ["label", "_b"])
-    direct = rows.filter(F.col("_whole").isNotNull()).select(F.col("_id").alias(id_col), F.col("_whole").alias(out))
-    w = Window.partitionBy("label", "_b").orderBy("_u", "_id")
-    edge = rows.filter(F.col("_whole").isNull()).withColumn(
-        "_rank", F.col("_off") + F.row_number().over(w) - 1)
-    edge = edge.select(F.col("_id").alias(id_col), _split_of(F.col("_rank"), F.col("n_train"), F.col("n_val")).alias(out))
-    res = work.join(direct.unionByName(edge), id_col)
+    straddle = lo != hi
+    # offsets grow with the cell inside a class, so min/max of the straddling
+    # offsets belong to the first/last straddling cell
+    cuts = cells.groupBy(F.col("label").alias("_sl"), "n_train", "n_val").agg(
+        F.min(F.when(hi != "train", F.col("_b"))).alias("_bv"),
+        F.min(F.when(hi == "test", F.col("_b"))).alias("_bt"),
+        F.min(F.when(straddle, F.col("_b"))).alias("_e1"),
+        F.min(F.when(straddle, F.col("_off"))).alias("_o1"),
+        F.max(F.when(straddle, F.col("_b"))).alias("_e2"),
+        F.max(F.when(straddle, F.col("_off"))).alias("_o2"))
+    helpers = ["_u", "_b", "_sl", "n_train", "n_val", "_bv", "_bt", "_e1", "_o1", "_e2", "_o2"]
+    u = uniform(seed, id_col)
+    rows = (work.withColumn("_u", u).withColumn("_b", F.floor(u * buckets).cast("int"))
+            .join(bounded_broadcast(cuts, what="split cuts"), F.col(lab) == F.col("_sl")))
+    on_edge = F.coalesce((F.col("_b") == F.col("_e1")) | (F.col("_b") == F.col("_e2")), F.lit(False))
+    top = F.lit(buckets)
+    direct = rows.filter(~on_edge).withColumn(
+        out, F.when(F.col("_b") < F.coalesce("_bv", top), F.lit("train"))
+        .when(F.col("_b") < F.coalesce("_bt", top), F.lit("val")).otherwise(F.lit("test")))
+    w = Window.partitionBy(lab, "_b").orderBy("_u", id_col)
+    rank = (F.when(F.col("_b") == F.col("_e1"), F.col("_o1")).otherwise(F.col("_o2"))
+            + F.row_number().over(w) - 1)
+    edge = (rows.filter(on_edge).withColumn("_rank", rank)
+            .withColumn(out, _split_of(F.col("_rank"), F.col("n_train"), F.col("n_val"))).drop("_rank"))
+    res = direct.unionByName(edge).drop(*helpers)
     return res.drop("_one") if not label else res
 
 

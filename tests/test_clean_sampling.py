@@ -84,3 +84,22 @@ def test_row_id_resolution(spark):
     assert col == "id"
     assert [r["code"] for r in out.orderBy("id").collect()] == list("qwerty")
     assert ids(out) == list(range(6))
+
+
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_split_and_sample_do_not_depend_on_cells_or_partitions(spark, parts):
+    df = spark.range(3000).select("id", (F.col("id") % 7 % 3).cast("int").alias("label")).repartition(parts)
+
+    def split_of(d, buckets):
+        return sorted((r["id"], r["split"]) for r in sampling.stratified_split(d, buckets=buckets).collect())
+
+    base = split_of(df.coalesce(1), sampling.CELLS)
+    for b in (1, 3, 64):
+        assert split_of(df, b) == base
+    flat = sorted((r["id"], r["split"]) for r in sampling.stratified_split(df, None, buckets=1).collect())
+    assert flat == sorted((r["id"], r["split"]) for r in sampling.stratified_split(df.coalesce(1), None).collect())
+    sample = ids(sampling.sample_exact(df.coalesce(1), 777, seed=7))
+    assert len(sample) == 777
+    for b in (1, 3, 64):
+        assert ids(sampling.sample_exact(df, 777, seed=7, buckets=b)) == sample
+    assert sampling.sample_exact(df, 5000).count() == 3000

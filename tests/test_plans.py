@@ -14,9 +14,11 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_sample_uses_semi_join(spark):
-    p = plan(sampling.sample_exact(catalog.samples(spark, SF), 50))
-    assert "LeftSemi" in p
+def test_sample_and_split_never_join_rows_back(spark):
+    s = catalog.samples(spark, SF)
+    for df in (sampling.sample_exact(s, 50), sampling.stratified_split(s)):
+        p = plan(df)
+        assert "LeftSemi" not in p and "SortMergeJoin" not in p and "ShuffledHashJoin" not in p
 
 
 def test_dedup_hashes_keys_and_never_sorts_rows(spark):
@@ -46,7 +48,7 @@ def test_row_windows_are_partitioned(spark):
     s = catalog.samples(spark, SF)
     for df in (clean.dense_row_ids(s, "id", out="rid"),
                sampling.stratified_split(s),
-               sampling.sample_exact(s, 50)):
+               sampling.sample_exact(s, 50, buckets=8)):
         rows = _row_windows(plan(df))
         assert rows, "expected a row-numbering window"
         for ln in rows:
