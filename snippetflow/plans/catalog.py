@@ -22,7 +22,7 @@ from snippetflow.operators import classify as C
 from snippetflow.operators import clean, detect, metrics
 from snippetflow.operators import ensemble, labels, profile, sampling
 from snippetflow.plans import jobs
-from snippetflow.schema import with_file_order
+from snippetflow.schema import file_row_ids, with_file_order
 from snippetflow.sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,6 +222,13 @@ def q_short_codes(spark, sf_dir):
 @register("row_ids", "SELECT doc_id AS row_id, doc_id FROM documents")
 def q_row_ids(spark, sf_dir):
     # the table is read as if it had no id: positions come from file order
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return file_row_ids(d, "row_id").select("row_id", "doc_id")
+
+
+@register("row_ids_ordered", "SELECT doc_id AS row_id, doc_id FROM documents")
+def q_row_ids_ordered(spark, sf_dir):
+    """W2 over an explicit order column (range cells + per-cell window)."""
     d = with_file_order(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return clean.dense_row_ids(d, "_ord", out="row_id").select("row_id", "doc_id")
 

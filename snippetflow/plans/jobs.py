@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from snippetflow.functions.cues import TEXT_CUE_TABLE
 from snippetflow.operators import classify as C
 from snippetflow.operators import clean, detect, labels, metrics, profile, sampling
-from snippetflow.schema import id_column, with_file_order
+from snippetflow.schema import file_row_ids, id_column
 from snippetflow.session import cut_lineage
 from snippetflow.sources import io
 
@@ -35,26 +35,22 @@ def predict_job(df: DataFrame, stages=STAGES, detector=TEXT_CUE_TABLE, classifie
 
 
 def with_ids(df: DataFrame) -> tuple[DataFrame, str]:
-    """use 'id', else 'ID', else 0-based ids in file order."""
+    """use 'id', else 'ID', else 0-based ids in file order (``df`` is
+    the loaded table: file offset + row index, no shuffle of the rows)."""
     col = id_column(df)
     if col is not None:
         return df, col
-    ordered = with_file_order(df)
-    return clean.dense_row_ids(ordered, "_ord", out="id").drop("_ord"), "id"
+    return file_row_ids(df, "id"), "id"
 
 
 def submission_job(df: DataFrame, path: str | None = None, **kw) -> DataFrame:
     """predict -> (id, label); written as CSV when a path is given.
 
-    Without an id column the rows are numbered in file order after the
-    prediction is reduced to (order, label), so no text is shuffled."""
+    Without an id column the rows are numbered in file order (file offset
+    + row index, ``with_ids``); predict keeps every row, so nothing moves."""
     stages = kw.pop("stages", STAGES)
-    idc = id_column(df)
-    if idc is not None:
-        sub = io.submission(predict_job(df, stages=stages, **kw), idc)
-    else:
-        pred = predict_job(with_file_order(df), stages=stages, **kw).select("_ord", "predicted_label")
-        sub = io.submission(clean.dense_row_ids(pred, "_ord", out="id"), "id")
+    df, idc = with_ids(df)
+    sub = io.submission(predict_job(df, stages=stages, **kw), idc)
     if path:
         # one part file per task: the table has a row per input row, so it is
         # never funnelled through a single task

@@ -8,7 +8,7 @@ implicit order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,3 +62,32 @@ def with_file_order(df: DataFrame, out: str = "_ord") -> DataFrame:
     out_df = base.join(ranked, "_fp").withColumn(
         out, F.col("_frank") * F.lit(1 << 40) + F.col("_ri"))
     return out_df.drop("_fp", "_ri", "_frank")
+
+
+# Broadcast bound for the one-row-per-file offset table (path + offset per
+# file, a few tens of MB at this count); the file count is the scan's file
+# list, known on the driver before any job runs.
+MAX_BROADCAST_FILES = 200_000
+
+
+def file_row_ids(df: DataFrame, out: str = "id") -> DataFrame:
+    """F6/W2 for a file scan from which no rows were removed: the 0-based
+    position of each row in file order (files by path, rows by their index
+    inside the file), as the reference numbers a loaded table.
+
+    id = (rows in the files before this one) + ``_metadata.row_index``.  Rows
+    are counted per file (one row per file), a running sum over that table
+    gives each file its offset, and the offsets are joined back on the path:
+    the rows themselves are never shuffled, sorted or numbered by a window.
+    The offset table is broadcast when the scan has at most
+    ``MAX_BROADCAST_FILES`` files and shuffle-joined beyond that.
+    """
+    base = df.select("*", F.col("_metadata.file_path").alias("_fp"),
+                     F.col("_metadata.row_index").alias("_ri"))
+    per_file = base.groupBy("_fp").agg(F.count(F.lit(1)).alias("_fc"))
+    # one row per file: this window is bounded by the file count
+    offs = per_file.select("_fp", (F.sum("_fc").over(Window.orderBy("_fp")) - F.col("_fc")).alias("_foff"))
+    if len(df.inputFiles()) <= MAX_BROADCAST_FILES:
+        offs = F.broadcast(offs)
+    return (base.join(offs, "_fp").withColumn(out, (F.col("_foff") + F.col("_ri")).cast("long"))
+            .drop("_fp", "_ri", "_foff"))

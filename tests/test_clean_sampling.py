@@ -103,3 +103,17 @@ def test_split_and_sample_do_not_depend_on_cells_or_partitions(spark, parts):
     for b in (1, 3, 64):
         assert ids(sampling.sample_exact(df, 777, seed=7, buckets=b)) == sample
     assert sampling.sample_exact(df, 5000).count() == 3000
+
+
+def test_file_row_ids_across_files(spark):
+    import tempfile
+    from snippetflow.schema import file_row_ids, with_file_order
+    p = tempfile.mkdtemp(prefix="sf-test-") + "/multi.parquet"
+    spark.range(0, 500, 1, 7).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("code")) \
+        .write.parquet(p)
+    df = spark.read.parquet(p)
+    assert len(df.inputFiles()) >= 3
+    got = {r["k"]: r["rid"] for r in file_row_ids(df, "rid").collect()}
+    ref = clean.dense_row_ids(with_file_order(df), "_ord", out="rid")
+    assert got == {r["k"]: r["rid"] for r in ref.collect()}
+    assert sorted(got.values()) == list(range(500))
