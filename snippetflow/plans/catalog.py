@@ -922,3 +922,14 @@ def q_stream_predict(spark, sf_dir):
     q = S.predict_stream(S.samples_view(src), sink)
     q.awaitTermination()
     return spark.read.parquet(sink).select("id", "detected_language", "predicted_label")
+
+
+@register("stream_language_distribution", ORACLE["language_distribution"])
+def q_stream_language_distribution(spark, sf_dir):
+    """A8 as a stateful streaming aggregate over the documents file, published
+    to a parquet table after each micro-batch, read back."""
+    from snippetflow.streaming import stream as S
+    src = S.read_samples_stream(spark, f"{sf_dir}/documents*.parquet", STREAM_DOC_SCHEMA)
+    path = io.scratch_path(spark, "stream-langs")
+    S.language_counts_table_stream(S.samples_view(src), path).awaitTermination()
+    return spark.read.parquet(path).select("language", "n")

@@ -25,3 +25,19 @@ def test_language_counts_stream(spark):
     q.awaitTermination(120)
     got = {r["language"]: r["n"] for r in spark.sql("SELECT * FROM lang_counts_test").collect()}
     assert sum(got.values()) == 200
+
+
+def test_language_counts_table_across_micro_batches(spark):
+    from pyspark.sql import functions as F
+    from snippetflow.operators import detect
+    src_dir = io.scratch_path(spark, "stream-src")
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(3, "doc_id").write.parquet(src_dir)
+    stream = S.read_samples_stream(spark, src_dir, DOC_SCHEMA, max_files_per_trigger=1)
+    table = io.scratch_path(spark, "stream-langs")
+    q = S.language_counts_table_stream(S.samples_view(stream), table)
+    q.awaitTermination(180)
+    assert len([p for p in q.recentProgress if p["numInputRows"] > 0]) == 3
+    got = {r["language"]: r["n"] for r in spark.read.parquet(table).collect()}
+    want = {r["language"]: r["n"] for r in
+            detect.language_distribution(detect.detect_language(catalog.samples(spark, SF))).collect()}
+    assert got == want
