@@ -44,6 +44,12 @@ def id_column(df: DataFrame) -> str | None:
     return None
 
 
+# Broadcast bound for the one-row-per-file tables (path + rank or offset
+# per file, a few tens of MB at this count); the file count is the scan's file
+# list, known on the driver before any job runs.
+MAX_BROADCAST_FILES = 200_000
+
+
 def with_file_order(df: DataFrame, out: str = "_ord") -> DataFrame:
     """Add a numeric order column equal to file order for parquet inputs.
 
@@ -54,22 +60,17 @@ def with_file_order(df: DataFrame, out: str = "_ord") -> DataFrame:
     base = df.select("*", F.col("_metadata.file_path").alias("_fp"),
                      F.col("_metadata.row_index").alias("_ri"))
     files = base.select("_fp").distinct()
-    from pyspark.sql import Window
     ranked = files.select("_fp", (F.dense_rank().over(Window.orderBy("_fp")) - 1)
                           .cast("long").alias("_frank"))
-    # one row per input file; AQE broadcasts it when the file list is small
-    # and shuffles it otherwise (rows per file are even, so no skew)
+    # one row per input file: broadcast under the file-count bound (the scan's
+    # file list, known on the driver), shuffled beyond it
+    if len(df.inputFiles()) <= MAX_BROADCAST_FILES:
+        ranked = F.broadcast(ranked)
     out_df = base.join(ranked, "_fp").withColumn(
         out, F.col("_frank") * F.lit(1 << 40) + F.col("_ri"))
     return out_df.drop("_fp", "_ri", "_frank")
 
 
-# Broadcast bound for the one-row-per-file offset table (path + offset per
-# file, a few tens of MB at this count); the file count is the scan's file
-# list, known on the driver before any job runs.
-MAX_BROADCAST_FILES = 200_000
-
-
 def file_row_ids(df: DataFrame, out: str = "id") -> DataFrame:
     """F6/W2 for a file scan from which no rows were removed: the 0-based
     position of each row in file order (files by path, rows by their index
