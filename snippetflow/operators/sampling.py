@@ -47,8 +47,7 @@ def sample_exact(df: DataFrame, n: int | None, seed: int = DEFAULT_SEED, id_col:
     u = uniform(seed, id_col)
     cell = F.floor(u * buckets).cast("int")
     cells = df.select(cell.alias("_b")).groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    # one row per cell: this window is bounded by ``buckets``
-    offs = cells.select("_b", "_cnt", (F.sum("_cnt").over(Window.orderBy("_b")) - F.col("_cnt")).alias("_off"))
+    offs = running_offsets(cells, [], "_b", "_cnt")
     # the first cell not wholly inside the sample, and the row count before it
     edge = offs.filter(F.col("_off") + F.col("_cnt") > n).agg(
         F.min("_b").alias("b"), F.min_by("_off", "_b").alias("off")).first()
@@ -115,11 +114,35 @@ def _rank_keys(df: DataFrame, label: str, id_col: str, seed: int, buckets: int)
     return keys.withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
 
 
+BLOCK_BITS = 10   # cells per block in the two-level running sum: 2^10
+
+
+def running_offsets(cells: DataFrame, keys: list, order: str, count: str) -> DataFrame:
+    """Add ``_off``: the sum of ``count`` over the rows before this one in
+    ``order`` within ``keys`` (one row per (keys, order)).
+
+    Two levels, so no window holds more than 2^BLOCK_BITS rows of one key:
+    cells are grouped into blocks of 2^BLOCK_BITS consecutive ``order``
+    values, a running sum over the block totals gives each block its offset,
+    and a window inside each (keys, block) adds the cells before it.  A class
+    with 2^20 cells is spread over 2^10 window tasks.
+    """
+    c = cells.withColumn("_blk", F.shiftright(F.col(order), BLOCK_BITS))
+    tot = c.groupBy(*keys, "_blk").agg(F.sum(count).alias("_bt"))
+    bw = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_blk") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    boff = tot.select(*keys, "_blk", (F.sum("_bt").over(bw) - F.col("_bt")).alias("_boff"))
+    iw = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding,
+                                                                      Window.currentRow)
+    return (c.join(boff, [*keys, "_blk"])
+            .withColumn("_off", F.col("_boff") + F.sum(count).over(iw) - F.col(count))
+            .drop("_blk", "_boff"))
+
+
 def _cell_offsets(keys: DataFrame) -> DataFrame:
     """(label, _b, _cnt, _off): rows per cell and rows of the class before it."""
     cells = keys.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    return cells.withColumn("_off", F.sum("_cnt").over(Window.partitionBy("label").orderBy("_b"))
-                            - F.col("_cnt"))
+    return running_offsets(cells, ["label"], "_b", "_cnt")
 
 
 def class_ranks(df: DataFrame, label: str, id_col: str, seed: int, buckets: int = CELLS) -> DataFrame:

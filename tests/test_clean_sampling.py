@@ -117,3 +117,18 @@ def test_file_row_ids_across_files(spark):
     ref = clean.dense_row_ids(with_file_order(df), "_ord", out="rid")
     assert got == {r["k"]: r["rid"] for r in ref.collect()}
     assert sorted(got.values()) == list(range(500))
+
+
+@pytest.mark.parametrize("bits", [0, 3, 10])
+def test_running_offsets_two_level(spark, monkeypatch, bits):
+    monkeypatch.setattr(sampling, "BLOCK_BITS", bits)
+    rows = [(lab, b, 1 + (b * 7 + lab) % 5) for lab in (0, 1) for b in range(0, 300, 1 + lab)]
+    cells = spark.createDataFrame(rows, "label int, _b int, _cnt long")
+    got = {(r["label"], r["_b"]): r["_off"] for r in sampling.running_offsets(cells, ["label"], "_b", "_cnt").collect()}
+    want, run = {}, {}
+    for lab, b, c in sorted(rows):
+        want[(lab, b)] = run.get(lab, 0)
+        run[lab] = run.get(lab, 0) + c
+    assert got == want
+    flat = {r["_b"]: r["_off"] for r in sampling.running_offsets(cells.filter("label = 0").drop("label"), [], "_b", "_cnt").collect()}
+    assert flat == {b: o for (lab, b), o in want.items() if lab == 0}
