@@ -110,14 +110,17 @@ def table_info(df: DataFrame) -> DataFrame:
 
 
 def running_average(df: DataFrame, key: str, order_cols, value: str, weight: str | None = None,
-                    out: str = "running_avg", bucket=None) -> DataFrame:
+                    out: str = "running_avg", bucket=None, bucket_block=None) -> DataFrame:
     """Running weighted mean sum(v*n)/sum(n) per key in order (AverageMeter).
 
     With ``bucket`` (a Column non-decreasing in the order, e.g. the day of a
     timestamp) the prefix sums are two-level: per (key, bucket) totals get a
     running sum over buckets, and the row-level window runs inside one
     (key, bucket) only, so a key holding a large share of the rows is spread
-    over many tasks.
+    over many tasks.  ``bucket_block`` (a function of the bucket column, e.g.
+    its day for minute buckets) makes the running sum over a key's buckets
+    two-level as well (``sampling.running_offsets``), so no window holds all
+    the buckets of a hot key either.
     """
     if isinstance(order_cols, str):
         order_cols = [order_cols]
@@ -133,9 +136,14 @@ def running_average(df: DataFrame, key: str, order_cols, value: str, weight: str
         return res.drop("_vn", "_n")
     b = base.withColumn("_b", bucket)
     cell = b.groupBy(key, "_b").agg(F.sum("_vn").alias("_cv"), F.sum("_n").alias("_cn"))
-    pw = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    pre = cell.select(key, "_b", F.coalesce(F.sum("_cv").over(pw), F.lit(0)).alias("_pv"),
-                      F.coalesce(F.sum("_cn").over(pw), F.lit(0)).alias("_pn"))
+    if bucket_block is None:
+        pw = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        pre = cell.select(key, "_b", F.coalesce(F.sum("_cv").over(pw), F.lit(0)).alias("_pv"),
+                          F.coalesce(F.sum("_cn").over(pw), F.lit(0)).alias("_pn"))
+    else:
+        from snippetflow.operators.sampling import running_offsets
+        pre = running_offsets(cell, [key], "_b", ["_cv", "_cn"], block=bucket_block(F.col("_b"))) \
+            .select(key, "_b", F.col("_off__cv").alias("_pv"), F.col("_off__cn").alias("_pn"))
     w = Window.partitionBy(key, "_b").orderBy(*order_cols).rowsBetween(*frame)
     num = F.col("_pv") + F.sum("_vn").over(w)
     den = F.col("_pn") + F.sum("_n").over(w)

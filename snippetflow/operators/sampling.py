@@ -117,26 +117,33 @@ def _rank_keys(df: DataFrame, label: str, id_col: str, seed: int, buckets: int)
 BLOCK_BITS = 10   # cells per block in the two-level running sum: 2^10
 
 
-def running_offsets(cells: DataFrame, keys: list, order: str, count: str) -> DataFrame:
-    """Add ``_off``: the sum of ``count`` over the rows before this one in
-    ``order`` within ``keys`` (one row per (keys, order)).
-
-    Two levels, so no window holds more than 2^BLOCK_BITS rows of one key:
-    cells are grouped into blocks of 2^BLOCK_BITS consecutive ``order``
-    values, a running sum over the block totals gives each block its offset,
-    and a window inside each (keys, block) adds the cells before it.  A class
-    with 2^20 cells is spread over 2^10 window tasks.
+def running_offsets(cells: DataFrame, keys: list, order: str, count, block=None) -> DataFrame:
+    """Add the sum of ``count`` over the rows before this one in ``order``
+    within ``keys`` (one row per (keys, order)): column ``_off`` for one
+    count column, ``_off_<name>`` for each of a list of them.
+
+    Two levels, so no window holds many rows of one key: cells are grouped
+    into blocks (``block``, default 2^BLOCK_BITS consecutive integer
+    ``order`` values; it must not decrease with ``order``), a running sum
+    over the block totals gives each block its offset, and a window inside
+    each (keys, block) adds the cells before it.  A class with 2^20 cells is
+    spread over 2^10 window tasks.
     """
-    c = cells.withColumn("_blk", F.shiftright(F.col(order), BLOCK_BITS))
-    tot = c.groupBy(*keys, "_blk").agg(F.sum(count).alias("_bt"))
-    bw = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_blk") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    boff = tot.select(*keys, "_blk", (F.sum("_bt").over(bw) - F.col("_bt")).alias("_boff"))
-    iw = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding,
-                                                                      Window.currentRow)
-    return (c.join(boff, [*keys, "_blk"])
-            .withColumn("_off", F.col("_boff") + F.sum(count).over(iw) - F.col(count))
-            .drop("_blk", "_boff"))
+    single = isinstance(count, str)
+    counts = [count] if single else list(count)
+    names = ["_off"] if single else [f"_off_{c}" for c in counts]
+    blk = F.shiftright(F.col(order), BLOCK_BITS) if block is None else block
+    c = cells.withColumn("_blk", blk)
+    tot = c.groupBy(*keys, "_blk").agg(*[F.sum(x).alias(f"_bt{i}") for i, x in enumerate(counts)])
+    frame = (Window.unboundedPreceding, Window.currentRow)
+    bw = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_blk").rowsBetween(*frame)
+    boff = tot.select(*keys, "_blk", *[(F.sum(f"_bt{i}").over(bw) - F.col(f"_bt{i}")).alias(f"_bo{i}")
+                                       for i in range(len(counts))])
+    iw = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(*frame)
+    out = c.join(boff, [*keys, "_blk"])
+    for i, (x, n) in enumerate(zip(counts, names)):
+        out = out.withColumn(n, F.col(f"_bo{i}") + F.sum(x).over(iw) - F.col(x))
+    return out.drop("_blk", *[f"_bo{i}" for i in range(len(counts))])
 
 
 def _cell_offsets(keys: DataFrame) -> DataFrame:

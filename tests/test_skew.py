@@ -62,3 +62,8 @@ def test_running_average_with_a_hot_user(spark):
     want = dict(zip(pdf["event_id"], pdf["want"]))
     for r in got.select("event_id", "running_avg").collect():
         assert abs(r["running_avg"] - want[r["event_id"]]) < 1e-9
+    blocked = profile.running_average(df, "user_id", ["ts", "event_id"], "v", "k",
+                                      bucket=F.date_trunc("minute", "ts"),
+                                      bucket_block=lambda b: F.date_trunc("hour", b))
+    for r in blocked.select("event_id", "running_avg").collect():
+        assert abs(r["running_avg"] - want[r["event_id"]]) < 1e-9

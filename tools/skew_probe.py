@@ -59,7 +59,7 @@ def operators(docs, ev):
         "majority_vote": lambda: ensemble.majority_vote(stacked),
         "running_average": lambda: profile.running_average(
             ev.withColumn("k", F.expr(catalog.EVENT_WEIGHT)), "user_id", ["ts", "event_id"], "value", "k",
-            bucket=F.date_trunc("minute", "ts")),
+            bucket=F.date_trunc("minute", "ts"), bucket_block=lambda b: F.date_trunc("day", b)),
     }
 
 
