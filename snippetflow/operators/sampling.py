@@ -147,9 +147,15 @@ def running_offsets(cells: DataFrame, keys: list, order: str, count, block=None)
 
 
 def _cell_offsets(keys: DataFrame) -> DataFrame:
-    """(label, _b, _cnt, _off): rows per cell and rows of the class before it."""
+    """(label, _b, _cnt, _off): rows per cell and rows of the class before it.
+
+    One window per class over its cells: at most ``buckets`` (2^20) rows for
+    a class however many data rows it holds, a bounded sort of narrow rows;
+    measured, this beats the two-level ``running_offsets`` whose extra
+    aggregate and join cost more than they spread."""
     cells = keys.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    return running_offsets(cells, ["label"], "_b", "_cnt")
+    w = Window.partitionBy("label").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return cells.withColumn("_off", F.sum("_cnt").over(w) - F.col("_cnt"))
 
 
 def class_ranks(df: DataFrame, label: str, id_col: str, seed: int, buckets: int = CELLS) -> DataFrame:

@@ -435,10 +435,9 @@ def q_running_average(spark, sf_dir):
           .withColumn("v", F.col("value").cast("decimal(12,2)")))
     # minute cells: a user holding a third of all events is still cut into
     # many (user, minute) cells, each numbered by its own window task; the
-    # offsets over a user's minutes are summed per day first
+    # running sum over one user's cells is bounded by the minutes in the data
     ra = profile.running_average(ev, "user_id", ["ts", "event_id"], "v", "k",
-                                 bucket=F.date_trunc("minute", "ts"),
-                                 bucket_block=lambda b: F.date_trunc("day", b))
+                                 bucket=F.date_trunc("minute", "ts"))
     return ra.select("event_id", "user_id", r6("running_avg").alias("running_avg"))
 
 
