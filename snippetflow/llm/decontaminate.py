@@ -137,7 +137,8 @@ def benchmark_blocks(benchmark: DataFrame, text: str, item_id: str, block_words:
 def _scan(shard, text_at: int, keep_all: bool):
     """Arrow function: the rows with n_words, spans (pairs of words, packed) and items added."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shard.value
+        s = Shard.__new__(Shard)
+        s.__dict__.update(shard.value)
         for b in batches:
             n_words = np.zeros(b.num_rows, np.int64)
             spans: list[list] = [[] for _ in range(b.num_rows)]
@@ -195,7 +196,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     for items in benchmark_blocks(benchmark, item_text, item_id, block_words):
         if n:
             df = cut_lineage(df)
-        shard = sc.broadcast(Shard(items, window))
+        shard = sc.broadcast(vars(Shard(items, window)))
         # between blocks the text stays with the row; the last block's text is dropped below
         df = df.mapInArrow(_scan(shard, at, True), _ddl(df, *[c for c in df.columns if c not in ("n_words", "spans", "items")]) + ", " + OUT)
         n += 1

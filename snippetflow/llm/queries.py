@@ -6,12 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snippetflow.llm import chat, decontaminate, exact_dedup, licences, packing, pii
+from snippetflow.llm import chat, decontaminate, exact_dedup, licences, packing, pii, quality, substrings, toxicity
 from snippetflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
+                         F.size("spans").alias("n_spans"),
+                         F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("offsets"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
@@ -20,6 +28,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
 
@@ -31,6 +43,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(chats.union(more), TOKENIZER), TOKENIZER)
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("row")
 
@@ -42,10 +58,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1,
     "op2_licence_scan": op2,
     "op3_best_fit_packing": op3,
+    "op5_suffix_array_dedup": op5,
     "op6_pii": op6,
     "op7_chat_formatting": op7,
+    "op8_quality": op8,
     "op9_exact_dedup": op9,
     "op10_decontamination": op10,
 }
