@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 MULT = np.uint64(0x9E3779B97F4A7C15)
 U64 = np.uint64
 

@@ -49,7 +49,7 @@ ENTRY = np.dtype([("g", "<u8"), ("c", "<u8"), ("row", "<u4"), ("lo", "<u4"), ("b
 FULL = np.dtype([("row", "<u4"), ("lo", "<u4"), ("more", "u1")])
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
+def anchors(data: np.ndarray, offs: np.ndarray, prefix: np.ndarray, length: int, gram: int):
     """The sampled suffixes of a chunk of texts: (place, first window, last window,
     hash of the gram at the place), one for each run of windows of ``length``
     bytes whose leftmost least gram is at the place."""
@@ -57,9 +57,8 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
     per = length - gram + 1
     if len(data) < length:
         return none, none, none, np.zeros(0, np.uint64)
-    prefix = R.prefix_hash(data, R.BYTE_VALUES)
-    at = np.arange(len(data) - gram + 1)
-    g = R.span_hash(prefix, at, at + gram)
+    n = len(data) - gram + 1
+    g = R.mix((prefix[gram:] - prefix[:n]) * R.powers(n)[1])
     low = R.sliding_min(g, per)
     n = len(low)
     # windows within one text only: runs are cut at text ends and the windows across them left out
@@ -116,10 +115,10 @@ def _arrays(length: int, gram: int, n_shards: int):
             base = int(rows.min())
             got = []
             for lo, data, offs in R.chunks(b.column(1)):
-                p, s, e, g = anchors(data, offs, length, gram)
+                prefix = R.prefix_hash(data, R.BYTE_VALUES)
+                p, s, e, g = anchors(data, offs, prefix, length, gram)
                 if not len(p):
                     continue
-                prefix = R.prefix_hash(data, R.BYTE_VALUES)
                 row = np.searchsorted(offs, s, "right") - 1
                 part = np.empty(len(p), ENTRY)
                 part["g"] = g
