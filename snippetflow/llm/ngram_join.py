@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snippetflow.llm import ragged as R
-from snippetflow.llm.common import components, pick, ship_code, slots
+from snippetflow.llm.common import bit_of, bitmap, components, pick, ship_code, slots
 from snippetflow.session import cut_lineage
 
 WORDS = 5
@@ -183,26 +183,24 @@ def _candidates(percent: int):
         f, z = first[size > FEW], size[size > FEW]
         i = R.ranges(f, z - 1)
         near = 100 * a["n"][i].astype(np.int64) >= percent * a["n"][i + 1].astype(np.int64)
-        x, y = np.concatenate([x, i[near]]), np.concatenate([y, i[near] + 1])
+        # runs without a gap in length, each a star around its shortest set
+        run = np.flatnonzero(near & np.r_[True, ~near[:-1] | (i[1:] != i[:-1] + 1)]) if len(i) else i
+        lead = i[run][np.cumsum(np.isin(np.arange(len(i)), run))[near] - 1] if len(i) else i
+        x, y = np.concatenate([x, lead]), np.concatenate([y, i[near] + 1])
         k1, k2 = a["k"][x].view(np.int64), a["k"][y].view(np.int64)
         pairs = np.unique(np.stack([np.minimum(k1, k2), np.maximum(k1, k2)], axis=1), axis=0) if len(k1) else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
     return run
 
 
-def _sets_of(words: int):
-    """Texts of class representatives -> their sets (rows whose set is another's, of a repeated id, are left out)."""
+def _sets_of(words: int, shared):
+    """Texts whose bit is set -> their sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value)
         for b in batches:
-            i = b.schema.get_field_index("text")
-            want, keep, load = b.column("k").to_pylist(), [], []
-            for lo, data, offs in R.chunks(b.column(i)):
-                for j, s in enumerate(sets(data, offs, words)):
-                    if len(s) and class_key(s) == want[lo + j]:
-                        keep.append(lo + j)
-                        load.append(s.tobytes())
-            rest = b.drop_columns(["text"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(load, pa.binary())], names=[*rest.schema.names, "load"])
+            b = b.filter(pa.array(bits[b.column(1).to_numpy()] > 0))
+            load = [s.tobytes() for _, data, offs in R.chunks(b.column(2)) for s in sets(data, offs, words)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(load, pa.binary())], names=["row", "load"])
     return run
 
 
@@ -309,14 +307,14 @@ def _verify(percent: int):
 
 
 def _tasks(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """(k, docs, n, doc_id, task, side): each class in each pair of cells it belongs to."""
+    """(k, docs, row, task, side): each class in each pair of cells it belongs to."""
     step = float(np.log(100 / percent))
     m = members.withColumn("len", F.floor(F.log("n") / step + 1e-9).cast("int"))
     cells = m.groupBy("cluster", "len").agg(F.count(F.lit(1)).alias("size"))
     total = cells.groupBy("cluster").agg(F.sum("size").alias("total"))
     cells = cut_lineage(cells.join(total, "cluster").withColumn("cells", F.ceil(F.col("size") / block).cast("int")))
     small = m.join(total.where(F.col("total") <= block), "cluster", "left_semi").select(
-        "k", "docs", "n", "doc_id", F.concat_ws(":", "cluster").alias("task"), F.lit(2).alias("side"))
+        "k", "docs", "row", F.concat_ws(":", "cluster").alias("task"), F.lit(2).alias("side"))
     big = cells.where(F.col("total") > block)
 
     def beside(by: int, name: str) -> DataFrame:
@@ -339,7 +337,7 @@ def _tasks(members: DataFrame, percent: int, block: int) -> DataFrame:
             F.when(c == F.col("cell"), 2).when(F.col("cell") < c, 0).otherwise(1).alias("side"))),
         F.transform(span("up"), lambda c: F.struct(task(F.col("len"), F.col("cell"), up, c).alias("task"), F.lit(0).alias("side"))),
         F.transform(span("down"), lambda c: F.struct(task(down, c, F.col("len"), F.col("cell")).alias("task"), F.lit(1).alias("side"))))
-    return small.union(x.select("k", "docs", "n", "doc_id", F.explode(targets).alias("t")).select("k", "docs", "n", "doc_id", "t.task", "t.side"))
+    return small.union(x.select("k", "docs", "row", F.explode(targets).alias("t")).select("k", "docs", "row", "t.task", "t.side"))
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT,
@@ -365,9 +363,10 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
                                                 F.min(F.struct(F.isnull("doc_id").alias("z"), "doc_id", "row")).alias("best"))
     classes = cut_lineage(classes.select("k", "n", "docs", F.col("best.doc_id").alias("doc_id"), F.col("best.row").alias("row")))
     members = cut_lineage(classes.join(clusters.withColumnRenamed("node", "k").withColumnRenamed("comp", "cluster"), "k"))
-    texts = d.select("row", "text").join(members.select("row", "k"), "row").select("k", "text")
-    loads = texts.mapInArrow(_sets_of(words), "k long, load binary")
-    tasks = _tasks(members, percent, block).join(loads, "k")
+    # only documents that may be members send their sets; the join leaves the members
+    maybe = spark.sparkContext.broadcast(bitmap(members, "row"))
+    loads = d.select("row", bit_of("row").alias("bit"), "text").mapInArrow(_sets_of(words, maybe), "row long, load binary")
+    tasks = _tasks(members, percent, block).join(loads, "row")
     buckets = max(slots(spark), n)
     found = tasks.withColumn("bucket", F.pmod(F.xxhash64("task"), F.lit(buckets))).select("bucket", "task", "k", "docs", "side", "load")
     found = cut_lineage(found.groupBy("bucket").applyInArrow(_verify(percent), "k long, links long, to long"))
@@ -387,4 +386,5 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     gone = cut_lineage(near_groups(docs, text, doc_id, **options).where("not stays").select(F.col("row").alias("_row")))
     names = docs.columns
     rows = docs.toDF(*(f"_c{i}" for i in range(len(names)))).withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(gone, "_row", "left_anti").drop("_row").toDF(*names)
+    # merged at every size: what goes grows with the documents
+    return rows.join(gone.hint("merge"), "_row", "left_anti").drop("_row").toDF(*names)
