@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snippetflow.schema import require_code
+from snippetflow.session import cut_lineage
 
 NULL_POLICIES = ("drop", "stringify")
-ROWS_PER_RANGE = 2_000_000   # target rows per numbering range in dense_row_ids
 
 
 def code_key(code: Column) -> Column:
@@ -39,20 +39,36 @@ def handle_null_code(df: DataFrame, code: str = "code", null_policy: str = "drop
 def dedup_first(df: DataFrame, subset: str = "code", order_col: str = "id") -> DataFrame:
     """Keep the first row (lowest order_col) of each group of equal ``subset``.
 
-    The winners are found on 40-byte keys only: ``(sha256(subset), order_col)``
-    is grouped with ``min(order_col)``, a fixed-width hash aggregate that is
-    partial map-side, so a text repeated in a third of all rows shrinks to one
-    key per map task before the shuffle.  Rows are then kept with a left-semi
-    join on the (unique) order column, shuffled on that uniform key and
-    probed against a hash table of winner ids: no sort of the text anywhere
-    (carrying the row through ``min_by`` would force a sort-based aggregate
-    of every row on both sides of the shuffle).
-    Equals ``row_number() over (partition by subset order by order_col) = 1``.
+    No row is lost and none is kept twice: a null order value counts as
+    later than any other, and of rows equal in both ``subset`` and order the one with
+    the least other columns stays (they are compared only among themselves).
+
+    The text is not grouped: ``(sha256(subset), order_col)`` keys are
+    aggregated (fixed-width, partial on the map side, so a text repeated in
+    a third of all rows shrinks to one key per map task) and only groups of
+    more than one row are written, as a table of known size.  Rows are
+    then checked against that table; while it is small it is broadcast and
+    the text stays where it was read, else the join shuffles.
+    Equals ``row_number() over (partition by subset order by order_col nulls last) = 1``.
     """
-    winners = (df.select(code_key(F.col(subset)).alias("_dedup_h"), F.col(order_col).alias("_dedup_o"))
-               .groupBy("_dedup_h").agg(F.min("_dedup_o").alias("_dedup_o"))
-               .select("_dedup_o"))
-    return df.join(winners.hint("shuffle_hash"), F.col(order_col) == F.col("_dedup_o"), "left_semi")
+    key, order = code_key(F.col(subset)), F.col(order_col)
+    keys = df.select(key.alias("_dd_h"), order.alias("_dd_o"))
+    per = keys.groupBy("_dd_h", "_dd_o").agg(F.count(F.lit(1)).alias("_dd_n"))
+    groups = per.groupBy("_dd_h").agg(F.sum("_dd_n").alias("_dd_rows"), F.min("_dd_o").alias("_dd_first"))
+    first = groups.where("_dd_rows > 1")
+    tied = per.where("_dd_n > 1").select(F.col("_dd_h").alias("_dt_h"), F.col("_dd_o").alias("_dt_o"), F.lit(True).alias("_dt"))
+    same = F.col("_dd_h").eqNullSafe(F.col("_dt_h")) & F.col("_dd_first").eqNullSafe(F.col("_dt_o"))
+    first = cut_lineage(first.join(tied, same, "left").select(
+        "_dd_h", "_dd_first", F.coalesce("_dt", F.lit(False)).alias("_dd_tied")))
+    rows = df.withColumn("_dd_k", key)
+    met = rows.join(first, F.col("_dd_k").eqNullSafe(F.col("_dd_h")), "left")
+    met = met.where(F.col("_dd_tied").isNull() | F.col("_dd_first").eqNullSafe(order))
+    names = df.columns
+    single = met.where("_dd_tied is null or not _dd_tied").select(*names)
+    if not first.where("_dd_tied").isEmpty():
+        one = met.where("_dd_tied").groupBy("_dd_k").agg(F.min(F.struct(*names)).alias("_dd_row"))
+        single = single.unionByName(one.select("_dd_row.*"))
+    return single
 
 
 def preprocess(df: DataFrame, code: str = "code", null_policy: str = "drop",
@@ -68,43 +84,24 @@ def short_codes(df: DataFrame, code: str = "code", min_chars: int = 10) -> DataF
     return df.filter(F.length(F.col(code)) < F.lit(min_chars))
 
 
-def dense_row_ids(df: DataFrame, order_cols, out: str = "row_id", buckets: int | None = None,
-                  bucket_col: Column | None = None) -> DataFrame:
+def dense_row_ids(df: DataFrame, order_cols, out: str = "row_id") -> DataFrame:
     """0-based dense position of each row in the order of ``order_cols``.
 
-    No global single-partition window: rows are cut into ``buckets`` ranges of
-    the first order column (approximate quantiles, or a given ``bucket_col``
-    such as floor(u * B) for uniform keys); a window numbers rows inside each
-    range and a running sum over the per-range counts (one row per range)
-    gives each range its offset.  ``order_cols`` must identify rows uniquely.
+    Rows are range-partitioned on all order columns (a value that most rows
+    share in one column is cut by the others), sorted within their partition and written
+    once with their place in it; the counts per partition (one row each) give
+    each partition its offset.  No window and no driver sketch; any orderable
+    column type works.
     """
     if isinstance(order_cols, str):
         order_cols = [order_cols]
-    spark = df.sparkSession
-    if buckets is None:
-        # enough ranges that one range (one window task) holds about
-        # ROWS_PER_RANGE rows; the count is one cheap pass over the keys
-        n_rows = df.select(*order_cols[:1]).count()
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8,
-                      -(-n_rows // ROWS_PER_RANGE))
-    if bucket_col is not None:
-        b = df.withColumn("_b", bucket_col.cast("int"))
-    else:
-        from pyspark.ml.feature import QuantileDiscretizer
-        first = order_cols[0]
-        tmp = df.withColumn("_od", F.col(first).cast("double"))
-        qd = QuantileDiscretizer(numBuckets=buckets, inputCol="_od", outputCol="_bd",
-                                 relativeError=max(1.0 / (buckets * 4), 1e-6), handleInvalid="keep")
-        b = qd.fit(tmp.select("_od")).transform(tmp).withColumn("_b", F.col("_bd").cast("int")) \
-            .drop("_od", "_bd")
-    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    # one row per bucket: the window over all buckets is bounded by ``buckets``
-    offsets = counts.select("_b", (F.sum("_cnt").over(Window.orderBy("_b")) - F.col("_cnt"))
-                            .alias("_off"))
-    if buckets <= 100_000:
-        from snippetflow.operators.bounded import bounded_broadcast
-        offsets = bounded_broadcast(offsets, buckets, "range offsets")
-    w = Window.partitionBy("_b").orderBy(*order_cols)
-    return (b.join(offsets, "_b")
-            .withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
-            .drop("_b", "_off"))
+    ranged = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    # the id of a partition's rows counts up from partition << 33 in their order
+    placed = cut_lineage(ranged.withColumn("_dr_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_dr_at", 33)
+    counts = placed.groupBy(part.alias("_dr_p")).agg(F.count(F.lit(1)).alias("_dr_n"))
+    w = Window.orderBy("_dr_p").rowsBetween(Window.unboundedPreceding, -1)       # one row per partition
+    offsets = cut_lineage(counts.select("_dr_p", F.coalesce(F.sum("_dr_n").over(w), F.lit(0)).alias("_dr_off")))
+    return (placed.join(offsets, part == F.col("_dr_p"))
+            .withColumn(out, (F.col("_dr_off") + F.col("_dr_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long"))
+            .drop("_dr_at", "_dr_p", "_dr_off"))

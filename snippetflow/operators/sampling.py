@@ -7,59 +7,57 @@ Never ``rand()``, ``sample``, ``randomSplit`` or ``sampleBy``.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snippetflow.functions.rand import uniform
-from snippetflow.operators.bounded import bounded_broadcast
+from snippetflow.session import cut_lineage
 
 DEFAULT_SEED = 42
 # Fine cells of the seeded uniform: floor(u * CELLS).  u is evenly spread,
 # so every cell holds about N / CELLS rows; cell tables have at most CELLS
 # rows per class.
 CELLS = 1 << 20
-RANK_BUCKETS = CELLS   # kept for callers that pass buckets explicitly
 
 
-def _split_of(rank, n_train, n_val):
-    return (F.when(rank < n_train, F.lit("train"))
-            .when(rank < n_train + n_val, F.lit("val"))
-            .otherwise(F.lit("test")))
+def _cut_keys(keys: DataFrame, offs: DataFrame, targets: DataFrame, cuts: list) -> DataFrame:
+    """The key (u, id) of the row at each target rank of each class.
+
+    ``keys``: label, _id, _u, _b; ``offs``: label, _b, _cnt, _off; ``targets``: label
+    and one rank column per entry of ``cuts``.  Only the keys of the cell that holds a
+    target rank are numbered (about N / CELLS narrow rows each); the result has one row
+    per class, with null where a class has no row of that rank.
+    """
+    marks = F.array(*[F.struct(F.lit(c).alias("cut"), F.col(c).alias("rank")) for c in cuts])
+    t = targets.select("label", F.explode(marks).alias("t")).select(F.col("label").alias("_tl"), "t.cut", "t.rank")
+    at = offs.join(t, F.col("label").eqNullSafe(F.col("_tl")) & (F.col("rank") >= F.col("_off"))
+                   & (F.col("rank") < F.col("_off") + F.col("_cnt")))
+    at = cut_lineage(at.select("_tl", F.col("_b").alias("_tb"), "cut", (F.col("rank") - F.col("_off") + 1).alias("_nth")))
+    w = Window.partitionBy("_tl", "cut").orderBy("_u", "_id")
+    hit = (keys.join(at, F.col("label").eqNullSafe(F.col("_tl")) & (F.col("_b") == F.col("_tb")))
+           .withColumn("_r", F.row_number().over(w)).where("_r = _nth"))
+    # the marker keeps a class whose label is null apart from a class without a cut
+    return hit.groupBy("_tl").agg(*[F.max(F.when(F.col("cut") == c, F.struct("_u", "_id"))).alias(c) for c in cuts])
 
 
 def sample_exact(df: DataFrame, n: int | None, seed: int = DEFAULT_SEED, id_col: str = "id",
                  buckets: int = CELLS) -> DataFrame:
     """Exactly min(n, count) rows, the n smallest seeded uniforms (ties by id).
 
-    ``n`` falsy (None or 0) means no cap.  Rows are counted per fine cell of
-    u (one pass over the ids), and a running sum over the (at most
-    ``buckets``) cell counts finds the one cell where the sample ends: two
-    numbers that reach the driver.  Rows of earlier cells are kept where
-    they are (a filter, no join and no shuffle of the rows); only the rows
-    of that one edge cell, about N / ``buckets`` of them, are numbered by a
-    window.
+    ``n`` falsy (None or 0) means no cap.  Ids are counted per fine cell of u,
+    two-level running sums find the cell that holds rank n, and the
+    narrow keys of that cell give the first key outside the sample.  Every
+    row is then decided by comparing its (u, id) with that one key: one scan
+    of the rows, which are neither shuffled nor joined by id.  Ids are
+    expected to be unique; rows of a null id come last, together.
     """
     if not n:
         return df
-    n = int(n)
-    u = uniform(seed, id_col)
-    cell = F.floor(u * buckets).cast("int")
-    cells = df.select(cell.alias("_b")).groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    offs = running_offsets(cells, [], "_b", "_cnt")
-    # the first cell not wholly inside the sample, and the row count before it
-    edge = offs.filter(F.col("_off") + F.col("_cnt") > n).agg(
-        F.min("_b").alias("b"), F.min_by("_off", "_b").alias("off")).first()
-    if edge["b"] is None:          # n or fewer rows: the whole table
-        return df
-    b, room = int(edge["b"]), n - int(edge["off"])
-    keyed = df.withColumn("_u", u).withColumn("_b", cell)
-    whole = keyed.filter(F.col("_b") < b)
-    w = Window.partitionBy("_b").orderBy("_u", id_col)
-    cut = (keyed.filter(F.col("_b") == b).withColumn("_r", F.row_number().over(w))
-           .filter(F.col("_r") <= room).drop("_r"))
-    return whole.unionByName(cut).drop("_u", "_b")
+    keys = _rank_keys(df.withColumn("_one", F.lit(0)), "_one", id_col, seed, buckets)
+    targets = df.sparkSession.range(1).select(F.lit(0).alias("label"), F.lit(int(n)).cast("long").alias("end"))
+    cut = _cut_keys(keys, _cell_offsets(keys), targets, ["end"]).agg(F.first("end")).scalar()
+    own = F.struct(_late(seed, id_col).alias("_u"), F.col(id_col).alias("_id"))
+    return df.where(cut.isNull() | (own < cut))
 
 
 def preview(df: DataFrame, n: int = 5, order_col: str = "id") -> DataFrame:
@@ -108,10 +106,14 @@ def split_quotas(class_counts: DataFrame, val_size: float = 0.2, test_size: floa
     return q.select("label", "c", n_train.cast("long").alias("n_train"), "n_val", "n_test")
 
 
+def _late(seed: int, id_col: str):
+    """The seeded uniform, or 2 for a null id: after all others."""
+    return F.coalesce(uniform(seed, id_col), F.lit(2.0))
+
+
 def _rank_keys(df: DataFrame, label: str, id_col: str, seed: int, buckets: int) -> DataFrame:
-    keys = df.select(F.col(id_col).alias("_id"), F.col(label).alias("label"),
-                     uniform(seed, id_col).alias("_u"))
-    return keys.withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
+    keys = df.select(F.col(id_col).alias("_id"), F.col(label).alias("label"), _late(seed, id_col).alias("_u"))
+    return keys.withColumn("_b", F.least(F.floor(F.col("_u") * buckets), F.lit(buckets)).cast("int"))
 
 
 BLOCK_BITS = 10   # cells per block in the two-level running sum: 2^10
@@ -147,31 +149,12 @@ def running_offsets(cells: DataFrame, keys: list, order: str, count, block=None)
 
 
 def _cell_offsets(keys: DataFrame) -> DataFrame:
-    """(label, _b, _cnt, _off): rows per cell and rows of the class before it.
-
-    One window per class over its cells: at most ``buckets`` (2^20) rows for
-    a class however many data rows it holds, a bounded sort of narrow rows;
-    measured, this beats the two-level ``running_offsets`` whose extra
-    aggregate and join cost more than they spread."""
-    cells = keys.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy("label").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return cells.withColumn("_off", F.sum("_cnt").over(w) - F.col("_cnt"))
-
-
-def class_ranks(df: DataFrame, label: str, id_col: str, seed: int, buckets: int = CELLS) -> DataFrame:
-    """(id, label, rank): 0-based position of each row inside its class by (u, id).
-
-    A class may hold most of the rows, so ranks are not computed by one window
-    per class: rows are cut into (class, floor(u * B)) cells (u is evenly
-    spread, so cells are small and balanced), cell offsets come from a running
-    sum over the cell counts, and a window numbers rows inside a cell only.
-    """
-    keys = _rank_keys(df, label, id_col, seed, buckets)
-    offs = _cell_offsets(keys).select("label", "_b", "_off")
-    w = Window.partitionBy("label", "_b").orderBy("_u", "_id")
-    return (keys.join(offs, ["label", "_b"])
-            .select(F.col("_id").alias(id_col), "label",
-                    (F.col("_off") + F.row_number().over(w) - 1).cast("long").alias("rank")))
+    """(label, _b, _cnt, _off): rows per cell and rows of the class before it,
+    by two-level running sums: a class that holds most rows is spread over the blocks of its cells."""
+    cells = keys.groupBy(F.coalesce(F.col("label").cast("string"), F.lit("")).alias("_lk"), F.col("label").isNull().alias("_ln"), "label", "_b").agg(
+        F.count(F.lit(1)).alias("_cnt"))
+    cells = cut_lineage(cells)
+    return running_offsets(cells, ["_lk", "_ln"], "_b", "_cnt").select("label", "_b", "_cnt", "_off")
 
 
 def stratified_split(df: DataFrame, label: str | None = "label", id_col: str = "id",
@@ -180,50 +163,27 @@ def stratified_split(df: DataFrame, label: str | None = "label", id_col: str = "
     """Add ``split`` in {train, val, test}; stratified by ``label`` when given.
 
     Exact per-class quotas (``split_quotas``); a row's split is decided by its
-    rank in its class by the seeded uniform (ties by id).  Ranks grow with
-    the cell floor(u * B), so the split is a function of the cell except in
-    the (at most two per class) cells that straddle a quota boundary.  One
-    pass over (id, label) counts rows per cell; a K-row cut table (first
-    val cell, first test cell, the straddling cells and their offsets) is
-    broadcast and decides every other row in place.  Only the rows of the
-    straddling cells, about 2 / B of the data, are shuffled and numbered by
-    a window; the rows are never joined back by id.
+    rank in its class by the seeded uniform (ties by id).  Rows without a
+    label are a class of their own: every row gets a split.  The first keys
+    (u, id) of validation and of test are found for each class from narrow keys only
+    (``_cut_keys``), and a row compares its own (u, id) with the two of its
+    class: one scan of the rows and a join with a written table of one row per class.
+    Ids are expected to be unique; rows of a null id come last, together.
     """
     work = df if label else df.withColumn("_one", F.lit(0))
     lab = label or "_one"
     keys = _rank_keys(work, lab, id_col, seed, buckets)
-    offs = _cell_offsets(keys)
-    counts = offs.groupBy("label").agg(F.sum("_cnt").alias("c"))
-    quotas = split_quotas(counts, val_size, test_size)
-    # K-row quota table (checked)
-    cells = offs.join(bounded_broadcast(quotas, what="split quotas"), "label")
-    lo = _split_of(F.col("_off"), F.col("n_train"), F.col("n_val"))
-    hi = _split_of(F.col("_off") + F.col("_cnt") - 1, F.col("n_train"), F.col("n_val"))
-    straddle = lo != hi
-    # offsets grow with the cell inside a class, so min/max of the straddling
-    # offsets belong to the first/last straddling cell
-    cuts = cells.groupBy(F.col("label").alias("_sl"), "n_train", "n_val").agg(
-        F.min(F.when(hi != "train", F.col("_b"))).alias("_bv"),
-        F.min(F.when(hi == "test", F.col("_b"))).alias("_bt"),
-        F.min(F.when(straddle, F.col("_b"))).alias("_e1"),
-        F.min(F.when(straddle, F.col("_off"))).alias("_o1"),
-        F.max(F.when(straddle, F.col("_b"))).alias("_e2"),
-        F.max(F.when(straddle, F.col("_off"))).alias("_o2"))
-    helpers = ["_u", "_b", "_sl", "n_train", "n_val", "_bv", "_bt", "_e1", "_o1", "_e2", "_o2"]
-    u = uniform(seed, id_col)
-    rows = (work.withColumn("_u", u).withColumn("_b", F.floor(u * buckets).cast("int"))
-            .join(bounded_broadcast(cuts, what="split cuts"), F.col(lab) == F.col("_sl")))
-    on_edge = F.coalesce((F.col("_b") == F.col("_e1")) | (F.col("_b") == F.col("_e2")), F.lit(False))
-    top = F.lit(buckets)
-    direct = rows.filter(~on_edge).withColumn(
-        out, F.when(F.col("_b") < F.coalesce("_bv", top), F.lit("train"))
-        .when(F.col("_b") < F.coalesce("_bt", top), F.lit("val")).otherwise(F.lit("test")))
-    w = Window.partitionBy(lab, "_b").orderBy("_u", id_col)
-    rank = (F.when(F.col("_b") == F.col("_e1"), F.col("_o1")).otherwise(F.col("_o2"))
-            + F.row_number().over(w) - 1)
-    edge = (rows.filter(on_edge).withColumn("_rank", rank)
-            .withColumn(out, _split_of(F.col("_rank"), F.col("n_train"), F.col("n_val"))).drop("_rank"))
-    res = direct.unionByName(edge).drop(*helpers)
+    offs = cut_lineage(_cell_offsets(keys))
+    quotas = split_quotas(offs.groupBy("label").agg(F.sum("_cnt").alias("c")), val_size, test_size)
+    quotas = cut_lineage(quotas.select("label", F.col("n_train").alias("val"), (F.col("n_train") + F.col("n_val")).alias("test")))
+    cuts = _cut_keys(keys, offs, quotas, ["val", "test"])
+    table = cut_lineage(quotas.select(F.col("label").alias("_ql")).join(cuts, F.col("_ql").eqNullSafe(F.col("_tl")), "left")
+                        .select("_ql", F.col("val").alias("_cv"), F.col("test").alias("_ct")))
+    own = F.struct(_late(seed, id_col).alias("_u"), F.col(id_col).alias("_id"))
+    # a class without validation rows has no key of that rank but its test key, and none at all without either
+    split = (F.when(F.coalesce(own < F.col("_cv"), own < F.col("_ct"), F.lit(True)), F.lit("train"))
+             .when(F.coalesce(own < F.col("_ct"), F.lit(True)), F.lit("val")).otherwise(F.lit("test")))
+    res = work.join(table, F.col(lab).eqNullSafe(F.col("_ql")), "left").withColumn(out, split).drop("_ql", "_cv", "_ct")
     return res.drop("_one") if not label else res
 
 
@@ -243,7 +203,3 @@ def load_splits(spark, paths: dict, caps: dict | None = None, seed: int = DEFAUL
         r = sample_exact(r, caps.get(name), seed, id_col).withColumn("split", F.lit(name))
         out = r if out is None else out.unionByName(r)
     return out
-
-
-def n_test_rows(n: int, test_size: float) -> int:
-    return int(math.ceil(test_size * n))

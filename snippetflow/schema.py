@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snippetflow.session import cut_lineage
+
 SAMPLE_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), True),
     T.StructField("code", T.StringType(), True),
@@ -44,12 +46,6 @@ def id_column(df: DataFrame) -> str | None:
     return None
 
 
-# Broadcast bound for the one-row-per-file tables (path + rank or offset
-# per file, a few tens of MB at this count); the file count is the scan's file
-# list, known on the driver before any job runs.
-MAX_BROADCAST_FILES = 200_000
-
-
 def with_file_order(df: DataFrame, out: str = "_ord") -> DataFrame:
     """Add a numeric order column equal to file order for parquet inputs.
 
@@ -60,12 +56,9 @@ def with_file_order(df: DataFrame, out: str = "_ord") -> DataFrame:
     base = df.select("*", F.col("_metadata.file_path").alias("_fp"),
                      F.col("_metadata.row_index").alias("_ri"))
     files = base.select("_fp").distinct()
-    ranked = files.select("_fp", (F.dense_rank().over(Window.orderBy("_fp")) - 1)
-                          .cast("long").alias("_frank"))
-    # one row per input file: broadcast under the file-count bound (the scan's
-    # file list, known on the driver), shuffled beyond it
-    if len(df.inputFiles()) <= MAX_BROADCAST_FILES:
-        ranked = F.broadcast(ranked)
+    # written, so its size is known when the join is planned
+    ranked = cut_lineage(files.select("_fp", (F.dense_rank().over(Window.orderBy("_fp")) - 1)
+                                      .cast("long").alias("_frank")))
     out_df = base.join(ranked, "_fp").withColumn(
         out, F.col("_frank") * F.lit(1 << 40) + F.col("_ri"))
     return out_df.drop("_fp", "_ri", "_frank")
@@ -78,17 +71,14 @@ def file_row_ids(df: DataFrame, out: str = "id") -> DataFrame:
 
     id = (rows in the files before this one) + ``_metadata.row_index``.  Rows
     are counted per file (one row per file), a running sum over that table
-    gives each file its offset, and the offsets are joined back on the path:
-    the rows themselves are never shuffled, sorted or numbered by a window.
-    The offset table is broadcast when the scan has at most
-    ``MAX_BROADCAST_FILES`` files and shuffle-joined beyond that.
+    gives each file its offset, and the offsets, written as a table of known
+    size, are joined back on the path: while that table is broadcast the rows
+    themselves are never shuffled, sorted or numbered by a window.
     """
     base = df.select("*", F.col("_metadata.file_path").alias("_fp"),
                      F.col("_metadata.row_index").alias("_ri"))
     per_file = base.groupBy("_fp").agg(F.count(F.lit(1)).alias("_fc"))
     # one row per file: this window is bounded by the file count
-    offs = per_file.select("_fp", (F.sum("_fc").over(Window.orderBy("_fp")) - F.col("_fc")).alias("_foff"))
-    if len(df.inputFiles()) <= MAX_BROADCAST_FILES:
-        offs = F.broadcast(offs)
+    offs = cut_lineage(per_file.select("_fp", (F.sum("_fc").over(Window.orderBy("_fp")) - F.col("_fc")).alias("_foff")))
     return (base.join(offs, "_fp").withColumn(out, (F.col("_foff") + F.col("_ri")).cast("long"))
             .drop("_fp", "_ri", "_foff"))
