@@ -53,12 +53,18 @@ LABEL_TOP = (1 << 31) - 1
 def weighted_vote(stacked: DataFrame) -> DataFrame:
     """Label with the largest weight sum per id; ties -> smallest label.
 
-    One shuffle on ``id``; the per-(id, label) sums and the pick run inside
-    that layout on narrow (id, label, weight) rows."""
-    by_id = stacked.select("id", "predicted_label", "weight").repartition("id")
+    Weights are summed as decimals of nine places, so the sum does not depend
+    on the order in which rows arrive and equal sums are ties.  One shuffle on
+    ``id``; the winner is the max of ``sum * 2^32 + (2^31 - 1 - label)`` as one
+    decimal, so both steps are fixed-width hash aggregates.  Sums must stay below 10^9."""
+    weight = F.col("weight").cast("decimal(18,9)").alias("weight")
+    by_id = stacked.select("id", "predicted_label", weight).repartition("id")
     s = by_id.groupBy("id", "predicted_label").agg(F.sum("weight").alias("_w"))
-    return s.groupBy("id").agg(
-        F.max_by("predicted_label", F.struct(F.col("_w"), -F.col("predicted_label"))).alias("predicted_label"))
+    units = (F.col("_w") * F.lit(10 ** 9)).cast("decimal(20,0)")
+    packed = (units * F.lit(1 << 32) + (F.lit(LABEL_TOP) - F.col("predicted_label").cast("long"))).cast("decimal(38,0)")
+    best = s.groupBy("id").agg(F.max(packed).alias("_k"))
+    label = F.lit(LABEL_TOP) - (F.col("_k") % F.lit(1 << 32)).cast("long")
+    return best.select("id", label.cast("int").alias("predicted_label"))
 
 
 def vote_columns(cols: list) -> Column:
@@ -126,4 +132,15 @@ def two_view_scores(table: CueTable, code: str = "code", n: int = CROP_CHARS) ->
 def two_view_predict(df: DataFrame, table: CueTable, code: str = "code", n: int = CROP_CHARS,
                      out: str = "predicted_label") -> DataFrame:
     """M6: argmax of the averaged two-view class scores (ties -> lowest), per row."""
-    return df.withColumn(out, table.argmax_index(two_view_scores(table, code, n)))
+    if table.mode != "tokens":
+        return df.withColumn(out, table.argmax_index(two_view_scores(table, code, n)))
+    # the tokens of each view, then the scores, then the winner, each a projection of its own,
+    # so that a view is tokenized once
+    t = df
+    for view, crop in (("h", crop_head), ("t", crop_tail)):
+        t = t.withColumn(f"_tv_{view}", F.split(F.lower(F.coalesce(crop(code, n), F.lit(""))), table.split_pattern))
+    for i, ws in enumerate(table.cues.values()):
+        both = F.size(F.filter("_tv_h", _member(ws))) + F.size(F.filter("_tv_t", _member(ws)))
+        t = t.withColumn(f"_tv_s{i}", both.cast("double") / 2.0)
+    names = [f"_tv_s{i}" for i in range(len(table.cues))]
+    return t.withColumn(out, table.argmax_index([F.col(c) for c in names])).drop("_tv_h", "_tv_t", *names)

@@ -43,8 +43,7 @@ def with_class_weight(df: DataFrame, weights: DataFrame, label: str = "label",
                       out: str = "weight") -> DataFrame:
     """Attach each row's class weight (weights hold one row per class)."""
     w = weights.select(F.col("label").alias("_wl"), F.col("weight").alias(out))
-    from snippetflow.operators.bounded import bounded_broadcast
-    return df.join(bounded_broadcast(w, what="class weights"), F.col(label) == F.col("_wl"), "left").drop("_wl")
+    return df.join(w, F.col(label).eqNullSafe(F.col("_wl")), "left").drop("_wl")
 
 
 def inverse_label_map(label_map_df: DataFrame) -> DataFrame:

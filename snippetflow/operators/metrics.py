@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snippetflow.operators.bounded import bounded_broadcast
-
 METRIC_NAMES = ("accuracy", "macro_f1", "weighted_f1", "macro_precision", "macro_recall")
 
 
@@ -70,8 +68,7 @@ def with_class_name(df: DataFrame, label_map: DataFrame | None, label: str = "la
     if label_map is None:
         return df.withColumn(out, fb)
     m = label_map.select(F.col("label").alias("_ml"), F.col("name").alias("_mn"))
-    # label maps hold one row per class: broadcast bounded (and checked) by K
-    return (df.join(bounded_broadcast(m, what="label map"), F.col(label) == F.col("_ml"), "left")
+    return (df.join(m, F.col(label) == F.col("_ml"), "left")
             .withColumn(out, F.coalesce(F.col("_mn"), fb)).drop("_ml", "_mn"))
 
 
@@ -186,8 +183,21 @@ def confusion_dense(conf: DataFrame) -> DataFrame:
 
 
 def align_predictions(truth: DataFrame, preds: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of truth joined with their prediction by key (inner)."""
-    return truth.join(preds, key, "inner")
+    """Every row of truth with its prediction by key.
+
+    Both sides must hold the same keys, each once: keys are counted on both
+    sides in one aggregate first, and a missing, surplus, repeated or
+    null key raises an error that names how many there are of each.
+    """
+    both = truth.select(F.col(key).alias("k"), F.lit(1).alias("t"), F.lit(0).alias("p")).unionByName(
+        preds.select(F.col(key).alias("k"), F.lit(0).alias("t"), F.lit(1).alias("p")))
+    per = both.groupBy("k").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
+    faults = {"rows without a prediction": "t > 0 and p = 0", "predictions without a row": "t = 0",
+              "repeated rows": "t > 1", "repeated predictions": "p > 1", "null keys": "k is null"}
+    n = per.agg(*[F.count(F.when(F.expr(c), 1)).alias(f"f{i}") for i, c in enumerate(faults.values())]).first()
+    if any(n):
+        raise ValueError("predictions do not align: " + ", ".join(f"{x} {w}" for x, w in zip(n, faults) if x))
+    return truth.join(preds, key, "left")
 
 
 def misclassified(scored: DataFrame, truth: str = "label", pred: str = "predicted_label",
@@ -198,12 +208,9 @@ def misclassified(scored: DataFrame, truth: str = "label", pred: str = "predicte
            .withColumn("predicted_label", F.col(pred)))
     if label_map is not None:
         m = label_map.select("label", "name")
-        # K-row label map: broadcast bounded (and checked) by the class count
-        out = (out.join(bounded_broadcast(m.select(F.col("label").alias("_tl"), F.col("name").alias("true_class")),
-                                          what="label map"),
+        out = (out.join(m.select(F.col("label").alias("_tl"), F.col("name").alias("true_class")),
                         F.col("true_label") == F.col("_tl"), "left").drop("_tl")
-               .join(bounded_broadcast(m.select(F.col("label").alias("_pl"), F.col("name").alias("predicted_class")),
-                                       what="label map"),
+               .join(m.select(F.col("label").alias("_pl"), F.col("name").alias("predicted_class")),
                      F.col("predicted_label") == F.col("_pl"), "left").drop("_pl"))
     return out
 

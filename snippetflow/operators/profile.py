@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snippetflow.operators.bounded import bounded_broadcast
 from snippetflow.operators.clean import code_key
+from snippetflow.session import cut_lineage
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -44,60 +44,69 @@ def duplicate_count(df: DataFrame, code: str = "code") -> DataFrame:
     return groups.agg((F.sum("_c") - F.count(F.lit(1))).cast("long").alias("n_duplicates"))
 
 
-def length_describe(df: DataFrame, code: str = "code") -> DataFrame:
-    """Count, mean, std (ddof 1), min, quartiles (linear), max of the code length."""
-    ln = F.length(F.col(code))
-    s = df.select(ln.alias("len")).agg(
-        F.count("len").cast("long").alias("count"), F.avg("len").alias("mean"),
-        F.stddev_samp("len").alias("std"), F.min("len").cast("long").alias("min"),
-        F.percentile("len", F.array(*[F.lit(q) for q in QUARTILES])).alias("_q"),
-        F.max("len").cast("long").alias("max"))
-    return s.select("count", "mean", "std", "min", F.col("_q")[0].alias("q25"),
-                    F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max")
+def length_counts(df: DataFrame, code: str = "code", label: str | None = None) -> DataFrame:
+    """(label, len, n): rows of each length, the one pass over the text that all
+    length statistics read.  Partial on the map side; a table of at most
+    labels x distinct lengths, written once."""
+    cols = [F.length(F.col(code)).alias("len")] + ([F.col(label).alias("label")] if label else [])
+    return cut_lineage(df.select(*cols).groupBy(*(["label"] if label else []), "len").agg(F.count(F.lit(1)).alias("n")))
+
 
+def _quartiles() -> list:
+    return [F.percentile("len", q, F.col("n")).alias(f"q{int(100 * q)}") for q in QUARTILES]
 
-def length_histogram(df: DataFrame, code: str = "code", bins: int = 50) -> DataFrame:
+
+def length_describe(df: DataFrame, code: str = "code", counts: DataFrame | None = None) -> DataFrame:
+    """Count, mean, std (ddof 1), min, quartiles (linear), max of the code length."""
+    c = (length_counts(df, code) if counts is None else counts).where("len is not null")
+    n, s1, s2 = F.sum("n"), F.sum(F.col("len") * F.col("n")), F.sum((F.col("len").cast("long") * F.col("len")).cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)"))
+    s = c.agg(n.alias("count"), s1.alias("s1"), s2.alias("s2"), F.min("len").cast("long").alias("min"), *_quartiles(),
+              F.max("len").cast("long").alias("max"))
+    k, t = F.col("count"), F.col("s1").cast("decimal(38,0)")
+    # exact sums, one rounding at the end
+    spread = (F.col("s2").cast("decimal(38,0)") * k - t * t).cast("double")
+    return s.select(F.coalesce(k, F.lit(0)).cast("long").alias("count"), (F.col("s1") / k).alias("mean"),
+                    F.when(k > 1, F.sqrt(spread / (k.cast("double") * (k - 1)))).alias("std"), "min", "q25", "q50", "q75", "max")
+
+
+def length_histogram(df: DataFrame, code: str = "code", bins: int = 50, counts: DataFrame | None = None) -> DataFrame:
     """``bins`` equal-width bins from min to max length, last bin closed;
     (bin, lo, hi, n) including empty bins.  min == max: the range becomes
     min-0.5 .. max+0.5 and every row falls in the middle bin.
 
-    One scalar subquery yields (min, max); one aggregate counts rows per bin;
-    the bin list itself is a ``bins``-row range.
+    Reads the length table only: one scalar subquery yields (min, max), one
+    aggregate counts rows per bin; the bin list itself is a ``bins``-row range.
     """
-    lens = df.select(F.length(F.col(code)).alias("len")).filter(F.col("len").isNotNull())
+    lens = (length_counts(df, code) if counts is None else counts).where("len is not null")
     mm = lens.agg(F.struct(F.min("len").alias("mn"), F.max("len").alias("mx")).alias("mm")).scalar()
     mn, mx = mm["mn"], mm["mx"]
     lo = F.when(mx > mn, mn.cast("double")).otherwise(mn - F.lit(0.5))
     width = F.when(mx > mn, (mx - mn).cast("double")).otherwise(F.lit(1.0))
     b = F.least(F.floor((F.col("len") - lo) * F.lit(float(bins)) / width), F.lit(bins - 1)).cast("int")
-    counts = lens.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    per = lens.select(b.alias("bin"), "n").groupBy("bin").agg(F.sum("n").alias("n"))
     grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    # bins rows on the grid side
-    return (grid.join(F.broadcast(counts), "bin", "left")
+    return (grid.join(per, "bin", "left")
             .select("bin", (lo + width * F.col("bin") / bins).alias("lo"),
                     (lo + width * (F.col("bin") + 1) / bins).alias("hi"),
                     F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
-def length_box_by_label(df: DataFrame, code: str = "code", label: str = "label",
-                        whis: float = 1.5) -> DataFrame:
+def length_box_by_label(df: DataFrame, code: str = "code", label: str = "label", whis: float = 1.5,
+                        counts: DataFrame | None = None) -> DataFrame:
     """Per label quartiles, whiskers at the extreme lengths inside
-    q1 - 1.5 IQR .. q3 + 1.5 IQR, and the outlier count."""
-    lens = df.select(F.col(label).alias("label"), F.length(F.col(code)).alias("len"))
-    q = lens.groupBy("label").agg(F.percentile("len", F.array(*[F.lit(x) for x in QUARTILES])).alias("_q"))
-    q = q.select("label", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
+    q1 - 1.5 IQR .. q3 + 1.5 IQR, and the outlier count.  Rows without a label are
+    a group of their own; a null length is an outlier."""
+    lens = length_counts(df, code, label) if counts is None else counts
+    q = lens.groupBy("label").agg(*_quartiles()).select(F.col("label").alias("_ql"), F.col("q25").alias("q1"), F.col("q50").alias("median"), F.col("q75").alias("q3"))
     q = q.withColumn("_lo", F.col("q1") - whis * (F.col("q3") - F.col("q1"))) \
          .withColumn("_hi", F.col("q3") + whis * (F.col("q3") - F.col("q1")))
-    # one row per label: broadcast bounded (and checked) by the class count
-    j = lens.join(bounded_broadcast(q.select("label", "_lo", "_hi"), what="per-label fences"), "label")
-    inside = (F.col("len") >= F.col("_lo")) & (F.col("len") <= F.col("_hi"))
-    agg = j.groupBy("label").agg(
+    j = lens.join(q, F.col("label").eqNullSafe(F.col("_ql")))
+    inside = F.coalesce((F.col("len") >= F.col("_lo")) & (F.col("len") <= F.col("_hi")), F.lit(False))
+    return j.groupBy("label", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("len"))).cast("long").alias("whisker_low"),
         F.max(F.when(inside, F.col("len"))).cast("long").alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(1)).cast("long").alias("n_outliers"),
-        F.count(F.lit(1)).alias("n"))
-    return q.drop("_lo", "_hi").join(agg, "label")
+        F.sum(F.when(inside, 0).otherwise(F.col("n"))).cast("long").alias("n_outliers"),
+        F.sum("n").cast("long").alias("n"))
 
 
 def table_info(df: DataFrame) -> DataFrame:
