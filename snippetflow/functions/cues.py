@@ -102,17 +102,19 @@ class CueTable:
             expr = F.when(s == best, F.lit(i)) if expr is None else expr.when(s == best, F.lit(i))
         return expr.otherwise(F.lit(0))
 
-    def label_index(self, text="code") -> Column:
-        """Integer prediction 0..K-1 for the text (null text scores zero everywhere)."""
-        t = F.coalesce(_c(text), F.lit(""))
-        return self.argmax_index(self.scores(t))
-
     def apply(self, df: DataFrame, text: str = "code", out: str = "detected_language",
               kind: str = "label") -> DataFrame:
         """Add the label (``kind='label'``) or the 0-based class index
         (``kind='index'``) as three projections - tokens, per-label scores,
         winner - so the text is tokenized once per row however many labels
         and comparisons follow (Catalyst does not re-inline such columns)."""
+        return self._apply(df, text, **{kind: out})
+
+    def apply_both(self, df: DataFrame, text: str, label: str, index: str) -> DataFrame:
+        """Add the label and the class index from one scoring."""
+        return self._apply(df, text, label=label, index=index)
+
+    def _apply(self, df: DataFrame, text: str, label: str | None = None, index: str | None = None) -> DataFrame:
         t = F.col(text)
         names = [f"_cue_s{i}" for i in range(len(self.cues))]
         if self.mode == "tokens":
@@ -123,11 +125,11 @@ class CueTable:
             scored = df.select("*", *[c.alias(n) for c, n in
                                       zip(self.scores(F.coalesce(t, F.lit(""))), names)])
         cols = [F.col(n) for n in names]
-        if kind == "index":
-            res = self.argmax_index(cols)
-        else:
-            res = F.when(t.isNull(), F.lit(self.unknown)).otherwise(self.pick(cols))
-        return scored.withColumn(out, res).drop(*names)
+        if label:
+            scored = scored.withColumn(label, F.when(t.isNull(), F.lit(self.unknown)).otherwise(self.pick(cols)))
+        if index:
+            scored = scored.withColumn(index, self.argmax_index(cols))
+        return scored.drop(*names)
 
     def label(self, text="code") -> Column:
         """Detected label for the text column; null text -> unknown."""

@@ -12,10 +12,11 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,36 +24,39 @@ from snippetflow.functions.cues import CueTable
 from snippetflow.functions.text import TOKEN_SPLIT
 from snippetflow.operators import labels as L
 from snippetflow.operators import metrics as M
+from snippetflow.session import cut_lineage
 
 DEFAULT_CANDIDATES = ({"regParam": 0.01, "maxIter": 20}, {"regParam": 0.1, "maxIter": 20})
 DEFAULT_FEATURES = 1 << 14
 NB_SPLIT = r"[^\p{L}]+"
+NB_ALPHAS = (0.1, 1.0, 10.0)
 
 
-def build_pipeline(num_features: int = DEFAULT_FEATURES, reg_param: float = 0.01, max_iter: int = 30,
-                   code: str = "code", label: str = "label", weight: str | None = "weight",
-                   language_feature: str | None = None):
-    """M4 estimator.  ``language_feature`` adds a one-hot of a string column
-    (stage-1 ``detected_language``, M9) to the text features."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
+def feature_stages(num_features: int = DEFAULT_FEATURES, code: str = "code", language_feature: str | None = None) -> tuple[list, str]:
+    """The text features' stages and the name of their output.  ``language_feature``
+    adds a one-hot of a string column (stage-1 ``detected_language``, M9).
+    ``num_features`` is the fixed size of the hash space: tokens collide as the
+    vocabulary outgrows it, so raise it with the data."""
     from pyspark.ml.feature import (IDF, HashingTF, OneHotEncoder, RegexTokenizer, StringIndexer,
                                     VectorAssembler)
     stages = [RegexTokenizer(inputCol=code, outputCol="_tokens", pattern=TOKEN_SPLIT, toLowercase=True),
               HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
               IDF(inputCol="_tf", outputCol="_tfidf")]
-    feats = "_tfidf"
-    if language_feature:
-        stages += [StringIndexer(inputCol=language_feature, outputCol="_lang_ix", handleInvalid="keep"),
-                   OneHotEncoder(inputCol="_lang_ix", outputCol="_lang_oh", handleInvalid="keep"),
-                   VectorAssembler(inputCols=["_tfidf", "_lang_oh"], outputCol="_features")]
-        feats = "_features"
-    lr = LogisticRegression(featuresCol=feats, labelCol=label, family="multinomial",
+    if not language_feature:
+        return stages, "_tfidf"
+    stages += [StringIndexer(inputCol=language_feature, outputCol="_lang_ix", handleInvalid="keep"),
+               OneHotEncoder(inputCol="_lang_ix", outputCol="_lang_oh", handleInvalid="keep"),
+               VectorAssembler(inputCols=["_tfidf", "_lang_oh"], outputCol="_features")]
+    return stages, "_features"
+
+
+def regression(features: str, reg_param: float = 0.01, max_iter: int = 30, label: str = "label", weight: str | None = "weight"):
+    """M4 estimator over ready features."""
+    from pyspark.ml.classification import LogisticRegression
+    lr = LogisticRegression(featuresCol=features, labelCol=label, family="multinomial",
                             regParam=reg_param, maxIter=max_iter, predictionCol="_prediction",
                             probabilityCol="_probability", rawPredictionCol="_raw")
-    if weight:
-        lr.setWeightCol(weight)
-    return Pipeline(stages=stages + [lr])
+    return lr.setWeightCol(weight) if weight else lr
 
 
 def predict_model(model, df: DataFrame, out: str = "predicted_label") -> DataFrame:
@@ -83,7 +87,6 @@ def train_classifier(train: DataFrame, val: DataFrame, candidates=DEFAULT_CANDID
     the returned model are computed once; the choice of model is a driver
     decision over at most len(candidates) numbers."""
     from snippetflow.operators.ensemble import best_candidate
-    from snippetflow.session import cut_lineage
     spark = train.sparkSession
     # every candidate's IDF pass, optimizer iterations and validation pass
     # read these: materialize the needed columns once instead of re-running
@@ -93,13 +96,19 @@ def train_classifier(train: DataFrame, val: DataFrame, candidates=DEFAULT_CANDID
     val = cut_lineage(val.select(*[c for c in need if c in val.columns]))
     if class_weighted:
         tr = L.with_class_weight(tr, L.class_weights(tr, label), label, "weight")
+    from pyspark.ml import Pipeline, PipelineModel
+    stages, feats = feature_stages(num_features, "code", language_feature)
+    prep = Pipeline(stages=stages).fit(tr)
+    # features are computed once and kept; only the regression is fitted per candidate
+    weight = "weight" if class_weighted else None
+    tr = cut_lineage(prep.transform(tr).select(feats, label, *([weight] if weight else [])))
+    val = cut_lineage(prep.transform(val).select(feats, label))
     rows, models = [], []
     for i, cand in enumerate(candidates):
-        est = build_pipeline(num_features, cand["regParam"], cand["maxIter"], label=label,
-                             weight="weight" if class_weighted else None,
-                             language_feature=language_feature)
-        model = est.fit(tr)
-        ev = evaluate_predictions(predict_model(model, val), label).first()
+        lr = regression(feats, cand["regParam"], cand["maxIter"], label, weight).fit(tr)
+        model = PipelineModel(stages=[*prep.stages, lr])
+        pred = lr.transform(val).select(label, F.col("_prediction").cast("int").alias("predicted_label"))
+        ev = evaluate_predictions(pred, label).first()
         rows.append((i, float(cand["regParam"]), int(cand["maxIter"]), float(ev["macro_f1"]),
                      float(ev["accuracy"])))
         models.append(model)
@@ -124,6 +133,8 @@ def classify(df: DataFrame, model, code: str = "code", out: str = "predicted_lab
     """M5: add the integer prediction with whichever model kind is given."""
     if isinstance(model, CueTable):
         return model.apply(df, code, out, "index")
+    if isinstance(model, NaiveBayesModel):
+        return predict_naive_bayes(model, df, "id", code, out)
     if hasattr(model, "transform"):
         return predict_model(model, df, out)
     if callable(model):
@@ -131,89 +142,131 @@ def classify(df: DataFrame, model, code: str = "code", out: str = "predicted_lab
     raise TypeError(f"unsupported classifier {model!r}")
 
 
-def batch_scores_udf(make_predict_fn, batch_size: int = 32):
-    """External scorer over Arrow batches: ``make_predict_fn()`` returns
-    ``fn(list[str]) -> list[int]``; built once per Python worker."""
-    cache: dict = {}
+_SCORER_CACHE: dict = {}
+
+
+def batch_scores_udf(make_predict_fn, batch_size: int = 32, failed: int | None = None):
+    """External scorer over Arrow batches (M5): ``make_predict_fn()`` returns
+    ``fn(list[str]) -> list[int]`` and is called once per Python worker.  A null text is not
+    sent and scores null; a failing batch is retried row by row and a failing row gets ``failed``."""
+    token = uuid.uuid4().hex
 
     @F.pandas_udf(T.IntegerType())
     def _predict(texts: pd.Series) -> pd.Series:
-        fn = cache.get("fn")
+        fn = _SCORER_CACHE.get(token)
         if fn is None:
-            fn = cache["fn"] = make_predict_fn()
+            fn = _SCORER_CACHE[token] = make_predict_fn()
         vals = texts.tolist()
-        out = []
+        out: list = [None] * len(vals)
         for s in range(0, len(vals), batch_size):
-            out.extend(int(x) for x in fn(vals[s:s + batch_size]))
-        return pd.Series(out, dtype="int32")
+            idx = [i for i in range(s, min(s + batch_size, len(vals))) if vals[i] is not None]
+            if not idx:
+                continue
+            try:
+                got = list(fn([vals[i] for i in idx]))
+                if len(got) != len(idx):
+                    raise ValueError("model returned a wrong number of answers")
+                for i, x in zip(idx, got):
+                    out[i] = int(x)
+            except Exception:
+                for i in idx:
+                    try:
+                        out[i] = int(list(fn([vals[i]]))[0])
+                    except Exception:
+                        out[i] = failed
+        return pd.Series(out, dtype="Int32")
     return _predict
 
 
 # ------------------------------------------------------------ Naive Bayes --
 
-def doc_terms(df: DataFrame, id_col: str = "id", code: str = "code", pattern: str = NB_SPLIT) -> DataFrame:
-    """(id, token, x): term counts per document (empty tokens dropped)."""
-    toks = df.select(F.col(id_col).alias("id"),
-                     F.explode(F.split(F.lower(F.col(code)), pattern)).alias("token"))
-    return toks.filter(F.col("token") != "").groupBy("id", "token").agg(F.count(F.lit(1)).alias("x"))
-
-
 @dataclass
 class NaiveBayesModel:
     weights: DataFrame    # (token, w): w[k] = log(count(token, class k) + a), dense over the K classes
-    classes: DataFrame    # (label, prior, norm) sorted by label: log-prior, log(total_c + a*|V|)
-    labels: list          # the K class labels in order (K is the class count)
+    classes: DataFrame    # (label, prior, norm): log-prior, log(total_c + a*|V|)
+    labels: list          # the K class labels in order
     alpha: float
-    n_vocab: int = -1     # rows of ``weights`` (distinct tokens), counted at fit
 
-    def weights_bytes(self) -> int:
-        """Upper estimate of the weight table in memory: token text plus K doubles per row."""
-        return self.n_vocab * (NB_TOKEN_BYTES + 8 * (len(self.labels) + 2))
 
+@dataclass
+class NaiveBayesCounts:
+    """The sufficient statistics of a fit: one row per token with its K class
+    counts, one row per class with its documents and tokens."""
+    tokens: DataFrame     # (token, c)
+    classes: DataFrame    # (label, n_c, tot)
+    labels: list
+    n_vocab: int
+
+    def model(self, alpha: float = 1.0) -> NaiveBayesModel:
+        """Smoothed by ``alpha`` (the prior as well: log((n_c + a) / (n + K a)))."""
+        weights = self.tokens.select("token", F.transform("c", lambda x: F.log(x + alpha)).alias("w"))
+        allw = Window.partitionBy(F.lit(0))     # K rows
+        classes = self.classes.select(
+            "label", F.log((F.col("n_c") + alpha) / (F.sum("n_c").over(allw) + F.count(F.lit(1)).over(allw) * alpha)).alias("prior"),
+            F.log(F.col("tot") + alpha * self.n_vocab).alias("norm"))
+        return NaiveBayesModel(weights, classes, self.labels, alpha)
+
+
+def count_naive_bayes(train: DataFrame, label: str = "label", code: str = "code", pattern: str = NB_SPLIT) -> NaiveBayesCounts:
+    """One pass over the text: (token, label) counts with partial aggregation, folded
+    to one row per token with a sum per class (fixed width).  Both tables are written once; the K
+    class labels and the vocabulary's size reach the driver.  Rows without a label do not train."""
+    t = train.select(F.col(label).alias("label"), F.col(code).alias("code")).where("label is not null")
+    docs = t.groupBy("label").agg(F.count(F.lit(1)).alias("n_c"))
+    toks = t.select("label", F.explode(F.split(F.lower(F.col("code")), pattern)).alias("token")).filter(F.col("token") != "")
+    counts = cut_lineage(toks.groupBy("token", "label").agg(F.count(F.lit(1)).alias("cnt")))
+    totals = counts.groupBy("label").agg(F.sum("cnt").alias("tot"))
+    classes = cut_lineage(docs.join(totals, "label", "left").select("label", "n_c", F.coalesce("tot", F.lit(0)).alias("tot")))
+    ks = [r["label"] for r in classes.select("label").orderBy("label").collect()]       # K values
+    per = counts.groupBy("token").agg(*[F.sum(F.when(F.col("label") == k, F.col("cnt"))).alias(f"c{i}") for i, k in enumerate(ks)])
+    tokens = cut_lineage(per.select("token", F.array(*[F.coalesce(f"c{i}", F.lit(0)) for i in range(len(ks))]).alias("c")))
+    return NaiveBayesCounts(tokens, classes, ks, tokens.count())
 
-# Broadcast budget for the NB weight table.  The table is broadcast only when
-# its size, computed from the vocabulary count taken at fit, is under this
-# budget; larger vocabularies take the shuffle join.
-NB_BROADCAST_BYTES = 64 << 20
-NB_TOKEN_BYTES = 48     # generous per-token allowance (UTF-8 text + row overhead)
 
+def fit_naive_bayes(train: DataFrame, label: str = "label", code: str = "code", alpha: float = 1.0, pattern: str = NB_SPLIT) -> NaiveBayesModel:
+    """Multinomial NB with additive smoothing."""
+    return count_naive_bayes(train, label, code, pattern).model(alpha)
 
-def fit_naive_bayes(train: DataFrame, label: str = "label", id_col: str = "id", code: str = "code",
-                    alpha: float = 1.0, pattern: str = NB_SPLIT) -> NaiveBayesModel:
-    """Multinomial NB with additive smoothing (prior smoothed as well:
-    log((n_c + a) / (n + K a))).
 
-    One aggregate over (token, label) with partial aggregation gives the
-    sufficient statistics; like any fit this is eager: the counts, the
-    one-row-per-token weight table (K-vector of log(count + a)) and the
-    K-row class table are materialized with reliable checkpoints, so
-    prediction reads model tables, not the training lineage.  Only the K
-    class labels and the vocabulary size reach the driver.
-    """
-    import math
-    from pyspark.sql import Window
-    from snippetflow.session import cut_lineage
-    t = train.select(F.col(label).alias("label"), F.col(code).alias("code"))
-    toks = t.select("label", F.explode(F.split(F.lower(F.col("code")), pattern)).alias("token"))
-    counts = cut_lineage(toks.filter(F.col("token") != "").groupBy("token", "label")
-                         .agg(F.count(F.lit(1)).alias("cnt")))
-    docs = cut_lineage(t.groupBy("label").agg(F.count(F.lit(1)).alias("n_c")))
-    labels_k = [r["label"] for r in docs.select("label").orderBy("label").collect()]   # K values
-    n_vocab = counts.select(F.count_distinct("token")).first()[0]
-    totals = counts.groupBy("label").agg(F.sum("cnt").alias("tot"))
-    allw = Window.partitionBy(F.lit(0))
-    classes = cut_lineage(
-        docs.join(totals, "label", "left")
-        .select("label",
-                F.log((F.col("n_c") + alpha) / (F.sum("n_c").over(allw) + F.count(F.lit(1)).over(allw) * alpha))
-                .alias("prior"),
-                F.log(F.coalesce(F.col("tot"), F.lit(0)) + alpha * n_vocab).alias("norm")))
-    la = float(math.log(alpha))
-    per_token = counts.groupBy("token").agg(
-        F.map_from_entries(F.collect_list(F.struct("label", F.log(F.col("cnt") + alpha)))).alias("_m"))
-    weights = cut_lineage(per_token.select(
-        "token", F.array(*[F.coalesce(F.element_at("_m", F.lit(k)), F.lit(la)) for k in labels_k]).alias("w")))
-    return NaiveBayesModel(weights, classes, labels_k, alpha, int(n_vocab))
+@dataclass
+class NaiveBayesSearch:
+    models: list            # one per candidate
+    candidates: DataFrame   # (candidate, alpha, val_macro_f1, val_accuracy)
+    best: DataFrame         # the chosen row
+    model: NaiveBayesModel
+
+
+def search_naive_bayes(train: DataFrame, val: DataFrame, alphas=NB_ALPHAS, label: str = "label", id_col: str = "id",
+                       code: str = "code") -> NaiveBayesSearch:
+    """M4 + M7 + A23 in closed form: one count of the training rows, a model per alpha, all
+    scored on the validation rows, the first best macro-F1 kept."""
+    from snippetflow.operators.ensemble import best_candidate
+    counts = count_naive_bayes(train, label, code)
+    models = [counts.model(a) for a in alphas]
+    scored = None
+    for i, m in enumerate(models):
+        p = predict_naive_bayes(m, val, id_col, code).select(F.lit(i).alias("candidate"), label, "predicted_label")
+        scored = p if scored is None else scored.unionByName(p)
+    alpha = F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.col("candidate") + 1)
+    table = cut_lineage(M.grouped_summary(scored, "candidate", label).select(
+        "candidate", alpha.alias("alpha"), F.col("macro_f1").alias("val_macro_f1"), F.col("accuracy").alias("val_accuracy")))
+    best = best_candidate(table, "candidate", "val_macro_f1")
+    return NaiveBayesSearch(models, table, best, models[best.first()["candidate"]])
+
+
+def save_naive_bayes(model: NaiveBayesModel, path: str) -> None:
+    """The model's two tables and its settings."""
+    model.weights.write.mode("overwrite").parquet(f"{path}/weights")
+    model.classes.write.mode("overwrite").parquet(f"{path}/classes")
+    spark = model.weights.sparkSession
+    spark.range(1).select(F.lit(float(model.alpha)).alias("alpha")).write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def load_naive_bayes(spark, path: str) -> NaiveBayesModel:
+    classes = spark.read.parquet(f"{path}/classes")
+    labels = [r["label"] for r in classes.select("label").orderBy("label").collect()]
+    alpha = spark.read.parquet(f"{path}/settings").first()["alpha"]
+    return NaiveBayesModel(spark.read.parquet(f"{path}/weights"), classes, labels, alpha)
 
 
 def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "id", code: str = "code",
@@ -223,21 +276,16 @@ def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "id
     Token occurrences meet the one-row-per-token weight table in a join on
     token; a single aggregate per document then sums the K class scores and
     the count of known tokens.  Documents without any known token keep the
-    prior.  When the weight table is within ``NB_BROADCAST_BYTES`` (its row
-    count is known from the fit) it is broadcast: occurrences are never
-    shuffled, and since a document's tokens stay in its task, the partial
-    aggregate leaves one row per document for the exchange.  Beyond the
-    budget it is a shuffle join on token, where AQE splits hot tokens.
+    prior.  The weight table is written at the fit, so its size is known when the
+    join is planned: small, it is broadcast and occurrences stay in their
+    tasks; large, it is joined by shuffle, where AQE splits hot tokens.
     """
     k = len(model.labels)
     # token occurrences (one row each): the per-document aggregate below
     # combines repeats map-side, so no separate (doc, token) shuffle is needed
     occ = (df.select(F.col(id_col).alias("id"), F.explode(F.split(F.lower(F.col(code)), pattern)).alias("token"))
            .filter(F.col("token") != ""))
-    if 0 <= model.n_vocab and model.weights_bytes() <= NB_BROADCAST_BYTES:
-        terms = occ.join(F.broadcast(model.weights), "token")
-    else:
-        terms = occ.join(model.weights.hint("merge"), "token")
+    terms = occ.join(model.weights, "token")
     per_doc = terms.groupBy(F.col("id").alias("_nb_id")).agg(
         F.count(F.lit(1)).alias("_nk"), *[F.sum(F.col("w")[i]).alias(f"_nb{i}") for i in range(k)])
     cl = model.classes.select(F.sort_array(F.collect_list(F.struct("label", "prior", "norm"))).alias("cl"))

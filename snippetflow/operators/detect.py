@@ -11,7 +11,8 @@ Backends:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 from typing import Callable
 
 import pandas as pd
@@ -20,30 +21,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snippetflow.functions.cues import TEXT_CUE_TABLE, UNKNOWN, CueTable
-from snippetflow.functions.text import PROMPT_MAX_CHARS, clean_response
+from snippetflow.functions.text import PROMPT_MAX_CHARS, chat_prompt, clean_response
 
 _MODEL_CACHE: dict = {}
+ANSWER = T.StructType([T.StructField("label", T.StringType()), T.StructField("error", T.StringType())])
 
 
 @dataclass(frozen=True)
 class BatchModel:
-    """External detector.  ``make_predict_fn()`` returns ``predict(list[str]) -> list[str]``."""
+    """External detector.  ``make_predict_fn()`` returns ``predict(list[str]) -> list[str]``.
+
+    With ``labels`` the model is given the chat prompt (X6, as JSON), whose user turn
+    holds the first ``PROMPT_MAX_CHARS`` characters; without, the whole text, or its
+    first ``max_chars`` characters where that is set.  A failing batch is retried row by
+    row; a failing row gets ``unknown`` and the error's text (``answer``).
+    """
     make_predict_fn: Callable
     batch_size: int = 32
-    max_chars: int = PROMPT_MAX_CHARS
+    max_chars: int | None = None
     unknown: str = UNKNOWN
-    name: str = "model"
+    labels: tuple | None = None
+    # names this model in a Python worker's cache; made with the object, never reused
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def column(self, code: Column) -> Column:
-        make, bs, unknown, key = self.make_predict_fn, self.batch_size, self.unknown, self.name
+    def answer(self, code: Column) -> Column:
+        """Struct of the cleaned label and the error (null where none)."""
+        make, bs, unknown, token = self.make_predict_fn, self.batch_size, self.unknown, self.token
 
-        @F.pandas_udf(T.StringType())
-        def _detect(texts: pd.Series) -> pd.Series:
-            fn = _MODEL_CACHE.get((key, id(make)))
+        @F.pandas_udf(ANSWER)
+        def _detect(texts: pd.Series) -> pd.DataFrame:
+            fn = _MODEL_CACHE.get(token)
             if fn is None:
-                fn = make()
-                _MODEL_CACHE[(key, id(make))] = fn
-            out = [unknown] * len(texts)
+                fn = _MODEL_CACHE[token] = make()
+            out, err = [unknown] * len(texts), [None] * len(texts)
             vals = texts.tolist()
             for start in range(0, len(vals), bs):
                 idx = [i for i in range(start, min(start + bs, len(vals))) if vals[i] is not None]
@@ -60,12 +70,18 @@ class BatchModel:
                         try:
                             r = list(fn([vals[i]]))[0]
                             out[i] = unknown if r is None else str(r)
-                        except Exception:
-                            out[i] = unknown
-            return pd.Series(out, dtype=object)
+                        except Exception as e:
+                            out[i], err[i] = unknown, f"{type(e).__name__}: {e}"
+            return pd.DataFrame({"label": pd.Series(out, dtype=object), "error": pd.Series(err, dtype=object)})
 
-        # the prompt sees at most max_chars characters of the code
-        return clean_response(_detect(F.substring(code, 1, self.max_chars)))
+        if self.labels is not None:
+            text = F.when(code.isNotNull(), F.to_json(chat_prompt(self.labels, code, self.max_chars or PROMPT_MAX_CHARS)))
+        else:
+            text = code if self.max_chars is None else F.substring(code, 1, self.max_chars)
+        return _detect(text)
+
+    def column(self, code: Column) -> Column:
+        return clean_response(self.answer(code)["label"])
 
 
 def detection_column(code: Column, backend=TEXT_CUE_TABLE) -> Column:
@@ -79,10 +95,14 @@ def detection_column(code: Column, backend=TEXT_CUE_TABLE) -> Column:
 
 
 def detect_language(df: DataFrame, backend=TEXT_CUE_TABLE, code: str = "code",
-                    out: str = "detected_language") -> DataFrame:
-    """M1: add the detected language; narrow (no shuffle)."""
+                    out: str = "detected_language", error: str | None = None) -> DataFrame:
+    """M1: add the detected language; narrow (no shuffle).  ``error`` names a column
+    for a ``BatchModel``'s error texts, so failures can be counted and seen."""
     if isinstance(backend, CueTable):
         return backend.apply(df, code, out, "label")
+    if error and isinstance(backend, BatchModel):
+        res = df.withColumn("_answer", backend.answer(F.col(code)))
+        return res.withColumn(out, clean_response(F.col("_answer.label"))).withColumn(error, F.col("_answer.error")).drop("_answer")
     return df.withColumn(out, detection_column(F.col(code), backend))
 
 

@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from snippetflow.functions import text as X
 from snippetflow.functions.cues import TEXT_CUES, CueTable
-from snippetflow.functions.cues import TEXT_CUE_TABLE
+from snippetflow.functions.cues import CODE_CUE_TABLE, CODE_LANGUAGES, TEXT_CUE_TABLE
 from snippetflow.functions.rand import sql_uniform
 from snippetflow.operators import classify as C
 from snippetflow.operators import clean, detect, metrics
 from snippetflow.operators import ensemble, labels, profile, sampling
 from snippetflow.plans import jobs
 from snippetflow.schema import file_row_ids, with_file_order
+from snippetflow.session import cut_lineage
 from snippetflow.sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,17 +244,23 @@ def q_sample_exact(spark, sf_dir):
 
 
 VAL_CAP = 300
+SPLITS = {"train": "documents", "val": "conversations", "test": "pages"}
 
 
 @register("load_splits", f"""
-SELECT 'train' AS split, doc_id AS id FROM documents
-UNION ALL (SELECT 'val', doc_id FROM documents ORDER BY {sql_uniform(42, 'doc_id')}, doc_id LIMIT {VAL_CAP})
-UNION ALL SELECT 'test', doc_id FROM documents""")
+SELECT 'train' AS split, doc_id AS id, length(text) AS n FROM documents
+UNION ALL (SELECT 'val', conv_id * 1000 + turn, length(text) FROM conversations
+           ORDER BY {sql_uniform(42, 'conv_id * 1000 + turn')}, conv_id * 1000 + turn LIMIT {VAL_CAP})
+UNION ALL SELECT 'test', page_id, length(html) FROM pages""")
 def q_load_splits(spark, sf_dir):
-    p = f"{sf_dir}/documents.parquet"
-    s = sampling.load_splits(spark, {"train": p, "val": p, "test": p},
-                             {"train": None, "val": VAL_CAP}, seed=42, id_col="doc_id")
-    return s.select("split", F.col("doc_id").alias("id"))
+    """Three tables as the three files of a split, the second capped (the operator's own cap)."""
+    cols = {"train": ("doc_id", "text"), "val": ("conv_id * 1000 + turn", "text"), "test": ("page_id", "html")}
+    paths = {}
+    for k, t in SPLITS.items():
+        paths[k] = io.scratch_path(spark, f"split-{k}")
+        io.save_parquet(table(spark, sf_dir, t).selectExpr(f"{cols[k][0]} AS id", f"{cols[k][1]} AS code"), paths[k])
+    s = sampling.load_splits(spark, paths, {"train": None, "val": VAL_CAP}, seed=42, schema="id bigint, code string")
+    return s.select("split", "id", X.code_length("code").cast("long").alias("n"))
 
 
 def _split_sql(source_sql: str, label_expr: str, val_size=0.2, test_size=0.1, seed=42) -> str:
@@ -261,7 +268,7 @@ def _split_sql(source_sql: str, label_expr: str, val_size=0.2, test_size=0.1, se
     def mode(src, cnt, draws):
         return f"""(SELECT *, (fl + CASE WHEN rk <= need THEN 1 ELSE 0 END)::BIGINT AS alloc FROM (
             SELECT *, draws - sum(fl) OVER () AS need,
-                   row_number() OVER (ORDER BY cont - fl DESC, label) AS rk FROM (
+                   row_number() OVER (ORDER BY cont - fl DESC, label NULLS FIRST) AS rk FROM (
               SELECT *, floor(cont)::BIGINT AS fl FROM (
                 SELECT *, ({cnt}::DOUBLE / sum({cnt}) OVER ()) * ({draws})::DOUBLE AS cont,
                        ({draws}) AS draws FROM {src}))))"""
@@ -275,7 +282,7 @@ def _split_sql(source_sql: str, label_expr: str, val_size=0.2, test_size=0.1, se
         row_number() OVER (PARTITION BY {label_expr} ORDER BY {sql_uniform(seed, 'id')}, id) - 1 AS rank
         FROM {source_sql}), q AS {q2}
 SELECT r.id, CASE WHEN rank < n_train THEN 'train' WHEN rank < n_train + n_val THEN 'val' ELSE 'test' END AS split
-FROM r JOIN q ON r.label = q.label"""
+FROM r JOIN q ON r.label IS NOT DISTINCT FROM q.label"""
 
 
 @register("stratified_split", _split_sql(SAMPLES_SQL, "label"))
@@ -294,6 +301,32 @@ def q_split_counts(spark, sf_dir):
     return sampling.split_counts(sampling.stratified_split(samples(spark, sf_dir), "label", "id", seed=42))
 
 
+# Rows without an id or a label must not get lost.
+HOLES_SQL = (f"(SELECT CASE WHEN id % 7 = 3 THEN NULL ELSE id END AS id, id AS pos, substring(code, 1, 2) AS code, "
+             f"CASE WHEN id % 5 = 1 THEN NULL ELSE label END AS label FROM {SAMPLES_SQL})")
+
+
+def samples_with_holes(spark, sf_dir) -> DataFrame:
+    """Every seventh id and every fifth label is null; the code is its first two characters, so that many are equal."""
+    s = samples(spark, sf_dir)
+    return s.select(F.when(F.col("id") % 7 != 3, F.col("id")).alias("id"), F.col("id").alias("pos"),
+                    F.substring("code", 1, 2).alias("code"), F.when(F.col("id") % 5 != 1, F.col("label")).alias("label"))
+
+
+@register("dedup_null_ids", f"""
+SELECT id, code, (SELECT count(*) FROM {HOLES_SQL}) AS n_rows FROM {HOLES_SQL}
+QUALIFY row_number() OVER (PARTITION BY code ORDER BY id NULLS LAST, label NULLS FIRST, pos) = 1""")
+def q_dedup_null_ids(spark, sf_dir):
+    s = samples_with_holes(spark, sf_dir)
+    return clean.dedup_first(s).select("id", "code").withColumn("n_rows", s.agg(F.count(F.lit(1))).scalar())
+
+
+@register("split_null_labels", _split_sql(f"(SELECT pos AS id, label FROM {HOLES_SQL})", "label"))
+def q_split_null_labels(spark, sf_dir):
+    s = samples_with_holes(spark, sf_dir).select(F.col("pos").alias("id"), "label")
+    return sampling.stratified_split(s, "label", "id", seed=42).select("id", "split")
+
+
 # ------------------------------------------------------------- labels ------
 
 @register("label_map", f"SELECT * FROM {LABEL_MAP_SQL}")
@@ -433,11 +466,10 @@ WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED P
 def q_running_average(spark, sf_dir):
     ev = (table(spark, sf_dir, "events").withColumn("k", F.expr(EVENT_WEIGHT))
           .withColumn("v", F.col("value").cast("decimal(12,2)")))
-    # minute cells: a user holding a third of all events is still cut into
-    # many (user, minute) cells, each numbered by its own window task; the
-    # running sum over one user's cells is bounded by the minutes in the data
+    # minute cells in blocks of a day: a user holding a third of all events is still
+    # cut into many (user, minute) and (user, day) windows
     ra = profile.running_average(ev, "user_id", ["ts", "event_id"], "v", "k",
-                                 bucket=F.date_trunc("minute", "ts"))
+                                 bucket=F.date_trunc("minute", "ts"), bucket_block=lambda b: F.date_trunc("day", b))
     return ra.select("event_id", "user_id", r6("running_avg").alias("running_avg"))
 
 
@@ -520,6 +552,20 @@ def q_align_predictions(spark, sf_dir):
     return metrics.align_predictions(s.select("id", "label"), preds, "id")
 
 
+@register("align_checked", ORACLE["align_predictions"])
+def q_align_checked(spark, sf_dir):
+    """J1 where the predictions come from another table; misaligned ones must be refused."""
+    s = samples(spark, sf_dir)
+    preds = io.save_parquet(TEXT_CUE_TABLE.apply(s.select("id", "code"), "code", "predicted_label", "index").drop("code"),
+                            io.scratch_path(spark, "predictions"))
+    preds = spark.read.parquet(preds)
+    try:
+        metrics.align_predictions(s.select("id", "label"), preds.where("id % 2 = 0"), "id")
+    except ValueError:
+        return metrics.align_predictions(s.select("id", "label"), preds, "id")
+    raise AssertionError("misaligned predictions were accepted")
+
+
 MIS_SQL = f"(SELECT id, code, label AS true_label, predicted_label FROM {SCORED_SQL} WHERE label IS DISTINCT FROM predicted_label)"
 
 
@@ -602,12 +648,11 @@ def q_two_view_expand(spark, sf_dir):
 
 
 @register("prompt_build", f"""
-SELECT id, 2 AS n_turns, 'Code snippet:' || chr(10) || chr(10) || substring(code, 1, 2048) || chr(10) || chr(10)
+SELECT id, 2 AS n_turns, '{X.system_prompt(CODE_LANGUAGES).replace("'", "''")}' AS system_content, 'Code snippet:' || chr(10) || chr(10) || substring(code, 1, 2048) || chr(10) || chr(10)
        || 'Identify the language:' AS user_content FROM {SAMPLES_SQL}""")
 def q_prompt_build(spark, sf_dir):
-    from snippetflow.functions.cues import CODE_LANGUAGES
     p = samples(spark, sf_dir).select("id", X.chat_prompt(CODE_LANGUAGES, "code").alias("prompt"))
-    return p.select("id", F.size("prompt").alias("n_turns"), F.col("prompt")[1]["content"].alias("user_content"))
+    return p.select("id", F.size("prompt").alias("n_turns"), F.col("prompt")[0]["content"].alias("system_content"), F.col("prompt")[1]["content"].alias("user_content"))
 
 
 # Python str.strip() white space, listed for RE2 (whose \\s is ASCII only)
@@ -616,10 +661,9 @@ _PY_WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028
 
 @register("response_clean", f"""
 SELECT conv_id, turn, replace(replace(regexp_replace(regexp_replace(text, '^{_PY_WS}+', ''), '{_PY_WS}+$', ''),
-       '''', ''), '"', '') AS response FROM conversations WHERE role = 'assistant'""")
+       '''', ''), '"', '') AS response FROM conversations""")
 def q_response_clean(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
-    return c.select("conv_id", "turn", X.clean_response("text").alias("response"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.clean_response("text").alias("response"))
 
 
 @register("format_duration", """
@@ -647,31 +691,40 @@ def q_tokens_truncated(spark, sf_dir):
 NB_SPLIT_SQL = C.NB_SPLIT
 
 
-@register("classify_nb", f"""
-WITH tr AS {TRAIN_ROWS_SQL},
-trt AS (SELECT id, token, count(*) AS x FROM (SELECT id, unnest(regexp_split_to_array(lower(code), '{NB_SPLIT_SQL}')) AS token FROM tr)
-        WHERE token <> '' GROUP BY 1, 2),
-cnt AS (SELECT token, label, sum(x) AS cnt FROM trt JOIN tr USING (id) GROUP BY 1, 2),
+def nb_sql(train: str, docs: str, alpha: float) -> str:
+    """SELECT id, predicted_label of ``docs`` (id, code) by Naive Bayes on ``train`` (id, code, label)."""
+    words = f"unnest(regexp_split_to_array(lower(code), '{NB_SPLIT_SQL}')) AS token"
+    return f"""WITH tr AS {train}, docs AS {docs},
+cnt AS (SELECT token, label, count(*) AS cnt FROM (SELECT label, {words} FROM tr) WHERE token <> '' GROUP BY 1, 2),
 v AS (SELECT count(DISTINCT token) AS nv FROM cnt),
-cls AS (SELECT d.label, ln((d.n_c + 1.0) / (sum(d.n_c) OVER () + count(*) OVER () * 1.0)) AS prior,
-               ln(coalesce(t.tot, 0) + 1.0 * v.nv) AS norm
+cls AS (SELECT d.label, ln((d.n_c + {alpha}) / (sum(d.n_c) OVER () + count(*) OVER () * {alpha})) AS prior,
+               ln(coalesce(t.tot, 0) + {alpha} * v.nv) AS norm
         FROM (SELECT label, count(*) AS n_c FROM tr GROUP BY 1) d
         LEFT JOIN (SELECT label, sum(cnt) AS tot FROM cnt GROUP BY 1) t USING (label) CROSS JOIN v),
-w AS (SELECT token, label, ln(cnt + 1.0) - ln(1.0) AS w FROM cnt),
-dt AS (SELECT id, token, count(*) AS x FROM (SELECT id, unnest(regexp_split_to_array(lower(code), '{NB_SPLIT_SQL}')) AS token FROM {SAMPLES_SQL})
-       WHERE token <> '' GROUP BY 1, 2),
+w AS (SELECT token, label, ln(cnt + {alpha}) - ln({alpha}) AS w FROM cnt),
+dt AS (SELECT id, token, count(*) AS x FROM (SELECT id, {words} FROM docs) WHERE token <> '' GROUP BY 1, 2),
 known AS (SELECT * FROM dt WHERE token IN (SELECT token FROM cnt)),
 nk AS (SELECT id, sum(x) AS n_known FROM known GROUP BY 1),
 sp AS (SELECT known.id, w.label, sum(x * w.w) AS s FROM known JOIN w USING (token) GROUP BY 1, 2),
-sc AS (SELECT s.id, c.label, c.prior + coalesce(nk.n_known, 0) * (ln(1.0) - c.norm) + coalesce(sp.s, 0) AS score
-       FROM {SAMPLES_SQL} s CROSS JOIN cls c LEFT JOIN nk ON nk.id = s.id
+sc AS (SELECT s.id, c.label, c.prior + coalesce(nk.n_known, 0) * (ln({alpha}) - c.norm) + coalesce(sp.s, 0) AS score
+       FROM docs s CROSS JOIN cls c LEFT JOIN nk ON nk.id = s.id
        LEFT JOIN sp ON sp.id = s.id AND sp.label = c.label)
-SELECT id, label AS predicted_label FROM sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, label) = 1""")
+SELECT id, label AS predicted_label FROM sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, label) = 1"""
+
+
+@register("classify_nb", nb_sql(TRAIN_ROWS_SQL, SAMPLES_SQL, 1.0))
 def q_classify_nb(spark, sf_dir):
     model = C.fit_naive_bayes(training_rows(spark, sf_dir))
     return C.predict_naive_bayes(model, samples(spark, sf_dir)).select("id", "predicted_label")
 
 
+@register("classify_external", f"SELECT id, length(code) % 4 AS predicted_label FROM {NULL_SAMPLES_SQL}")
+def q_classify_external(spark, sf_dir):
+    """M5 with an external model over Arrow batches; a null text scores null."""
+    scorer = C.batch_scores_udf(lambda: lambda texts: [len(t) % 4 for t in texts])
+    return C.classify(samples_with_nulls(spark, sf_dir), scorer).select("id", F.col("predicted_label").cast("long").alias("predicted_label"))
+
+
 # ----------------------------------------------------------- ensembles -----
 
 
@@ -721,9 +774,6 @@ def q_ensemble_weighted(spark, sf_dir):
     s = samples(spark, sf_dir)
     inv = labels.inverse_label_map(labels.label_map(s))
     det = detect.detect_language(s.select("id", "code"))
-    # K-row inverse map (checked)
-    from snippetflow.operators.bounded import bounded_broadcast
-    inv = bounded_broadcast(inv, what="inverse label map")
     stage1 = det.join(inv, det["detected_language"] == inv["name"]).select("id", "label")
     stage2 = C.classify(s.select("id", "code"), MODELS["m1"])
     stacked = ensemble.stack_predictions({"detect": stage1.withColumnRenamed("label", "predicted_label"),
@@ -777,6 +827,49 @@ def q_detect_unknown(spark, sf_dir):
     return detect.detect_language(samples_with_nulls(spark, sf_dir)).select("id", "detected_language")
 
 
+PAGES_SQL = "(SELECT page_id AS id, html AS code FROM pages)"
+
+
+@register("detect_code_language", "SELECT * FROM " + CODE_CUE_TABLE.sql_detect(SAMPLES_SQL, "id", "code"))
+def q_detect_code_language(spark, sf_dir):
+    """M1 with the product's own label set (programming languages) over every document."""
+    return detect.detect_language(samples(spark, sf_dir), CODE_CUE_TABLE).select("id", "detected_language")
+
+
+@register("detect_code_language_pages", "SELECT * FROM " + CODE_CUE_TABLE.sql_detect(PAGES_SQL, "id", "code"))
+def q_detect_code_language_pages(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("code"))
+    return detect.detect_language(p, CODE_CUE_TABLE).select("id", "detected_language")
+
+
+@register("detect_external", f"""
+SELECT id, CASE WHEN code IS NULL OR length(code) % 5 = 0 THEN 'Unknown' ELSE 'L' || (length(substring(code, 1, 2048)) % 3)::VARCHAR END AS detected_language,
+       code IS NOT NULL AND length(code) % 5 = 0 AS failed FROM {NULL_SAMPLES_SQL}""")
+def q_detect_external(spark, sf_dir):
+    """M1(b)/M2: an external model that is given the chat prompt (X6) and fails on some rows; failures are named."""
+    s = samples_with_nulls(spark, sf_dir)
+    ok = F.length("code") % 5 != 0
+    model = detect.BatchModel(_answer_by_length, labels=tuple(CODE_LANGUAGES))
+    # the failing rows' prompts carry a mark the model refuses
+    s = s.withColumn("code", F.when(ok, F.col("code")).otherwise(F.concat(F.lit("FAIL"), F.col("code"))))
+    out = detect.detect_language(s, model, error="error")
+    return out.select("id", "detected_language", F.col("error").isNotNull().alias("failed"))
+
+
+def _answer_by_length():
+    import json
+
+    def predict(prompts):
+        out = []
+        for p in prompts:
+            code = json.loads(p)[1]["content"][len("Code snippet:\n\n"):-len("\n\nIdentify the language:")]
+            if code.startswith("FAIL"):
+                raise ValueError("refused")
+            out.append(f" 'L{len(code) % 3}'\n")
+        return out
+    return predict
+
+
 @register("predict_detect_only", "SELECT * FROM " + TEXT_CUE_TABLE.sql_detect(SAMPLES_SQL, "id", "code"))
 def q_predict_detect_only(spark, sf_dir):
     out = jobs.predict_job(samples(spark, sf_dir), stages=("detect",))
@@ -821,70 +914,116 @@ def q_errors_csv_roundtrip(spark, sf_dir):
     return io.read_csv(spark, path, ERRORS_SCHEMA)
 
 
-@register("metrics_json")
+@register("metrics_json", f"""
+SELECT 'metrics' AS section, metric AS name, 'value' AS field, value FROM ({ORACLE["metrics_long"]})
+UNION ALL SELECT 'classification_report', class, f, v FROM (
+  SELECT class, unnest(['precision', 'recall', 'f1', 'support']) AS f, unnest([precision, recall, f1, support::DOUBLE]) AS v FROM ({REPORT_SQL}))""")
 def q_metrics_json(spark, sf_dir):
+    """The metrics document written, read back with its schema and unfolded."""
     base = io.scratch_path(spark, "eval-json")
     jobs.evaluate_job(samples(spark, sf_dir), output_dir=base)
-    return io.read_json(spark, f"{base}/test_metrics.json")
+    doc = io.read_json(spark, f"{base}/test_metrics.json", jobs.METRICS_SCHEMA)
+    flat = doc.select(F.explode("metrics").alias("name", "value")).select(F.lit("metrics").alias("section"), "name", F.lit("value").alias("field"), r6("value").alias("value"))
+    rep = doc.select(F.explode("classification_report").alias("name", "r")).select("name", "r.*").withColumn("support", F.col("support").cast("double"))
+    rep = rep.unpivot("name", ["precision", "recall", "f1", "support"], "field", "value")
+    return flat.unionByName(rep.select(F.lit("classification_report").alias("section"), "name", "field", r6("value").alias("value")))
 
 
-# ------------------------------------------------------ Spark ML stage 2 ----
+# ------------------------------------------- train, validate, choose, save ----
 
-_TRAINED: dict = {}
+SPLIT_ROWS_SQL = f"(SELECT p.*, s.split FROM {PRE_SQL} p JOIN ({_split_sql(PRE_SQL, 'label')}) s USING (id))"
+ALPHAS = C.NB_ALPHAS
 
 
-def _splits(spark, sf_dir):
-    pre = clean.preprocess(samples(spark, sf_dir))
-    return sampling.stratified_split(pre, "label", "id", seed=42)
+def _part_sql(split: str) -> str:
+    return f"(SELECT id, code, label FROM {SPLIT_ROWS_SQL} WHERE split = '{split}')"
+
+
+def _alpha_sql(docs: str, alpha: float) -> str:
+    return f"({nb_sql(_part_sql('train'), docs, alpha)})"
+
+
+def _search_sql() -> str:
+    """candidate, alpha, val_macro_f1, val_accuracy"""
+    rows = []
+    for i, a in enumerate(ALPHAS):
+        conf = (f"(SELECT v.label AS true_label, p.predicted_label, count(*) AS n FROM {_part_sql('val')} v "
+                f"JOIN {_alpha_sql(_part_sql('val'), a)} p USING (id) GROUP BY 1, 2)")
+        rows.append(f"SELECT {i} AS candidate, {a}::DOUBLE AS alpha, avg(f1) AS val_macro_f1, "
+                    f"sum(tp)::DOUBLE / sum(support) AS val_accuracy FROM {PC_SQL.replace(CONF_SQL, conf)}")
+    return " UNION ALL ".join(rows)
+
+
+BEST_SQL = f"(SELECT * FROM ({_search_sql()}) QUALIFY row_number() OVER (ORDER BY val_macro_f1 DESC, candidate) = 1)"
+
+
+def _search(spark, sf_dir) -> C.NaiveBayesSearch:
+    """Fit and choose on the train and validation parts of the preprocessed documents."""
+    sp = cut_lineage(sampling.stratified_split(clean.preprocess(samples(spark, sf_dir)), "label", "id", seed=42))
+    return C.search_naive_bayes(sp.where("split = 'train'"), sp.where("split = 'val'"), ALPHAS)
 
 
-def _trained(spark, sf_dir):
-    key = (id(spark), sf_dir)
-    if key not in _TRAINED:
-        sp = _splits(spark, sf_dir)
-        tr = sp.filter(F.col("split") == "train").drop("split")
-        va = sp.filter(F.col("split") == "val").drop("split")
-        _TRAINED[key] = C.train_classifier(tr, va)
-    return _TRAINED[key]
+def _rounded(t: DataFrame) -> DataFrame:
+    return t.select("candidate", "alpha", r6("val_macro_f1").alias("val_macro_f1"), r6("val_accuracy").alias("val_accuracy"))
 
 
-@register("train_classifier")
+_ROUND = "candidate, alpha, round(val_macro_f1, 6) AS val_macro_f1, round(val_accuracy, 6) AS val_accuracy"
+
+
+@register("train_classifier", f"SELECT {_ROUND} FROM {BEST_SQL}")
 def q_train_classifier(spark, sf_dir):
-    return _trained(spark, sf_dir).best
+    return _rounded(_search(spark, sf_dir).best)
 
 
-@register("validate_candidates")
+@register("validate_candidates", f"SELECT {_ROUND} FROM ({_search_sql()})")
 def q_validate_candidates(spark, sf_dir):
-    return _trained(spark, sf_dir).candidates
+    return _rounded(_search(spark, sf_dir).candidates)
+
 
+_EVERY = " UNION ALL ".join(f"SELECT {i} AS candidate, id, predicted_label FROM {_alpha_sql(SAMPLES_SQL, a)}" for i, a in enumerate(ALPHAS))
 
-@register("classify")
+
+@register("classify", f"SELECT e.id, s.label, e.predicted_label FROM ({_EVERY}) e JOIN {BEST_SQL} b USING (candidate) JOIN {SAMPLES_SQL} s USING (id)")
 def q_classify(spark, sf_dir):
-    test = _splits(spark, sf_dir).filter(F.col("split") == "test").drop("split")
-    return C.classify(test, _trained(spark, sf_dir).model).select("id", "label", "predicted_label")
+    """Every document by the chosen model."""
+    return C.classify(samples(spark, sf_dir), _search(spark, sf_dir).model).select("id", "label", "predicted_label")
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", f"SELECT e.id, e.predicted_label FROM ({_EVERY}) e JOIN {BEST_SQL} b USING (candidate)")
 def q_model_roundtrip(spark, sf_dir):
+    """The chosen model saved, read back and applied to every document."""
     path = io.scratch_path(spark, "model")
-    C.save_model(_trained(spark, sf_dir).model, path)
-    test = _splits(spark, sf_dir).filter(F.col("split") == "test").drop("split")
-    return C.classify(test, C.load_model(path)).select("id", "predicted_label")
+    C.save_naive_bayes(_search(spark, sf_dir).model, path)
+    return C.classify(samples(spark, sf_dir), C.load_naive_bayes(spark, path)).select("id", "predicted_label")
 
 
-@register("ensemble_checkpoints")
+@register("ensemble_checkpoints", f"""
+WITH c AS (SELECT id, predicted_label, count(*) AS n FROM ({_EVERY}) GROUP BY 1, 2)
+SELECT id, predicted_label FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, predicted_label) = 1""")
 def q_ensemble_checkpoints(spark, sf_dir):
-    """M8: save every candidate model, load them back, score the test rows in
-    one pass and take the per-row majority vote."""
-    res = _trained(spark, sf_dir)
-    loaded = {}
-    for i, m in enumerate(res.models):
+    """M8: every candidate saved, loaded back and applied to every document; majority vote."""
+    preds = {}
+    for i, m in enumerate(_search(spark, sf_dir).models):
         path = io.scratch_path(spark, f"ckpt{i}")
-        C.save_model(m, path)
-        loaded[f"c{i}"] = C.load_model(path)
-    test = _splits(spark, sf_dir).filter(F.col("split") == "test").drop("split")
-    wide = ensemble.score_all(test, loaded)
-    return wide.select("id", ensemble.vote_columns([f"pred_{k}" for k in loaded]).alias("predicted_label"))
+        C.save_naive_bayes(m, path)
+        preds[f"c{i}"] = C.classify(samples(spark, sf_dir).select("id", "code"), C.load_naive_bayes(spark, path))
+    return ensemble.majority_vote(ensemble.stack_predictions(preds))
+
+
+TIE_WEIGHTS = {"m0": 0.1, "m1": 0.2, "m2": 0.3, "other": 0.6}
+
+
+@register("ensemble_weighted_ties", f"""
+WITH p AS (SELECT id, id % 3 AS predicted_label, w AS weight FROM {SAMPLES_SQL}, (SELECT unnest([0.1, 0.2, 0.3])::DECIMAL(18, 9) AS w)
+           UNION ALL SELECT id, (id + 1) % 3, 0.6 FROM {SAMPLES_SQL}),
+w AS (SELECT id, predicted_label, sum(weight) AS w FROM p GROUP BY 1, 2)
+SELECT id, predicted_label::INTEGER AS predicted_label FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, predicted_label) = 1""")
+def q_ensemble_weighted_ties(spark, sf_dir):
+    """Three models of weights .1, .2 and .3 against one of .6 are a tie, in whatever order rows arrive."""
+    s = samples(spark, sf_dir).select("id")
+    low = s.select("id", (F.col("id") % 3).cast("int").alias("predicted_label"))
+    high = s.select("id", ((F.col("id") + 1) % 3).cast("int").alias("predicted_label"))
+    return ensemble.weighted_vote(ensemble.stack_predictions({"m0": low, "m1": low, "m2": low, "other": high}, weights=TIE_WEIGHTS))
 
 
 PRED_SCHEMA = "id bigint, code string, language string, label int, detected_language string, predicted_label int"
@@ -933,4 +1072,4 @@ def q_stream_language_distribution(spark, sf_dir):
     src = S.read_samples_stream(spark, f"{sf_dir}/documents*.parquet", STREAM_DOC_SCHEMA)
     path = io.scratch_path(spark, "stream-langs")
     S.language_counts_table_stream(S.samples_view(src), path).awaitTermination()
-    return spark.read.parquet(path).select("language", "n")
+    return S.latest_counts(spark, path).select("language", "n")

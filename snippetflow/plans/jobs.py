@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snippetflow.functions.cues import TEXT_CUE_TABLE
+from snippetflow.functions.cues import TEXT_CUE_TABLE, CueTable
 from snippetflow.operators import classify as C
 from snippetflow.operators import clean, detect, labels, metrics, profile, sampling
 from snippetflow.schema import file_row_ids, id_column
@@ -24,8 +24,11 @@ def predict_job(df: DataFrame, stages=STAGES, detector=TEXT_CUE_TABLE, classifie
     """M10/M12 predict: no preprocessing, one output row per input row.
 
     Adds ``detected_language`` (stage 1) and ``predicted_label`` (stage 2)
-    for the enabled stages; narrow end to end.
+    for the enabled stages; narrow end to end.  Where both stages use the
+    same cue table, one tokenization and one scoring serve both.
     """
+    if "detect" in stages and "classify" in stages and detector is classifier and isinstance(detector, CueTable):
+        return detector.apply_both(df, code, "detected_language", "predicted_label")
     out = df
     if "detect" in stages:
         out = detect.detect_language(out, detector, code)
@@ -58,71 +61,83 @@ def submission_job(df: DataFrame, path: str | None = None, **kw) -> DataFrame:
     return sub
 
 
+def metrics_document(mlong: DataFrame, report: DataFrame) -> DataFrame:
+    """One row with the flat metrics and the nested report keyed by class
+    (both tables hold a few rows per class)."""
+    flat = mlong.agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
+    body = F.struct("precision", "recall", "f1", "support")
+    nested = report.agg(F.map_from_entries(F.collect_list(F.struct(F.col("class"), body))).alias("classification_report"))
+    return flat.select("metrics", nested.scalar().alias("classification_report"))
+
+
+METRICS_SCHEMA = ("metrics map<string,double>, classification_report "
+                  "map<string,struct<precision:double,recall:double,f1:double,support:bigint>>")
+
+
 def evaluate_job(test: DataFrame, classifier=TEXT_CUE_TABLE, output_dir: str | None = None,
                  prefix: str = "test_", truth: str = "label", order_col: str = "id",
                  metric_names=None, save_predictions: bool = False, save_errors: bool = True,
-                 max_errors: int = 100, code: str = "code") -> dict:
+                 max_errors: int | None = None, code: str = "code") -> dict:
     """Preprocess -> predict once -> every evaluation table.
 
-    Only the narrow scored keys (order, truth, language, prediction) are cut
-    from their lineage (reliable checkpoint); the K^2 confusion table and the
-    K-row label map are materialized from them, and every metric reads those
-    small tables.  The error table picks its first ``max_errors`` ids from the
-    keys and joins the text back for those rows only.  Returns the named
-    DataFrames; with ``output_dir`` also writes metrics JSON, errors CSV and
-    (optionally) all predictions.
+    One aggregate over (truth, language, prediction) gives counts and first
+    ids; this small table is written once, and the confusion table, the label
+    map and every metric read it.  Predictions that are saved are scored once
+    and everything else reads them.  The error table holds all misclassified
+    rows with their text (the first ``max_errors`` in order where that is set).
+    Returns the named DataFrames; with ``output_dir`` also writes metrics
+    JSON, errors CSV (one part file per task) and (optionally) all predictions.
     """
-    from snippetflow.session import cut_lineage
-    pre = clean.preprocess(test, code=code, order_col=order_col)
-    scored = C.classify(pre, classifier, code)
-    keep = [c for c in (order_col, truth, "language", "predicted_label") if c in scored.columns]
-    keys = cut_lineage(scored.select(*keep))
-    lmap = cut_lineage(labels.label_map(keys, truth, "language", order_col))
-    conf = metrics.confusion_table(keys, truth, "predicted_label")
+    scored = C.classify(clean.preprocess(test, code=code, order_col=order_col), classifier, code)
+    base = output_dir.rstrip("/") if output_dir else None
+    if base and save_predictions:
+        scored = cut_lineage(scored)
+    lang = "language" if "language" in scored.columns else None
+    cells = cut_lineage(scored.select(
+        metrics._non_null(truth, "true").alias("true_label"), metrics._non_null("predicted_label", "predicted").alias("predicted_label"),
+        (F.col(lang) if lang else F.lit(None).cast("string")).alias("language"), F.col(order_col).alias("o"))
+        .groupBy("true_label", "language", "predicted_label").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first")))
+    conf = cells.groupBy("true_label", "predicted_label").agg(F.sum("n").alias("n"))
+    if lang:
+        lmap = cells.groupBy(F.col("true_label").alias("label"), "language").agg(F.min("first").alias("first")).groupBy("label").agg(
+            F.max_by("language", "first").alias("name"))
+    else:
+        lmap = labels.label_map(conf.select(F.col("true_label").alias("label")))
     mlong = metrics.metrics_long(conf, lmap, prefix)
     if metric_names:
         mlong = mlong.filter(F.col("metric").isin([prefix + m for m in metric_names]))
-    top = metrics.misclassified_top(keys, order_col, max_errors, truth=truth, label_map=lmap)
-    # at most max_errors rows: the text comes from the input by id (ids are
-    # unique, so no second dedup pass), through a broadcast bounded by that
-    src = test.withColumn(code, F.col(code).cast("string"))
-    errors = src.join(F.broadcast(top.drop(*[c for c in (truth, "language") if c in top.columns])),
-                      order_col).orderBy(order_col)
+    errors = metrics.misclassified(scored, truth, "predicted_label", lmap)
+    if max_errors is not None:
+        errors = errors.orderBy(order_col).limit(max_errors)
+    keep = [c for c in (order_col, truth, "language", "predicted_label") if c in scored.columns]
     out = {
-        "scored": keys,
+        "scored": scored.select(*keep),
         "label_map": lmap,
         "confusion": conf,
-        "confusion_dense": metrics.confusion_dense(conf),
         "metrics": mlong,
         "report": metrics.classification_report(conf, lmap),
         "per_class": metrics.per_class_long(conf),
         "errors": errors,
     }
-    if output_dir:
-        base = output_dir.rstrip("/")
-        doc = out["metrics"].select(F.lit("metric").alias("kind"), "metric", "value",
-                                    F.lit(None).cast("string").alias("class"),
-                                    F.lit(None).cast("double").alias("precision"),
-                                    F.lit(None).cast("double").alias("recall"),
-                                    F.lit(None).cast("double").alias("f1"),
-                                    F.lit(None).cast("long").alias("support"))
-        rep = out["report"].select(F.lit("classification_report").alias("kind"),
-                                   F.lit(None).cast("string").alias("metric"),
-                                   F.lit(None).cast("double").alias("value"), "class", "precision",
-                                   "recall", "f1", "support")
-        io.write_json(doc.unionByName(rep), f"{base}/{prefix}metrics.json")
+    if base:
+        io.write_json(metrics_document(out["metrics"], out["report"]), f"{base}/{prefix}metrics.json")
         if save_errors:
-            io.write_csv(out["errors"], f"{base}/{prefix}misclassifications.csv", single_file=True)
+            io.write_csv(errors, f"{base}/{prefix}misclassifications.csv")
         if save_predictions:
             io.write_csv(scored, f"{base}/{prefix}predictions.csv")
     return out
 
 
 def train_job(train: DataFrame, val: DataFrame, output_dir: str | None = None,
-              train_max_rows: int | None = None, val_max_rows: int | None = 20000,
+              train_max_rows: int | None = None, val_max_rows: int | None = None,
               seed: int = 42, stages=STAGES, candidates=C.DEFAULT_CANDIDATES,
-              detector=TEXT_CUE_TABLE) -> dict:
-    """M12 train: cap -> preprocess -> stage 1 (saved) -> fit candidates -> best model (saved)."""
+              detector=TEXT_CUE_TABLE, language_feature: bool = False, class_weighted: bool = True,
+              num_features: int = C.DEFAULT_FEATURES) -> dict:
+    """M12 train: cap -> preprocess -> stage 1 (saved) -> fit candidates -> best model (saved).
+
+    ``train_max_rows`` bounds the rows that fit the classifier and ``val_max_rows``
+    those that choose it; neither is set by default.  ``language_feature`` adds
+    stage 1's language to the features (M9)."""
     tr = clean.preprocess(sampling.sample_exact(train, train_max_rows, seed))
     va = clean.preprocess(sampling.sample_exact(val, val_max_rows, seed))
     res = {}
@@ -132,14 +147,26 @@ def train_job(train: DataFrame, val: DataFrame, output_dir: str | None = None,
         if output_dir:
             io.save_parquet(tr, f"{output_dir}/train_with_languages.parquet")
             io.save_parquet(va, f"{output_dir}/val_with_languages.parquet")
+            spark = train.sparkSession
+            tr, va = (spark.read.parquet(f"{output_dir}/{x}_with_languages.parquet") for x in ("train", "val"))
+    elif language_feature:
+        raise ValueError("language_feature needs the detect stage")
     if "classify" in stages:
-        r = C.train_classifier(tr, va, candidates)
+        r = C.train_classifier(tr, va, candidates, class_weighted, num_features,
+                               language_feature="detected_language" if language_feature else None)
         res.update(model=r.model, candidates=r.candidates, best=r.best)
         if output_dir:
             C.save_model(r.model, f"{output_dir}/classifier_best")
     return res
 
 
+def train_from_splits(spark, paths: dict, output_dir: str | None = None, train_max_rows: int | None = None,
+                      val_max_rows: int | None = None, seed: int = 42, **options) -> dict:
+    """S2 + M12: read the train and val tables, cap them, and train."""
+    s = sampling.load_splits(spark, {k: paths[k] for k in ("train", "val")}, {"train": train_max_rows, "val": val_max_rows}, seed)
+    return train_job(*(s.where(F.col("split") == k).drop("split") for k in ("train", "val")), output_dir, seed=seed, **options)
+
+
 def profile_job(df: DataFrame, code: str = "code", label: str = "label", order_col: str = "id") -> dict:
     """The data profile as named DataFrames."""
     out = {
@@ -148,11 +175,14 @@ def profile_job(df: DataFrame, code: str = "code", label: str = "label", order_c
         "missing_values": profile.missing_values(df),
         "duplicate_count": profile.duplicate_count(df, code),
         "short_codes": clean.short_codes(df, code).select(F.count(F.lit(1)).alias("n_short")),
-        "length_describe": profile.length_describe(df, code),
-        "length_histogram": profile.length_histogram(df, code),
     }
+    # one pass over the text serves all length tables
+    counts = profile.length_counts(df, code, label if label in df.columns else None)
+    total = counts.groupBy("len").agg(F.sum("n").alias("n"))
+    out["length_describe"] = profile.length_describe(df, code, total)
+    out["length_histogram"] = profile.length_histogram(df, code, counts=total)
     if label in df.columns:
         out.update(label_counts=profile.label_counts(df, label),
                    class_balance=profile.class_balance(df, label),
-                   length_box=profile.length_box_by_label(df, code, label))
+                   length_box=profile.length_box_by_label(df, code, label, counts=counts))
     return out

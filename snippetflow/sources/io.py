@@ -33,13 +33,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     agree, later joins on ``key`` reuse the layout."""
     spark = df.sparkSession
     want = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        have = df.rdd.getNumPartitions()
-        slots = spark.sparkContext.defaultParallelism
-    except Exception:       # no RDD access (e.g. a Connect session): leave as is
-        return df
-    target = min(want, slots)
-    if have >= target:
+    target = min(want, spark.sparkContext.defaultParallelism)
+    if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, key)
 

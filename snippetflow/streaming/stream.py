@@ -42,35 +42,32 @@ def predict_stream(stream: DataFrame, sink_path: str, checkpoint: str | None = N
     return w.start()
 
 
-def language_counts_stream(stream: DataFrame, query_name: str, detector=TEXT_CUE_TABLE,
-                           checkpoint: str | None = None) -> StreamingQuery:
-    """A8 over a stream: running counts per detected language (complete mode,
-    in-memory table ``query_name`` for inspection)."""
-    spark = stream.sparkSession
-    counts = detect.language_distribution(detect.detect_language(stream, detector))
-    return (counts.writeStream.format("memory").queryName(query_name).outputMode("complete")
-            .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt"))
-            .trigger(availableNow=True).start())
-
-
 def language_counts_table_stream(stream: DataFrame, table_path: str, detector=TEXT_CUE_TABLE,
                                  checkpoint: str | None = None) -> StreamingQuery:
     """A8 over a stream into a durable table: the running counts per detected
     language live in the state store (checkpointed in the shared folder);
-    after each micro-batch the complete K-row result replaces the parquet
-    table at ``table_path``.  Replaying a batch after a failure rewrites the
-    same counts, so the table is exact across restarts."""
+    after each micro-batch the complete K-row result is written under
+    ``table_path`` in a folder named by the batch; the highest batch is the
+    current result (``latest_counts``).  Replaying a batch after a failure
+    rewrites the same counts, so the table is exact across restarts."""
     spark = stream.sparkSession
     counts = detect.language_distribution(detect.detect_language(stream, detector))
 
-    def publish(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(table_path)
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        # a folder of its own for each batch: a reader never meets a half-replaced table
+        batch.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
 
     return (counts.writeStream.outputMode("complete").foreachBatch(publish)
             .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt"))
             .trigger(availableNow=True).start())
 
 
+def latest_counts(spark: SparkSession, table_path: str) -> DataFrame:
+    """The counts of the highest batch under ``table_path``."""
+    t = spark.read.parquet(table_path)
+    return t.where(F.col("batch") == t.agg(F.max("batch")).scalar()).drop("batch")
+
+
 def samples_view(stream: DataFrame) -> DataFrame:
     """documents-shaped rows -> sample contract (id, code, language)."""
     return stream.select(F.col("doc_id").alias("id"), F.col("text").alias("code"), F.col("lang").alias("language"))

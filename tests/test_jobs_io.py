@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snippetflow.operators import classify as C
+from snippetflow.operators import clean, sampling
 from snippetflow.plans import catalog, jobs
 from snippetflow.sources import io
 
@@ -35,20 +36,20 @@ def test_naive_bayes_matches_spark_ml(spark):
     assert ours == ml
 
 
-def test_naive_bayes_join_strategy_follows_vocabulary_budget(spark, monkeypatch):
+def test_naive_bayes_same_by_broadcast_and_by_shuffle(spark):
     train = catalog.training_rows(spark, SF)
     test = catalog.samples(spark, SF)
     model = C.fit_naive_bayes(train)
-    assert model.n_vocab == train.select(F.explode(F.split(F.lower("code"), C.NB_SPLIT)).alias("t")) \
-        .filter("t != ''").distinct().count()
+    pick = lambda d: sorted(d.select("id", "predicted_label").collect())
     small = C.predict_naive_bayes(model, test)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(C, "NB_BROADCAST_BYTES", model.weights_bytes() - 1)
-    big = C.predict_naive_bayes(model, test)
-    p = big._jdf.queryExecution().sparkPlan().toString()
-    assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
-    pick = lambda d: sorted(d.select("id", "predicted_label").collect())
-    assert pick(small) == pick(big)
+    want = pick(small)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert pick(C.predict_naive_bayes(model, test)) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_predict_job_keeps_every_row(spark):
@@ -65,10 +66,33 @@ def test_evaluate_job_outputs(spark):
     out = jobs.evaluate_job(catalog.samples(spark, SF), output_dir=base,
                             metric_names=["accuracy", "macro_f1"])
     assert {r["metric"] for r in out["metrics"].collect()} == {"test_accuracy", "test_macro_f1"}
-    back = io.read_json(spark, f"{base}/test_metrics.json")
-    assert back.filter("kind = 'classification_report'").count() >= 4
+    back = io.read_json(spark, f"{base}/test_metrics.json", jobs.METRICS_SCHEMA).first()
+    assert set(back["metrics"]) == {"test_accuracy", "test_macro_f1"}
+    assert {"accuracy", "macro avg", "weighted avg"} < set(back["classification_report"])
     errs = spark.read.options(**io.CSV_OPTS).csv(f"{base}/test_misclassifications.csv")
-    assert errs.count() <= 100
+    assert errs.count() == out["errors"].count()
+    assert "confusion_dense" not in out
+
+
+def test_saved_predictions_are_scored_once_and_complete(spark):
+    base = io.scratch_path(spark, "evalsave")
+    out = jobs.evaluate_job(catalog.samples(spark, SF), output_dir=base, save_predictions=True)
+    saved = spark.read.options(**io.CSV_OPTS).csv(f"{base}/test_predictions.csv")
+    assert saved.count() == out["scored"].count() == out["confusion"].agg(F.sum("n")).first()[0]
+
+
+def test_train_job_with_language_feature_and_splits(spark):
+    base = io.scratch_path(spark, "train")
+    paths = {}
+    for i, k in enumerate(("train", "val")):
+        paths[k] = io.save_parquet(catalog.samples(spark, SF).where(f"id % 2 = {i}"), f"{base}/{k}")
+    res = jobs.train_from_splits(spark, paths, f"{base}/out", candidates=({"regParam": 0.1, "maxIter": 5},), language_feature=True,
+                                 class_weighted=False, num_features=1 << 10)
+    assert res["candidates"].count() == 1 and res["best"].first()["val_macro_f1"] > 0
+    again = C.classify(spark.read.parquet(f"{base}/out/val_with_languages.parquet"), C.load_model(f"{base}/out/classifier_best"))
+    assert again.count() == spark.read.parquet(f"{base}/out/val_with_languages.parquet").count() > 0
+    with pytest.raises(ValueError):
+        jobs.train_job(catalog.samples(spark, SF), catalog.samples(spark, SF), stages=("classify",), language_feature=True)
 
 
 def test_profile_job(spark):
@@ -79,7 +103,7 @@ def test_profile_job(spark):
 
 
 def test_train_save_load(spark):
-    sp = catalog._splits(spark, SF)
+    sp = sampling.stratified_split(clean.preprocess(catalog.samples(spark, SF)), "label", "id", seed=42)
     tr = sp.filter("split = 'train'").drop("split")
     va = sp.filter("split = 'val'").drop("split")
     res = C.train_classifier(tr, va, candidates=({"regParam": 0.1, "maxIter": 5},))
@@ -94,7 +118,7 @@ def test_train_save_load(spark):
 def test_language_feature_pipeline(spark):
     """M9: stage-1 language as an extra one-hot feature of stage 2."""
     from snippetflow.operators import detect
-    sp = catalog._splits(spark, SF)
+    sp = sampling.stratified_split(clean.preprocess(catalog.samples(spark, SF)), "label", "id", seed=42)
     tr = detect.detect_language(sp.filter("split = 'train'").drop("split"))
     va = detect.detect_language(sp.filter("split = 'val'").drop("split"))
     res = C.train_classifier(tr, va, candidates=({"regParam": 0.1, "maxIter": 5},),

@@ -1,11 +1,8 @@
 """Plan shape checks: the scale properties the operators promise."""
 
-import re
-
-from pyspark.sql import functions as F
-
 from snippetflow.operators import clean, metrics, sampling
 from snippetflow.plans import catalog
+from snippetflow.sources import io
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,46 +11,35 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_sample_and_split_never_join_rows_back(spark):
-    s = catalog.samples(spark, SF)
-    for df in (sampling.sample_exact(s, 50), sampling.stratified_split(s)):
-        p = plan(df)
-        assert "LeftSemi" not in p and "SortMergeJoin" not in p and "ShuffledHashJoin" not in p
-
-
-def test_dedup_hashes_keys_and_never_sorts_rows(spark):
-    spark.conf.set("spark.sql.adaptive.enabled", "false")   # the static plan, before runtime re-planning
-    try:
-        p = plan(clean.dedup_first(catalog.samples(spark, SF)))
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert "partial_min(" in p and "HashAggregate" in p
-    assert "SortAggregate" not in p and "Sort [" not in p and "Window" not in p
-    assert "ShuffledHashJoin" in p and "LeftSemi" in p
-
-
-def _row_windows(p):
-    """row_number windows over data rows (ordered by the uniform or the id);
-    windows over K-row class tables are bounded and not listed."""
-    out = []
-    for ln in p.splitlines():
-        if "Window [" in ln and "row_number()" in ln:
-            spec = re.search(r"windowspecdefinition\(([^)]*)\)", ln).group(1)
-            if re.search(r"\b(_u|id|_id)#", spec):
-                out.append(ln)
-    return out
-
-
-def test_row_windows_are_partitioned(spark):
-    s = catalog.samples(spark, SF)
-    for df in (clean.dense_row_ids(s, "id", out="rid"),
-               sampling.stratified_split(s),
-               sampling.sample_exact(s, 50, buckets=8)):
-        rows = _row_windows(plan(df))
-        assert rows, "expected a row-numbering window"
-        for ln in rows:
-            spec = re.search(r"windowspecdefinition\(([^)]*)\)", ln).group(1)
-            assert "_b" in spec      # numbered inside a cell, never over all rows
+def many_files(spark, n=16):
+    """The documents as a table of many files, so a scan needs no spreading and any exchange shows."""
+    path = io.scratch_path(spark, "many")
+    catalog.samples(spark, SF).repartition(n).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_dedup_leaves_the_text_where_it_was_read(spark):
+    out = clean.dedup_first(many_files(spark))
+    p = plan(out)
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p and "Window" not in p
+    assert "Exchange hashpartitioning" not in p     # only the written groups are broadcast
+    assert out.count() == catalog.samples(spark, SF).select("code").distinct().count()
+
+
+def test_sample_and_split_read_the_text_once(spark):
+    s = many_files(spark)
+    p = plan(sampling.stratified_split(s))
+    assert p.count("FileScan parquet") <= 2 and "Window" not in p and "Exchange hashpartitioning" not in p
+    p = plan(sampling.sample_exact(s, 50))
+    assert "Join" not in p.split("Subquery")[0]
+
+
+def test_two_views_tokenize_each_view_once(spark):
+    from snippetflow.functions.cues import TEXT_CUE_TABLE
+    from snippetflow.operators import ensemble
+    assert plan(ensemble.two_view_predict(catalog.samples(spark, SF), TEXT_CUE_TABLE)).count("split(lower(") == 2
+    from snippetflow.plans import jobs
+    assert plan(jobs.predict_job(catalog.samples(spark, SF))).count("split(lower(") == 1
 
 
 def test_confusion_is_partial_aggregate(spark):
@@ -65,12 +51,3 @@ def test_cue_scoring_tokenizes_once(spark):
     from snippetflow.functions.cues import TEXT_CUE_TABLE
     df = TEXT_CUE_TABLE.apply(catalog.samples(spark, SF), "code", "p", "index")
     assert plan(df).count("split(lower(") == 1
-
-
-def test_bounded_broadcast_guard(spark):
-    import pytest
-    from snippetflow.operators.bounded import bounded_broadcast
-    small = spark.range(5)
-    assert spark.range(10).join(bounded_broadcast(small, 5), "id").count() == 5
-    with pytest.raises(Exception):
-        spark.range(10).join(bounded_broadcast(spark.range(6), 5), "id").count()
