@@ -53,12 +53,12 @@ def submission_job(df: DataFrame, path: str | None = None, **kw) -> DataFrame:
     + row index, ``with_ids``); predict keeps every row, so nothing moves."""
     stages = kw.pop("stages", STAGES)
     df, idc = with_ids(df)
-    sub = io.submission(predict_job(df, stages=stages, **kw), idc)
+    scored = predict_job(df, stages=stages, **kw)
     if path:
         # one part file per task: the table has a row per input row, so it is
         # never funnelled through a single task
-        io.write_csv(sub, path)
-    return sub
+        io.write_submission(scored, path, id_col=idc)
+    return io.submission(scored, idc)
 
 
 def metrics_document(mlong: DataFrame, report: DataFrame) -> DataFrame:

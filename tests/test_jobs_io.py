@@ -134,3 +134,28 @@ def test_submission_without_ids(spark):
     sub = jobs.submission_job(spark.read.parquet(p)).orderBy("id").collect()
     assert [r["id"] for r in sub] == list(range(6))
     assert [r["label"] for r in sub] == [1, 0, 3, 2, 0, 0]
+
+
+def test_run_job_script(spark):
+    import os
+    import sys
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+    import run_job
+    base = io.scratch_path(spark, "script")
+    for i, k in enumerate(("train", "val", "test")):
+        io.save_parquet(catalog.samples(spark, SF).where(f"id % 3 = {i}"), f"{base}/{k}.parquet")
+    run_job.main(["train", "--data", base, "--out", f"{base}/model", "--features", "1024", "--max-train", "50"], spark)
+    run_job.main(["predict", "--data", f"{base}/test.parquet", "--out", f"{base}/sub", "--model", f"{base}/model/classifier_best"], spark)
+    assert io.read_csv(spark, f"{base}/sub", io.SUBMISSION).count() == spark.read.parquet(f"{base}/test.parquet").count()
+    out = run_job.main(["eval", "--data", f"{base}/test.parquet", "--out", f"{base}/eval", "--save-predictions", "--max-errors", "2"], spark)
+    assert out["errors"].count() <= 2
+    assert io.read_json(spark, f"{base}/eval/test_metrics.json", jobs.METRICS_SCHEMA).count() == 1
+
+
+def test_samples_in_memory_and_with_a_declared_schema(spark):
+    df = io.samples_from_rows(spark, [(1, "def f(): pass", 0, "Python"), (2, None, None, None)])
+    assert df.schema == io.SAMPLE_SCHEMA and df.count() == 2
+    path = io.save_parquet(df.withColumn("extra", F.lit(1)), io.scratch_path(spark, "declared"))
+    assert io.load_samples(spark, path, io.SAMPLE_SCHEMA).columns == ["id", "code", "label", "language"]
+    with pytest.raises(ValueError):
+        io.load_samples(spark, io.save_parquet(df.drop("code"), io.scratch_path(spark, "nocode")))
