@@ -6,9 +6,13 @@ bigrams; their Dice coefficient is twice the bag intersection over the sum of
 their sizes.  A bag's size is its word count less one, so the bounds
 ``t / (2 - t) <= |unit| / |template| <= (2 - t) / t`` need no bigrams: units
 outside the bounds of all templates are dropped first, and a unit meets only the
-templates whose bounds it keeps.  The remaining bigrams are joined with the
-templates' bigrams; what has none in common ends there, and only shared bigrams
-are shuffled, by document.
+templates whose bounds it keeps.  Within the bounds a unit must hold at least the share
+``t / (2 - t)`` of a template's bigrams, so it holds one of any set of more
+than the rest: each template is entered under that many of its longest bigrams.
+Units without any of these probes end there (the templates are a parameter, so
+their probes are a literal of the plan); the others' probes are joined with the
+templates, and what meets is scored in place; only marks of documents and scored
+matches are shuffled.
 
 Defined cases: null text counts as empty; lines and templates of one word have
 no bigrams and match nothing; each document gives one row, repeated rows
@@ -58,15 +62,20 @@ def _bigrams(words):
     return F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
 
 
-def template_bigrams(spark, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
-    """template, licence, bigram, n (times in the template), size, low, high (bounds of a unit's size)."""
+def template_table(spark, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
+    """template, licence, size, low, high (bounds of a unit's size), bag (bigram, n)
+    and probe, one row for each probe."""
     t = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(templates)], "template int, licence string, text string")
     t = t.withColumn("words", F.split(F.trim(F.regexp_replace(_plain(F.col("text")), r"\s+", " ")), " "))
-    t = t.withColumn("size", F.size("words") - 1).where("size > 0")
+    t = t.withColumn("size", F.size("words") - 1).where("size > 0").withColumn("all", _bigrams(F.col("words")))
     r = threshold / (2 - threshold)
-    t = t.withColumns({"low": F.ceil(F.col("size") * r - 1e-9).cast("int"), "high": F.floor(F.col("size") / r + 1e-9).cast("int")})
-    return t.select("template", "licence", "size", "low", "high", F.explode(_bigrams(F.col("words"))).alias("bigram")).groupBy(
-        "template", "licence", "size", "low", "high", "bigram").agg(F.count(F.lit(1)).alias("n"))
+    t = t.withColumns({
+        "low": F.ceil(F.col("size") * r - 1e-9).cast("int"), "high": F.floor(F.col("size") / r + 1e-9).cast("int"),
+        "bag": F.transform(F.array_distinct("all"), lambda b: F.struct(b.alias("bigram"), F.size(F.filter("all", lambda x: x == b)).alias("n")))})
+    # in places of the bag: a match lacks at most size - low of them, so of one more it holds one
+    by_length = F.array_sort(F.transform("all", lambda b: F.struct((-F.length(b)).alias("l"), b.alias("bigram"))))
+    probes = F.array_distinct(F.transform(F.slice(by_length, 1, F.col("size") - F.col("low") + 1), lambda x: x["bigram"]))
+    return t.select("template", "licence", "size", "low", "high", "bag", F.explode(probes).alias("probe"))
 
 
 def scan_licences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: Sequence[tuple[str, str]] = TEMPLATES,
@@ -74,41 +83,40 @@ def scan_licences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     """doc_id, n_matches (units that match), licences (sorted, comma-joined),
     best_dice, units (line numbers of the matches, -1 for the whole text)."""
     spark = docs.sparkSession
-    tb = template_bigrams(spark, templates, threshold)
-    sizes = [len(b.split()) for _, b in templates]
-    r = threshold / (2 - threshold)
-    low, high = int(min(sizes) * r) - 1, int(max(sizes) * 2 / r) + 2        # loose bounds over all templates
-    low = max(1, low)
+    tb = template_table(spark, templates, threshold)
+    marks = spark.range(1).select(*(F.lit("" if f.name == "probe" else None).cast(f.dataType).alias(f.name) for f in tb.schema))
+    bounds = tb.agg(F.min("low"), F.max("high")).first()
+    low, high = max(1, bounds[0] or 1), bounds[1] or 0
     d = pick(docs, doc_id=doc_id, text=text).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", _plain(F.coalesce("text", F.lit(""))).alias("t"))
-    lines = F.split("t", "\n")
     whole = F.translate("t", "\n", " ")
+    probes = F.array(*[F.lit(r.probe) for r in tb.select("probe").distinct().orderBy("probe").collect()], F.lit(""))
     # unit 0 is a mark that keeps every document, unit 1 the whole text, then the lines
     several = F.contains("t", F.lit("\n"))
-    units = F.concat(F.array(F.lit("")), F.when(several, F.array(whole)).otherwise(F.array(F.lit(""))), lines)
-    u = d.select("row", "doc_id", F.posexplode(units).alias("unit", "line"))
-    u = u.withColumn("line", F.trim("line"))
-    u = u.withColumn("blanks", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))))
-    u = u.where((F.col("unit") == 0) | F.col("blanks").between(low, high))
-    words = F.split("line", " +")
-    u = u.withColumn("words", F.when(F.col("unit") > 0, words)).withColumn("n_bigrams", F.size("words") - 1)
-    mark = F.array(F.lit(""))
-    u = u.where("unit = 0 or n_bigrams > 0").select(
-        "row", "doc_id", "unit", "n_bigrams", F.explode(F.when(F.col("unit") == 0, mark).otherwise(_bigrams(F.col("words")))).alias("bigram"))
-    marks = spark.range(1).select(*(F.lit("" if f.name == "bigram" else None).cast(f.dataType).alias(f.name) for f in tb.schema))
-    shared = u.alias("u").join(tb.union(marks).alias("t"), F.expr(
-        "u.bigram = t.bigram and (u.unit = 0 or u.n_bigrams between t.low and t.high)")).select(
-        "row", "doc_id", "unit", "n_bigrams", "template", "licence", "size", "n", "u.bigram")
-    per = shared.repartition("row").groupBy("row", "doc_id", "unit", "n_bigrams", "template", "licence", "size", "n", "bigram").agg(
-        F.count(F.lit(1)).alias("times"))
-    dice = per.groupBy("row", "doc_id", "unit", "n_bigrams", "template", "licence", "size").agg(
-        F.sum(F.least("times", "n")).alias("both")).withColumn("dice", F.round(2 * F.col("both") / (F.col("n_bigrams") + F.col("size")), 9))
-    unit = dice.groupBy("row", "doc_id", "unit").agg(
-        F.max("dice").alias("dice"), F.collect_list(F.struct("dice", "licence")).alias("met"))
-    unit = unit.withColumn("ok", (F.col("unit") > 0) & (F.col("dice") >= threshold)).withColumn(
+    units = F.concat(F.array(F.lit(""), F.when(several, whole).otherwise(F.lit(""))), F.split("t", "\n"))
+    none = F.expr("cast(array() as array<string>)")
+
+    def words(line):
+        # blanks may be doubled where a break was, so the upper bound is loose here
+        blanks = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+        return F.when(blanks.between(low, 2 * high + 2), F.split(F.trim(line), " +")).otherwise(none)
+
+    # one array step after the other within the row: each value is computed once, and most units,
+    # which hold no probe, end here
+    bags = F.transform(F.transform(units, words), lambda w: F.when((F.size(w) - 1).between(low, high), _bigrams(w)).otherwise(none))
+    kept = F.filter(F.transform(bags, lambda b, i: F.struct(i.alias("unit"), F.when(i == 0, F.array(F.lit(""))).otherwise(b).alias("all"))),
+                    lambda x: F.arrays_overlap(x["all"], probes))
+    u = d.select("row", "doc_id", F.explode(kept).alias("u")).select("row", "doc_id", "u.unit", "u.all", F.size("u.all").alias("n_bigrams"))
+    met = u.select("row", "doc_id", "unit", "n_bigrams", "all", F.explode(F.array_intersect("all", probes)).alias("probe"))
+    met = met.join(F.broadcast(tb.union(marks)), "probe").where("unit = 0 or n_bigrams between low and high")
+    both = F.aggregate("bag", F.lit(0), lambda acc, x: acc + F.least(x["n"], F.size(F.filter("all", lambda y: y == x["bigram"]))))
+    met = met.withColumn("dice", F.when(F.col("unit") > 0, F.round(2 * both / (F.col("n_bigrams") + F.col("size")), 9)))
+    met = met.where((F.col("unit") == 0) | (F.col("dice") >= threshold)).select("row", "doc_id", "unit", "licence", "dice")
+    unit = met.repartition("row").groupBy("row", "doc_id", "unit").agg(F.max("dice").alias("dice"), F.collect_set(F.struct("dice", "licence")).alias("met"))
+    unit = unit.withColumn("ok", F.col("unit") > 0).withColumn(
         "best", F.transform(F.filter("met", lambda m: m["dice"] == F.col("dice")), lambda m: m["licence"]))
     return unit.groupBy("row", "doc_id").agg(
         F.count(F.when(F.col("ok"), 1)).alias("n_matches"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("ok"), F.col("best")))))), ",").alias("licences"),
-        F.max(F.when(F.col("ok"), F.col("dice"))).alias("best_dice"),
+        F.max("dice").alias("best_dice"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("unit") - 2))), ",").alias("units")).drop("row")
