@@ -124,3 +124,30 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.y AS component_id, coalesce(k
 FROM d JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) c ON c.x = d.doc_id
 LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) k ON k.x = d.doc_id
 """
+
+
+def _licence_sql() -> str:
+    rows = ", ".join("({}, '{}', '{}')".format(i, a, b.replace("'", "''")) for i, (a, b) in enumerate(licences.TEMPLATES))
+    words = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+    return rf"""
+WITH t AS (SELECT template, licence, {words.format('body')} AS w FROM (VALUES {rows}) v(template, licence, body)),
+tb AS (SELECT template, licence, len(w) - 1 AS size, g, count(*) AS n
+       FROM (SELECT *, w[i] || ' ' || w[i + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t)) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS body FROM documents),
+l AS (SELECT rn, string_split(body, chr(10)) AS x FROM d),
+u AS (SELECT rn, i - 1 AS unit, {words.format('x[i]')} AS w FROM (SELECT rn, x, unnest(range(1, len(x) + 1)) AS i FROM l)
+      UNION ALL SELECT rn, -1, {words.format('body')} FROM d WHERE contains(body, chr(10))),
+ub AS (SELECT rn, unit, n_u, g, count(*) AS n
+       FROM (SELECT rn, unit, len(w) - 1 AS n_u, w[i] || ' ' || w[i + 1] AS g
+             FROM (SELECT *, unnest(range(1, len(w))) AS i FROM u WHERE len(w) BETWEEN 2 AND 300)) GROUP BY ALL),
+s AS (SELECT rn, unit, template, licence, round(2.0::DOUBLE * sum(least(ub.n, tb.n)) / (n_u + size), 9) AS dice
+      FROM ub JOIN tb USING (g) GROUP BY rn, unit, template, licence, n_u, size HAVING dice >= {licences.THRESHOLD}),
+b AS (SELECT * FROM s QUALIFY dice = max(dice) OVER (PARTITION BY rn, unit)),
+r AS (SELECT rn, count(DISTINCT unit) AS n_matches, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, max(dice) AS best_dice FROM b GROUP BY rn),
+p AS (SELECT rn, string_agg(unit::VARCHAR, ',' ORDER BY unit) AS units FROM (SELECT DISTINCT rn, unit FROM b) GROUP BY rn)
+SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licences, '') AS licences, best_dice, coalesce(units, '') AS units
+FROM d LEFT JOIN r USING (rn) LEFT JOIN p USING (rn)
+"""
+
+
+ORACLE["op2_licence_scan"] = _licence_sql()
