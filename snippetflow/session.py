@@ -67,6 +67,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     import uuid
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/snippetflow-tables/{uuid.uuid4().hex}"
+    path = f"{base}/snippetflow-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables ``cut_lineage`` has written in this application.
+
+    Results read from them lazily, so call it when these have been written
+    elsewhere: at the end of a job, or between independent jobs of one session."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/snippetflow-tables/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

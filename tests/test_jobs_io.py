@@ -159,3 +159,13 @@ def test_samples_in_memory_and_with_a_declared_schema(spark):
     assert io.load_samples(spark, path, io.SAMPLE_SCHEMA).columns == ["id", "code", "label", "language"]
     with pytest.raises(ValueError):
         io.load_samples(spark, io.save_parquet(df.drop("code"), io.scratch_path(spark, "nocode")))
+
+
+def test_written_tables_are_dropped_at_the_end(spark):
+    import os
+    from snippetflow.session import cut_lineage, drop_tables, ensure_checkpoint_dir
+    t = cut_lineage(spark.range(5))
+    folder = f"{ensure_checkpoint_dir(spark)}/snippetflow-tables/{spark.sparkContext.applicationId}"
+    assert t.count() == 5 and os.listdir(folder)
+    drop_tables(spark)
+    assert not os.path.exists(folder)
