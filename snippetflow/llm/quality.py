@@ -131,7 +131,8 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     spark = docs.sparkSession
     d = pick(docs, doc_id=doc_id, lang=lang, text=text)
     trusted = cut_lineage(pick(labels, doc_id=doc_id, good=good).where("good > 0 and doc_id is not null").select("doc_id").distinct())
-    model = train(d.select("doc_id", "text").join(trusted, "doc_id", "left_semi").select("text"))
+    # merged at every size: the trusted ids grow with the labels
+    model = train(d.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi").select("text"))
     got = model.toArrow()               # CLASSES ** ORDER rows
     table = np.full(CLASSES ** ORDER, -math.log(CLASSES), np.float32)
     table[got.column("code").to_numpy()] = got.column("logp").to_numpy()
