@@ -95,9 +95,14 @@ def dense_row_ids(df: DataFrame, order_cols, out: str = "row_id") -> DataFrame:
     """
     if isinstance(order_cols, str):
         order_cols = [order_cols]
-    ranged = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    return position_ids(df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols), out)
+
+
+def position_ids(df: DataFrame, out: str = "row_id") -> DataFrame:
+    """0-based position of each row in the present order of partitions and rows,
+    which is written once so that it cannot change."""
     # the id of a partition's rows counts up from partition << 33 in their order
-    placed = cut_lineage(ranged.withColumn("_dr_at", F.monotonically_increasing_id()))
+    placed = cut_lineage(df.withColumn("_dr_at", F.monotonically_increasing_id()))
     part = F.shiftright("_dr_at", 33)
     counts = placed.groupBy(part.alias("_dr_p")).agg(F.count(F.lit(1)).alias("_dr_n"))
     w = Window.orderBy("_dr_p").rowsBetween(Window.unboundedPreceding, -1)       # one row per partition

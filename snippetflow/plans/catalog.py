@@ -914,6 +914,21 @@ def q_errors_csv_roundtrip(spark, sf_dir):
     return io.read_csv(spark, path, ERRORS_SCHEMA)
 
 
+@register("evaluate_selected", f"SELECT * FROM ({ORACLE['metrics_long']}) WHERE metric IN ('test_accuracy', 'test_macro_f1')")
+def q_evaluate_selected(spark, sf_dir):
+    """The evaluation with chosen metrics."""
+    out = jobs.evaluate_job(samples(spark, sf_dir), metric_names=["accuracy", "macro_f1"])
+    return out["metrics"].select("metric", r6("value").alias("value"))
+
+
+@register("profile_job", ORACLE["length_box_by_label"])
+def q_profile_job(spark, sf_dir):
+    """The box statistics of the whole profile."""
+    b = jobs.profile_job(samples(spark, sf_dir))["length_box"]
+    return b.select("label", r6("q1").alias("q1"), r6("median").alias("median"), r6("q3").alias("q3"),
+                    "whisker_low", "whisker_high", "n_outliers", "n")
+
+
 @register("metrics_json", f"""
 SELECT 'metrics' AS section, metric AS name, 'value' AS field, value FROM ({ORACLE["metrics_long"]})
 UNION ALL SELECT 'classification_report', class, f, v FROM (
@@ -963,6 +978,18 @@ def _search(spark, sf_dir) -> C.NaiveBayesSearch:
     return C.search_naive_bayes(sp.where("split = 'train'"), sp.where("split = 'val'"), ALPHAS)
 
 
+@register("train_job_enriched", f"""
+SELECT split, id, detected_language FROM {SPLIT_ROWS_SQL} r
+JOIN {TEXT_CUE_TABLE.sql_detect(SAMPLES_SQL, "id", "code", "detected_language")} d USING (id) WHERE split <> 'test'""")
+def q_train_job_enriched(spark, sf_dir):
+    """M12 train up to its saved tables: both splits preprocessed, with stage 1's language, read back."""
+    sp = cut_lineage(sampling.stratified_split(clean.preprocess(samples(spark, sf_dir)), "label", "id", seed=42))
+    base = io.scratch_path(spark, "train")
+    jobs.train_job(sp.where("split = 'train'"), sp.where("split = 'val'"), base, stages=("detect",))
+    both = [spark.read.parquet(f"{base}/{k}_with_languages.parquet") for k in ("train", "val")]
+    return both[0].unionByName(both[1]).select("split", "id", "detected_language")
+
+
 def _rounded(t: DataFrame) -> DataFrame:
     return t.select("candidate", "alpha", r6("val_macro_f1").alias("val_macro_f1"), r6("val_accuracy").alias("val_accuracy"))
 

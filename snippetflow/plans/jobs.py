@@ -6,6 +6,7 @@ call them.  Stage switches are arguments, not config files.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +40,15 @@ def predict_job(df: DataFrame, stages=STAGES, detector=TEXT_CUE_TABLE, classifie
 
 def with_ids(df: DataFrame) -> tuple[DataFrame, str]:
     """use 'id', else 'ID', else 0-based ids in file order (``df`` is
-    the loaded table: file offset + row index, no shuffle of the rows)."""
+    the loaded table: file offset + row index, no shuffle of the rows); a
+    table that is not read from files is numbered in its present order."""
     col = id_column(df)
     if col is not None:
         return df, col
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        return clean.position_ids(df, "id"), "id"
     return file_row_ids(df, "id"), "id"
 
 

@@ -169,3 +169,9 @@ def test_written_tables_are_dropped_at_the_end(spark):
     assert t.count() == 5 and os.listdir(folder)
     drop_tables(spark)
     assert not os.path.exists(folder)
+
+
+def test_submission_of_a_table_that_is_not_a_file(spark):
+    df = spark.createDataFrame([(t,) for t in ("the of and", "der die das", "xyz")], "code string").coalesce(1)
+    got = jobs.submission_job(df).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(0, 1), (1, 0), (2, 0)]
