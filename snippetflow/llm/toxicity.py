@@ -9,8 +9,8 @@ conditional likelihood, the expectations coming from forward-backward.  Scoring
 runs forward-backward over every whole text: the marginals give toxic spans
 and, through a logistic fit on the same sample, the document's score.
 
-The fit uses at most ``sample`` labelled documents of each class, chosen by the
-hash of the id, with their words as hashes; class counts cover all labels.
+The fit uses at most ``sample`` toxic and half as many more clean labelled
+documents, chosen by the hash of the id, with their words as hashes; class counts cover all labels.
 Forward and backward passes are ratios of two states, which one token maps by a
 fraction (p x + q) / (r x + s); such maps compose, so blocks of tokens are
 combined with array operations and no sequence is cut.
@@ -33,13 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snippetflow.llm import ragged as R
-from snippetflow.llm.common import pick, ship_code
+from snippetflow.llm.common import pick, position, ship_code
 from snippetflow.session import cut_lineage
 
-SAMPLE = 1500
+SAMPLE = 1000
 PREFIXES = (4, 5, 6, 7)
 ROUNDS = 30
-PURE, SURE, OFTEN = 0.9, 20.0, 10
+PURE, SURE, OFTEN = 0.9, 16.0, 10
 BLOCK = 128
 SPANS = "array<struct<start:int,end:int,score:double>>"
 
@@ -170,30 +170,35 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         return Model(constant=float(n.get(1, 0) > 0))
     order = F.xxhash64("doc_id")
     chosen = y.where("toxic = 1").orderBy(order, "doc_id").limit(sample).union(
-        y.where("toxic = 0").orderBy(order, "doc_id").limit(sample))
-    chosen = cut_lineage(chosen)     # at most 2 * sample ids
+        y.where("toxic = 0").orderBy(order, "doc_id").limit(3 * sample // 2))
+    chosen = cut_lineage(chosen)     # at most 2.5 * sample ids
     rows = pick(docs, doc_id=doc_id, text=text).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     got = rows.mapInArrow(_sampled, "toxic int, words binary").toArrow()
-    words = [np.frombuffer(w, np.uint64).reshape(-1, 1 + len(PREFIXES)) for w in got.column("words").to_pylist()]
+    words = [np.frombuffer(w.as_buffer(), np.uint64).reshape(-1, 1 + len(PREFIXES)) for w in got.column("words")]
     truth = np.array(got.column("toxic").to_pylist(), np.int64)
     if len(set(truth.tolist())) < 2:
         return Model(constant=float(truth.mean() if len(truth) else 0.0))
-    order2 = np.lexsort(([w[0, 0] if len(w) else 0 for w in words], [len(w) for w in words], truth))
-    words, truth = [words[i] for i in order2], truth[order2]
+    # in an order of their own, whatever order they came in
+    order = np.lexsort(([w[0, 0] if len(w) else 0 for w in words], [len(w) for w in words], truth))
+    words, truth = [words[i] for i in order], truth[order]
+    del got
     return fit_sample(words, truth, n[1] / (n[0] + n[1]))
 
 
 def fit_sample(words: list[np.ndarray], truth: np.ndarray, share: float) -> Model:
+    """Fit on the words' features of each document (the list is emptied) and its label;
+    ``share``: the toxic share of all labels."""
     first = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-    feats = np.concatenate(words)
     doc = np.repeat(np.arange(len(words)), np.diff(first))
-    keys, idx = np.unique(feats.ravel(), return_inverse=True)
-    idx = idx.reshape(feats.shape)
+    keys = np.unique(np.concatenate([np.unique(w) for w in words]))
+    idx = np.concatenate([np.searchsorted(keys, w).astype(np.int32) for w in words])
     # documents of each class that hold each feature
-    pairs = np.unique(idx.ravel().astype(np.int64) * len(words) + np.repeat(doc, feats.shape[1]))
-    kind = truth[pairs % len(words)]
-    df1 = np.bincount(pairs // len(words), kind, len(keys))
-    df0 = np.bincount(pairs // len(words), 1 - kind, len(keys))
+    pairs = np.concatenate([np.unique(idx[a:b]).astype(np.int64) * len(words) + i for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True))])
+    kind, pairs = truth[pairs % len(words)], pairs // len(words)
+    df1 = np.bincount(pairs, kind, len(keys))
+    df0 = np.bincount(pairs, 1 - kind, len(keys))
+    words.clear()
+    del pairs, kind
     rate1, rate0 = (df1 + 0.05) / (truth.sum() + 1), (df0 + 0.05) / ((1 - truth).sum() + 1)
     # log-likelihood ratio against the same frequency in both classes: chance alone must be out of question
     mean = truth.mean()
@@ -204,24 +209,34 @@ def fit_sample(words: list[np.ndarray], truth: np.ndarray, share: float) -> Mode
     own = (df0 + df1)[idx[:, 0]] >= OFTEN
     y = np.where(own, marks[idx[:, 0]], marks[idx].any(axis=1)) & (truth[doc] == 1)
     keep = np.flatnonzero(used)
-    to = np.full(len(keys), len(keep))
+    to = np.full(len(keys), len(keep), np.int32)
     to[keep] = np.arange(len(keep))
     idx = to[idx]
+    at = [np.flatnonzero(idx[:, j] < len(keep)).astype(np.int32) for j in range(idx.shape[1])]
+    known = [idx[a, j] for j, a in enumerate(at)]
+    keys = keys[keep]
+    del idx, df0, df1, rate0, rate1, gain, marks, used, own, doc
+
+    def unary() -> np.ndarray:
+        u = np.full(first[-1], bias)
+        for a, k in zip(at, known, strict=True):
+            u[a] += w[k]
+        return u
+
     w, bias, trans = np.zeros(len(keep) + 1), -3.0, np.zeros((2, 2))
     sq, sq_b, sq_t = np.full(len(keep) + 1, 1e-6), 1e-6, np.full((2, 2), 1e-6)
-    inner = np.ones(len(doc), bool)
+    inner = np.ones(first[-1], bool)
     inner[first[1:][np.diff(first) > 0] - 1] = False
-    at = np.flatnonzero(inner)
+    inner = np.flatnonzero(inner)
     for _ in range(ROUNDS):
-        p, f, c = marginals(bias + w[idx].sum(axis=1), trans, first)
-        g = np.bincount(idx.ravel(), np.repeat(y - p, idx.shape[1]), len(keep) + 1) - 0.05 * w
-        g[-1] = 0
+        p, f, c = marginals(unary(), trans, first)
+        g = sum(np.bincount(k, (y - p)[a], len(keep) + 1) for a, k in zip(at, known, strict=True)) - 0.05 * w
         gb = float((y - p).sum())
         a = np.exp(trans)
-        cells = np.stack([a[0, 0] * np.ones(len(at)), a[0, 1] * c[at + 1], a[1, 0] * f[at], a[1, 1] * f[at] * c[at + 1]])
+        fi, ci = f[inner], c[inner + 1]
+        cells = np.stack([np.full(len(inner), a[0, 0]), a[0, 1] * ci, a[1, 0] * fi, a[1, 1] * fi * ci])
         cells /= cells.sum(axis=0)
-        seen = np.zeros(4)
-        np.add.at(seen, 2 * y[at].astype(int) + y[at + 1], 1)
+        seen = np.bincount(2 * y[inner].astype(int) + y[inner + 1], minlength=4)
         gt = (seen - cells.sum(axis=1)).reshape(2, 2)
         sq += g * g
         sq_b += gb * gb
@@ -231,7 +246,7 @@ def fit_sample(words: list[np.ndarray], truth: np.ndarray, share: float) -> Mode
         trans += 0.3 * gt / np.sqrt(sq_t)
     trans -= trans[0, 0]
     held = np.abs(w[:-1]) > 1e-3
-    p, _, _ = marginals(bias + w[idx].sum(axis=1), trans, first)
+    p, _, _ = marginals(unary(), trans, first)
     x = document_features(p, first)
     # logistic fit of the document score, the classes weighted to their share among all labels
     weight = np.where(truth == 1, share / max(truth.mean(), 1e-9), (1 - share) / max(1 - truth.mean(), 1e-9))
@@ -241,7 +256,7 @@ def fit_sample(words: list[np.ndarray], truth: np.ndarray, share: float) -> Mode
         hess = (x * (weight * z * (1 - z))[:, None]).T @ x + 0.05 * np.eye(3)
         step = np.linalg.solve(hess, x.T @ (weight * (truth - z)) - 0.05 * beta)
         beta += np.clip(step, -2, 2)
-    return Model(keys[keep][held], w[:-1][held], bias, trans, tuple(beta))
+    return Model(keys[held], w[:-1][held], bias, trans, tuple(beta))
 
 
 def _score(state, at: int, spans: bool):
@@ -294,7 +309,7 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     ship_code()
     names = docs.columns
     df = docs.toDF(*(f"_c{i}" for i in range(len(names))))
-    at = next(i for i, c in enumerate(names) if c.lower() == text.lower())
+    at = position(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", _score double"
     return df.mapInArrow(_score(shared, at, False), ddl).where("_score < 0.5").drop("_score").toDF(*names)
