@@ -121,4 +121,5 @@ def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     names = docs.columns
     rows = docs.toDF(*(f"_c{i}" for i in range(len(names)))).withColumn("_row", F.monotonically_increasing_id())
     gone = cut_lineage(gone)
-    return rows.join(gone.withColumnRenamed("row", "_row"), "_row", "left_anti").drop("_row").toDF(*names)
+    # merged at every size: what goes grows with the documents
+    return rows.join(gone.withColumnRenamed("row", "_row").hint("merge"), "_row", "left_anti").drop("_row").toDF(*names)
