@@ -1,7 +1,5 @@
 """Sinks, model round trips, Naive Bayes parity and the jobs."""
 
-import tempfile
-
 import pytest
 from pyspark.sql import functions as F
 
