@@ -26,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from snippetflow.llm import ragged as R
 from snippetflow.llm.common import pick, ship_code

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snippetflow.session import cut_lineage, ensure_checkpoint_dir
+from snippetflow.session import cut_lineage
 
 
 def ship_code() -> None:
@@ -19,19 +17,19 @@ def ship_code() -> None:
         cloudpickle.register_pickle_by_value(snippetflow)
 
 
+def position(df: DataFrame, name: str) -> int:
+    """The place of a column: by its exact name, else regardless of case; the first of several."""
+    at = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not at:
+        raise ValueError(f"column {name!r} is missing; found {df.columns}")
+    return at[0]
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """``pick(df, doc_id="doc_id")``: those columns under new names.  A column
-    is found by its exact name first, then regardless of case, the first one
-    where names repeat; other columns never take part, whatever their names."""
+    """``pick(df, doc_id="doc_id")``: those columns under new names; other
+    columns never take part, whatever their names."""
     plain = df.toDF(*(f"_c{i}" for i in range(len(df.columns))))
-    out = []
-    for new, name in columns.items():
-        at = [i for i, c in enumerate(df.columns) if c == name] or [
-            i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
-        if not at:
-            raise ValueError(f"column {name!r} is missing; found {df.columns}")
-        out.append(F.col(f"_c{at[0]}").alias(new))
-    return plain.select(*out)
+    return plain.select(*(F.col(f"_c{position(df, name)}").alias(new) for new, name in columns.items()))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +40,6 @@ def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/snippetflow-llm/{name}-{uuid.uuid4().hex}"
-
-
 def _forest(batches):
     """Edges of one task -> (node, smallest node it reaches within the task)."""
     import numpy as np

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snippetflow.llm import ragged as R
-from snippetflow.llm.common import pick, ship_code
+from snippetflow.llm.common import pick, position, ship_code
 from snippetflow.session import cut_lineage
 
 WINDOW = 13
@@ -81,8 +81,8 @@ class Shard:
             p, g = np.concatenate(places), np.concatenate(hashes)
             order = np.argsort(g, kind="stable")
             p, g = p[order], g[order]
-            maybe = np.zeros(1 << 22, bool)
-            maybe[(g >> np.uint64(42)).astype(np.int64)] = True
+            maybe = np.zeros(1 << 20, bool)
+            maybe[(g >> np.uint64(44)).astype(np.int64)] = True
             self.families.append((length, g, p, maybe))
 
     def hits(self, h: np.ndarray, first: np.ndarray):
@@ -90,7 +90,7 @@ class Shard:
         done: dict[tuple[int, int, int], int] = {}
         for length, g, p, maybe in self.families:
             places, kept = winnow(h, first, length)
-            near = maybe[(kept >> np.uint64(42)).astype(np.int64)]
+            near = maybe[(kept >> np.uint64(44)).astype(np.int64)]
             places, kept = places[near], kept[near]
             lo = np.searchsorted(g, kept, "left")
             hi = np.searchsorted(g, kept, "right")
@@ -134,7 +134,7 @@ def benchmark_blocks(benchmark: DataFrame, text: str, item_id: str, block_words:
         yield [(r.item_id, np.frombuffer(r.words, np.uint64)) for r in rows]
 
 
-def _scan(shard, text_at: int, keep_all: bool):
+def _scan(shard, text_at: int):
     """Arrow function: the rows with n_words, spans (pairs of words, packed) and items added."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shard.__new__(Shard)
@@ -157,7 +157,7 @@ def _scan(shard, text_at: int, keep_all: bool):
                     items[i].update(more)
             extra = [pa.array(n_words), pa.array([np.array(x, np.int64).tobytes() for x in spans], pa.binary()),
                      pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-            own = [c for c in had if c not in ("n_words", "spans", "items") and (keep_all or c != "text")]
+            own = [c for c in had if c not in ("n_words", "spans", "items")]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in own] + extra, names=[*own, "n_words", "spans", "items"])
     return run
 
@@ -188,7 +188,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     sc = docs.sparkSession.sparkContext
     if keep:
         df = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))
-        at = next(i for i, c in enumerate(docs.columns) if c.lower() == text.lower())
+        at = position(docs, text)
     else:
         df, at = pick(docs, doc_id=doc_id, text=text), 1
     own = [c for c in df.columns if keep or c != "text"]
@@ -198,7 +198,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
             df = cut_lineage(df)
         shard = sc.broadcast(vars(Shard(items, window)))
         # between blocks the text stays with the row; the last block's text is dropped below
-        df = df.mapInArrow(_scan(shard, at, True), _ddl(df, *[c for c in df.columns if c not in ("n_words", "spans", "items")]) + ", " + OUT)
+        df = df.mapInArrow(_scan(shard, at), _ddl(df, *[c for c in df.columns if c not in ("n_words", "spans", "items")]) + ", " + OUT)
         n += 1
     df = df.select(*own, "n_words", "spans", "items")
     df = df.mapInArrow(_covered, _ddl(df, *own) + ", n_words long, items array<string>, n_hit long")

@@ -130,10 +130,6 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out + U64(n))
 
 
-def run_lengths(first: np.ndarray) -> np.ndarray:
-    return np.diff(first)
-
-
 def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[0], start[0]+1, ... (count[0] of them), start[1], ..."""
     total = int(count.sum())
