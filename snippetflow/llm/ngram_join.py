@@ -45,8 +45,10 @@ WORDS = 5
 PERCENT = 80
 OFTEN = 8
 MOST = 500_000
-BLOCK = 256
+BLOCK = 512
 FEW = 8
+BUCKET_BYTES = 8 << 20
+PAIRS = 1_000_000         # entries compared at a time
 SHARD_TEXT = 32 << 20
 POST = np.dtype([("t", "<u8"), ("k", "<u8"), ("n", "<u4"), ("at", "<u4")])
 
@@ -91,8 +93,10 @@ def _shards(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _packed(a: np.ndarray, h: np.ndarray, n_shards: int) -> pa.RecordBatch:
-    """a, sorted by h, as one row for each shard."""
-    cut = np.searchsorted(_shards(h, n_shards), np.arange(n_shards + 1))
+    """a as one row for each shard of h."""
+    shard = _shards(R.mix(h), n_shards)        # prefixes hold small hashes: mixed, they are even again
+    by = np.argsort(shard, kind="stable")
+    a, cut = a[by], np.searchsorted(shard[by], np.arange(n_shards + 1))
     full = np.flatnonzero(np.diff(cut) > 0)
     return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([a[cut[i]:cut[i + 1]].tobytes() for i in full], pa.binary())], names=["shard", "load"])
 
@@ -154,7 +158,6 @@ def _postings(words: int, percent: int, n_shards: int, shared):
             a["k"] = np.repeat(np.array(keys, np.int64).view(np.uint64), lens)
             a["n"] = np.repeat(np.array(sizes), lens)
             a["at"] = R.ranges(np.zeros(len(lens), np.int64), lens)
-            a = a[np.argsort(a["t"], kind="stable")]
             yield _packed(a, a["t"], n_shards)
     return run
 
@@ -209,7 +212,6 @@ def similar(members: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[
     n = np.array([len(m) for m in members])
     own = np.repeat(np.arange(len(members)), n)
     _, ids, df = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
-    shared = df[ids] > 1
     # order: frequency here, then hash; shingles met once cannot link but take their places
     order = np.lexsort((ids, df[ids], own))
     sorted_ids = ids[order]
@@ -224,12 +226,11 @@ def similar(members: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[
     who, tok, pos = who[by], tok[by], pos[by]
     first = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(tok)))
-    del shared
     gone = np.zeros(0, np.int64)
     codes = [gone]
     # each place meets the later places of its shingle, a bounded number of entries at a time
     left = np.repeat(first + size, size) - np.arange(len(tok)) - 1
-    cuts = np.unique(np.searchsorted(np.cumsum(left), np.arange(0, int(left.sum()) + 4_000_000, 4_000_000))) if len(left) else gone
+    cuts = np.unique(np.searchsorted(np.cumsum(left), np.arange(0, int(left.sum()) + PAIRS, PAIRS))) if len(left) else gone
     cuts = np.unique(np.concatenate([[0], cuts, [len(left)]]))
     for u, v in zip(cuts[:-1], cuts[1:], strict=True):
         i = np.repeat(np.arange(u, v), left[u:v])
@@ -307,14 +308,14 @@ def _verify(percent: int):
 
 
 def _tasks(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """(k, docs, row, task, side): each class in each pair of cells it belongs to."""
+    """(k, docs, n, row, task, side): each class in each pair of cells it belongs to."""
     step = float(np.log(100 / percent))
     m = members.withColumn("len", F.floor(F.log("n") / step + 1e-9).cast("int"))
     cells = m.groupBy("cluster", "len").agg(F.count(F.lit(1)).alias("size"))
     total = cells.groupBy("cluster").agg(F.sum("size").alias("total"))
     cells = cut_lineage(cells.join(total, "cluster").withColumn("cells", F.ceil(F.col("size") / block).cast("int")))
     small = m.join(total.where(F.col("total") <= block), "cluster", "left_semi").select(
-        "k", "docs", "row", F.concat_ws(":", "cluster").alias("task"), F.lit(2).alias("side"))
+        "k", "docs", "n", "row", F.concat_ws(":", "cluster").alias("task"), F.lit(2).alias("side"))
     big = cells.where(F.col("total") > block)
 
     def beside(by: int, name: str) -> DataFrame:
@@ -337,7 +338,7 @@ def _tasks(members: DataFrame, percent: int, block: int) -> DataFrame:
             F.when(c == F.col("cell"), 2).when(F.col("cell") < c, 0).otherwise(1).alias("side"))),
         F.transform(span("up"), lambda c: F.struct(task(F.col("len"), F.col("cell"), up, c).alias("task"), F.lit(0).alias("side"))),
         F.transform(span("down"), lambda c: F.struct(task(down, c, F.col("len"), F.col("cell")).alias("task"), F.lit(1).alias("side"))))
-    return small.union(x.select("k", "docs", "row", F.explode(targets).alias("t")).select("k", "docs", "row", "t.task", "t.side"))
+    return small.union(x.select("k", "docs", "n", "row", F.explode(targets).alias("t")).select("k", "docs", "n", "row", "t.task", "t.side"))
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT,
@@ -366,9 +367,11 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     # only documents that may be members send their sets; the join leaves the members
     maybe = spark.sparkContext.broadcast(bitmap(members, "row"))
     loads = d.select("row", bit_of("row").alias("bit"), "text").mapInArrow(_sets_of(words, maybe), "row long, load binary")
-    tasks = _tasks(members, percent, block).join(loads, "row")
-    buckets = max(slots(spark), n)
-    found = tasks.withColumn("bucket", F.pmod(F.xxhash64("task"), F.lit(buckets))).select("bucket", "task", "k", "docs", "side", "load")
+    tasks = cut_lineage(_tasks(members, percent, block))
+    # as many buckets of tasks as the sets to be sent need, however often each is sent
+    buckets = max(slots(spark), -(-(tasks.agg(F.sum(F.col("n") * 8)).first()[0] or 0) // BUCKET_BYTES))
+    # merged at every size: the tasks grow with the documents
+    found = tasks.hint("merge").join(loads, "row").withColumn("bucket", F.pmod(F.xxhash64("task"), F.lit(buckets))).select("bucket", "task", "k", "docs", "side", "load")
     found = cut_lineage(found.groupBy("bucket").applyInArrow(_verify(percent), "k long, links long, to long"))
     comps = components(found.select(F.col("k").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "k")
     links = found.groupBy("k").agg(F.sum("links").alias("links"))
