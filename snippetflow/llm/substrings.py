@@ -140,8 +140,10 @@ def _arrays(length: int, gram: int, n_shards: int):
             for f in ("row", "lo", "more"):
                 full[f] = a[f][twice]
             a = a[new]
-            shard = shard_of(a["g"], n_shards)
-            cut = np.searchsorted(shard, np.arange(n_shards + 1))
+            shard = shard_of(R.mix(a["g"]), n_shards)     # least hashes are small ones: mixed, they are even again
+            by = np.argsort(shard, kind="stable")
+            a = a[by]
+            cut = np.searchsorted(shard[by], np.arange(n_shards + 1))
             filled = np.flatnonzero(np.diff(cut) > 0)
             kinds = [0] * len(filled) + [1] * bool(len(full))
             where = [*filled.tolist(), *[int(base % n_shards)] * bool(len(full))]
