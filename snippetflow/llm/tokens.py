@@ -10,6 +10,7 @@ kind go through ``Tokenizer.encode`` as a whole; both ways give the same ids.
 
 from __future__ import annotations
 
+import itertools
 import json
 
 import numpy as np
@@ -27,7 +28,6 @@ KIND[127] = ODD
 # fixed values: the endings split off after an apostrophe
 ENDINGS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
 MEMO_PIECES = 2_000_000
-MEMO_BYTES = 64
 
 
 def byte_alphabet() -> list[str]:
@@ -47,13 +47,14 @@ class Encoder:
         self.fast = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
                      and spec["normalizer"] is None and spec["model"]["type"] == "BPE")
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
-        self.alphabet = {i: c for i, c in enumerate(byte_alphabet())}
+        self.alphabet = np.array([ord(c) for c in byte_alphabet()], "<u4")
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[int, int] = {}
-        self.start, self.count, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
-        self.pool, self.filled = np.zeros(4096, np.uint32), 0
+        """Empty memo: keys (sorted hashes of pieces) with the place and number of their ids in the pool."""
+        self.keys = np.zeros(0, np.uint64)
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.filled = np.zeros(1 << 16, np.uint32), 0
 
     def whole(self, raw: bytes) -> np.ndarray:
         return np.array(self.tok.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
@@ -120,44 +121,33 @@ class Encoder:
         prefix = R.prefix_hash(data, R.BYTE_VALUES)
         h = R.span_hash(prefix, start, end)
         keys, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.memo) > MEMO_PIECES:
+        if len(self.keys) > MEMO_PIECES:
             self.forget()
-        memo = self.memo
-        slot = np.fromiter((memo.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
-        tokenize, alphabet = self.tok.model.tokenize, self.alphabet
-        raw = data.tobytes()
-        long: list[int] = []
-        new = np.flatnonzero(slot < 0)
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        where, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        where[known], count[known] = self.start[place[known]], self.count[place[known]]
+        new = np.flatnonzero(~known)
         if len(new):
-            self._room(len(new))
-        for j, a, b, k in zip(new.tolist(), start[at[new]].tolist(), end[at[new]].tolist(), keys[new].tolist(), strict=True):
-            ids = [t.id for t in tokenize(raw[a:b].decode("latin-1").translate(alphabet))]
-            slot[j] = self._add(ids)
-            if b - a <= MEMO_BYTES:
-                memo[k] = slot[j]
-            else:
-                long.append(j)
-        count = self.count[slot][back]
-        where = R.ranges(self.start[slot][back], count)
-        ids = self.pool[where]
-        before = np.concatenate([[0], np.cumsum(count)])
+            # one character stands for each byte, so places in the text stay the same
+            text, tokenize = self.alphabet[data].tobytes().decode("utf-32-le"), self.tok.model.tokenize
+            got = [[t.id for t in tokenize(text[a:b])] for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
+            count[new] = [len(x) for x in got]
+            where[new] = self.filled + np.cumsum(count[new]) - count[new]
+            flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(count[new].sum()))
+            if self.filled + len(flat) > len(self.pool):
+                self.pool = np.concatenate([self.pool[:self.filled], np.zeros(self.filled + 2 * len(flat), np.uint32)])
+            self.pool[self.filled:self.filled + len(flat)] = flat
+            self.filled += len(flat)
+            into = np.searchsorted(self.keys, keys[new])
+            self.keys = np.insert(self.keys, into, keys[new])
+            self.start = np.insert(self.start, into, where[new])
+            self.count = np.insert(self.count, into, count[new])
+        each = count[back]
+        ids = self.pool[R.ranges(where[back], each)]
+        before = np.concatenate([[0], np.cumsum(each)])
         return ids, before[np.searchsorted(start, offs)]
 
-    def _room(self, more: int) -> None:
-        need = self.used + more
-        if need > len(self.start):
-            self.start = np.resize(self.start, 2 * need)
-            self.count = np.resize(self.count, 2 * need)
-
-    def _add(self, ids: list[int]) -> int:
-        need = self.filled + len(ids)
-        if need > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * need)
-        self.pool[self.filled:need] = ids
-        self.start[self.used], self.count[self.used] = self.filled, len(ids)
-        self.filled, self.used = need, self.used + 1
-        return self.used - 1
-
 
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary."""
