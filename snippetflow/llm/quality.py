@@ -1,4 +1,7 @@
-"""Quality by an interpolated modified Kneser-Ney model (operator 8).
+"""Quality by an interpolated modified Kneser-Ney model of fixed size.
+
+The registered query (operator 8) uses the model over raw characters in
+``open_quality``; this one is for callers who want a table of known size.
 
 The model is of order 4 over 40 classes of characters (letters, digit, blanks,
 signs, eight classes of bytes of non-ASCII characters), trained on the texts
@@ -138,7 +141,13 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     table[got.column("code").to_numpy()] = got.column("logp").to_numpy()
     shared = spark.sparkContext.broadcast(table)
     kind = d.schema["doc_id"].dataType.simpleString()
-    scored = cut_lineage(d.mapInArrow(_score(shared, 2), f"doc_id {kind}, lang string, n_symbols long, log_prob double").withColumn(
+    scored = d.mapInArrow(_score(shared, 2), f"doc_id {kind}, lang string, n_symbols long, log_prob double")
+    return judge(scored, trusted, quantile)
+
+
+def judge(scored: DataFrame, trusted: DataFrame, quantile: float) -> DataFrame:
+    """Perplexity, the threshold of each language from its trusted documents, and what is kept."""
+    scored = cut_lineage(scored.withColumn(
         "perplexity", F.when(F.col("n_symbols") > 0, F.round(F.exp(-F.col("log_prob") / F.col("n_symbols")), 9))))
     fine = scored.join(trusted, "doc_id", "left_semi").where("perplexity is not null")
     at = F.percentile_approx("perplexity", quantile, 10000)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snippetflow.llm import chat, decontaminate, exact_dedup, licences, ngram_join, packing, pii, quality, substrings, toxicity
+from snippetflow.llm import chat, decontaminate, exact_dedup, licences, ngram_join, open_quality, packing, pii, substrings, toxicity
 from snippetflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,7 +48,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return open_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from snippetflow.llm import chat, decontaminate, licences, packing, pii, quality, toxicity
+from snippetflow.llm import chat, decontaminate, licences, open_quality, packing, pii, quality, toxicity
 from snippetflow.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -304,3 +304,66 @@ def test_quality_equals_plain_model(spark):
     none = quality.score(df, labels.limit(0)).collect()
     assert all(r.kept == (r.perplexity is not None) for r in none)
     assert quality.score(brute.frame(spark, []), labels).count() == 0
+
+
+def plain_open(texts):
+    """Interpolated modified Kneser-Ney over raw characters by dictionaries: probability of a character after its context."""
+    import collections
+    n = open_quality.ORDER
+    tables = {n: collections.Counter()}
+    for t in texts:
+        s = [None] * (n - 1) + list(t)
+        tables[n].update(tuple(s[i - n + 1:i + 1]) for i in range(n - 1, len(s)))
+    for k in range(n - 1, 0, -1):
+        tables[k] = collections.Counter(g[1:] for g in tables[k + 1])
+    discount, context = {}, {k: collections.defaultdict(lambda: [0, 0.0]) for k in tables}
+    for k, t in tables.items():
+        c = collections.Counter(t.values())
+        y = c[1] / (c[1] + 2 * c[2]) if c[1] and c[2] else 0
+        d = [1 - 2 * y * c[2] / c[1], 2 - 3 * y * c[3] / c[2], 3 - 4 * y * c[4] / c[3] if c[3] else 1.5] if y else [0.5] * 3
+        discount[k] = [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)] if y else d
+        for g, m in t.items():
+            context[k][g[:-1]][0] += m
+            context[k][g[:-1]][1] += discount[k][min(m, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / (len(tables[1]) + 1)
+        total, taken = context[len(g)].get(g[:-1], (0, 0))
+        if not total:
+            return p(g[1:])
+        c = tables[len(g)].get(g, 0)
+        return ((c - discount[len(g)][min(c, 3) - 1] if c else 0) + taken * p(g[1:])) / total
+    return p
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 25, 300])
+def test_open_quality_equals_plain_model(spark, block_bytes):
+    import math
+    rnd = random.Random(9)
+    parts = ["alpha", "Beta", "été", "日本", "本日", "gamma.", "12", "😀", "x\0y"]
+    good = [(i, " ".join(rnd.choice(parts) for _ in range(rnd.randint(3, 30)))) for i in range(40)]
+    rows = good + [(100, "zzzz qqqq xxxx"), (101, None), (102, ""), (103, "日"), (104, "月"), good[0]]
+    df = brute.frame(spark, rows)
+    labels = spark.createDataFrame([(i, 1, "x") for i, _ in good] + [(100, 0, "x"), (None, 1, "x")], "doc_id long, quality int, text string")
+    got = open_quality.score(df, labels, block_bytes=block_bytes).collect()
+    assert sorted(r.doc_id for r in got) == sorted(d for d, _ in rows)
+    p = plain_open([t for _, t in good] + [good[0][1]])
+    n = open_quality.ORDER
+    for r in got:
+        s = [None] * (n - 1) + list(dict(rows)[r.doc_id] or "")
+        want = sum(math.log(p(tuple(s[i - n + 1:i + 1]))) for i in range(n - 1, len(s)))
+        assert r.n_symbols == len(s) - n + 1 and abs(r.log_prob - want) < 1e-6 * max(1, abs(want)), r
+    by = {r.doc_id: r for r in got}
+    # the fixed classes gave these two texts the same score
+    assert by[103].log_prob > by[104].log_prob
+    assert not by[100].kept and not by[101].kept and by[101].perplexity is None
+    none = open_quality.score(df, labels.limit(0), block_bytes=block_bytes).collect()
+    assert all(r.kept == (r.perplexity is not None) for r in none)
+    assert open_quality.score(brute.frame(spark, []), labels).count() == 0
+
+
+def test_open_quality_model_grows_with_the_trusted_text(spark):
+    texts = [("".join(chr(0x4E00 + 40 * i + j) for j in range(40)),) for i in range(100)]
+    sizes = [open_quality.train(spark.createDataFrame(texts[:k], "text string"))[0].count() for k in (10, 100)]
+    assert sizes[1] > 9 * sizes[0]
