@@ -89,7 +89,8 @@ def scan_licences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     low, high = max(1, bounds[0] or 1), bounds[1] or 0
     d = pick(docs, doc_id=doc_id, text=text).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", _plain(F.coalesce("text", F.lit(""))).alias("t"))
-    whole = F.translate("t", "\n", " ")
+    # empty lines leave runs of blanks, which are no words
+    whole = F.trim(F.regexp_replace("t", r"[ \n]+", " "))
     probes = F.array(*[F.lit(r.probe) for r in tb.select("probe").distinct().orderBy("probe").collect()], F.lit(""))
     # unit 0 is a mark that keeps every document, unit 1 the whole text, then the lines
     several = F.contains("t", F.lit("\n"))
@@ -97,7 +98,7 @@ def scan_licences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     none = F.expr("cast(array() as array<string>)")
 
     def words(line):
-        # blanks may be doubled where a break was, so the upper bound is loose here
+        # a line may begin and end with a blank, so the upper bound is loose here
         blanks = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
         return F.when(blanks.between(low, 2 * high + 2), F.split(F.trim(line), " +")).otherwise(none)
 

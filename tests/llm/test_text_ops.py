@@ -162,6 +162,14 @@ def test_licences(spark):
     assert licences.scan_licences(brute.frame(spark, [])).count() == 0
 
 
+def test_licences_whole_text_with_many_empty_lines(spark):
+    mit = max((t for n, t in licences.TEMPLATES if n == "MIT"), key=len).split()
+    lines = [" ".join(mit[i:i + 11]) for i in range(0, len(mit), 11)]
+    rows = [(1, "\n".join(lines) + "\n" * 200), (2, "\n" * 300 + (" \n" * 300).join(lines)), (3, "\n" * 400)]
+    got = {r.doc_id: r for r in licences.scan_licences(brute.frame(spark, rows)).collect()}
+    assert [(got[d].licences, got[d].units, got[d].best_dice) for d in (1, 2, 3)] == [("MIT", "-1", 1.0), ("MIT", "-1", 1.0), ("", "", None)]
+
+
 @pytest.mark.parametrize("block_words", [2_000_000, 40])
 def test_contamination(spark, block_words):
     rnd = random.Random(5)
