@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snippetflow.llm import chat, decontaminate, exact_dedup, licences, ngram_join, open_quality, packing, pii, substrings, toxicity
+from snippetflow.llm import chat, decontaminate, exact_dedup, licences, ngram_join, open_quality, packing, pii, resample, substrings, toxicity
 from snippetflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_toxicity": op1,
     "op2_licence_scan": op2,
@@ -72,10 +77,15 @@ QUERIES = {
     "op8_quality": op8,
     "op9_exact_dedup": op9,
     "op10_decontamination": op10,
+    "op13_importance_resampling": op13,
 }
 
 ORACLE = {}
 
+#: The words of operators 10 and 13.
+WORDS_SQL = (r"regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+             r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+')")
+
 ORACLE["op9_exact_dedup"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS raw, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
 g AS (SELECT *, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -151,3 +161,33 @@ FROM d LEFT JOIN r USING (rn) LEFT JOIN p USING (rn)
 
 
 ORACLE["op2_licence_scan"] = _licence_sql()
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned crc32 of a text's UTF-8 bytes, bit by bit, lowest bit of a byte first."""
+    code = f"hex(encode({text}))"
+    bits = (f"list_transform(range(4 * length({code})), lambda i: "
+            f"(('0x' || substr({code}, 2 * (i // 8)::INTEGER + 1, 2))::BIGINT >> (i % 8)) & 1)")
+    step = "lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), {step}), 4294967295)"
+
+
+ORACLE["op13_importance_resampling"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {WORDS_SQL} AS w FROM documents),
+b AS (SELECT {WORDS_SQL} AS w FROM benchmark),
+df AS (SELECT rn, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+bf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+k AS (SELECT f, {_crc32_sql('f')} % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+s AS (SELECT bucket, count(*) AS n FROM df JOIN k USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bf JOIN k USING (f) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)
+             / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+x AS (SELECT rn, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM df JOIN k USING (f) JOIN g USING (bucket) GROUP BY rn),
+y AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+             + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+      FROM d LEFT JOIN x USING (rn)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place FROM y)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_words >= 20 AND place <= 25 * (SELECT count(*) FROM y WHERE n_words >= 20) // 100 THEN place END AS rank
+FROM r
+"""
