@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snippetflow.llm import chat, decontaminate, exact_dedup, licences, ngram_join, open_quality, packing, pii, resample, substrings, toxicity
+from snippetflow.llm import chat, decontaminate, exact_dedup, licences, ngram_join, open_quality, packing, pii, prefix_trie, resample, substrings, toxicity
 from snippetflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.branched(table(spark, sf_dir, "conversations")))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_features", "weight", "score", "rank")
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_quality": op8,
     "op9_exact_dedup": op9,
     "op10_decontamination": op10,
+    "op12_prefix_trie": op12,
     "op13_importance_resampling": op13,
 }
 
@@ -191,3 +196,27 @@ SELECT doc_id, n_features, weight, score,
        CASE WHEN n_words >= 20 AND place <= 25 * (SELECT count(*) FROM y WHERE n_words >= 20) // 100 THEN place END AS rank
 FROM r
 """
+
+ORACLE["op12_prefix_trie"] = rf"""
+WITH t AS (SELECT conv_id, role, text, k, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, k) - 1 AS j
+           FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                        sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, {_crc32_sql('conv_id::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.conv_id, j, k, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND j < h),
+nb AS (SELECT conv_id, count(*) AS n FROM b GROUP BY conv_id),
+r AS (SELECT conv_id, j AS i, k, text FROM b
+      UNION ALL SELECT t.conv_id, j - h + coalesce(n, 0), k, text FROM t JOIN c USING (conv_id) LEFT JOIN nb USING (conv_id) WHERE j >= h),
+x AS (SELECT conv_id, i + 1 AS depth, length(text) AS len, sha256(string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY i)) AS node FROM r),
+p AS (SELECT *, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), '') AS above FROM x
+      UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c),
+n AS (SELECT depth, node, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, max(len) AS len FROM p GROUP BY depth, node),
+k AS (SELECT above AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY above),
+s AS (SELECT p.depth, p.node, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.len)::BIGINT AS saved_tokens
+      FROM n LEFT JOIN k USING (node) JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.depth, p.node),
+e AS (SELECT depth, node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends
+      FROM (SELECT * FROM p QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY depth, node)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+       sha256(coalesce(ends, '')) AS ends_sha256
+FROM n JOIN s USING (depth, node) LEFT JOIN k ON k.node = n.node LEFT JOIN e ON e.depth = n.depth AND e.node = n.node
+LEFT JOIN n u ON u.node = n.above AND u.depth = n.depth - 1
+"""
