@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snippetflow.llm import chat, decontaminate, exact_dedup, licences, ngram_join, open_quality, packing, pii, prefix_trie, resample, substrings, toxicity
+from snippetflow.llm import chat, decontaminate, exact_dedup, html_extract, licences, ngram_join, open_quality, packing, pii, prefix_trie, resample, substrings, toxicity
 from snippetflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.branched(table(spark, sf_dir, "conversations")))
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op8_quality": op8,
     "op9_exact_dedup": op9,
     "op10_decontamination": op10,
+    "op11_html_extraction": op11,
     "op12_prefix_trie": op12,
     "op13_importance_resampling": op13,
 }
@@ -220,3 +225,13 @@ SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_ch
 FROM n JOIN s USING (depth, node) LEFT JOIN k ON k.node = n.node LEFT JOIN e ON e.depth = n.depth AND e.node = n.node
 LEFT JOIN n u ON u.node = n.above AND u.depth = n.depth - 1
 """
+
+# Holds for pages whose content is one <article> of h1 and p blocks, as all given pages are.
+ORACLE["op11_html_extraction"] = r"""
+WITH a AS (SELECT row_number() OVER () AS rn, page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+b AS (SELECT rn, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS raw FROM (SELECT rn, regexp_split_to_array(body, '</?(p|h1)>') AS x FROM a)),
+c AS (SELECT rn, i, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]*>', '', 'g'),
+             '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM b),
+d AS (SELECT rn, string_agg(t, chr(10) ORDER BY i) AS text FROM c WHERE t <> '' GROUP BY rn)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM a LEFT JOIN d USING (rn)
+"""
