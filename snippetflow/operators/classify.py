@@ -7,7 +7,10 @@
 * ``classify``: a fitted ``PipelineModel``, a ``CueTable`` (argmax of cue
   scores) or a ``BatchModel`` (external model over Arrow batches).
 * ``fit_naive_bayes`` / ``predict_naive_bayes``: multinomial Naive Bayes as
-  joins and aggregates; the model is a sparse (token, label, weight) table.
+  joins and aggregates; the model is a sparse (token, weights) table.  Rows are scored by
+  their place in the table (``schema.unique_key``), never by an id that others may share.
+  Several models are scored in one pass (``stack_naive_bayes``), a row's two views as well
+  (``predict_two_views``), and a categorical column may join the tokens (M9).
 """
 
 from __future__ import annotations
@@ -16,14 +19,16 @@ import uuid
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snippetflow.functions.cues import CueTable
-from snippetflow.functions.text import TOKEN_SPLIT
+from snippetflow.functions.text import CROP_CHARS, TOKEN_SPLIT, crop_head, crop_tail
 from snippetflow.operators import labels as L
+from snippetflow.operators.detect import cached_model
 from snippetflow.operators import metrics as M
+from snippetflow.schema import unique_key
 from snippetflow.session import cut_lineage
 
 DEFAULT_CANDIDATES = ({"regParam": 0.01, "maxIter": 20}, {"regParam": 0.1, "maxIter": 20})
@@ -134,7 +139,7 @@ def classify(df: DataFrame, model, code: str = "code", out: str = "predicted_lab
     if isinstance(model, CueTable):
         return model.apply(df, code, out, "index")
     if isinstance(model, NaiveBayesModel):
-        return predict_naive_bayes(model, df, "id", code, out)
+        return predict_naive_bayes(model, df, None, code, out)
     if hasattr(model, "transform"):
         return predict_model(model, df, out)
     if callable(model):
@@ -153,9 +158,7 @@ def batch_scores_udf(make_predict_fn, batch_size: int = 32, failed: int | None =
 
     @F.pandas_udf(T.IntegerType())
     def _predict(texts: pd.Series) -> pd.Series:
-        fn = _SCORER_CACHE.get(token)
-        if fn is None:
-            fn = _SCORER_CACHE[token] = make_predict_fn()
+        fn = cached_model(_SCORER_CACHE, token, make_predict_fn)
         vals = texts.tolist()
         out: list = [None] * len(vals)
         for s in range(0, len(vals), batch_size):
@@ -186,6 +189,16 @@ class NaiveBayesModel:
     classes: DataFrame    # (label, prior, norm): log-prior, log(total_c + a*|V|)
     labels: list          # the K class labels in order
     alpha: float
+    values: DataFrame | None = None     # (value, w): w[k] = log of the share of the categorical value in class k (M9)
+
+
+@dataclass
+class NaiveBayesStack:
+    """Several models of the same classes, scored together."""
+    weights: DataFrame    # (token, w, known): w[m * K + k], and known[m] = 1 where model m has the token
+    classes: DataFrame    # (model, label, prior, norm)
+    labels: list
+    size: int             # models
 
 
 @dataclass
@@ -206,6 +219,19 @@ class NaiveBayesCounts:
             F.log(F.col("tot") + alpha * self.n_vocab).alias("norm"))
         return NaiveBayesModel(weights, classes, self.labels, alpha)
 
+    def stack(self, alphas) -> NaiveBayesStack:
+        """The models of all ``alphas`` from the one token table, without a join."""
+        w = F.concat(*[F.transform("c", _log_plus(a)) for a in alphas])
+        classes = None
+        for i, a in enumerate(alphas):
+            c = self.model(a).classes.withColumn("model", F.lit(i))
+            classes = c if classes is None else classes.unionByName(c)
+        return NaiveBayesStack(self.tokens.select("token", w.alias("w"), F.array_repeat(F.lit(1), len(alphas)).alias("known")), classes, self.labels, len(alphas))
+
+
+def _log_plus(alpha: float):
+    return lambda x: F.log(x + alpha)
+
 
 def count_naive_bayes(train: DataFrame, label: str = "label", code: str = "code", pattern: str = NB_SPLIT) -> NaiveBayesCounts:
     """One pass over the text: (token, label) counts with partial aggregation, folded
@@ -223,9 +249,37 @@ def count_naive_bayes(train: DataFrame, label: str = "label", code: str = "code"
     return NaiveBayesCounts(tokens, classes, ks, tokens.count())
 
 
-def fit_naive_bayes(train: DataFrame, label: str = "label", code: str = "code", alpha: float = 1.0, pattern: str = NB_SPLIT) -> NaiveBayesModel:
-    """Multinomial NB with additive smoothing."""
-    return count_naive_bayes(train, label, code, pattern).model(alpha)
+def fit_naive_bayes(train: DataFrame, label: str = "label", code: str = "code", alpha: float = 1.0, pattern: str = NB_SPLIT,
+                    language: str | None = None) -> NaiveBayesModel:
+    """Multinomial NB with additive smoothing.  ``language`` names a categorical column (stage 1's
+    language, M9) whose likelihood log((n_kv + a) / (n_k + a V)) over its V values counts beside the tokens."""
+    model = count_naive_bayes(train, label, code, pattern).model(alpha)
+    if language is None:
+        return model
+    pairs = train.select(F.col(label).alias("label"), F.col(language).alias("value")).where("label is not null and value is not null")
+    seen = cut_lineage(pairs.groupBy("value", "label").agg(F.count(F.lit(1)).alias("n")))
+    n_values = seen.select("value").distinct().count()
+    totals = seen.groupBy("label").agg(F.sum("n").alias("n"))
+    totals = {r.label: r.n for r in totals.collect()}        # K rows
+    w = [F.log((F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)) + alpha) / (totals.get(k, 0) + alpha * n_values)) for k in model.labels]
+    model.values = cut_lineage(seen.groupBy("value").agg(F.array(*w).alias("w")))
+    return model
+
+
+def stack_naive_bayes(models: list[NaiveBayesModel]) -> NaiveBayesStack:
+    """M8: one weight table for several fitted models: a token's row has the weights of all."""
+    labels = models[0].labels
+    if any(m.labels != labels for m in models):
+        raise ValueError("stacked models need the same classes")
+    rows, classes = None, None
+    for i, m in enumerate(models):
+        r, c = m.weights.select("token", "w", F.lit(i).alias("model")), m.classes.select("label", "prior", "norm", F.lit(i).alias("model"))
+        rows, classes = (r, c) if rows is None else (rows.unionByName(r), classes.unionByName(c))
+    own = [F.max(F.when(F.col("model") == i, F.col("w"))) for i in range(len(models))]
+    none = F.array_repeat(F.lit(0.0), len(labels))
+    weights = rows.groupBy("token").agg(F.concat(*[F.coalesce(w, none) for w in own]).alias("w"),
+                                        F.array(*[F.when(w.isNull(), 0).otherwise(1) for w in own]).alias("known"))
+    return NaiveBayesStack(cut_lineage(weights), classes, labels, len(models))
 
 
 @dataclass
@@ -236,17 +290,15 @@ class NaiveBayesSearch:
     model: NaiveBayesModel
 
 
-def search_naive_bayes(train: DataFrame, val: DataFrame, alphas=NB_ALPHAS, label: str = "label", id_col: str = "id",
+def search_naive_bayes(train: DataFrame, val: DataFrame, alphas=NB_ALPHAS, label: str = "label", id_col: str | None = None,
                        code: str = "code") -> NaiveBayesSearch:
     """M4 + M7 + A23 in closed form: one count of the training rows, a model per alpha, all
     scored on the validation rows, the first best macro-F1 kept."""
     from snippetflow.operators.ensemble import best_candidate
     counts = count_naive_bayes(train, label, code)
     models = [counts.model(a) for a in alphas]
-    scored = None
-    for i, m in enumerate(models):
-        p = predict_naive_bayes(m, val, id_col, code).select(F.lit(i).alias("candidate"), label, "predicted_label")
-        scored = p if scored is None else scored.unionByName(p)
+    # all candidates read and tokenize the validation rows once
+    scored = predict_stack(counts.stack(alphas), val, id_col, code).select(label, F.posexplode("predicted_labels").alias("candidate", "predicted_label"))
     alpha = F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.col("candidate") + 1)
     table = cut_lineage(M.grouped_summary(scored, "candidate", label).select(
         "candidate", alpha.alias("alpha"), F.col("macro_f1").alias("val_macro_f1"), F.col("accuracy").alias("val_accuracy")))
@@ -259,43 +311,108 @@ def save_naive_bayes(model: NaiveBayesModel, path: str) -> None:
     model.weights.write.mode("overwrite").parquet(f"{path}/weights")
     model.classes.write.mode("overwrite").parquet(f"{path}/classes")
     spark = model.weights.sparkSession
-    spark.range(1).select(F.lit(float(model.alpha)).alias("alpha")).write.mode("overwrite").parquet(f"{path}/settings")
+    spark.range(1).select(F.lit(float(model.alpha)).alias("alpha"), F.lit(model.values is not None).alias("has_values")).write.mode("overwrite").parquet(f"{path}/settings")
+    if model.values is not None:
+        model.values.write.mode("overwrite").parquet(f"{path}/values")
 
 
 def load_naive_bayes(spark, path: str) -> NaiveBayesModel:
     classes = spark.read.parquet(f"{path}/classes")
     labels = [r["label"] for r in classes.select("label").orderBy("label").collect()]
-    alpha = spark.read.parquet(f"{path}/settings").first()["alpha"]
-    return NaiveBayesModel(spark.read.parquet(f"{path}/weights"), classes, labels, alpha)
+    settings = spark.read.parquet(f"{path}/settings").first()
+    values = spark.read.parquet(f"{path}/values") if "has_values" in settings and settings["has_values"] else None
+    return NaiveBayesModel(spark.read.parquet(f"{path}/weights"), classes, labels, settings["alpha"], values)
 
 
-def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "id", code: str = "code",
-                        out: str = "predicted_label", pattern: str = NB_SPLIT) -> DataFrame:
-    """argmax_k prior_k + sum_t x_t * w[t][k] - n_known * norm_k, ties -> lowest label.
+def _keyed(df: DataFrame, id_col: str | None) -> tuple[DataFrame, str]:
+    return (df, id_col) if id_col else unique_key(df)
+
+
+def _class_scores(classes: DataFrame, size: int, k: int, sums, known) -> Column:
+    """Per model the array of class scores: prior + sum of weights - known tokens * norm."""
+    rows = sorted((r.model, r.label, r.prior, r.norm) for r in classes.collect())        # models x K rows
+    prior, norm = (F.array(*[F.lit(r[i]) for r in rows]) for i in (2, 3))
+
+    def of_model(m):
+        def of_class(c):
+            at = m * k + c
+            return F.get(prior, at) + F.coalesce(F.get(sums, at), F.lit(0.0)) - F.coalesce(F.get(known, m), F.lit(0)) * F.get(norm, at)
+        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), of_class)
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), of_model)
+
+
+def _best_label(scores, labels: list):
+    """The label of the highest score, the lowest label among equal ones."""
+    return F.element_at(F.array(*[F.lit(x) for x in labels]), F.array_position(scores, F.array_max(scores)).cast("int"))
+
+
+def _occurrences(df: DataFrame, key: str, code, pattern: str) -> DataFrame:
+    return df.select(F.col(key).alias("_nb_id"), F.explode(F.split(F.lower(code), pattern)).alias("token")).where("token <> ''")
+
+
+def _stack_scores(stack: NaiveBayesStack, df: DataFrame, key: str, code: str, pattern: str) -> DataFrame:
+    """``df`` with ``_nb``: per model the scores of the K classes.
 
     Token occurrences meet the one-row-per-token weight table in a join on
-    token; a single aggregate per document then sums the K class scores and
-    the count of known tokens.  Documents without any known token keep the
-    prior.  The weight table is written at the fit, so its size is known when the
+    token; a single aggregate per row then sums the scores and the known tokens of
+    all models.  The weight table is written at the fit, so its size is known when the
     join is planned: small, it is broadcast and occurrences stay in their
-    tasks; large, it is joined by shuffle, where AQE splits hot tokens.
+    tasks; large, it is joined by shuffle, where AQE splits hot tokens."""
+    k = len(stack.labels)
+    terms = _occurrences(df, key, F.col(code), pattern).join(stack.weights, "token")
+    per_row = terms.groupBy("_nb_id").agg(F.array(*[F.sum(F.col("w")[i]) for i in range(stack.size * k)]).alias("_nb_s"),
+                                          F.array(*[F.sum(F.col("known")[i]) for i in range(stack.size)]).alias("_nb_n"))
+    met = df.join(per_row, F.col(key) == F.col("_nb_id"), "left")
+    return met.withColumn("_nb", _class_scores(stack.classes, stack.size, k, F.col("_nb_s"), F.col("_nb_n"))).drop("_nb_id", "_nb_s", "_nb_n")
+
+
+def predict_stack(stack: NaiveBayesStack, df: DataFrame, id_col: str | None = None, code: str = "code",
+                  out: str = "predicted_labels", pattern: str = NB_SPLIT) -> DataFrame:
+    """M8 in one pass: the array of every model's label.  ``id_col``: a column known to be unique and
+    not null; without it rows are told apart by their place in the table."""
+    names = df.columns
+    df, key = _keyed(df, id_col)
+    scored = _stack_scores(stack, df, key, code, pattern)
+    labels = stack.labels
+    return scored.withColumn(out, F.transform("_nb", lambda s: _best_label(s, labels))).select(*names, out)
+
+
+def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str | None = None, code: str = "code",
+                        out: str = "predicted_label", pattern: str = NB_SPLIT, language: str | None = None) -> DataFrame:
+    """argmax_k prior_k + sum_t x_t * w[t][k] - n_known * norm_k, ties -> lowest label.
+
+    Rows without any known token keep the prior.  ``id_col``: a column known to be unique and not null; without
+    it rows are told apart by their place in the table, so repeated and null ids do no harm.
+    A model fitted with a categorical column adds its likelihood (``language`` names the column; an unseen or null value adds nothing).
     """
-    k = len(model.labels)
-    # token occurrences (one row each): the per-document aggregate below
-    # combines repeats map-side, so no separate (doc, token) shuffle is needed
-    occ = (df.select(F.col(id_col).alias("id"), F.explode(F.split(F.lower(F.col(code)), pattern)).alias("token"))
-           .filter(F.col("token") != ""))
-    terms = occ.join(model.weights, "token")
-    per_doc = terms.groupBy(F.col("id").alias("_nb_id")).agg(
-        F.count(F.lit(1)).alias("_nk"), *[F.sum(F.col("w")[i]).alias(f"_nb{i}") for i in range(k)])
-    cl = model.classes.select(F.sort_array(F.collect_list(F.struct("label", "prior", "norm"))).alias("cl"))
-    cl_arr = cl.select("cl").scalar()
-    joined = df.join(per_doc, F.col(id_col) == F.col("_nb_id"), "left")
-    scores = [cl_arr[i]["prior"] + F.coalesce(F.col(f"_nb{i}"), F.lit(0.0))
-              - F.coalesce(F.col("_nk"), F.lit(0)) * cl_arr[i]["norm"] for i in range(k)]
-    best = F.greatest(*scores) if k > 1 else scores[0]
-    pick = None
-    for i, sc in enumerate(scores):
-        lab = F.lit(model.labels[i])
-        pick = F.when(sc == best, lab) if pick is None else pick.when(sc == best, lab)
-    return joined.withColumn(out, pick).drop("_nb_id", "_nk", *[f"_nb{i}" for i in range(k)])
+    names = df.columns
+    df, key = _keyed(df, id_col)
+    one = NaiveBayesStack(model.weights.select("token", "w", F.array(F.lit(1)).alias("known")), model.classes.withColumn("model", F.lit(0)), model.labels, 1)
+    scored = _stack_scores(one, df, key, code, pattern).withColumn("_nb", F.col("_nb")[0])
+    if model.values is not None and language is not None:
+        v = model.values.select(F.col("value").alias("_nb_v"), F.col("w").alias("_nb_vw"))
+        scored = scored.join(v, F.col(language) == F.col("_nb_v"), "left")
+        scored = scored.withColumn("_nb", F.when(F.col("_nb_vw").isNull(), F.col("_nb")).otherwise(F.zip_with("_nb", "_nb_vw", lambda a, b: a + b)))
+    return scored.withColumn(out, _best_label(F.col("_nb"), model.labels)).select(*names, out)
+
+
+def predict_two_views(model: NaiveBayesModel, df: DataFrame, n: int = CROP_CHARS, id_col: str | None = None, code: str = "code",
+                      out: str = "predicted_label", pattern: str = NB_SPLIT) -> DataFrame:
+    """M6 with a fitted model: the class probabilities of the head and of the tail view
+    (their first and last ``n`` characters), averaged; argmax, ties -> lowest label.
+    Both views of a row are scored in one join and one aggregate."""
+    names, k = df.columns, len(model.labels)
+    df, key = _keyed(df, id_col)
+    views = df.select(F.col(key).alias("_nb_id"), F.posexplode(F.array(crop_head(code, n), crop_tail(code, n))).alias("view", "code"))
+    terms = views.select("_nb_id", "view", F.explode(F.split(F.lower("code"), pattern)).alias("token")).where("token <> ''").join(model.weights, "token")
+    mine = lambda v, x: F.sum(F.when(F.col("view") == v, x))
+    per_row = terms.groupBy("_nb_id").agg(F.array(*[mine(v, F.col("w")[i]) for v in (0, 1) for i in range(k)]).alias("_nb_s"),
+                                          F.array(*[mine(v, F.lit(1)) for v in (0, 1)]).alias("_nb_n"))
+    classes = model.classes.withColumn("model", F.explode(F.array(F.lit(0), F.lit(1))))
+    met = df.join(per_row, F.col(key) == F.col("_nb_id"), "left").withColumn("_nb", _class_scores(classes, 2, k, F.col("_nb_s"), F.col("_nb_n")))
+
+    def probabilities(s):
+        e = F.transform(s, lambda x: F.exp(x - F.array_max(s)))
+        return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    met = met.withColumn("_nb", F.transform("_nb", probabilities)).withColumn("_nb", F.zip_with(F.col("_nb")[0], F.col("_nb")[1], lambda a, b: (a + b) / 2.0))
+    return met.withColumn(out, _best_label(F.col("_nb"), model.labels)).select(*names, out)

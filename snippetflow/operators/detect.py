@@ -24,6 +24,18 @@ from snippetflow.functions.cues import TEXT_CUE_TABLE, UNKNOWN, CueTable
 from snippetflow.functions.text import PROMPT_MAX_CHARS, chat_prompt, clean_response
 
 _MODEL_CACHE: dict = {}
+CACHED_MODELS = 4
+
+
+def cached_model(cache: dict, token: str, make: Callable):
+    """The model of ``token`` in this Python worker; of more than CACHED_MODELS the oldest goes."""
+    if token not in cache:
+        while len(cache) >= CACHED_MODELS:
+            cache.pop(next(iter(cache)))
+        cache[token] = make()
+    return cache[token]
+
+
 ANSWER = T.StructType([T.StructField("label", T.StringType()), T.StructField("error", T.StringType())])
 
 
@@ -50,9 +62,7 @@ class BatchModel:
 
         @F.pandas_udf(ANSWER)
         def _detect(texts: pd.Series) -> pd.DataFrame:
-            fn = _MODEL_CACHE.get(token)
-            if fn is None:
-                fn = _MODEL_CACHE[token] = make()
+            fn = cached_model(_MODEL_CACHE, token, make)
             out, err = [unknown] * len(texts), [None] * len(texts)
             vals = texts.tolist()
             for start in range(0, len(vals), bs):

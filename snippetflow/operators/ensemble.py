@@ -56,8 +56,11 @@ def weighted_vote(stacked: DataFrame) -> DataFrame:
     Weights are summed as decimals of nine places, so the sum does not depend
     on the order in which rows arrive and equal sums are ties.  One shuffle on
     ``id``; the winner is the max of ``sum * 2^32 + (2^31 - 1 - label)`` as one
-    decimal, so both steps are fixed-width hash aggregates.  Sums must stay below 10^9."""
-    weight = F.col("weight").cast("decimal(18,9)").alias("weight")
+    decimal, so both steps are fixed-width hash aggregates.  Sums must stay below 10^9;
+    a weight that nine places cannot hold to a millionth of itself raises an error."""
+    w, kept = F.col("weight").cast("double"), F.col("weight").cast("decimal(18,9)")
+    weight = F.when(F.abs(kept.cast("double") - w) > F.abs(w) * 1e-6, F.raise_error(F.lit("a weight needs more than nine decimal places: scale the weights up")).cast(
+        "decimal(18,9)")).otherwise(kept).alias("weight")
     by_id = stacked.select("id", "predicted_label", weight).repartition("id")
     s = by_id.groupBy("id", "predicted_label").agg(F.sum("weight").alias("_w"))
     units = (F.col("_w") * F.lit(10 ** 9)).cast("decimal(20,0)")

@@ -49,3 +49,10 @@ def with_class_weight(df: DataFrame, weights: DataFrame, label: str = "label",
 def inverse_label_map(label_map_df: DataFrame) -> DataFrame:
     """(name, label): the lowest label per name, for turning names into labels."""
     return label_map_df.groupBy("name").agg(F.min("label").alias("label"))
+
+
+def distinct_names(label_map: DataFrame) -> DataFrame:
+    """The label map with every name that several labels share followed by its label, so names can be keys."""
+    n = label_map.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
+    both = F.concat(F.col("name"), F.lit("_"), F.col("label").cast("string"))
+    return label_map.join(n, "name", "left").select("label", F.when(F.col("_n") > 1, both).otherwise(F.col("name")).alias("name"))

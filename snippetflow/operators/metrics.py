@@ -47,17 +47,14 @@ def label_universe(conf: DataFrame) -> DataFrame:
 
 
 def class_totals(conf: DataFrame) -> DataFrame:
-    """(label, tp, support, n_pred) over the label universe."""
-    support = conf.groupBy(F.col("true_label").alias("label")).agg(
-        F.sum("n").alias("support"),
-        F.sum(F.when(F.col("true_label") == F.col("predicted_label"), F.col("n"))
-              .otherwise(F.lit(0))).alias("tp"))
-    predicted = conf.groupBy(F.col("predicted_label").alias("label")).agg(F.sum("n").alias("n_pred"))
-    return (support.join(predicted, "label", "full_outer")
-            .select("label",
-                    F.coalesce("tp", F.lit(0)).cast("long").alias("tp"),
-                    F.coalesce("support", F.lit(0)).cast("long").alias("support"),
-                    F.coalesce("n_pred", F.lit(0)).cast("long").alias("n_pred")))
+    """(label, tp, support, n_pred) over the label universe: each cell counts once for its
+    true and once for its predicted label, in one aggregate."""
+    n, zero = F.col("n").cast("long"), F.lit(0).cast("long")
+    same = F.when(F.col("true_label") == F.col("predicted_label"), n).otherwise(zero)
+    sides = F.array(F.struct(F.col("true_label").alias("label"), same.alias("tp"), n.alias("support"), zero.alias("n_pred")),
+                    F.struct(F.col("predicted_label").alias("label"), zero.alias("tp"), zero.alias("support"), n.alias("n_pred")))
+    return conf.select(F.explode(sides).alias("c")).groupBy(F.col("c.label").alias("label")).agg(
+        *[F.sum(f"c.{x}").alias(x) for x in ("tp", "support", "n_pred")])
 
 
 def with_class_name(df: DataFrame, label_map: DataFrame | None, label: str = "label",
@@ -134,33 +131,22 @@ def classification_report(conf: DataFrame, label_map: DataFrame | None = None) -
     """(class, precision, recall, f1, support) + accuracy / macro avg / weighted avg.
 
     Class rows are named by the label map when given, else by the label text
-    (sklearn's report).  The accuracy row carries only f1 = accuracy.
+    (sklearn's report).  The accuracy row carries only f1 = accuracy.  Class rows and averages
+    come from one aggregate over grouping sets of the per-class table.
     """
     pc = with_class_name(per_class_metrics(conf), label_map, "label", "class",
                          None if label_map is None else "Class_")
-    rows = pc.select("class", "precision", "recall", "f1", F.col("support").cast("long"))
-    pc_all = per_class_metrics(conf)
-    s = pc_all.agg(
-        F.avg("precision").alias("macro_precision"),
-        F.avg("recall").alias("macro_recall"),
-        F.avg("f1").alias("macro_f1"),
-        _div(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("w_precision"),
-        _div(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("w_recall"),
-        _div(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"),
-        _div(F.sum("tp"), F.sum("support")).alias("accuracy"),
-        F.sum("support").cast("long").alias("n"))
-    avg_rows = s.select(F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"), F.col("accuracy").alias("f1"),
-                 F.col("n").alias("support")),
-        F.struct(F.lit("macro avg").alias("class"), F.col("macro_precision").alias("precision"),
-                 F.col("macro_recall").alias("recall"), F.col("macro_f1").alias("f1"),
-                 F.col("n").alias("support")),
-        F.struct(F.lit("weighted avg").alias("class"), F.col("w_precision").alias("precision"),
-                 F.col("w_recall").alias("recall"), F.col("weighted_f1").alias("f1"),
-                 F.col("n").alias("support")),
-    )).alias("r")).select("r.*")
-    return rows.unionByName(avg_rows)
+    s = pc.groupingSets([["label", "class"], []], "label", "class").agg(
+        F.grouping("label").alias("total"), F.sum("support").cast("long").alias("support"),
+        *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")],
+        *[_div(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(f"w_{c}") for c in ("precision", "recall", "f1")],
+        _div(F.sum("tp"), F.sum("support")).alias("accuracy"))
+    none = F.lit(None).cast("double")
+    row = lambda name, p, r, f: F.struct(name.alias("class"), p.alias("precision"), r.alias("recall"), f.alias("f1"), F.col("support").alias("support"))
+    own = row(F.col("class"), F.col("precision"), F.col("recall"), F.col("f1"))
+    totals = F.array(row(F.lit("accuracy"), none, none, F.col("accuracy")), row(F.lit("macro avg"), F.col("precision"), F.col("recall"), F.col("f1")),
+                     row(F.lit("weighted avg"), F.col("w_precision"), F.col("w_recall"), F.col("w_f1")))
+    return s.select(F.explode(F.when(F.col("total") == 1, totals).otherwise(F.array(own))).alias("r")).select("r.*")
 
 
 def per_class_long(conf: DataFrame) -> DataFrame:

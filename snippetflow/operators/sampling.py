@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snippetflow.functions.rand import uniform
+from snippetflow.operators.clean import numbered_ties
+from snippetflow.schema import order_key
 from snippetflow.session import cut_lineage
 
 DEFAULT_SEED = 42
@@ -21,43 +23,62 @@ CELLS = 1 << 20
 
 
 def _cut_keys(keys: DataFrame, offs: DataFrame, targets: DataFrame, cuts: list) -> DataFrame:
-    """The key (u, id) of the row at each target rank of each class.
+    """The key (u, id) of the row at each target rank of each class, and how many of the
+    rows that share this key come before that rank (``need``).
 
     ``keys``: label, _id, _u, _b; ``offs``: label, _b, _cnt, _off; ``targets``: label
     and one rank column per entry of ``cuts``.  Only the keys of the cell that holds a
-    target rank are numbered (about N / CELLS narrow rows each); the result has one row
+    target rank are counted (about N / CELLS narrow rows each, one row per distinct key: repeated and null ids
+    are summed before they meet in a window); the result has one row
     per class, with null where a class has no row of that rank.
     """
     marks = F.array(*[F.struct(F.lit(c).alias("cut"), F.col(c).alias("rank")) for c in cuts])
     t = targets.select("label", F.explode(marks).alias("t")).select(F.col("label").alias("_tl"), "t.cut", "t.rank")
     at = offs.join(t, F.col("label").eqNullSafe(F.col("_tl")) & (F.col("rank") >= F.col("_off"))
                    & (F.col("rank") < F.col("_off") + F.col("_cnt")))
-    at = cut_lineage(at.select("_tl", F.col("_b").alias("_tb"), "cut", (F.col("rank") - F.col("_off") + 1).alias("_nth")))
-    w = Window.partitionBy("_tl", "cut").orderBy("_u", "_id")
-    hit = (keys.join(at, F.col("label").eqNullSafe(F.col("_tl")) & (F.col("_b") == F.col("_tb")))
-           .withColumn("_r", F.row_number().over(w)).where("_r = _nth"))
+    at = cut_lineage(at.select("_tl", F.col("_b").alias("_tb"), "cut", (F.col("rank") - F.col("_off")).alias("_nth")))
+    per = keys.join(at, F.col("label").eqNullSafe(F.col("_tl")) & (F.col("_b") == F.col("_tb"))).groupBy("_tl", "cut", "_nth", "_u", "_id").agg(
+        F.count(F.lit(1)).alias("_m"))
+    w = Window.partitionBy("_tl", "cut").orderBy("_u", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = per.withColumn("_before", F.sum("_m").over(w) - F.col("_m")).where("_before <= _nth and _nth < _before + _m")
     # the marker keeps a class whose label is null apart from a class without a cut
-    return hit.groupBy("_tl").agg(*[F.max(F.when(F.col("cut") == c, F.struct("_u", "_id"))).alias(c) for c in cuts])
+    key = F.struct("_u", "_id")
+    return hit.groupBy("_tl").agg(*[F.max(F.when(F.col("cut") == c, F.struct(key.alias("key"), (F.col("_nth") - F.col("_before")).alias("need")))).alias(c) for c in cuts])
 
 
-def sample_exact(df: DataFrame, n: int | None, seed: int = DEFAULT_SEED, id_col: str = "id",
+def sample_exact(df: DataFrame, n: int | None, seed: int = DEFAULT_SEED, id_col: str | None = None,
                  buckets: int = CELLS) -> DataFrame:
     """Exactly min(n, count) rows, the n smallest seeded uniforms (ties by id).
 
-    ``n`` falsy (None or 0) means no cap.  Ids are counted per fine cell of u,
+    ``n`` falsy (None or 0) means no cap.  Without ``id_col`` rows go by ``id``, ``ID`` or
+    their place in the file.  Ids are counted per fine cell of u,
     two-level running sums find the cell that holds rank n, and the
     narrow keys of that cell give the first key outside the sample.  Every
     row is then decided by comparing its (u, id) with that one key: one scan
-    of the rows, which are neither shuffled nor joined by id.  Ids are
-    expected to be unique; rows of a null id come last, together.
+    of the rows, which are neither shuffled nor joined by id.
+
+    Rows that share the cut key (repeated ids; null ids, which come last) are taken by
+    position, as many as are missing: only these rows are written and numbered
+    (``clean.numbered_ties``), over any number of partitions.
     """
     if not n:
         return df
+    names = df.columns
+    if id_col is None:
+        df, id_col = order_key(df)
     keys = _rank_keys(df.withColumn("_one", F.lit(0)), "_one", id_col, seed, buckets)
     targets = df.sparkSession.range(1).select(F.lit(0).alias("label"), F.lit(int(n)).cast("long").alias("end"))
-    cut = _cut_keys(keys, _cell_offsets(keys), targets, ["end"]).agg(F.first("end")).scalar()
-    own = F.struct(_late(seed, id_col).alias("_u"), F.col(id_col).alias("_id"))
-    return df.where(cut.isNull() | (own < cut))
+    cuts = cut_lineage(_cut_keys(keys, _cell_offsets(keys), targets, ["end"]).select("end.*"))
+    found = cuts.select("need").first()
+    keep = len(names) < len(df.columns)        # the added row key goes again
+    if found is None:
+        return df.drop(id_col) if keep else df
+    cut, own = cuts.select("key").scalar(), _own(seed, id_col)
+    out = df.where(own < cut)
+    if found.need:
+        tied = numbered_ties(df.where(own.eqNullSafe(cut)), [])
+        out = out.union(tied.where(F.col("_tie") < found.need).drop("_tie"))
+    return out.drop(id_col) if keep else out
 
 
 def preview(df: DataFrame, n: int = 5, order_col: str = "id") -> DataFrame:
@@ -108,7 +129,11 @@ def split_quotas(class_counts: DataFrame, val_size: float = 0.2, test_size: floa
 
 def _late(seed: int, id_col: str):
     """The seeded uniform, or 2 for a null id: after all others."""
-    return F.coalesce(uniform(seed, id_col), F.lit(2.0))
+    return F.when(F.col(id_col).isNull(), F.lit(2.0)).otherwise(uniform(seed, id_col))
+
+
+def _own(seed: int, id_col: str):
+    return F.struct(_late(seed, id_col).alias("_u"), F.col(id_col).alias("_id"))
 
 
 def _rank_keys(df: DataFrame, label: str, id_col: str, seed: int, buckets: int) -> DataFrame:
@@ -157,19 +182,24 @@ def _cell_offsets(keys: DataFrame) -> DataFrame:
     return running_offsets(cells, ["_lk", "_ln"], "_b", "_cnt").select("label", "_b", "_cnt", "_off")
 
 
-def stratified_split(df: DataFrame, label: str | None = "label", id_col: str = "id",
+def stratified_split(df: DataFrame, label: str | None = "label", id_col: str | None = None,
                      val_size: float = 0.2, test_size: float = 0.1, seed: int = DEFAULT_SEED,
                      out: str = "split", buckets: int = CELLS) -> DataFrame:
     """Add ``split`` in {train, val, test}; stratified by ``label`` when given.
 
     Exact per-class quotas (``split_quotas``); a row's split is decided by its
-    rank in its class by the seeded uniform (ties by id).  Rows without a
+    rank in its class by the seeded uniform (ties by id).  Without ``id_col`` rows go by ``id``, ``ID`` or their
+    place in the file.  Rows without a
     label are a class of their own: every row gets a split.  The first keys
     (u, id) of validation and of test are found for each class from narrow keys only
     (``_cut_keys``), and a row compares its own (u, id) with the two of its
     class: one scan of the rows and a join with a written table of one row per class.
-    Ids are expected to be unique; rows of a null id come last, together.
+    Rows that share a class's cut key (repeated or null ids) are dealt by position, so the
+    quotas hold whatever the ids are: only these rows are written and numbered.
     """
+    names = df.columns
+    if id_col is None:
+        df, id_col = order_key(df)
     work = df if label else df.withColumn("_one", F.lit(0))
     lab = label or "_one"
     keys = _rank_keys(work, lab, id_col, seed, buckets)
@@ -178,13 +208,22 @@ def stratified_split(df: DataFrame, label: str | None = "label", id_col: str = "
     quotas = cut_lineage(quotas.select("label", F.col("n_train").alias("val"), (F.col("n_train") + F.col("n_val")).alias("test")))
     cuts = _cut_keys(keys, offs, quotas, ["val", "test"])
     table = cut_lineage(quotas.select(F.col("label").alias("_ql")).join(cuts, F.col("_ql").eqNullSafe(F.col("_tl")), "left")
-                        .select("_ql", F.col("val").alias("_cv"), F.col("test").alias("_ct")))
-    own = F.struct(_late(seed, id_col).alias("_u"), F.col(id_col).alias("_id"))
-    # a class without validation rows has no key of that rank but its test key, and none at all without either
-    split = (F.when(F.coalesce(own < F.col("_cv"), own < F.col("_ct"), F.lit(True)), F.lit("train"))
-             .when(F.coalesce(own < F.col("_ct"), F.lit(True)), F.lit("val")).otherwise(F.lit("test")))
-    res = work.join(table, F.col(lab).eqNullSafe(F.col("_ql")), "left").withColumn(out, split).drop("_ql", "_cv", "_ct")
-    return res.drop("_one") if not label else res
+                        .select("_ql", F.col("val.key").alias("_cv"), F.col("val.need").alias("_nv"), F.col("test.key").alias("_ct"), F.col("test.need").alias("_nt")))
+    own = _own(seed, id_col)
+    tie = F.coalesce("_tie", F.lit(0))
+    # among rows at a cut key those before the quota; a class without validation rows has no key of that rank but its test key, and none at all without either
+    before = lambda key, need: (own < F.col(key)) | (own.eqNullSafe(F.col(key)) & (tie < F.col(need)))
+    split = (F.when(F.coalesce(before("_cv", "_nv"), before("_ct", "_nt"), F.lit(True)), F.lit("train"))
+             .when(F.coalesce(before("_ct", "_nt"), F.lit(True)), F.lit("val")).otherwise(F.lit("test")))
+    met = work.join(table, F.col(lab).eqNullSafe(F.col("_ql")), "left")
+    no_tie = F.lit(None).cast("long")
+    if table.where("_nv > 0 or _nt > 0").isEmpty():
+        met = met.withColumn("_tie", no_tie)
+    else:
+        at_cut = F.coalesce(own.eqNullSafe(F.col("_cv")) & (F.col("_nv") > 0), F.lit(False)) | F.coalesce(own.eqNullSafe(F.col("_ct")) & (F.col("_nt") > 0), F.lit(False))
+        met = met.where(~at_cut).withColumn("_tie", no_tie).unionByName(numbered_ties(met.where(at_cut), [lab, id_col]))
+    res = met.withColumn(out, split).drop("_ql", "_cv", "_nv", "_ct", "_nt", "_tie", "_one")
+    return res if id_col in names else res.drop(id_col)
 
 
 def split_counts(df: DataFrame, split: str = "split") -> DataFrame:
@@ -193,7 +232,7 @@ def split_counts(df: DataFrame, split: str = "split") -> DataFrame:
 
 
 def load_splits(spark, paths: dict, caps: dict | None = None, seed: int = DEFAULT_SEED,
-                id_col: str = "id", schema=None) -> DataFrame:
+                id_col: str | None = None, schema=None) -> DataFrame:
     """Read the named split files, cap each with ``sample_exact`` and stack
     them with a ``split`` column (train / val capped, test uncapped by default)."""
     caps = caps or {}

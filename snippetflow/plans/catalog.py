@@ -22,7 +22,7 @@ from snippetflow.operators import classify as C
 from snippetflow.operators import clean, detect, metrics
 from snippetflow.operators import ensemble, labels, profile, sampling
 from snippetflow.plans import jobs
-from snippetflow.schema import file_row_ids, with_file_order
+from snippetflow.schema import file_row_ids, with_file_order, with_row_key
 from snippetflow.session import cut_lineage
 from snippetflow.sources import io
 
@@ -102,7 +102,14 @@ LABEL_MAP_SQL = f"""(SELECT label, arg_max(language, first_ord) AS name FROM
 
 # ------------------------------------------------------- first slice -------
 
-register("scan_samples", f"SELECT * FROM {SAMPLES_SQL}")(lambda spark, d: samples(spark, d))
+DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string"
+
+
+@register("scan_samples", f"SELECT * FROM {SAMPLES_SQL}")
+def q_scan_samples(spark, sf_dir):
+    """S1 with a declared schema: only its columns are read, and no file is opened to infer one."""
+    d = spark.read.schema(DOCUMENT_SCHEMA).parquet(f"{sf_dir}/documents.parquet")
+    return d.select(F.col("doc_id").alias("id"), F.col("text").alias("code"), F.col("lang").alias("language"), label_of(F.col("lang")).alias("label"))
 
 
 @register("preprocess", f"SELECT * FROM {PRE_SQL}")
@@ -263,7 +270,7 @@ def q_load_splits(spark, sf_dir):
     return s.select("split", "id", X.code_length("code").cast("long").alias("n"))
 
 
-def _split_sql(source_sql: str, label_expr: str, val_size=0.2, test_size=0.1, seed=42) -> str:
+def _split_sql(source_sql: str, label_expr: str, val_size=0.2, test_size=0.1, seed=42, key="id") -> str:
     vf = repr(val_size / (1 - test_size))
     def mode(src, cnt, draws):
         return f"""(SELECT *, (fl + CASE WHEN rk <= need THEN 1 ELSE 0 END)::BIGINT AS alloc FROM (
@@ -279,7 +286,7 @@ def _split_sql(source_sql: str, label_expr: str, val_size=0.2, test_size=0.1, se
                   f"sum(trainval) OVER () - CAST(ceil({vf}::DOUBLE * sum(trainval) OVER ()) AS BIGINT)")
     q2 = f"(SELECT label, c, trainval, alloc AS n_train, trainval - alloc AS n_val FROM {second})"
     return f"""WITH r AS (SELECT id, {label_expr} AS label,
-        row_number() OVER (PARTITION BY {label_expr} ORDER BY {sql_uniform(seed, 'id')}, id) - 1 AS rank
+        row_number() OVER (PARTITION BY {label_expr} ORDER BY {sql_uniform(seed, key)}, id) - 1 AS rank
         FROM {source_sql}), q AS {q2}
 SELECT r.id, CASE WHEN rank < n_train THEN 'train' WHEN rank < n_train + n_val THEN 'val' ELSE 'test' END AS split
 FROM r JOIN q ON r.label IS NOT DISTINCT FROM q.label"""
@@ -327,6 +334,47 @@ def q_split_null_labels(spark, sf_dir):
     return sampling.stratified_split(s, "label", "id", seed=42).select("id", "split")
 
 
+# Tables whose ids are repeated or null: exact counts, whichever of the tied rows are taken.
+TIED = {"repeated": ("doc_id % 40", "id"), "null": ("CASE WHEN doc_id % 2 = 1 THEN doc_id END", "id IS NULL, id")}
+TIED_N = 733   # not a multiple of a group's rows, and beyond the rows that have an id at sf0.01
+
+
+def _tied(spark, sf_dir, kind: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.expr(TIED[kind][0]).alias("id"), F.col("doc_id").alias("pos"), label_of(F.col("lang")).alias("label"))
+
+
+def _tied_sql(kind: str) -> str:
+    late = "id IS NULL, " if kind == "null" else ""
+    return f"""SELECT id, count(*) AS n FROM (SELECT {TIED[kind][0]} AS id FROM documents
+  ORDER BY {late}{sql_uniform(42, '(' + TIED[kind][0] + ')')}, id LIMIT {TIED_N}) GROUP BY id"""
+
+
+@register("sample_repeated_ids", _tied_sql("repeated"))
+def q_sample_repeated_ids(spark, sf_dir):
+    """T1 where 40 ids share all rows: the id at the cut gives exactly the rows still missing."""
+    got = sampling.sample_exact(_tied(spark, sf_dir, "repeated"), TIED_N, seed=42)
+    return got.groupBy("id").agg(F.count_distinct("pos").alias("n"))
+
+
+@register("sample_null_ids", _tied_sql("null"))
+def q_sample_null_ids(spark, sf_dir):
+    """T1 where every second id is null: these rows come last and are taken as far as they are needed."""
+    got = sampling.sample_exact(_tied(spark, sf_dir, "null"), TIED_N, seed=42)
+    return got.groupBy("id").agg(F.count_distinct("pos").alias("n"))
+
+
+@register("split_null_ids", f"""
+SELECT label, split, count(*) AS n FROM {SAMPLES_SQL} JOIN ({_split_sql(SAMPLES_SQL, 'label')}) USING (id) GROUP BY ALL
+UNION ALL SELECT 100 + label, split, count(*) FROM {SAMPLES_SQL} JOIN ({_split_sql(SAMPLES_SQL, 'label')}) USING (id) GROUP BY ALL""")
+def q_split_null_ids(spark, sf_dir):
+    """W3 where all ids are null, and where 40 ids share all rows (labels from 100 on): the exact quotas of each class."""
+    s = _tied(spark, sf_dir, "repeated")
+    parts = [(s.withColumn("id", F.lit(None).cast("long")), 0), (s, 100)]
+    out = [sampling.stratified_split(t, "label", "id", seed=42).groupBy((F.col("label") + n).alias("label"), "split").agg(F.count_distinct("pos").alias("n")) for t, n in parts]
+    return out[0].unionByName(out[1])
+
+
 # ------------------------------------------------------------- labels ------
 
 @register("label_map", f"SELECT * FROM {LABEL_MAP_SQL}")
@@ -725,6 +773,61 @@ def q_classify_external(spark, sf_dir):
     return C.classify(samples_with_nulls(spark, sf_dir), scorer).select("id", F.col("predicted_label").cast("long").alias("predicted_label"))
 
 
+@register("classify_nb_repeated_ids", f"SELECT pos, predicted_label FROM ({nb_sql(TRAIN_ROWS_SQL, SAMPLES_SQL, 1.0)}) p JOIN (SELECT doc_id AS id, doc_id AS pos FROM documents) USING (id)")
+def q_classify_nb_repeated_ids(spark, sf_dir):
+    """M5 where ids are repeated or null: every row is scored by its own text."""
+    model = C.fit_naive_bayes(training_rows(spark, sf_dir))
+    s = samples(spark, sf_dir).select(F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("id"), F.col("id").alias("pos"), "code")
+    return C.classify(s, model).select("pos", "predicted_label")
+
+
+def nb_language_sql(train: str, docs: str, alpha: float) -> str:
+    """``nb_sql`` with the likelihood of the row's language beside the tokens."""
+    base = nb_sql(train, docs, alpha)
+    head, tail = base.split("sc AS (SELECT s.id, c.label, c.prior")
+    tables = f"""lv AS (SELECT label, language, count(*) AS n FROM tr WHERE language IS NOT NULL GROUP BY 1, 2),
+ll AS (SELECT v.language, c.label, ln((coalesce(lv.n, 0) + {alpha}) / (coalesce((SELECT sum(n) FROM lv x WHERE x.label = c.label), 0)
+              + {alpha} * (SELECT count(DISTINCT language) FROM lv))) AS w
+       FROM (SELECT DISTINCT language FROM lv) v CROSS JOIN cls c LEFT JOIN lv ON lv.language = v.language AND lv.label = c.label),
+"""
+    tail = tail.replace("+ coalesce(sp.s, 0) AS score", "+ coalesce(sp.s, 0) + coalesce(ll.w, 0) AS score")
+    tail = tail.replace("AND sp.label = c.label)", "AND sp.label = c.label LEFT JOIN ll ON ll.language = s.language AND ll.label = c.label)")
+    return f"{head}{tables}sc AS (SELECT s.id, c.label, c.prior{tail}"
+
+
+# Languages of one source are unknown to stage 2.
+LANGUAGE_SQL = f"(SELECT id, code, CASE WHEN id % 11 <> 5 THEN language END AS language, label FROM {SAMPLES_SQL})"
+
+
+@register("classify_nb_language", nb_language_sql(TRAIN_ROWS_SQL, LANGUAGE_SQL, 1.0))
+def q_classify_nb_language(spark, sf_dir):
+    """M9: tokens and the row's language, each with its likelihood table; some rows have no language."""
+    model = C.fit_naive_bayes(training_rows(spark, sf_dir), language="language")
+    s = samples(spark, sf_dir).withColumn("language", F.when(F.col("id") % 11 != 5, F.col("language")))
+    return C.predict_naive_bayes(model, s, language="language").select("id", "predicted_label")
+
+
+VIEW_CHARS = 300
+
+
+def _two_view_nb_sql() -> str:
+    """Scores of both views, each turned into probabilities, averaged."""
+    sides = {0: f"substring(code, 1, {VIEW_CHARS})", 1: f"CASE WHEN length(code) <= {VIEW_CHARS} THEN code ELSE right(code, {VIEW_CHARS}) END"}
+    docs = "(" + " UNION ALL ".join(f"SELECT 2 * id + {v} AS id, {t} AS code FROM {SAMPLES_SQL}" for v, t in sides.items()) + ")"
+    scores = nb_sql(TRAIN_ROWS_SQL, docs, 1.0).split("SELECT id, label AS predicted_label FROM sc")[0]
+    return f"""{scores}, e AS (SELECT id, label, exp(score - max(score) OVER (PARTITION BY id)) AS e FROM sc),
+pr AS (SELECT id // 2 AS id, label, e / sum(e) OVER (PARTITION BY id) AS p FROM e),
+av AS (SELECT id, label, sum(p) / 2 AS p FROM pr GROUP BY 1, 2)
+SELECT id, label AS predicted_label FROM av QUALIFY row_number() OVER (PARTITION BY id ORDER BY p DESC, label) = 1"""
+
+
+@register("two_view_nb", _two_view_nb_sql())
+def q_two_view_nb(spark, sf_dir):
+    """M6 with a fitted model: head and tail of every document, class probabilities averaged."""
+    model = C.fit_naive_bayes(training_rows(spark, sf_dir))
+    return C.predict_two_views(model, samples(spark, sf_dir), VIEW_CHARS).select("id", "predicted_label")
+
+
 # ----------------------------------------------------------- ensembles -----
 
 
@@ -914,6 +1017,43 @@ def q_errors_csv_roundtrip(spark, sf_dir):
     return io.read_csv(spark, path, ERRORS_SCHEMA)
 
 
+def _without_ids(spark, sf_dir, name: str | None = None) -> DataFrame:
+    """The samples as files without an id, or with one of another name."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cols = [F.col("text").alias("code"), F.col("lang").alias("language"), label_of(F.col("lang")).alias("label")]
+    return d.select(*([F.col("doc_id").alias(name)] if name else []), *cols)
+
+
+@register("evaluate_job_without_ids", f"""
+SELECT 'none' AS ids, metric, value FROM ({ORACLE["metrics_long"]})
+UNION ALL SELECT 'ID', metric, value FROM ({ORACLE["metrics_long"]})""")
+def q_evaluate_job_without_ids(spark, sf_dir):
+    """M11 on tables that have no id column (rows go by file and place in it) or call it ID."""
+    out = None
+    for name in (None, "ID"):
+        m = jobs.evaluate_job(_without_ids(spark, sf_dir, name), output_dir=io.scratch_path(spark, "eval"))["metrics"]
+        m = m.select(F.lit(name or "none").alias("ids"), "metric", r6("value").alias("value"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+PLACE_SQL = "'{0, ' || id::VARCHAR || '}'"     # the row key of a table of one file, as text
+
+
+@register("train_job_without_ids", f"""
+WITH s AS ({_split_sql(PRE_SQL, 'label', key=PLACE_SQL)}), r AS (SELECT p.*, s.split FROM {PRE_SQL} p JOIN s USING (id))
+SELECT split, sha256(code) AS code_sha256, detected_language FROM r
+JOIN {TEXT_CUE_TABLE.sql_detect(SAMPLES_SQL, "id", "code", "detected_language")} d USING (id) WHERE split <> 'test'""")
+def q_train_job_without_ids(spark, sf_dir):
+    """W1, W3 and M12 on a table without ids: one row key, made at load, orders the copies, draws the split and goes through the job."""
+    rows = with_row_key(_without_ids(spark, sf_dir))
+    sp = cut_lineage(sampling.stratified_split(clean.preprocess(rows), "label", seed=42))
+    base = io.scratch_path(spark, "train")
+    jobs.train_job(sp.where("split = 'train'"), sp.where("split = 'val'"), base, stages=("detect",))
+    both = [spark.read.parquet(f"{base}/{k}_with_languages.parquet") for k in ("train", "val")]
+    return both[0].unionByName(both[1]).select("split", F.sha2("code", 256).alias("code_sha256"), "detected_language")
+
+
 @register("evaluate_selected", f"SELECT * FROM ({ORACLE['metrics_long']}) WHERE metric IN ('test_accuracy', 'test_macro_f1')")
 def q_evaluate_selected(spark, sf_dir):
     """The evaluation with chosen metrics."""
@@ -944,6 +1084,21 @@ def q_metrics_json(spark, sf_dir):
     return flat.unionByName(rep.select(F.lit("classification_report").alias("section"), "name", "field", r6("value").alias("value")))
 
 
+@register("metrics_json_repeated_names", f"""
+WITH pc AS {PC_SQL}, lm AS (SELECT label, CASE WHEN label < 2 THEN 'both_' || label::VARCHAR ELSE name END AS name FROM {LABEL_MAP_SQL})
+SELECT 'metrics' AS section, 'test_f1_' || name AS name, round(f1, 6) AS value FROM pc JOIN lm USING (label)
+UNION ALL SELECT 'classification_report', name, round(f1, 6) FROM pc JOIN lm USING (label)""")
+def q_metrics_json_repeated_names(spark, sf_dir):
+    """S6 where two labels share a name: the document keeps both, told apart by their labels."""
+    base = io.scratch_path(spark, "eval-names")
+    s = samples(spark, sf_dir).withColumn("language", F.when(F.col("label") < 2, F.lit("both")).otherwise(F.col("language")))
+    jobs.evaluate_job(s, output_dir=base)
+    doc = io.read_json(spark, f"{base}/test_metrics.json", jobs.METRICS_SCHEMA)
+    flat = doc.select(F.explode("metrics").alias("name", "value")).where("name like 'test_f1_%'").select(F.lit("metrics").alias("section"), "name", r6("value").alias("value"))
+    rep = doc.select(F.explode("classification_report").alias("name", "r")).where("name not in ('accuracy', 'macro avg', 'weighted avg')")
+    return flat.unionByName(rep.select(F.lit("classification_report").alias("section"), "name", r6("r.f1").alias("value")))
+
+
 # ------------------------------------------- train, validate, choose, save ----
 
 SPLIT_ROWS_SQL = f"(SELECT p.*, s.split FROM {PRE_SQL} p JOIN ({_split_sql(PRE_SQL, 'label')}) s USING (id))"
@@ -1028,13 +1183,16 @@ def q_model_roundtrip(spark, sf_dir):
 WITH c AS (SELECT id, predicted_label, count(*) AS n FROM ({_EVERY}) GROUP BY 1, 2)
 SELECT id, predicted_label FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, predicted_label) = 1""")
 def q_ensemble_checkpoints(spark, sf_dir):
-    """M8: every candidate saved, loaded back and applied to every document; majority vote."""
-    preds = {}
+    """M8: every candidate saved, loaded back and applied to every document; majority vote.
+    The models are stacked into one weight table: one scan, one tokenization, one join."""
+    loaded = []
     for i, m in enumerate(_search(spark, sf_dir).models):
         path = io.scratch_path(spark, f"ckpt{i}")
         C.save_naive_bayes(m, path)
-        preds[f"c{i}"] = C.classify(samples(spark, sf_dir).select("id", "code"), C.load_naive_bayes(spark, path))
-    return ensemble.majority_vote(ensemble.stack_predictions(preds))
+        loaded.append(C.load_naive_bayes(spark, path))
+    stack = C.stack_naive_bayes(loaded)
+    votes = C.predict_stack(stack, samples(spark, sf_dir).select("id", "code"))
+    return votes.select("id", ensemble.vote_columns([F.col("predicted_labels")[i] for i in range(stack.size)]).alias("predicted_label"))
 
 
 TIE_WEIGHTS = {"m0": 0.1, "m1": 0.2, "m2": 0.3, "other": 0.6}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from snippetflow.functions.cues import TEXT_CUE_TABLE, CueTable
 from snippetflow.operators import classify as C
 from snippetflow.operators import clean, detect, labels, metrics, profile, sampling
-from snippetflow.schema import file_row_ids, id_column
+from snippetflow.schema import ROW_KEY, file_row_ids, id_column, order_key
 from snippetflow.session import cut_lineage
 from snippetflow.sources import io
 
@@ -69,10 +69,11 @@ def submission_job(df: DataFrame, path: str | None = None, **kw) -> DataFrame:
 
 def metrics_document(mlong: DataFrame, report: DataFrame) -> DataFrame:
     """One row with the flat metrics and the nested report keyed by class
-    (both tables hold a few rows per class)."""
-    flat = mlong.agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
+    (both tables hold a few rows per class; a key that comes twice keeps one value)."""
+    flat = mlong.groupBy("metric").agg(F.max("value").alias("value")).agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
     body = F.struct("precision", "recall", "f1", "support")
-    nested = report.agg(F.map_from_entries(F.collect_list(F.struct(F.col("class"), body))).alias("classification_report"))
+    nested = report.groupBy("class").agg(F.max(body).alias("body")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("class"), "body"))).alias("classification_report"))
     return flat.select("metrics", nested.scalar().alias("classification_report"))
 
 
@@ -81,23 +82,29 @@ METRICS_SCHEMA = ("metrics map<string,double>, classification_report "
 
 
 def evaluate_job(test: DataFrame, classifier=TEXT_CUE_TABLE, output_dir: str | None = None,
-                 prefix: str = "test_", truth: str = "label", order_col: str = "id",
+                 prefix: str = "test_", truth: str = "label", order_col: str | None = None,
                  metric_names=None, save_predictions: bool = False, save_errors: bool = True,
                  max_errors: int | None = None, code: str = "code") -> dict:
     """Preprocess -> predict once -> every evaluation table.
 
-    One aggregate over (truth, language, prediction) gives counts and first
-    ids; this small table is written once, and the confusion table, the label
-    map and every metric read it.  Predictions that are saved are scored once
-    and everything else reads them.  The error table holds all misclassified
+    Rows go by ``order_col``, else by ``id``, ``ID`` or their place in the file.
+    The text is read and scored once: one written table holds the narrow columns of all rows
+    and the text of the misclassified ones only (of all, where the predictions are
+    saved), and everything else reads that table.  One aggregate over (truth, language,
+    prediction) gives counts and first rows; the confusion table, the label
+    map and every metric read it.  The error table holds all misclassified
     rows with their text (the first ``max_errors`` in order where that is set).
+    Names that several labels share are told apart by their label.
     Returns the named DataFrames; with ``output_dir`` also writes metrics
     JSON, errors CSV (one part file per task) and (optionally) all predictions.
     """
+    if order_col is None:
+        test, order_col = order_key(test)
     scored = C.classify(clean.preprocess(test, code=code, order_col=order_col), classifier, code)
     base = output_dir.rstrip("/") if output_dir else None
-    if base and save_predictions:
-        scored = cut_lineage(scored)
+    wrong = ~F.col(truth).eqNullSafe(F.col("predicted_label"))
+    text = F.col(code) if base and save_predictions else F.when(wrong, F.col(code))
+    scored = cut_lineage(scored.withColumn(code, text))
     lang = "language" if "language" in scored.columns else None
     cells = cut_lineage(scored.select(
         metrics._non_null(truth, "true").alias("true_label"), metrics._non_null("predicted_label", "predicted").alias("predicted_label"),
@@ -109,6 +116,7 @@ def evaluate_job(test: DataFrame, classifier=TEXT_CUE_TABLE, output_dir: str | N
             F.max_by("language", "first").alias("name"))
     else:
         lmap = labels.label_map(conf.select(F.col("true_label").alias("label")))
+    lmap = cut_lineage(labels.distinct_names(lmap))
     mlong = metrics.metrics_long(conf, lmap, prefix)
     if metric_names:
         mlong = mlong.filter(F.col("metric").isin([prefix + m for m in metric_names]))
@@ -128,9 +136,9 @@ def evaluate_job(test: DataFrame, classifier=TEXT_CUE_TABLE, output_dir: str | N
     if base:
         io.write_json(metrics_document(out["metrics"], out["report"]), f"{base}/{prefix}metrics.json")
         if save_errors:
-            io.write_csv(errors, f"{base}/{prefix}misclassifications.csv")
+            io.write_csv(errors.drop(ROW_KEY), f"{base}/{prefix}misclassifications.csv")
         if save_predictions:
-            io.write_csv(scored, f"{base}/{prefix}predictions.csv")
+            io.write_csv(scored.drop(ROW_KEY), f"{base}/{prefix}predictions.csv")
     return out
 
 
@@ -142,10 +150,14 @@ def train_job(train: DataFrame, val: DataFrame, output_dir: str | None = None,
     """M12 train: cap -> preprocess -> stage 1 (saved) -> fit candidates -> best model (saved).
 
     ``train_max_rows`` bounds the rows that fit the classifier and ``val_max_rows``
-    those that choose it; neither is set by default.  ``language_feature`` adds
+    those that choose it; neither is set by default.  Rows go by ``id``, ``ID`` or their place
+    in the file, through the cap and the choice among copies alike.  ``language_feature`` adds
     stage 1's language to the features (M9)."""
-    tr = clean.preprocess(sampling.sample_exact(train, train_max_rows, seed))
-    va = clean.preprocess(sampling.sample_exact(val, val_max_rows, seed))
+    def prepared(df: DataFrame, cap: int | None) -> DataFrame:
+        df, key = order_key(df)
+        return clean.preprocess(sampling.sample_exact(df, cap, seed, key), order_col=key).drop(ROW_KEY)
+
+    tr, va = prepared(train, train_max_rows), prepared(val, val_max_rows)
     res = {}
     if "detect" in stages:
         tr = detect.detect_language(tr, detector)
@@ -173,10 +185,14 @@ def train_from_splits(spark, paths: dict, output_dir: str | None = None, train_m
     return train_job(*(s.where(F.col("split") == k).drop("split") for k in ("train", "val")), output_dir, seed=seed, **options)
 
 
-def profile_job(df: DataFrame, code: str = "code", label: str = "label", order_col: str = "id") -> dict:
+def profile_job(df: DataFrame, code: str = "code", label: str = "label", order_col: str | None = None) -> dict:
     """The data profile as named DataFrames."""
+    if order_col is None:
+        keyed, order_col = order_key(df)
+    else:
+        keyed = df
     out = {
-        "preview": sampling.preview(df, 5, order_col),
+        "preview": sampling.preview(keyed, 5, order_col).drop(ROW_KEY),
         "table_info": profile.table_info(df),
         "missing_values": profile.missing_values(df),
         "duplicate_count": profile.duplicate_count(df, code),

@@ -8,6 +8,7 @@ implicit order.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,3 +83,36 @@ def file_row_ids(df: DataFrame, out: str = "id") -> DataFrame:
     offs = cut_lineage(per_file.select("_fp", (F.sum("_fc").over(Window.orderBy("_fp")) - F.col("_fc")).alias("_foff")))
     return (base.join(offs, "_fp").withColumn(out, (F.col("_foff") + F.col("_ri")).cast("long"))
             .drop("_fp", "_ri", "_foff"))
+
+
+ROW_KEY = "_row"
+
+
+def with_row_key(df: DataFrame, out: str = ROW_KEY) -> DataFrame:
+    """Add the identity of each row of a table: struct(file, at).
+
+    For a file scan (projected or not) it is the rank of the file's path and the row's index
+    inside the file: the same in every evaluation, orderable, in file order, and found without moving rows (the
+    ranks, one row per file, are joined).  Any other table is written once with
+    (partition, position), since its rows have no lasting place."""
+    try:
+        base = df.select("*", F.col("_metadata.file_path").alias("_fp"), F.col("_metadata.row_index").alias("_ri"))
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        placed = cut_lineage(df.withColumn("_at", at))
+        return placed.withColumn(out, F.struct(F.shiftright("_at", 33).alias("file"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))).drop("_at")
+    files = base.select("_fp").distinct()
+    ranked = cut_lineage(files.select("_fp", (F.dense_rank().over(Window.orderBy("_fp")) - 1).cast("long").alias("_frank")))
+    return base.join(ranked, "_fp").withColumn(out, F.struct(F.col("_frank").alias("file"), F.col("_ri").alias("at"))).drop("_fp", "_ri", "_frank")
+
+
+def order_key(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table and the column that orders its rows: ``id``, else ``ID``, else the
+    row key, which is added where the table does not carry one yet."""
+    name = id_column(df) or (ROW_KEY if ROW_KEY in df.columns else None)
+    return (df, name) if name else (with_row_key(df), ROW_KEY)
+
+
+def unique_key(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table and a column that no two rows share and that is never null: the row key, whatever its ids are."""
+    return (df, ROW_KEY) if ROW_KEY in df.columns else (with_row_key(df), ROW_KEY)
