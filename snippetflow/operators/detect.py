@@ -94,6 +94,51 @@ class BatchModel:
         return clean_response(self.answer(code)["label"])
 
 
+@dataclass(frozen=True)
+class CountedCues:
+    """Cue substrings counted with their repeats: every occurrence of every cue counts,
+    overlapping ones too.  All cues are in one Aho-Corasick automaton, built once per batch of texts,
+    so a text is read once however many cues there are."""
+    table: CueTable
+
+    def counts(self, code: Column) -> Column:
+        """Occurrences per label, in label order; null for a null text."""
+        cues = [(w, i) for i, ws in enumerate(self.table.cues.values()) for w in ws]
+        width = len(self.table.cues)
+
+        @F.pandas_udf(T.ArrayType(T.LongType()))
+        def _count(texts: pd.Series) -> pd.Series:
+            import ahocorasick
+            found: dict = {}
+            for w, i in cues:
+                found.setdefault(w, []).append(i)
+            automaton = ahocorasick.Automaton()
+            for w, at in found.items():
+                automaton.add_word(w, at)
+            automaton.make_automaton()
+            out = []
+            for t in texts:
+                if t is None:
+                    out.append(None)
+                    continue
+                n = [0] * width
+                for _, at in automaton.iter(t):
+                    for i in at:
+                        n[i] += 1
+                out.append(n)
+            return pd.Series(out, dtype=object)
+        return _count(code)
+
+    def apply(self, df: DataFrame, code: str, out: str, counts: str | None = None) -> DataFrame:
+        """The label with the most occurrences (first label on ties, unknown without any); ``counts`` names a column for the numbers."""
+        t = df.withColumn("_cc", self.counts(F.col(code)))
+        t = t.withColumn("_cm", F.array_max("_cc"))
+        names = F.array(*[F.lit(x) for x in self.table.labels])
+        best = F.when(F.col("_cm") > 0, F.get(names, F.array_position("_cc", F.col("_cm")).cast("int") - 1))
+        t = t.withColumn(out, F.coalesce(best, F.lit(self.table.unknown)))
+        return (t.withColumnRenamed("_cc", counts) if counts else t.drop("_cc")).drop("_cm")
+
+
 def detection_column(code: Column, backend=TEXT_CUE_TABLE) -> Column:
     if isinstance(backend, CueTable):
         return backend.label(code)
@@ -110,6 +155,8 @@ def detect_language(df: DataFrame, backend=TEXT_CUE_TABLE, code: str = "code",
     for a ``BatchModel``'s error texts, so failures can be counted and seen."""
     if isinstance(backend, CueTable):
         return backend.apply(df, code, out, "label")
+    if isinstance(backend, CountedCues):
+        return backend.apply(df, code, out)
     if error and isinstance(backend, BatchModel):
         res = df.withColumn("_answer", backend.answer(F.col(code)))
         return res.withColumn(out, clean_response(F.col("_answer.label"))).withColumn(error, F.col("_answer.error")).drop("_answer")

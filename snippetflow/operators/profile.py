@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snippetflow.operators.clean import code_key
+from snippetflow.operators.scan import running_sums
 from snippetflow.session import cut_lineage
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -105,7 +106,7 @@ def length_box_by_label(df: DataFrame, code: str = "code", label: str = "label",
     return j.groupBy("label", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("len"))).cast("long").alias("whisker_low"),
         F.max(F.when(inside, F.col("len"))).cast("long").alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(F.col("n"))).cast("long").alias("n_outliers"),
+        F.sum(F.when(inside | F.col("len").isNull(), 0).otherwise(F.col("n"))).cast("long").alias("n_outliers"),
         F.sum("n").cast("long").alias("n"))
 
 
@@ -122,6 +123,7 @@ def running_average(df: DataFrame, key: str, order_cols, value: str, weight: str
                     out: str = "running_avg", bucket=None, bucket_block=None) -> DataFrame:
     """Running weighted mean sum(v*n)/sum(n) per key in order (AverageMeter).
 
+    A parallel prefix scan (``scan.running_sums``): neither a key nor a stretch of its order is one task.
     With ``bucket`` (a Column non-decreasing in the order, e.g. the day of a
     timestamp) the prefix sums are two-level: per (key, bucket) totals get a
     running sum over buckets, and the row-level window runs inside one
@@ -139,10 +141,8 @@ def running_average(df: DataFrame, key: str, order_cols, value: str, weight: str
     base = df.withColumn("_vn", F.col(value) * n).withColumn("_n", n)
     frame = (Window.unboundedPreceding, Window.currentRow)
     if bucket is None:
-        w = Window.partitionBy(key).orderBy(*order_cols).rowsBetween(*frame)
-        num, den = F.sum("_vn").over(w), F.sum("_n").over(w)
-        res = base.withColumn(out, F.when(den != 0, num.cast("double") / den.cast("double")))
-        return res.drop("_vn", "_n")
+        res = running_sums(base, [key], order_cols, {"_num": F.col("_vn"), "_den": F.col("_n")})
+        return res.withColumn(out, F.when(F.col("_den") != 0, F.col("_num").cast("double") / F.col("_den").cast("double"))).drop("_vn", "_n", "_num", "_den")
     b = base.withColumn("_b", bucket)
     cell = b.groupBy(key, "_b").agg(F.sum("_vn").alias("_cv"), F.sum("_n").alias("_cn"))
     if bucket_block is None:

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from snippetflow.functions import text as X
 from snippetflow.functions.cues import TEXT_CUES, CueTable
-from snippetflow.functions.cues import CODE_CUE_TABLE, CODE_LANGUAGES, TEXT_CUE_TABLE
+from snippetflow.functions.cues import CODE_CUE_TABLE, CODE_CUES, CODE_LANGUAGES, TEXT_CUE_TABLE
 from snippetflow.functions.rand import sql_uniform
 from snippetflow.operators import classify as C
 from snippetflow.operators import clean, detect, metrics
-from snippetflow.operators import ensemble, labels, profile, sampling
+from snippetflow.operators import ensemble, labels, profile, sampling, softmax
 from snippetflow.plans import jobs
 from snippetflow.schema import file_row_ids, with_file_order, with_row_key
 from snippetflow.session import cut_lineage
@@ -514,10 +514,7 @@ WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED P
 def q_running_average(spark, sf_dir):
     ev = (table(spark, sf_dir, "events").withColumn("k", F.expr(EVENT_WEIGHT))
           .withColumn("v", F.col("value").cast("decimal(12,2)")))
-    # minute cells in blocks of a day: a user holding a third of all events is still
-    # cut into many (user, minute) and (user, day) windows
-    ra = profile.running_average(ev, "user_id", ["ts", "event_id"], "v", "k",
-                                 bucket=F.date_trunc("minute", "ts"), bucket_block=lambda b: F.date_trunc("day", b))
+    ra = profile.running_average(ev, "user_id", ["ts", "event_id"], "v", "k")
     return ra.select("event_id", "user_id", r6("running_avg").alias("running_avg"))
 
 
@@ -1258,3 +1255,149 @@ def q_stream_language_distribution(spark, sf_dir):
     path = io.scratch_path(spark, "stream-langs")
     S.language_counts_table_stream(S.samples_view(src), path).awaitTermination()
     return S.latest_counts(spark, path).select("language", "n")
+
+
+# ------------------------------------ counted cues, failures, partitioned tables ----
+
+def _counted_sql(source: str) -> str:
+    """No cue overlaps itself, so what replacing removes is every occurrence."""
+    sums = ", ".join("(" + " + ".join(f"(length(code) - length(replace(code, '{w}', ''))) // {len(w)}" for w in ws) + f") AS n{i}" for i, ws in enumerate(CODE_CUES.values()))
+    names = [f"n{i}" for i in range(len(CODE_CUES))]
+    return f"""SELECT id, {CODE_CUE_TABLE.sql_pick(names, "code")} AS detected_language, ({" + ".join(names)})::BIGINT AS n_cues
+FROM (SELECT id, code, {sums} FROM {source})"""
+
+
+@register("detect_code_language_counts", f"{_counted_sql(NULL_SAMPLES_SQL)} UNION ALL {_counted_sql('(SELECT -1 - page_id AS id, html AS code FROM pages)')}")
+def q_detect_code_language_counts(spark, sf_dir):
+    """M1 by all occurrences of all cues, found by one automaton in one pass, over documents and raw pages (ids below 0)."""
+    pages = table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("id"), F.col("html").alias("code"))
+    both = samples_with_nulls(spark, sf_dir).select("id", "code").unionByName(pages)
+    got = detect.CountedCues(CODE_CUE_TABLE).apply(both, "code", "detected_language", "counts")
+    return got.select("id", "detected_language", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("n_cues"))
+
+
+@register("detect_accounting", f"""
+SELECT name, n FROM (SELECT count(*) AS r, count(*) FILTER (code IS NULL OR length(code) % 5 = 0) AS u, count(*) FILTER (code IS NOT NULL AND length(code) % 5 = 0) AS f
+  FROM {NULL_SAMPLES_SQL}) x, LATERAL (VALUES ('rows', r), ('unknown', u), ('failed', f), ('dead_letters', f)) v(name, n)""")
+def q_detect_accounting(spark, sf_dir):
+    """Failures of an external model counted in the pass that writes the table, and the rows of the dead-letter table."""
+    s = samples_with_nulls(spark, sf_dir)
+    s = s.withColumn("code", F.when(F.length("code") % 5 != 0, F.col("code")).otherwise(F.concat(F.lit("FAIL"), F.col("code"))))
+    model = detect.BatchModel(_answer_by_length, labels=tuple(CODE_LANGUAGES))
+    _, dead, counts = jobs.detect_job(s, io.scratch_path(spark, "detect"), model)
+    observed = spark.createDataFrame([(k, int(v)) for k, v in counts.items()], "name string, n long")
+    return observed.unionByName(dead.agg(F.count(F.lit(1)).alias("n")).select(F.lit("dead_letters").alias("name"), "n"))
+
+
+@register("enriched_partitioned", f"""
+SELECT split, detected_language, id, code FROM {SPLIT_ROWS_SQL} r
+JOIN {TEXT_CUE_TABLE.sql_detect(SAMPLES_SQL, "id", "code", "detected_language")} d USING (id) WHERE split = 'val' AND detected_language IN ('de', 'Unknown')
+UNION ALL SELECT split, detected_language, -count(*), NULL FROM {SPLIT_ROWS_SQL} r
+JOIN {TEXT_CUE_TABLE.sql_detect(SAMPLES_SQL, "id", "code", "detected_language")} d USING (id) GROUP BY ALL""")
+def q_enriched_partitioned(spark, sf_dir):
+    """The enriched splits in folders by split and language; some folders read back whole, all of them counted (negative ids)."""
+    sp = cut_lineage(sampling.stratified_split(clean.preprocess(samples(spark, sf_dir)), "label", "id", seed=42))
+    path = io.save_partitioned(detect.detect_language(sp), io.scratch_path(spark, "enriched"), ["split", "detected_language"], "id")
+    t = spark.read.parquet(path)
+    some = t.where("split = 'val' and detected_language in ('de', 'Unknown')").select("split", "detected_language", "id", "code")
+    n = t.groupBy("split", "detected_language").agg((-F.count(F.lit(1))).alias("id")).withColumn("code", F.lit(None).cast("string"))
+    return some.unionByName(n)
+
+
+# ------------------------------------------------ epoch-wise training, certificate ----
+
+EPOCHS, RATE, L2 = 4, 2.0, 0.01
+N_CUES = len(LANGS)
+
+
+def _cue_features(spark, sf_dir) -> DataFrame:
+    """The shares of each language's cue words among a document's cue words, and its labels."""
+    s = samples(spark, sf_dir).where("label is not null and code is not null")
+    t = s.select("id", "label", *[c.alias(f"s{i}") for i, c in enumerate(TEXT_CUE_TABLE.scores("code"))])
+    total = sum((F.col(f"s{i}") for i in range(N_CUES)), F.lit(1))
+    return t.select("id", "label", *[(F.col(f"s{i}").cast("double") / total).alias(f"x{i}") for i in range(N_CUES)])
+
+
+def _epochs_sql() -> str:
+    """The same recursion, epoch by epoch, over (row, feature) pairs; feature -1 is the bias."""
+    sc = ", ".join(f"{e} AS s{i}" for i, e in enumerate(TEXT_CUE_TABLE.sql_scores("code")))
+    total = "(1 + " + " + ".join(f"s{i}" for i in range(N_CUES)) + ")"
+    xs = ", ".join(f"s{i}::DOUBLE / {total}" for i in range(N_CUES))
+    sql = [f"d AS (SELECT id, label, [{xs}, 1.0::DOUBLE] AS x FROM (SELECT id, label, {sc} FROM {SAMPLES_SQL} WHERE label IS NOT NULL AND code IS NOT NULL))",
+           "cw AS (SELECT label, (sum(count(*)) OVER ())::DOUBLE / (count(*) OVER () * count(*)) AS cw FROM d WHERE id % 5 <> 0 GROUP BY label)",
+           f"t AS (SELECT id, label, cw, j, x[j + 1] AS x FROM d JOIN cw USING (label), range({N_CUES + 1}) r(j) WHERE id % 5 <> 0)",
+           f"v AS (SELECT id, label, j, x[j + 1] AS x FROM d, range({N_CUES + 1}) r(j) WHERE id % 5 = 0)",
+           f"w0 AS (SELECT label AS k, j, 0.0::DOUBLE AS w FROM cw, range({N_CUES + 1}) r(j))"]
+    for e in range(1, EPOCHS + 1):
+        p = e - 1
+        sql += [f"z{e} AS (SELECT id, label, cw, k, sum(x * w) AS z FROM t JOIN w{p} USING (j) GROUP BY ALL)",
+                f"p{e} AS (SELECT id, label, cw, k, exp(z) / sum(exp(z)) OVER (PARTITION BY id) AS p FROM z{e})",
+                f"l{e} AS (SELECT -sum(cw * ln(p)) / sum(cw) AS loss FROM p{e} WHERE k = label)",
+                f"g{e} AS (SELECT k, j, sum(t.cw * (p - (k = t.label)::INTEGER) * x) / (SELECT sum(cw) FROM p{e} WHERE k = label) AS g FROM t JOIN p{e} USING (id) GROUP BY k, j)",
+                f"w{e} AS (SELECT k, j, w - {RATE} * (g + CASE WHEN j < {N_CUES} THEN {L2} * w ELSE 0 END) AS w FROM w{p} JOIN g{e} USING (k, j))",
+                f"y{e} AS (SELECT id, label AS true_label, k AS predicted_label FROM (SELECT id, label, k, sum(x * w) AS z FROM v JOIN w{e} USING (j) GROUP BY ALL) "
+                f"QUALIFY row_number() OVER (PARTITION BY id ORDER BY z DESC, k) = 1)",
+                f"c{e} AS (SELECT true_label, predicted_label, count(*) AS n FROM y{e} GROUP BY 1, 2)",
+                f"m{e} AS (SELECT {e} AS epoch, avg(f1) AS f1, sum(tp)::DOUBLE / sum(support) AS acc FROM {PC_SQL.replace(CONF_SQL, f'(SELECT * FROM c{e})')})"]
+    rows = " UNION ALL ".join(f"SELECT epoch, round(loss, 6) AS train_loss, round(f1, 6) AS val_macro_f1, round(acc, 6) AS val_accuracy, "
+                              f"(SELECT round(sum(abs(w)), 6) FROM w{e}) AS weight_sum FROM m{e}, l{e}" for e in range(1, EPOCHS + 1))
+    return f"WITH {', '.join(sql)}, a AS ({rows}) SELECT *, epoch = (SELECT arg_max(epoch, val_macro_f1 - 1e-9 * epoch) FROM a) AS best FROM a"
+
+
+@register("train_epochs", _epochs_sql())
+def q_train_epochs(spark, sf_dir):
+    """Full-batch epochs on four fifths of the documents, validated on the rest after each; the earliest best is the model."""
+    f = _cue_features(spark, sf_dir)
+    names = [f"x{i}" for i in range(N_CUES)]
+    r = softmax.train_softmax(f.where("id % 5 <> 0"), f.where("id % 5 = 0"), names, epochs=EPOCHS, learning_rate=RATE, l2=L2)
+    size = r.weights.groupBy("epoch").agg(F.sum(F.abs("weight")).alias("weight_sum"))
+    return r.epochs.join(size, "epoch").select("epoch", r6("train_loss").alias("train_loss"), r6("val_macro_f1").alias("val_macro_f1"),
+                                               r6("val_accuracy").alias("val_accuracy"), r6("weight_sum").alias("weight_sum"),
+                                               (F.col("epoch") == r.best.select("epoch").scalar()).alias("best"))
+
+
+@register("train_certificate", f"""
+SELECT count(*) AS n_rows, count(DISTINCT label) AS n_classes, true AS optimal, false AS optimal_when_moved FROM {SAMPLES_SQL} WHERE label IS NOT NULL AND code IS NOT NULL""")
+def q_train_certificate(spark, sf_dir):
+    """M4: the fitted Spark ML regression is an optimum of its objective: its gradient, taken in one aggregate, vanishes; that of moved weights does not."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+    names = [f"x{i}" for i in range(N_CUES)]
+    rows = cut_lineage(_cue_features(spark, sf_dir).select("label", F.lit(1.0).alias("weight"), F.array(*names).alias("features")))
+    ml = LogisticRegression(featuresCol="v", family="multinomial", regParam=0.01, maxIter=300, tol=1e-10).fit(rows.withColumn("v", array_to_vector("features")))
+    w, b = ml.coefficientMatrix.toArray(), ml.interceptVector.toArray()
+    here = softmax.certificate(rows, w, b, list(range(len(b))), 0.01)
+    moved = softmax.certificate(rows, w * 1.1, b, list(range(len(b))), 0.01)
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("label").alias("n_classes")).select(
+        "n_rows", "n_classes", F.lit(here["gradient_norm"] < 1e-4).alias("optimal"), F.lit(moved["gradient_norm"] < 1e-4).alias("optimal_when_moved"))
+
+
+def _profile_sql() -> str:
+    """All tables of the profile, each unfolded to (section, item, field, text, value)."""
+    parts = []
+
+    def add(section, sql, item, fields, texts=()):
+        for f in fields:
+            text, value = (f'"{f}"', "NULL::DOUBLE") if f in texts else ("NULL::VARCHAR", f'"{f}"::DOUBLE')
+            parts.append(f"SELECT '{section}' AS section, {item} AS item, '{f}' AS field, {text} AS text, round({value}, 6) AS value FROM ({sql})")
+    info = f"""SELECT * FROM (SELECT count(id) AS a, count(code) AS b, count(language) AS c, count(label) AS d, count(*) AS n FROM {NULL_SAMPLES_SQL}),
+      LATERAL (VALUES (0, 'id', 'bigint', a, n - a), (1, 'code', 'string', b, n - b), (2, 'language', 'string', c, n - c), (3, 'label', 'int', d, n - d)) v(position, col, type, non_null, n_missing)"""
+    add("table_info", info, "col", ("position", "type", "non_null"), ("type",))
+    add("missing_values", info, "col", ("position", "n_missing"))
+    add("duplicate_count", f"SELECT count(*) - count(DISTINCT code) - (count(*) FILTER (code IS NULL) > 0)::INTEGER AS n_duplicates FROM {NULL_SAMPLES_SQL}", "''", ("n_duplicates",))
+    add("short_codes", f"SELECT count(*) AS n_short FROM {NULL_SAMPLES_SQL} WHERE length(code) < 10", "''", ("n_short",))
+    add("length_describe", ORACLE["length_describe"].replace(SAMPLES_SQL, NULL_SAMPLES_SQL), "''", ("count", "mean", "std", "min", "q25", "q50", "q75", "max"))
+    add("length_histogram", ORACLE["length_histogram"].replace(SAMPLES_SQL, NULL_SAMPLES_SQL), "bin::VARCHAR", ("lo", "hi", "n"))
+    add("label_counts", ORACLE["label_counts"], "label::VARCHAR", ("n",))
+    add("class_balance", ORACLE["class_balance"], "label::VARCHAR", ("n", "pct"))
+    add("length_box", ORACLE["length_box_by_label"].replace(SAMPLES_SQL, f"(SELECT * FROM {NULL_SAMPLES_SQL} WHERE code IS NOT NULL)"), "label::VARCHAR",
+        ("q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"))
+    add("length_box", f"SELECT label, count(*) AS n FROM {NULL_SAMPLES_SQL} GROUP BY label", "label::VARCHAR", ("n",))
+    return " UNION ALL ".join(parts)
+
+
+@register("profile_job_tables", _profile_sql())
+def q_profile_job_tables(spark, sf_dir):
+    """Every table of the profile of a sample table with nulls, in one long result."""
+    t = jobs.profile_table(jobs.profile_job(samples_with_nulls(spark, sf_dir)))
+    return t.select("section", "item", "field", "text", r6("value").alias("value"))

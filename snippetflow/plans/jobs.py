@@ -7,7 +7,7 @@ call them.  Stage switches are arguments, not config files.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from snippetflow.functions.cues import TEXT_CUE_TABLE, CueTable
@@ -38,6 +38,28 @@ def predict_job(df: DataFrame, stages=STAGES, detector=TEXT_CUE_TABLE, classifie
     return out
 
 
+def detect_job(df: DataFrame, path: str, backend=TEXT_CUE_TABLE, code: str = "code", max_failed: float = 1.0,
+               out: str = "detected_language", unknown: str = "Unknown") -> tuple[DataFrame, DataFrame, dict]:
+    """M1 + M2 as a job that accounts for its failures: the enriched table is written to
+    ``path``/enriched, and the same pass counts rows, ``Unknown`` answers and failed rows (``DataFrame.observe``).
+    Failed rows (an external model's errors) go to ``path``/dead_letters with the error's text, read from
+    the written table by that column.  Returns (enriched, dead letters, counts); raises when more than ``max_failed`` of all rows are unknown."""
+    scored = detect.detect_language(df, backend, code, out, error="error")
+    if "error" not in scored.columns:
+        scored = scored.withColumn("error", F.lit(None).cast("string"))
+    seen = Observation("detect")
+    lost = F.col(out) == unknown
+    watched = scored.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(F.when(lost, 1)).alias("unknown"), F.count("error").alias("failed"))
+    io.save_parquet(watched, f"{path}/enriched")
+    counts = dict(seen.get)
+    spark = df.sparkSession
+    dead = spark.read.parquet(f"{path}/enriched").where("error is not null")
+    io.save_parquet(dead, f"{path}/dead_letters")
+    if counts["unknown"] > max_failed * counts["rows"]:
+        raise RuntimeError(f"{counts['unknown']} of {counts['rows']} rows have no language; see {path}/dead_letters")
+    return spark.read.parquet(f"{path}/enriched").drop("error"), spark.read.parquet(f"{path}/dead_letters"), counts
+
+
 def with_ids(df: DataFrame) -> tuple[DataFrame, str]:
     """use 'id', else 'ID', else 0-based ids in file order (``df`` is
     the loaded table: file offset + row index, no shuffle of the rows); a
@@ -208,3 +230,22 @@ def profile_job(df: DataFrame, code: str = "code", label: str = "label", order_c
                    class_balance=profile.class_balance(df, label),
                    length_box=profile.length_box_by_label(df, code, label, counts=counts))
     return out
+
+
+def profile_table(profile_tables: dict) -> DataFrame:
+    """All tables of ``profile_job`` but the preview in one long table: (section, item, field, value), numbers as doubles, types as text."""
+    items = {"table_info": "column", "missing_values": "column", "duplicate_count": None, "short_codes": None, "length_describe": None,
+             "length_histogram": "bin", "label_counts": "label", "class_balance": "label", "length_box": "label"}
+    out = None
+    for section, item in items.items():
+        if section not in profile_tables:
+            continue
+        t = profile_tables[section]
+        fields = [c for c in t.columns if c != item]
+        name = F.col(item).cast("string") if item else F.lit("")
+        values = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string" if dict(t.dtypes)[c] == "string" else "double").cast("string").alias("text"),
+                                    (F.lit(None) if dict(t.dtypes)[c] == "string" else F.col(c)).cast("double").alias("value")) for c in fields])
+        long = t.select(F.lit(section).alias("section"), name.alias("item"), F.explode(values).alias("f")).select(
+            "section", "item", "f.field", F.when(F.col("f.value").isNull(), F.col("f.text")).alias("text"), "f.value")
+        out = long if out is None else out.unionByName(long)
+    return out

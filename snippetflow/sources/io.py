@@ -59,6 +59,16 @@ def save_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+def save_partitioned(df: DataFrame, path: str, by: list[str], order_col: str, mode: str = "overwrite") -> str:
+    """A table in folders by the values of ``by`` (e.g. split, detected_language),
+    sorted by ``order_col`` in its files; reads that filter on ``by`` open only
+    the matching folders.  Rows are range-partitioned on ``by`` and ``order_col`` together, so
+    a value that most rows share is written by many tasks, and a task writes to few folders."""
+    keys = [*by, order_col]
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).partitionBy(*by).parquet(path)
+    return path
+
+
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite") -> str:
     """CSV with header; quotes doubled so multi-line text survives.
     ``single_file`` coalesces to one task: only for small outputs."""

@@ -42,9 +42,18 @@ def main(argv=None, spark=None):
     from snippetflow.functions.cues import TEXT_CUE_TABLE
     from snippetflow.operators import classify as C
     from snippetflow.plans import jobs
-    from snippetflow.session import get_session
+    from snippetflow.session import drop_tables, get_session
     from snippetflow.sources import io
+    own = spark is None
     spark = spark or get_session()
+    try:
+        return run(a, spark, C, jobs, io, TEXT_CUE_TABLE)
+    finally:
+        if own:
+            drop_tables(spark)       # what the job wrote on its way; its outputs are elsewhere
+
+
+def run(a, spark, C, jobs, io, TEXT_CUE_TABLE):
     if a.job == "train":
         return jobs.train_from_splits(
             spark, {k: f"{a.data}/{k}.parquet" for k in ("train", "val")}, a.out, a.max_train, a.max_val,
