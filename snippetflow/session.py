@@ -72,6 +72,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that ``cut_lineage`` has returned and that nothing reads any more."""
+    spark = df.sparkSession
+    home = f"/snippetflow-tables/{spark.sparkContext.applicationId}/"
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if home in path:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete the tables ``cut_lineage`` has written in this application.
 
