@@ -45,8 +45,13 @@ GRAM = 50
 HOT = 20_000
 SHARD_TEXT = 48 << 20       # bytes of text whose suffixes make one shard
 ALL, SOME = 1, 2            # every window is repeated; windows are to be compared
-ENTRY = np.dtype([("g", "<u8"), ("c", "<u8"), ("row", "<u4"), ("lo", "<u4"), ("back", "u1"), ("more", "u1"), ("twice", "u1")])
-FULL = np.dtype([("row", "<u4"), ("lo", "<u4"), ("more", "u1")])
+
+
+def records(length: int, gram: int) -> tuple[np.dtype, np.dtype]:
+    """Types of an index entry and of a settled suffix: a place within a window takes one byte where it fits."""
+    place = "u1" if length - gram < 256 else "<u4"
+    return (np.dtype([("g", "<u8"), ("c", "<u8"), ("row", "<u4"), ("lo", "<u4"), ("back", place), ("more", place), ("twice", "u1")]),
+            np.dtype([("row", "<u4"), ("lo", "<u4"), ("more", place)]))
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, prefix: np.ndarray, length: int, gram: int):
@@ -107,6 +112,8 @@ def shard_of(h: np.ndarray, n: int) -> np.ndarray:
 def _arrays(length: int, gram: int, n_shards: int):
     """Text batches -> the batch's suffix array, cut by shard (kind 0), and the
     suffixes settled within the batch (kind 1)."""
+    entry, settled = records(length, gram)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -120,7 +127,7 @@ def _arrays(length: int, gram: int, n_shards: int):
                 if not len(p):
                     continue
                 row = np.searchsorted(offs, s, "right") - 1
-                part = np.empty(len(p), ENTRY)
+                part = np.empty(len(p), entry)
                 part["g"] = g
                 part["c"] = R.mix(R.span_hash(prefix, s, e + length) + R.mix((p - s).astype(np.uint64) * np.uint64(1 << 20) + (e - s).astype(np.uint64)))
                 part["row"] = rows[lo + row] - base
@@ -136,7 +143,7 @@ def _arrays(length: int, gram: int, n_shards: int):
             group = np.cumsum(new) - 1
             twice = np.bincount(group)[group] > 1
             a["twice"] = twice
-            full = np.empty(int(twice.sum()), FULL)
+            full = np.empty(int(twice.sum()), settled)
             for f in ("row", "lo", "more"):
                 full[f] = a[f][twice]
             a = a[new]
@@ -208,21 +215,21 @@ class Levels:
 FOUND = "row long, lo int, hi int, back int, g long, state int, hot boolean"
 
 
-def _match(hot: int):
+def _match(hot: int, entry: np.dtype, settled: np.dtype):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         family, parts, bases, done = Levels(), [], [], []
         for kind, base, load in sorted(zip(*(t.column(c).to_pylist() for c in ("kind", "base", "load")), strict=True)):
             if kind:
-                f = np.frombuffer(load, FULL)
+                f = np.frombuffer(load, settled)
                 done.append((base + f["row"].astype(np.int64), f["lo"].astype(np.int64), f["more"].astype(np.int64)))
             else:
-                a = np.frombuffer(load, ENTRY)
+                a = np.frombuffer(load, entry)
                 family.insert(a)
                 parts.append(a)
                 bases.append(np.full(len(a), base, np.int64))
         cols = [np.concatenate([d[i] for d in done]) if done else np.zeros(0, np.int64) for i in range(3)]
         n = len(cols[0])
-        a = np.concatenate(parts) if parts else np.zeros(0, ENTRY)
+        a = np.concatenate(parts) if parts else np.zeros(0, entry)
         base = np.concatenate(bases) if bases else np.zeros(0, np.int64)
         met = family.state > 0
         # what was settled within its batch is in cols already, unless it must also be compared
@@ -360,7 +367,7 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     total = narrow.agg(F.sum("n_bytes")).first()[0] or 0
     n = max(slots(spark), -(-total // SHARD_TEXT))
     sent = d.select("row", "text").mapInArrow(_arrays(length, gram, n), "kind int, shard int, base long, load binary")
-    found = cut_lineage(sent.groupBy("shard").applyInArrow(_match(hot), FOUND))
+    found = cut_lineage(sent.groupBy("shard").applyInArrow(_match(hot, *records(length, gram)), FOUND))
     some = F.expr(f"(state & {SOME}) > 0")
     per = found.groupBy("row").agg(F.collect_list(F.when(some, F.struct("lo", "hi", "back", "g", "hot", "state"))).alias("some"))
     texts = cut_lineage(d.select("row", "text").join(per, "row"))

@@ -1,3 +1,5 @@
+import random
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +65,15 @@ def test_repeats(spark, hot):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("length", [200, 400, 600])
+def test_repeats_of_any_length(spark, length):
+    rnd = random.Random(length)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(3000))
+    rows = [(1, passage + "x" * 50), (2, "y" * 70 + passage), (3, passage[:length - 1]), (4, passage[1000:1000 + length])]
+    got = {r.doc_id: r.n_removed for r in substrings.drop_repeats(brute.frame(spark, rows), length=length).collect()}
+    assert got == {1: 3000, 2: 3000, 3: 0, 4: length}
+
+
 def test_kept_bytes_are_the_text_left(spark):
     rows = [(1, "a" * 50 + "0123456789" * 30 + "b"), (2, "0123456789" * 25), (3, "short")]
     got = {r.doc_id: r for r in substrings.drop_repeats(brute.frame(spark, rows, extra=False), keep_text=True).collect()}
