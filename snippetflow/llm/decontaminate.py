@@ -85,6 +85,25 @@ class Shard:
             maybe[(g >> np.uint64(44)).astype(np.int64)] = True
             self.families.append((length, g, p, maybe))
 
+    @staticmethod
+    def _steps(places: np.ndarray, rows: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
+        """How far before each place the same k-gram was last kept in its row; 0 where that is over k words."""
+        step = np.zeros(len(places), np.int64)
+        order = np.lexsort((places, group))
+        a, b = order[:-1], order[1:]
+        near = (group[a] == group[b]) & (rows[a] == rows[b]) & (places[b] - places[a] <= k)
+        step[b[near]] = (places[b] - places[a])[near]
+        return step
+
+    def _begins(self, q: np.ndarray, step: int) -> list[int]:
+        """The places of a k-gram that a document's place must be extended from, if the same k-gram came ``step``
+        words before in the document: not those that have it ``step`` words before as well, since a run over
+        both reaches here.  So repeated words cost as many steps as there are words, not pairs of them."""
+        if step:
+            item = lambda x: np.searchsorted(self.first, x, "right")
+            q = q[~(np.isin(q - step, q) & (item(q - step) == item(q)))]
+        return q.tolist()
+
     def hits(self, h: np.ndarray, first: np.ndarray):
         """Yields (row, from word, to word, item) of each shared run."""
         done: dict[tuple[int, int, int], int] = {}
@@ -94,9 +113,15 @@ class Shard:
             places, kept = places[near], kept[near]
             lo = np.searchsorted(g, kept, "left")
             hi = np.searchsorted(g, kept, "right")
-            for i, a, b in zip(places[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                row = int(np.searchsorted(first, i, "right")) - 1
-                for q in p[a:b].tolist():
+            met = hi > lo
+            places, lo, hi = places[met], lo[met], hi[met]
+            rows = np.searchsorted(first, places, "right") - 1
+            step = self._steps(places, rows, lo, _gram(length)[0])
+            begins: dict[tuple[int, int], list[int]] = {}
+            for i, row, a, b, d in zip(places.tolist(), rows.tolist(), lo.tolist(), hi.tolist(), step.tolist(), strict=True):
+                if (a, d) not in begins:
+                    begins[a, d] = self._begins(p[a:b], d)
+                for q in begins[a, d]:
                     item = int(np.searchsorted(self.first, q, "right")) - 1
                     key = (row, item, i - q)
                     if done.get(key, -1) > i:
