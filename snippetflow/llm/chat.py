@@ -99,6 +99,7 @@ def format_chats(chats: DataFrame, tokenizer: str, conv_id: str = "conv_id", tur
 class _Digest:
     def __init__(self):
         self.turns, self.loss, self.n, self.loss_chars, self.chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+        self.tokens = 0
 
 
 def _read_back(path: str):
@@ -115,11 +116,14 @@ def _read_back(path: str):
         kind = None
         for b in batches:
             kind, done = b.schema.field(0).type, []
-            for c, ids, mask in zip(b.column(0).to_pylist(), b.column(3), b.column(4), strict=True):
+            for c, turn, at, ids, mask in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), b.column(4), strict=True):
                 if d is None or c != conv:
                     if d is not None:
                         done.append(row())
                     conv, d = c, _Digest()
+                if turn != d.n or at != d.tokens:
+                    raise ValueError(f"turns of a conversation are not in order: turn {turn} at token {at} where turn {d.n} at token {d.tokens} must stand")
+                d.tokens += len(ids)
                 ids, mask = ids.values.to_numpy(), mask.values.to_numpy()
                 if ids[0] != start_id:
                     raise ValueError("a turn must begin with the start id")
@@ -139,9 +143,14 @@ def _read_back(path: str):
     return run
 
 
-def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
-    """The digests of each conversation, from the ids and masks of ``format_chats`` alone."""
+def read_back(formatted: DataFrame, tokenizer: str, stored: bool = False) -> DataFrame:
+    """The digests of each conversation, from the ids and masks of ``format_chats`` alone.
+
+    A table that was stored and read again has no order: with ``stored`` its rows are brought together and
+    sorted first.  Rows out of order, or a conversation in two partitions, raise an error."""
     ship_code()
+    if stored:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
     kind = formatted.schema["conv_id"].dataType.simpleString()
     return formatted.mapInArrow(
         _read_back(tokenizer),

@@ -14,6 +14,11 @@ from snippetflow.llm.tokens import Encoder
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def io_path(spark):
+    from snippetflow.sources.io import scratch_path
+    return scratch_path(spark, "llm")
+
+
 def key(row):
     return tuple((x is None, x if x is not None else 0) for x in row)
 
@@ -89,6 +94,12 @@ def test_chat_round_trip(spark):
         assert got[c].turns_sha256 == brute.sha("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in turns))
         learned = "".join(r[3] or "" for r in turns if r[2] == "assistant")
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(learned), brute.sha(learned))
+    stored = io_path(spark)
+    chat.format_chats(df, PATH).repartition(5, "turn_no").write.parquet(stored)
+    again = {r.conv_id: r for r in chat.read_back(spark.read.parquet(stored), PATH, stored=True).collect()}
+    assert again == got
+    with pytest.raises(Exception, match="not in order"):
+        chat.read_back(spark.read.parquet(stored), PATH).collect()
     formatted = chat.format_chats(df, PATH).collect()
     reserved = Tokenizer.from_file(PATH).get_vocab_size()
     assert all(sum(i >= reserved for i in r.ids) == 2 and len(r.ids) == len(r.loss_mask) for r in formatted)
@@ -375,3 +386,38 @@ def test_open_quality_model_grows_with_the_trusted_text(spark):
     texts = [("".join(chr(0x4E00 + 40 * i + j) for j in range(40)),) for i in range(100)]
     sizes = [open_quality.train(spark.createDataFrame(texts[:k], "text string"))[0].count() for k in (10, 100)]
     assert sizes[1] > 9 * sizes[0]
+
+
+def test_repeated_words_cost_their_number_not_their_pairs():
+    import time
+
+    import pyarrow as pa
+
+    from snippetflow.llm import ragged as R
+
+    def hashed(texts):
+        (_, data, offs), = R.chunks(pa.array(texts), 1 << 30)
+        h, _, _, first = R.word_hashes(data, offs, R.ALNUM)
+        return h, first
+    h, first = hashed(["w " * 8000, "a b " * 4000])
+    shard = decontaminate.Shard([("1", hashed(["w " * 800])[0]), ("2", hashed(["b a " * 400])[0])], 13)
+    began = time.time()
+    found = list(shard.hits(h, first))
+    assert time.time() - began < 5
+    assert {(row, item) for row, _, _, item in found} == {(0, 0), (1, 1)}
+    assert {x for row, a, b, _ in found if row == 0 for x in (a, b)} >= {0, 8000}
+    # against all pairs of windows, texts of few words
+    rnd = random.Random(0)
+    for _ in range(60):
+        words = lambda n: ((w := [rnd.choice("abc") for _ in range(rnd.randint(1, 6))]) * n)[:n] + rnd.choices("abcd", k=rnd.randint(0, 9))
+        docs, items = [words(rnd.randint(1, 60)) for _ in range(3)], [words(rnd.randint(1, 40)) for _ in range(3)]
+        h, first = hashed([" ".join(d) for d in docs])
+        shard = decontaminate.Shard([(str(i), hashed([" ".join(w)])[0]) for i, w in enumerate(items)], 13)
+        got = {(row, item, x - int(first[row])) for row, a, b, item in shard.hits(h, first) for x in range(a, b)}
+        want = set()
+        for i, d in enumerate(docs):
+            for j, w in enumerate(items):
+                n = min(13, len(w))
+                have = {tuple(w[k:k + n]) for k in range(len(w) - n + 1)}
+                want |= {(i, j, k + x) for k in range(len(d) - n + 1) if tuple(d[k:k + n]) in have for x in range(n)}
+        assert got == want
