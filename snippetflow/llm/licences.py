@@ -1,6 +1,8 @@
 """Licence scan by Dice coefficient over word bigrams (operator 2, DataFrame functions only).
 
-Units are the lines of a document and the document as a whole.  Words are runs
+Units are the lines of a document, the document as a whole, and passages: windows of the document's
+words, across line breaks and inside sentences, as long as a template and aligned with it by a shared
+bigram (``passages`` below).  Words are runs
 of letters and digits, lower-cased.  A unit and a template are bags of word
 bigrams; their Dice coefficient is twice the bag intersection over the sum of
 their sizes.  A bag's size is its word count less one, so the bounds
@@ -9,6 +11,10 @@ outside the bounds of all templates are dropped first, and a unit meets only the
 templates whose bounds it keeps.  Within the bounds a unit must hold at least the share
 ``t / (2 - t)`` of a template's bigrams, so it holds one of any set of more
 than the rest: each template is entered under that many of its longest bigrams.
+For passages, every place of a probe in the document's words is aligned with each of
+its places in the template, and the template's length of words there is compared: a notice wrapped over
+comment lines, or between other sentences, is met whole.  Only documents that hold a probe look for its places, and
+a place takes no more of the document with it than the longest template on either side.
 Units without any of these probes end there (the templates are a parameter, so
 their probes are a literal of the plan); the others' probes are joined with the
 templates, and what meets is scored in place; only marks of documents and scored
@@ -22,6 +28,7 @@ empty table gives no rows; only the named columns are read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -75,23 +82,38 @@ def template_table(spark, templates: Sequence[tuple[str, str]], threshold: float
     # in places of the bag: a match lacks at most size - low of them, so of one more it holds one
     by_length = F.array_sort(F.transform("all", lambda b: F.struct((-F.length(b)).alias("l"), b.alias("bigram"))))
     probes = F.array_distinct(F.transform(F.slice(by_length, 1, F.col("size") - F.col("low") + 1), lambda x: x["bigram"]))
-    return t.select("template", "licence", "size", "low", "high", "bag", F.explode(probes).alias("probe"))
+    t = t.select("template", "licence", "size", "low", "high", "bag", "all", F.explode(probes).alias("probe"))
+    places = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.get("all", i) == F.col("probe"))
+    return t.withColumn("places", places).drop("all")
+
+
+def _cover(probes: list[str]) -> list[str]:
+    """A few words such that every probe has one of them: each time the word that most of the rest share."""
+    left, out = set(probes), []
+    while left:
+        shared = Counter(w for p in left for w in set(p.split()))
+        out.append(max(shared, key=lambda w: (shared[w], len(w), w)))
+        left = {p for p in left if out[-1] not in p.split()}
+    return out
 
 
 def scan_licences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: Sequence[tuple[str, str]] = TEMPLATES,
                   threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_matches (units that match), licences (sorted, comma-joined),
-    best_dice, units (line numbers of the matches, -1 for the whole text)."""
+    """doc_id, n_matches (lines and whole texts that match), licences (of all matches, sorted, comma-joined),
+    best_dice, units (line numbers of the matches, -1 for the whole text), n_passages, passages (the
+    first words, counted from 0, of the windows that match)."""
     spark = docs.sparkSession
     tb = template_table(spark, templates, threshold)
+    rows = tb.collect()         # the templates are a parameter: a row for each probe
+    tb = spark.createDataFrame(rows, tb.schema)
     marks = spark.range(1).select(*(F.lit("" if f.name == "probe" else None).cast(f.dataType).alias(f.name) for f in tb.schema))
-    bounds = tb.agg(F.min("low"), F.max("high")).first()
-    low, high = max(1, bounds[0] or 1), bounds[1] or 0
+    low, high = max(1, min((r.low for r in rows), default=1)), max((r.high for r in rows), default=0)
+    names = sorted({r.probe for r in rows})
     d = pick(docs, doc_id=doc_id, text=text).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", _plain(F.coalesce("text", F.lit(""))).alias("t"))
     # empty lines leave runs of blanks, which are no words
     whole = F.trim(F.regexp_replace("t", r"[ \n]+", " "))
-    probes = F.array(*[F.lit(r.probe) for r in tb.select("probe").distinct().orderBy("probe").collect()], F.lit(""))
+    probes = F.array(*map(F.lit, names), F.lit(""))
     # unit 0 is a mark that keeps every document, unit 1 the whole text, then the lines
     several = F.contains("t", F.lit("\n"))
     units = F.concat(F.array(F.lit(""), F.when(several, whole).otherwise(F.lit(""))), F.split("t", "\n"))
@@ -107,17 +129,41 @@ def scan_licences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     bags = F.transform(F.transform(units, words), lambda w: F.when((F.size(w) - 1).between(low, high), _bigrams(w)).otherwise(none))
     kept = F.filter(F.transform(bags, lambda b, i: F.struct(i.alias("unit"), F.when(i == 0, F.array(F.lit(""))).otherwise(b).alias("all"))),
                     lambda x: F.arrays_overlap(x["all"], probes))
-    u = d.select("row", "doc_id", F.explode(kept).alias("u")).select("row", "doc_id", "u.unit", "u.all", F.size("u.all").alias("n_bigrams"))
-    met = u.select("row", "doc_id", "unit", "n_bigrams", "all", F.explode(F.array_intersect("all", probes)).alias("probe"))
-    met = met.join(F.broadcast(tb.union(marks)), "probe").where("unit = 0 or n_bigrams between low and high")
+    kept = F.transform(kept, lambda x: F.struct(x["unit"].cast("long").alias("unit"), x["all"].alias("all"), F.array_intersect(x["all"], probes).alias("probes")))
+    # places of probes in the words of the whole text: unit -1 - place, and the words around it
+    around = max((r["size"] + 1 for r in rows), default=1)
+    named = F.array(*map(F.lit, names or ["\n"]))
+    words_in = F.array(*map(F.lit, _cover(names) or ["\n"]))
+    split = F.transform(F.array(whole), lambda t: F.when(F.exists(words_in, lambda x: F.contains(t, x)) & F.exists(named, lambda x: F.contains(t, x)), F.split(t, " ")))
+    pair = lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.array_contains(probes, pair(i)))
+    near = F.transform(at, lambda i: F.struct((-1 - i).cast("long").alias("unit"), F.slice("w", F.greatest(i - around, F.lit(0)) + 1, F.lit(2 * around + 2)).alias("all"),
+                                              F.array(pair(i)).alias("probes")))
+    empty = F.expr("cast(array() as array<struct<unit: bigint, all: array<string>, probes: array<string>>>)")
+    # the generator keeps the words a value of the row: they would be split anew for every place
+    u = d.select("row", "doc_id", kept.alias("kept"), split.alias("w"))
+    u = u.select("row", "doc_id", "kept", F.explode("w").alias("w"))
+    u = u.select("row", "doc_id", F.concat("kept", F.when(F.size("w") > 1, near).otherwise(empty)).alias("u"))
+    u = u.select("row", "doc_id", F.explode("u").alias("u")).select("row", "doc_id", "u.unit", "u.all", F.size("u.all").alias("n_bigrams"), F.explode("u.probes").alias("probe"))
+    met = u.join(F.broadcast(tb.union(marks)), "probe").where("unit <= 0 or n_bigrams between low and high")
+    # a passage begins where the template does if the probe's places fall together; it ends with the text
+    first = F.explode(F.when(F.col("unit") < 0, F.transform("places", lambda j: -1 - F.col("unit") - j)).otherwise(F.array(F.lit(None).cast("long"))))
+    met = met.withColumn("first", first).withColumn("start", F.greatest(F.col("first"), F.when(F.col("first").isNotNull(), F.lit(0))))
+    lead = F.greatest(-1 - F.col("unit") - around, F.lit(0))
+    window = F.slice("all", (F.col("start") - lead + 1).cast("int"), (F.col("first") + F.col("size") + 1 - F.col("start")).cast("int"))
+    met = met.withColumn("all", F.when(F.col("unit") < 0, window).otherwise(F.col("all"))).where("unit >= 0 or size(all) > 1")
+    met = met.withColumn("all", F.when(F.col("unit") < 0, _bigrams(F.col("all"))).otherwise(F.col("all"))).withColumn("n_bigrams", F.size("all"))
+    met = met.withColumn("unit", F.when(F.col("unit") < 0, -1 - F.col("start")).otherwise(F.col("unit")))
     both = F.aggregate("bag", F.lit(0), lambda acc, x: acc + F.least(x["n"], F.size(F.filter("all", lambda y: y == x["bigram"]))))
-    met = met.withColumn("dice", F.when(F.col("unit") > 0, F.round(2 * both / (F.col("n_bigrams") + F.col("size")), 9)))
+    met = met.withColumn("dice", F.when(F.col("unit") != 0, F.round(2 * both / (F.col("n_bigrams") + F.col("size")), 9)))
     met = met.where((F.col("unit") == 0) | (F.col("dice") >= threshold)).select("row", "doc_id", "unit", "licence", "dice")
     unit = met.repartition("row").groupBy("row", "doc_id", "unit").agg(F.max("dice").alias("dice"), F.collect_set(F.struct("dice", "licence")).alias("met"))
-    unit = unit.withColumn("ok", F.col("unit") > 0).withColumn(
+    unit = unit.withColumn("ok", F.col("unit") != 0).withColumn(
         "best", F.transform(F.filter("met", lambda m: m["dice"] == F.col("dice")), lambda m: m["licence"]))
     return unit.groupBy("row", "doc_id").agg(
-        F.count(F.when(F.col("ok"), 1)).alias("n_matches"),
+        F.count(F.when(F.col("unit") > 0, 1)).alias("n_matches"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("ok"), F.col("best")))))), ",").alias("licences"),
         F.max("dice").alias("best_dice"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("unit") - 2))), ",").alias("units")).drop("row")
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("unit") > 0, F.col("unit") - 2))), ",").alias("units"),
+        F.count(F.when(F.col("unit") < 0, 1)).alias("n_passages"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("unit") < 0, -1 - F.col("unit")))), ",").alias("passages")).drop("row")

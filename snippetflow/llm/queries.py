@@ -149,6 +149,7 @@ LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP B
 def _licence_sql() -> str:
     rows = ", ".join("({}, '{}', '{}')".format(i, a, b.replace("'", "''")) for i, (a, b) in enumerate(licences.TEMPLATES))
     words = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+    r = repr(licences.THRESHOLD / (2 - licences.THRESHOLD))
     return rf"""
 WITH t AS (SELECT template, licence, {words.format('body')} AS w FROM (VALUES {rows}) v(template, licence, body)),
 tb AS (SELECT template, licence, len(w) - 1 AS size, g, count(*) AS n
@@ -162,10 +163,28 @@ ub AS (SELECT rn, unit, n_u, g, count(*) AS n
              FROM (SELECT *, unnest(range(1, len(w))) AS i FROM u WHERE len(w) BETWEEN 2 AND 300)) GROUP BY ALL),
 s AS (SELECT rn, unit, template, licence, round(2.0::DOUBLE * sum(least(ub.n, tb.n)) / (n_u + size), 9) AS dice
       FROM ub JOIN tb USING (g) GROUP BY rn, unit, template, licence, n_u, size HAVING dice >= {licences.THRESHOLD}),
-b AS (SELECT * FROM s QUALIFY dice = max(dice) OVER (PARTITION BY rn, unit)),
-r AS (SELECT rn, count(DISTINCT unit) AS n_matches, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, max(dice) AS best_dice FROM b GROUP BY rn),
-p AS (SELECT rn, string_agg(unit::VARCHAR, ',' ORDER BY unit) AS units FROM (SELECT DISTINCT rn, unit FROM b) GROUP BY rn)
-SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licences, '') AS licences, best_dice, coalesce(units, '') AS units
+tp AS (SELECT template, i - 1 AS j, g, size, count(*) OVER (PARTITION BY template, g) AS n,
+              row_number() OVER (PARTITION BY template ORDER BY length(g) DESC, g) AS place
+       FROM (SELECT template, i, len(w) - 1 AS size, w[i] || ' ' || w[i + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t))),
+pr AS (SELECT DISTINCT template, g FROM tp WHERE place <= size - ceil(size * {r} - 1e-9) + 1),
+dw AS (SELECT rn, {words.format('body')} AS w FROM d),
+pl AS (SELECT rn, i - 1 AS i, w[i] || ' ' || w[i + 1] AS g FROM (SELECT rn, w, unnest(range(1, len(w))) AS i FROM dw)),
+win AS (SELECT DISTINCT pl.rn, tp.template, pl.i - tp.j AS first, tp.size FROM pl JOIN pr USING (g) JOIN tp ON tp.template = pr.template AND tp.g = pr.g),
+ww AS (SELECT rn, template, first, size, greatest(first, 0) AS start, w[greatest(first, 0) + 1:least(len(w), first + size + 1)] AS x FROM win JOIN dw USING (rn)),
+wb AS (SELECT rn, template, first, size, start, len(x) - 1 AS n_u, x[i] || ' ' || x[i + 1] AS g, count(*) AS n
+       FROM (SELECT *, unnest(range(1, len(x))) AS i FROM ww) GROUP BY ALL),
+ws AS (SELECT rn, -1 - start AS unit, template, licence, max(dice) AS dice FROM (
+         SELECT rn, first, start, wb.template, licence, round(2.0::DOUBLE * sum(least(wb.n, tb.n)) / (n_u + tb.size), 9) AS dice
+         FROM wb JOIN tb ON tb.template = wb.template AND tb.g = wb.g GROUP BY rn, first, start, wb.template, licence, n_u, tb.size
+         HAVING dice >= {licences.THRESHOLD}) GROUP BY ALL),
+a AS (SELECT rn, unit + 2 AS unit, licence, dice FROM s UNION ALL SELECT rn, unit, licence, dice FROM ws),
+b AS (SELECT * FROM a QUALIFY dice = max(dice) OVER (PARTITION BY rn, unit)),
+r AS (SELECT rn, count(DISTINCT unit) FILTER (unit > 0) AS n_matches, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, max(dice) AS best_dice,
+             count(DISTINCT unit) FILTER (unit < 0) AS n_passages FROM b GROUP BY rn),
+p AS (SELECT rn, string_agg((unit - 2)::VARCHAR, ',' ORDER BY unit) FILTER (unit > 0) AS units,
+             string_agg((-1 - unit)::VARCHAR, ',' ORDER BY unit DESC) FILTER (unit < 0) AS passages FROM (SELECT DISTINCT rn, unit FROM b) GROUP BY rn)
+SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licences, '') AS licences, best_dice, coalesce(units, '') AS units,
+       coalesce(n_passages, 0) AS n_passages, coalesce(passages, '') AS passages
 FROM d LEFT JOIN r USING (rn) LEFT JOIN p USING (rn)
 """
 

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -140,6 +141,35 @@ def dice(a, b):
     return 2 * sum((x & y).values()) / (sum(x.values()) + sum(y.values()))
 
 
+def passages(w):
+    """(start, licence, dice) of the windows that match: every place of a probe aligned with every place in its template."""
+    out, r = [], licences.THRESHOLD / (2 - licences.THRESHOLD)
+    for name, text in licences.TEMPLATES:
+        t = re.findall(r"[^\W_]+", text.lower())
+        grams = [" ".join(t[i:i + 2]) for i in range(len(t) - 1)]
+        low = math.ceil(len(grams) * r - 1e-9)
+        probes = set(sorted(grams, key=lambda g: (-len(g), g))[:len(grams) - low + 1])
+        for i in range(len(w) - 1):
+            for j, g in enumerate(grams):
+                if g in probes and g == " ".join(w[i:i + 2]):
+                    x = w[max(0, i - j):max(0, i - j + len(t))]
+                    if len(x) > 1 and (score := round(dice(x, t), 9)) >= licences.THRESHOLD:
+                        out.append((max(0, i - j), name, score))
+    return out
+
+
+def test_licences_across_lines_and_inside_sentences(spark):
+    apache = "This file is licensed to you under the Apache License, Version 2.0; you may not use this file except in compliance with the License."
+    rows = [(1, "# Copyright 2020 someone\n# This file is licensed to you under the Apache License, Version 2.0; you may\n"
+                "#   not use this file except in compliance with the License.\nimport os\nprint(1)\n" + "x = 1\n" * 300),
+            (2, "See README. Released under the MIT License. Contributions are welcome."), (3, "word " * 50 + apache + " word" * 5000), (4, "word " * 300)]
+    got = {r.doc_id: r for r in licences.scan_licences(brute.frame(spark, rows)).collect()}
+    assert got[1].licences == "Apache-2.0" and got[1].best_dice == 1.0 and "3" in got[1].passages.split(",")
+    assert (got[2].licences, got[2].best_dice, got[2].passages, got[2].n_matches) == ("MIT", 1.0, "2", 0)
+    assert got[3].licences == "Apache-2.0" and got[3].best_dice == 1.0
+    assert (got[4].licences, got[4].n_passages, got[4].passages) == ("", 0, "")
+
+
 def test_licences(spark):
     rnd = random.Random(4)
 
@@ -169,7 +199,14 @@ def test_licences(spark):
                 names |= {n for s, n in score if s == top}
                 at.add(j)
                 best = max(best or 0, top)
+        starts = {}
+        for start, name, score in passages(words(t or "")):
+            starts.setdefault(start, []).append((score, name))
+        for start, met in starts.items():
+            names |= {n for x, n in met if x == max(met)[0]}
+            best = max(best or 0, max(met)[0])
         assert (got[d].licences, got[d].units, got[d].n_matches, got[d].best_dice) == (",".join(sorted(names)), ",".join(map(str, sorted(at))), len(at), best), t
+        assert (got[d].n_passages, got[d].passages) == (len(starts), ",".join(map(str, sorted(starts))))
     assert licences.scan_licences(brute.frame(spark, [])).count() == 0
 
 
