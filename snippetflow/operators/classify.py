@@ -350,16 +350,25 @@ def _occurrences(df: DataFrame, key: str, code, pattern: str) -> DataFrame:
     return df.select(F.col(key).alias("_nb_id"), F.explode(F.split(F.lower(code), pattern)).alias("token")).where("token <> ''")
 
 
+# A token table up to this size (measured at each prediction) goes to every task; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
+
+
+def _token_side(weights: DataFrame, width: int) -> DataFrame:
+    """The weight table as a side of the join with token occurrences: broadcast while its measured size
+    (rows times the width of a row) allows it, so that occurrences stay in their tasks."""
+    return F.broadcast(weights) if weights.count() * (64 + 8 * width) <= BROADCAST_BYTES else weights
+
+
 def _stack_scores(stack: NaiveBayesStack, df: DataFrame, key: str, code: str, pattern: str) -> DataFrame:
     """``df`` with ``_nb``: per model the scores of the K classes.
 
     Token occurrences meet the one-row-per-token weight table in a join on
     token; a single aggregate per row then sums the scores and the known tokens of
-    all models.  The weight table is written at the fit, so its size is known when the
-    join is planned: small, it is broadcast and occurrences stay in their
-    tasks; large, it is joined by shuffle, where AQE splits hot tokens."""
+    all models.  A weight table of up to BROADCAST_BYTES is broadcast and occurrences stay in their
+    tasks; a larger one is joined by shuffle, where AQE splits hot tokens."""
     k = len(stack.labels)
-    terms = _occurrences(df, key, F.col(code), pattern).join(stack.weights, "token")
+    terms = _occurrences(df, key, F.col(code), pattern).join(_token_side(stack.weights, stack.size * (k + 1)), "token")
     per_row = terms.groupBy("_nb_id").agg(F.array(*[F.sum(F.col("w")[i]) for i in range(stack.size * k)]).alias("_nb_s"),
                                           F.array(*[F.sum(F.col("known")[i]) for i in range(stack.size)]).alias("_nb_n"))
     met = df.join(per_row, F.col(key) == F.col("_nb_id"), "left")
@@ -404,7 +413,7 @@ def predict_two_views(model: NaiveBayesModel, df: DataFrame, n: int = CROP_CHARS
     names, k = df.columns, len(model.labels)
     df, key = _keyed(df, id_col)
     views = df.select(F.col(key).alias("_nb_id"), F.posexplode(F.array(crop_head(code, n), crop_tail(code, n))).alias("view", "code"))
-    terms = views.select("_nb_id", "view", F.explode(F.split(F.lower("code"), pattern)).alias("token")).where("token <> ''").join(model.weights, "token")
+    terms = views.select("_nb_id", "view", F.explode(F.split(F.lower("code"), pattern)).alias("token")).where("token <> ''").join(_token_side(model.weights, k), "token")
     mine = lambda v, x: F.sum(F.when(F.col("view") == v, x))
     per_row = terms.groupBy("_nb_id").agg(F.array(*[mine(v, F.col("w")[i]) for v in (0, 1) for i in range(k)]).alias("_nb_s"),
                                           F.array(*[mine(v, F.lit(1)) for v in (0, 1)]).alias("_nb_n"))

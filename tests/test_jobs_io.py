@@ -34,7 +34,7 @@ def test_naive_bayes_matches_spark_ml(spark):
     assert ours == ml
 
 
-def test_naive_bayes_same_by_broadcast_and_by_shuffle(spark):
+def test_naive_bayes_same_by_broadcast_and_by_shuffle(spark, monkeypatch):
     train = catalog.training_rows(spark, SF)
     test = catalog.samples(spark, SF)
     model = C.fit_naive_bayes(train)
@@ -44,8 +44,10 @@ def test_naive_bayes_same_by_broadcast_and_by_shuffle(spark):
     want = pick(small)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 0)
     try:
-        assert pick(C.predict_naive_bayes(model, test)) == want
+        large = C.predict_naive_bayes(model, test)
+        assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString() and pick(large) == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
