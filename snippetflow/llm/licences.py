@@ -136,8 +136,10 @@ def scan_licences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     words_in = F.array(*map(F.lit, _cover(names) or ["\n"]))
     split = F.transform(F.array(whole), lambda t: F.when(F.exists(words_in, lambda x: F.contains(t, x)) & F.exists(named, lambda x: F.contains(t, x)), F.split(t, " ")))
     pair = lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))
+    # word by word: slice() would go over the whole text for every place
+    words_near = lambda i: F.transform(F.sequence(F.greatest(i - around, F.lit(0)), F.least(i + around + 1, F.size("w") - 1)), lambda k: F.get("w", k))
     at = F.filter(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.array_contains(probes, pair(i)))
-    near = F.transform(at, lambda i: F.struct((-1 - i).cast("long").alias("unit"), F.slice("w", F.greatest(i - around, F.lit(0)) + 1, F.lit(2 * around + 2)).alias("all"),
+    near = F.transform(at, lambda i: F.struct((-1 - i).cast("long").alias("unit"), words_near(i).alias("all"),
                                               F.array(pair(i)).alias("probes")))
     empty = F.expr("cast(array() as array<struct<unit: bigint, all: array<string>, probes: array<string>>>)")
     # the generator keeps the words a value of the row: they would be split anew for every place
@@ -151,8 +153,10 @@ def scan_licences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     met = met.withColumn("first", first).withColumn("start", F.greatest(F.col("first"), F.when(F.col("first").isNotNull(), F.lit(0))))
     lead = F.greatest(-1 - F.col("unit") - around, F.lit(0))
     window = F.slice("all", (F.col("start") - lead + 1).cast("int"), (F.col("first") + F.col("size") + 1 - F.col("start")).cast("int"))
-    met = met.withColumn("all", F.when(F.col("unit") < 0, window).otherwise(F.col("all"))).where("unit >= 0 or size(all) > 1")
-    met = met.withColumn("all", F.when(F.col("unit") < 0, _bigrams(F.col("all"))).otherwise(F.col("all"))).withColumn("n_bigrams", F.size("all"))
+    # words and bigrams are values of the row before the next step goes through them
+    held = lambda t, c: t.withColumn("_v", c).drop("all").withColumn("all", F.explode(F.array("_v"))).drop("_v")
+    met = held(met, F.when(F.col("unit") < 0, window).otherwise(F.col("all"))).where("unit >= 0 or size(all) > 1")
+    met = held(met, F.when(F.col("unit") < 0, _bigrams(F.col("all"))).otherwise(F.col("all"))).withColumn("n_bigrams", F.size("all"))
     met = met.withColumn("unit", F.when(F.col("unit") < 0, -1 - F.col("start")).otherwise(F.col("unit")))
     both = F.aggregate("bag", F.lit(0), lambda acc, x: acc + F.least(x["n"], F.size(F.filter("all", lambda y: y == x["bigram"]))))
     met = met.withColumn("dice", F.when(F.col("unit") != 0, F.round(2 * both / (F.col("n_bigrams") + F.col("size")), 9)))
