@@ -29,14 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snippetflow.llm import ragged as R
-from snippetflow.llm.common import bit_of, bitmap, pick, ship_code
+from snippetflow.llm.common import bit_of, bitmap, pick, ship_code, slots
 from snippetflow.llm.quality import QUANTILE, _discounts, judge
-from snippetflow.session import cut_lineage
+from snippetflow.session import cut_lineage, drop_table
 
 ORDER = 5
 CHUNK_BYTES = 1 << 19
 GRAMS = 1 << 20
 BLOCK_BYTES = 1 << 25
+LEVEL = 9                   # of the compression of block texts on their way
+SHARD_TEXT = 48 << 20       # bytes of text whose blocks make one task
 SYMBOLS = [f"s{i}" for i in range(ORDER)]
 
 
@@ -134,7 +136,7 @@ def train(trusted: DataFrame) -> tuple[DataFrame, float]:
         # in how many contexts of one character more the n-gram was seen
         tables[k] = cut_lineage(tables[k + 1].groupBy(*SYMBOLS[-k:]).agg(F.count(F.lit(1)).alias("n")))
     uniform = 1 / (tables[1].count() + 1)
-    unseen, lower, rows = uniform, None, []
+    unseen, lower, rows, done = uniform, None, [], list(tables.values())
     for k in range(1, ORDER + 1):
         t = tables[k]
         d1, d2, d3 = _discounts(t)
@@ -147,16 +149,21 @@ def train(trusted: DataFrame) -> tuple[DataFrame, float]:
         else:
             # the context of s0 s1 .. is all but the last symbol, its shorter form all but the first
             ctx = cut_lineage(t.groupBy(*SYMBOLS[-k:-1]).agg(*sums))
+            done.append(ctx)
             named = ctx.select(*SYMBOLS[-k:-1], (F.col("taken") / F.col("total")).alias("x")).mapInArrow(_named, "key long, x double")
             rows.append(named.select("key", F.lit(None).cast("double").alias("p"), F.col("x").alias("back")))
             t = t.withColumn("own", F.col("n") - off).join(ctx.hint("merge"), SYMBOLS[-k:-1]).join(lower.withColumnRenamed("p", "low").hint("merge"), SYMBOLS[1 - k:])
             t = t.select(*SYMBOLS[-k:], ((F.col("own") + F.col("taken") * F.col("low")) / F.col("total")).alias("p"))
         lower = cut_lineage(t)
+        done.append(lower)
         rows.append(lower.mapInArrow(_named, "key long, x double").select("key", F.col("x").alias("p"), F.lit(None).cast("double").alias("back")))
     every = rows[0]
     for r in rows[1:]:
         every = every.union(r)
-    return cut_lineage(every.groupBy("key").agg(F.max("p").alias("p"), F.max("back").alias("back"))), unseen
+    model = cut_lineage(every.groupBy("key").agg(F.max("p").alias("p"), F.max("back").alias("back")))
+    for t in done:      # the model is one table now
+        drop_table(t)
+    return model, unseen
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], at: int, block_bytes: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -206,7 +213,7 @@ def _dealt(at: int, block_bytes: int):
         for b, block in _blocks(batches, at, block_bytes):
             for name, part in _runs(b, block):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as w:
                     w.write_batch(part)
                 yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
     return run
@@ -268,12 +275,14 @@ def _listed(bits: np.ndarray):
 def _tidy(spark: SparkSession):
     """Shuffle files of each table written here go when it is written, not at some later garbage collection."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(name)
-    spark.conf.set(name, "true")
+    was = spark.conf.get(name, None)
+    if was is not None:         # where Spark knows the setting
+        spark.conf.set(name, "true")
     try:
         yield
     finally:
-        spark.conf.set(name, was)
+        if was is not None:
+            spark.conf.set(name, was)
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang",
@@ -288,7 +297,11 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     with _tidy(docs.sparkSession):
         model, unseen = train(some.join(trusted.hint("merge"), "doc_id", "left_semi").select("text"))
     found = d.mapInArrow(_wanted(2, block_bytes), "block long, key long").join(model.hint("merge"), "key").select("block", "key", F.col("p").cast("float").alias("p"), F.col("back").cast("float").alias("back"))
-    dealt = d.mapInArrow(_dealt(2, block_bytes), "block long, rows binary")
+    # as many tasks as the text needs, whatever the session's setting
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(slots(docs.sparkSession), -(-size // SHARD_TEXT))
+    dealt = d.mapInArrow(_dealt(2, block_bytes), "block long, rows binary").repartition(tasks, "block")
+    found = found.repartition(tasks, "block")
     scored = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
         _scored(unseen), f"doc_id {kind}, lang string, n_symbols long, log_prob double")
     return judge(scored, trusted, quantile)

@@ -1,18 +1,9 @@
-"""Quality by an interpolated modified Kneser-Ney model of fixed size.
+"""Discounts and the rule for what is kept of the quality model (operator 8, ``open_quality``).
 
-The registered query (operator 8) uses the model over raw characters in
-``open_quality``; this one is for callers who want a table of known size.
-
-The model is of order 4 over 40 classes of characters (letters, digit, blanks,
-signs, eight classes of bytes of non-ASCII characters), trained on the texts
-labelled good.  Each task counts its 4-grams; counts are summed by 4-gram, and
-continuation counts, the discounts of each order and the sums of each context
-follow by aggregation and by joins sharded on the n-gram or context.  There are at
-most 40^4 n-grams whatever the corpus, so the table of log probabilities (10 MB) is
-bounded by construction and is broadcast; every text is scored as a whole in its
-task.  A document is kept if its perplexity is at most the given quantile of
+A document is kept if its perplexity is at most the given quantile of
 the perplexities of good documents of its language (of all good documents where
-its language has none).
+its language has none).  The quantile is that of perplexities rounded up to three decimals: the
+least value that has at least its share of them, whatever the order in which rows arrive.
 
 Defined cases: null or empty text has no perplexity and is not kept; null
 languages are one language; a document labelled more than once is good if any
@@ -23,57 +14,12 @@ named columns are read.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snippetflow.llm import ragged as R
-from snippetflow.llm.common import pick, ship_code
 from snippetflow.session import cut_lineage
 
-ORDER = 4
-CLASSES = 40
 QUANTILE = 0.99
-# character classes: 0 before a text, 1-26 letters, 27 digits, 28 blanks, 29-31 signs, 32-39 later bytes of longer characters
-CLASS_OF = np.full(256, 31, np.int32)
-CLASS_OF[97:123] = CLASS_OF[65:91] = np.arange(1, 27)
-CLASS_OF[48:58] = 27
-CLASS_OF[[9, 10, 11, 12, 13, 32]] = 28
-CLASS_OF[44] = 29
-CLASS_OF[46] = 30
-CLASS_OF[128:192] = 32 + np.arange(64) % 8
-
-
-def codes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(4-gram code ending at each character, first character of each row)."""
-    plain = data < 0xC0
-    before = np.concatenate([[0], np.cumsum(plain)])
-    first = before[offs]
-    sym = CLASS_OF[data[plain]]
-    rows = len(offs) - 1
-    lead = ORDER - 1
-    padded = np.zeros(len(sym) + lead * rows, np.int32)
-    at = np.arange(len(sym)) + lead * (np.repeat(np.arange(rows), np.diff(first)) + 1)
-    padded[at] = sym
-    code = np.zeros(len(sym), np.int32)
-    for j in range(ORDER):
-        code = code * CLASSES + padded[at - lead + j]
-    return code, first
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CLASSES ** ORDER, np.int64)
-    for b in batches:
-        for _, data, offs in R.chunks(b.column(0)):
-            code, _ = codes(data, offs)
-            got, n = np.unique(code, return_counts=True)
-            total[got] += n
-    code = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(total[code])], names=["code", "n"])
 
 
 def _discounts(t: DataFrame) -> list[float]:
@@ -86,73 +32,22 @@ def _discounts(t: DataFrame) -> list[float]:
     return [min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)]
 
 
-def train(trusted: DataFrame) -> DataFrame:
-    """(code, logp): the natural log probability of the last class of every possible 4-gram."""
-    ship_code()
-    spark = trusted.sparkSession
-    grams = cut_lineage(trusted.mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    tables = {ORDER: grams}
-    for k in range(ORDER - 1, 0, -1):
-        # in how many contexts of one class more the n-gram was seen
-        tables[k] = cut_lineage(tables[k + 1].groupBy((F.col("code") % CLASSES ** k).alias("code")).agg(F.count(F.lit(1)).alias("n")))
-    lower = spark.range(CLASSES).select(F.col("id").alias("code"), F.lit(1.0 / CLASSES).alias("p"))
-    for k in range(1, ORDER + 1):
-        t = tables[k]
-        d1, d2, d3 = _discounts(t)
-        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        ctx = t.groupBy(F.expr(f"code div {CLASSES}").alias("ctx")).agg(F.sum("n").alias("total"), F.sum(off).alias("taken"))
-        every = spark.range(CLASSES ** k).select(F.col("id").alias("code"), F.expr(f"id div {CLASSES}").alias("ctx"),
-                                                 F.expr(f"id % {CLASSES ** (k - 1) if k > 1 else CLASSES}").alias("suffix"))
-        low = lower.select(F.col("code").alias("suffix"), "p")
-        every = every.join(t.select("code", (F.col("n") - off).alias("own")), "code", "left").join(ctx, "ctx", "left").join(low, "suffix")
-        p = F.when(F.col("total").isNull(), F.col("p")).otherwise(
-            (F.coalesce("own", F.lit(0.0)) + F.col("taken") * F.col("p")) / F.col("total"))
-        lower = cut_lineage(every.select("code", p.alias("p")))
-    return lower.select("code", F.log("p").cast("float").alias("logp"))
-
-
-def _score(shared, at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for b in batches:
-            n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for lo, data, offs in R.chunks(b.column(at)):
-                code, first = codes(data, offs)
-                full = np.flatnonzero(np.diff(first) > 0)
-                n[lo:lo + len(first) - 1] = np.diff(first)
-                if len(full):
-                    total[lo + full] = np.add.reduceat(table[code].astype(np.float64), first[:-1][full])
-            names = [c for i, c in enumerate(b.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(n), pa.array(total)], names=[*names, "n_symbols", "log_prob"])
-    return run
-
-
-def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang",
-          good: str = "quality", quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, n_symbols, log_prob, perplexity, threshold, kept."""
-    ship_code()
-    spark = docs.sparkSession
-    d = pick(docs, doc_id=doc_id, lang=lang, text=text)
-    trusted = cut_lineage(pick(labels, doc_id=doc_id, good=good).where("good > 0 and doc_id is not null").select("doc_id").distinct())
-    # merged at every size: the trusted ids grow with the labels
-    model = train(d.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi").select("text"))
-    got = model.toArrow()               # CLASSES ** ORDER rows
-    table = np.full(CLASSES ** ORDER, -math.log(CLASSES), np.float32)
-    table[got.column("code").to_numpy()] = got.column("logp").to_numpy()
-    shared = spark.sparkContext.broadcast(table)
-    kind = d.schema["doc_id"].dataType.simpleString()
-    scored = d.mapInArrow(_score(shared, 2), f"doc_id {kind}, lang string, n_symbols long, log_prob double")
-    return judge(scored, trusted, quantile)
+def _thresholds(fine: DataFrame, by: list[str], quantile: float) -> DataFrame:
+    """(*by, own): the quantile of each group, from its counts of rounded perplexities."""
+    counts = fine.groupBy(*by, F.ceil(F.col("perplexity") * 1000).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    so_far = group.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.select(*by, "v", F.sum("n").over(so_far).alias("up_to"), F.sum("n").over(group).alias("all"))
+    return counts.where(F.col("up_to") >= quantile * F.col("all")).groupBy(*by).agg((F.min("v") / 1000.0).alias("own"))
 
 
 def judge(scored: DataFrame, trusted: DataFrame, quantile: float) -> DataFrame:
     """Perplexity, the threshold of each language from its trusted documents, and what is kept."""
     scored = cut_lineage(scored.withColumn(
         "perplexity", F.when(F.col("n_symbols") > 0, F.round(F.exp(-F.col("log_prob") / F.col("n_symbols")), 9))))
-    fine = scored.join(trusted, "doc_id", "left_semi").where("perplexity is not null")
-    at = F.percentile_approx("perplexity", quantile, 10000)
-    per = fine.groupBy("lang").agg(at.alias("own"))
-    overall = fine.agg(at).first()[0]
+    fine = cut_lineage(scored.join(trusted, "doc_id", "left_semi").where("perplexity is not null").select("lang", "perplexity"))
+    per = _thresholds(fine, ["lang"], quantile)
+    overall = _thresholds(fine, [], quantile).first()[0]
     out = scored.alias("s").join(per.alias("p"), F.expr("s.lang <=> p.lang"), "left")
     limit = F.coalesce("own", F.lit(overall).cast("double"))
     return out.select("doc_id", "s.lang", "n_symbols", "log_prob", "perplexity", limit.alias("threshold"),

@@ -296,70 +296,16 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.score(brute.frame(spark, []), model).count() == 0
 
 
-def plain_kn(texts):
-    """Interpolated modified Kneser-Ney by dictionaries: log probability of a symbol after its context."""
-    import collections
-    n, size = quality.ORDER, quality.CLASSES
-    tables = {n: collections.Counter()}
-    for t in texts:
-        s = symbols(t)
-        for i in range(n - 1, len(s)):
-            tables[n][tuple(s[i - n + 1:i + 1])] += 1
-    for k in range(n - 1, 0, -1):
-        tables[k] = collections.Counter(g[1:] for g in tables[k + 1])
-    discount = {}
-    for k, t in tables.items():
-        c = collections.Counter(t.values())
-        if not c[1] or not c[2]:
-            discount[k] = [0.5] * 3
-            continue
-        y = c[1] / (c[1] + 2 * c[2])
-        d = [1 - 2 * y * c[2] / c[1], 2 - 3 * y * c[3] / c[2], 3 - 4 * y * c[4] / c[3] if c[3] else 1.5]
-        discount[k] = [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
-    context = {k: collections.defaultdict(lambda: [0, 0.0]) for k in tables}
-    for k, t in tables.items():
-        for g, c in t.items():
-            context[k][g[:-1]][0] += c
-            context[k][g[:-1]][1] += discount[k][min(c, 3) - 1]
-
-    def p(g):
-        if not g:
-            return 1 / size
-        low = p(g[1:])
-        total, taken = context[len(g)].get(g[:-1], (0, 0))
-        if not total:
-            return low
-        c = tables[len(g)].get(g, 0)
-        return ((c - discount[len(g)][min(c, 3) - 1] if c else 0) + taken * low) / total
-    return p
-
-
-def symbols(t):
-    return [0] * (quality.ORDER - 1) + [int(quality.CLASS_OF[b]) for b in t.encode() if b < 0xC0]
-
-
-def test_quality_equals_plain_model(spark):
-    import math
-    rnd = random.Random(8)
-    good = [(i, " ".join(rnd.choice(["alpha", "beta", "été", "gamma.", "12"]) for _ in range(rnd.randint(3, 30)))) for i in range(40)]
-    rows = good + [(100, "zzzz qqqq xxxx"), (101, None), (102, ""), good[0]]
-    df = brute.frame(spark, rows)
-    labels = spark.createDataFrame([(i, 1, "x") for i, _ in good] + [(100, 0, "x"), (None, 1, "x")], "doc_id long, quality int, text string")
-    got = quality.score(df, labels).collect()
-    assert len(got) == len(rows)
-    # the repeated row of document 0 is trusted as well, so it is counted twice
-    p = plain_kn([t for _, t in good] + [good[0][1]])
-    for r in got:
-        s = symbols(dict(rows)[r.doc_id] or "")
-        n = quality.ORDER
-        want = sum(math.log(p(tuple(s[i - n + 1:i + 1]))) for i in range(n - 1, len(s)))
-        assert abs(r.log_prob - want) < 1e-3 * max(1, abs(want)), r
-    by = {r.doc_id: r for r in got}
-    assert not by[100].kept and not by[101].kept and by[101].perplexity is None
-    assert sum(by[i].kept for i, _ in good) >= 39
-    none = quality.score(df, labels.limit(0)).collect()
-    assert all(r.kept == (r.perplexity is not None) for r in none)
-    assert quality.score(brute.frame(spark, []), labels).count() == 0
+def test_thresholds_do_not_depend_on_the_layout(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([2.0, 3.25, rnd.uniform(1, 50)])) for _ in range(700)]
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "lang string, perplexity double").repartition(parts)
+        got = {r.lang: r.own for r in quality._thresholds(df, ["lang"], .9).collect()}
+        for lang in ("a", "b", None):
+            own = sorted(math.ceil(p * 1000) for x, p in rows if x == lang)
+            assert got[lang] == own[math.ceil(.9 * len(own)) - 1] / 1000
+    assert quality._thresholds(df.limit(0), [], .9).first()[0] is None
 
 
 def plain_open(texts):
