@@ -350,25 +350,43 @@ def _occurrences(df: DataFrame, key: str, code, pattern: str) -> DataFrame:
     return df.select(F.col(key).alias("_nb_id"), F.explode(F.split(F.lower(code), pattern)).alias("token")).where("token <> ''")
 
 
-# A token table up to this size (measured at each prediction) goes to every task; beyond it the join shuffles.
+# Room for the weights that go to every task: all of a table that fits, else those of its most frequent tokens.
 BROADCAST_BYTES = 32 << 20
-
-
-def _token_side(weights: DataFrame, width: int) -> DataFrame:
-    """The weight table as a side of the join with token occurrences: broadcast while its measured size
-    (rows times the width of a row) allows it, so that occurrences stay in their tasks."""
-    return F.broadcast(weights) if weights.count() * (64 + 8 * width) <= BROADCAST_BYTES else weights
+FREQUENCY_STEPS = 8     # per unit of a weight, the logarithm of a count
+
+
+def _weighted(terms: DataFrame, weights: DataFrame, width: int) -> DataFrame:
+    """Token occurrences with the weights of their tokens; unknown tokens have no row.
+
+    The tokens are counted by their largest weight, which grows with the token's count, in steps.  The most frequent
+    ones that fit BROADCAST_BYTES (rows times the width of a row) are broadcast, and their occurrences, nearly all
+    in any natural text, stay in their tasks.  Only occurrences of the other tokens are shuffled, however long
+    the table grows."""
+    step = F.floor(F.array_max("w") * FREQUENCY_STEPS)
+    sizes = sorted(weights.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)     # a row per step of a logarithm
+    room, least = BROADCAST_BYTES // (64 + 8 * width), None
+    if sum(r.n for r in sizes) <= room:
+        return terms.join(F.broadcast(weights), "token")
+    for r in sizes:
+        room -= r.n
+        if room < 0:
+            break
+        least = r.step
+    if least is None:
+        return terms.join(weights, "token")
+    frequent = weights.where(step >= least)
+    others = terms.join(F.broadcast(frequent.select("token")), "token", "left_anti").join(weights.where(step < least), "token")
+    return terms.join(F.broadcast(frequent), "token").unionByName(others)
 
 
 def _stack_scores(stack: NaiveBayesStack, df: DataFrame, key: str, code: str, pattern: str) -> DataFrame:
     """``df`` with ``_nb``: per model the scores of the K classes.
 
-    Token occurrences meet the one-row-per-token weight table in a join on
-    token; a single aggregate per row then sums the scores and the known tokens of
-    all models.  A weight table of up to BROADCAST_BYTES is broadcast and occurrences stay in their
-    tasks; a larger one is joined by shuffle, where AQE splits hot tokens."""
+    Token occurrences meet the one-row-per-token weight table by token (``_weighted``);
+    a single aggregate per row then sums the scores and the known tokens of
+    all models."""
     k = len(stack.labels)
-    terms = _occurrences(df, key, F.col(code), pattern).join(_token_side(stack.weights, stack.size * (k + 1)), "token")
+    terms = _weighted(_occurrences(df, key, F.col(code), pattern), stack.weights, stack.size * (k + 1))
     per_row = terms.groupBy("_nb_id").agg(F.array(*[F.sum(F.col("w")[i]) for i in range(stack.size * k)]).alias("_nb_s"),
                                           F.array(*[F.sum(F.col("known")[i]) for i in range(stack.size)]).alias("_nb_n"))
     met = df.join(per_row, F.col(key) == F.col("_nb_id"), "left")
@@ -413,7 +431,8 @@ def predict_two_views(model: NaiveBayesModel, df: DataFrame, n: int = CROP_CHARS
     names, k = df.columns, len(model.labels)
     df, key = _keyed(df, id_col)
     views = df.select(F.col(key).alias("_nb_id"), F.posexplode(F.array(crop_head(code, n), crop_tail(code, n))).alias("view", "code"))
-    terms = views.select("_nb_id", "view", F.explode(F.split(F.lower("code"), pattern)).alias("token")).where("token <> ''").join(_token_side(model.weights, k), "token")
+    terms = views.select("_nb_id", "view", F.explode(F.split(F.lower("code"), pattern)).alias("token")).where("token <> ''")
+    terms = _weighted(terms, model.weights, k)
     mine = lambda v, x: F.sum(F.when(F.col("view") == v, x))
     per_row = terms.groupBy("_nb_id").agg(F.array(*[mine(v, F.col("w")[i]) for v in (0, 1) for i in range(k)]).alias("_nb_s"),
                                           F.array(*[mine(v, F.lit(1)) for v in (0, 1)]).alias("_nb_n"))

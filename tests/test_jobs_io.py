@@ -52,6 +52,27 @@ def test_naive_bayes_same_by_broadcast_and_by_shuffle(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_naive_bayes_shuffles_rare_tokens_only(spark, monkeypatch):
+    texts = [(i, "the cat " * 20 + f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} unseen", i % 2) for i in range(100)]
+    train = spark.createDataFrame([(i, t.replace("unseen", ""), y) for i, t, y in texts] + [(100, None, 0), (101, "dog", None)], "id long, code string, label int")
+    test = spark.createDataFrame([(i, t) for i, t, _ in texts] + [(100, None), (101, "")], "id long, code string")
+    model, models = C.fit_naive_bayes(train), C.stack_naive_bayes([C.fit_naive_bayes(train, alpha=a) for a in (.1, 10.)])
+    run = [lambda: C.predict_naive_bayes(model, test), lambda: C.predict_stack(models, test), lambda: C.predict_two_views(model, test, 30)]
+    want = [sorted(f().collect()) for f in run]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 1200)      # room for the two frequent words, not for all 102
+    try:
+        frames = [f() for f in run]
+        assert [sorted(f.collect()) for f in frames] == want
+        assert all("BroadcastHashJoin" in f._jdf.queryExecution().executedPlan().toString() for f in frames)
+        terms = C._occurrences(test, "id", F.col("code"), C.NB_SPLIT)
+        assert C._weighted(terms, model.weights, 3).groupBy("token").count().where("token in ('the', 'cat')").agg(F.sum("count")).first()[0] == 4000
+        assert C._weighted(terms, model.weights, 3).count() == 4100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_predict_job_keeps_every_row(spark):
     s = catalog.samples(spark, SF)
     out = jobs.predict_job(s)
