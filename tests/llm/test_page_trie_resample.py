@@ -105,6 +105,17 @@ def test_repeated_runs_equal_brute_force(spark, parts, monkeypatch):
     assert sum(len(t) for _, t in want) < sum(len(t) for _, t in brute_pages(rows, 99, 10**6))
 
 
+def test_articles_go_through_the_suffix_array(spark):
+    notice = "this notice of nine words stands in every article"
+    rows = [(i, "https://a.example.org/x", f"<nav>m</nav><article><p>own text {'abc'[i] * 80}</p><p>{notice}</p></article>") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    index = html_extract.suffixes(df.withColumnRenamed("page_id", "row"))
+    assert sorted((r.row, r.at, r.vouched) for r in index.collect()) == [(i, at, at > 0) for i in range(3) for at in range(3)]
+    assert sorted((r.row, r.at, r.n, r.vouched) for r in html_extract.repeated(index).collect()) == [(i, 2, 1, True) for i in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(df).collect()}
+    assert got == {i: f"own text {'abc'[i] * 80}\n{notice}" for i in range(3)}
+
+
 # ------------------------------------------------------------ operator 12 --
 
 def brute_trie(rows, family=100, heads=6, rebuild=True):
