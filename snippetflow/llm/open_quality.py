@@ -37,6 +37,7 @@ ORDER = 5
 CHUNK_BYTES = 1 << 19
 GRAMS = 1 << 20
 BLOCK_BYTES = 1 << 25
+SENT = 1 << 16              # names to a batch
 LEVEL = 9                   # of the compression of block texts on their way
 SHARD_TEXT = 48 << 20       # bytes of text whose blocks make one task
 SYMBOLS = [f"s{i}" for i in range(ORDER)]
@@ -59,7 +60,7 @@ def distinct(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(names of the distinct 5-grams; a row of symbols each; which of them ends at each character; first character of each row)."""
     sym, first = symbols(data, offs)
     rows, lead = len(offs) - 1, ORDER - 1
-    padded = np.zeros(len(sym) + lead * rows, np.int64)
+    padded = np.zeros(len(sym) + lead * rows, np.uint32)
     at = np.arange(len(sym)) + lead * (np.repeat(np.arange(rows), np.diff(first)) + 1)
     padded[at] = sym
     v = R.mix(padded.astype(np.uint64) * R.MULT)
@@ -107,7 +108,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out():
         _, grams, n = bag.merge()
-        return pa.RecordBatch.from_arrays([pa.array(grams[:, j]) for j in range(ORDER)] + [pa.array(n)], names=[*SYMBOLS, "n"])
+        return pa.RecordBatch.from_arrays([pa.array(grams[:, j].astype(np.int64)) for j in range(ORDER)] + [pa.array(n)], names=[*SYMBOLS, "n"])
     for b in batches:
         for _, data, offs in R.chunks(b.column(0), CHUNK_BYTES):
             key, grams, which, _ = distinct(data, offs)
@@ -189,22 +190,23 @@ def _wanted(at: int, block_bytes: int):
 
         def out():
             key, grams, _ = bag.merge()
-            parts = [key]
-            for k in range(1, ORDER):
-                parts += [keys(grams[:, ORDER - k:]), keys(grams[:, ORDER - 1 - k:ORDER - 1])]
-            got = np.unique(np.concatenate(parts))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(got), now)), pa.array(got)], names=["block", "key"])
+            # one order after the other, in small batches: a block's names never stand in memory together
+            for k in range(1, ORDER + 1):
+                got = np.unique(np.concatenate([keys(grams[:, ORDER - k:]), keys(grams[:, ORDER - 1 - k:ORDER - 1])])) if k < ORDER else key
+                for lo in range(0, len(got), SENT):
+                    part = got[lo:lo + SENT]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), now)), pa.array(part)], names=["block", "key"])
         for b, block in _blocks(batches, at, block_bytes):
             for name, part in _runs(b, block):
                 if name != now:
                     if bag.parts:
-                        yield out()
+                        yield from out()
                     now, bag = name, Bag()
                 for _, data, offs in R.chunks(part.column(at), CHUNK_BYTES):
                     key, grams, which, _ = distinct(data, offs)
-                    bag.add(key, grams, np.ones(len(key)))
+                    bag.add(key, grams, np.ones(len(key), np.int8))
         if bag.parts:
-            yield out()
+            yield from out()
     return run
 
 

@@ -6,6 +6,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -365,6 +366,22 @@ def test_open_quality_equals_plain_model(spark, block_bytes):
     assert open_quality.score(brute.frame(spark, []), labels).count() == 0
 
 
+def test_open_quality_sends_names_in_small_batches(monkeypatch):
+    text = "".join(chr(97 + i * i % 23) + chr(0x4E00 + i % 997) for i in range(3000))
+    monkeypatch.setattr(open_quality, "SENT", 100)
+    monkeypatch.setattr(open_quality, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    sent = list(open_quality._wanted(0, 1 << 25)(iter([pa.RecordBatch.from_arrays([pa.array([text, "aa", ""])], names=["text"])])))
+    assert max(b.num_rows for b in sent) <= 100
+    got = [k for b in sent for k in b.column(1).to_pylist()]
+    n, want = open_quality.ORDER, set()
+    for t in (text, "aa"):
+        s = [0] * (n - 1) + [int.from_bytes(c.encode(), "big") + 1 for c in t]
+        for i in range(n, len(s) + 1):
+            want |= {tuple(s[i - k:i]) for k in range(1, n + 1)} | {tuple(s[i - k:i - 1]) for k in range(2, n + 1)}
+    want = [int(open_quality.keys(np.array([g]))[0]) for g in want]
+    assert sorted(got) == sorted(want)
+
+
 def test_open_quality_model_grows_with_the_trusted_text(spark):
     texts = [("".join(chr(0x4E00 + 40 * i + j) for j in range(40)),) for i in range(100)]
     sizes = [open_quality.train(spark.createDataFrame(texts[:k], "text string"))[0].count() for k in (10, 100)]
