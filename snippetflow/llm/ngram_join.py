@@ -9,10 +9,13 @@ Documents of equal sets form a class; classes are joined, not their copies.
    on the table only costs time.
 2. Candidates.  Two sets of Jaccard similarity t or more share a shingle among the first
    ``n - ceil(t n) + 1`` of each in that order.  Prefix shingles are sent to shards of their
-   hash; classes that meet under one are compared by length and by position.  A
-   shingle of more than eight classes links neighbours in order of length
-   (no pair across a gap in length can be similar), so its pairs are never listed.
-3. Clusters.  Connected candidates are verified together, each pair once: within a cluster the
+   hash; classes that meet under one are compared by length and by position.  Pairs are listed
+   while a shingle has no more than ``each`` of them for a class; one that has more
+   links its classes by a forest of them, so what is sent never grows with the square of its classes.
+3. Sketches.  A set's sketch has, for each of as many cells of its hashes as it has shingles or more, whether the
+   number of its shingles there is odd; two sketches differ in no more cells than their sets in
+   shingles.  A listed pair whose sketches differ in too many cells goes, before it can link unlike documents.
+4. Clusters.  Connected candidates are verified together, each pair once: within a cluster the
    sets' shingles are ordered by their frequency there, pairs that share a prefix
    shingle pass the length, positional and suffix filters, and the rest are intersected.
    A cluster of more than ``block`` classes is split into cells by length and hash, and each
@@ -46,7 +49,8 @@ PERCENT = 80
 OFTEN = 8
 MOST = 500_000
 BLOCK = 512
-FEW = 8
+EACH = 4
+SKETCH = 256              # cells of a sketch at least
 BUCKET_BYTES = 8 << 20
 PAIRS = 1_000_000         # entries compared at a time
 SHARD_TEXT = 32 << 20
@@ -72,6 +76,23 @@ def class_key(s: np.ndarray) -> int:
     return int(R.mix(np.array([x % (1 << 64)], np.uint64)).view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """One bit for each cell of the set's hashes: whether it holds an odd number of them."""
+    cells = max(SKETCH, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """In so many shingles at least the sets of two sketches differ."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):             # half as many cells: two cells of the longer one are one
+        if len(x) > len(y):
+            x = x[:len(x) // 2] ^ x[len(x) // 2:]
+        else:
+            y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -79,12 +100,14 @@ def prefix_size(n: int, percent: int) -> int:
 def _classes(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, key = [], []
+            n, key, bits = [], [], []
             for _, data, offs in R.chunks(b.column(2)):
                 for s in sets(data, offs, words):
                     n.append(len(s))
                     key.append(class_key(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64())], names=["row", "doc_id", "n", "k"])
+                    bits.append(sketch(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bits, pa.binary())],
+                                             names=["row", "doc_id", "n", "k", "sketch"])
     return run
 
 
@@ -162,7 +185,46 @@ def _postings(words: int, percent: int, n_shards: int, shared):
     return run
 
 
-def _candidates(percent: int):
+def _blocks(left: np.ndarray) -> list[tuple[int, int]]:
+    """Cuts entries that meet ``left`` others each into runs of about PAIRS meetings."""
+    if not len(left):
+        return []
+    at = np.searchsorted(np.cumsum(left), np.arange(0, int(left.sum()) + PAIRS, PAIRS))
+    cuts = np.unique(np.concatenate([[0], at, [len(left)]])).tolist()
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def meetings(n: np.ndarray, at: np.ndarray, first: np.ndarray, size: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries that pass the length and the positional filter, a bounded number at a time: those of the same
+    shingle, whose entries begin at ``first`` and are in order of n, the set's length; ``at`` is the shingle's place in the set."""
+    # the first shared place of similar sets leaves the longer set at most this long, and the shorter one
+    most = (100 * n - (100 + percent) * at) // percent
+    group = np.repeat(np.arange(len(first)), size)
+    end = np.searchsorted(group * (1 << 34) + n, group * (1 << 34) + np.clip(most, 0, (1 << 33)), side="right")
+    left = np.maximum(0, end - np.arange(len(n)) - 1)
+    for u, v in _blocks(left):
+        i = np.repeat(np.arange(u, v), left[u:v])
+        j = R.ranges(np.arange(u, v) + 1, left[u:v])
+        ok = n[i] <= most[j]
+        yield i[ok], j[ok]
+
+
+def joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least entry that each entry reaches, with the pairs (x, y) besides what ``root`` has."""
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[root]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _candidates(percent: int, each: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         a = np.concatenate([np.frombuffer(x, POST) for x in table.column("load").to_pylist()])
         a = a[np.lexsort((a["k"], a["n"], a["t"]))]
@@ -171,28 +233,50 @@ def _candidates(percent: int):
         a = a[~same]                    # copies from other batches
         first = np.flatnonzero(np.r_[True, a["t"][1:] != a["t"][:-1]]) if len(a) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(a)))
-        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for m in range(2, FEW + 1):
-            f = first[size == m]
-            for i in range(m):
-                for j in range(i + 1, m):
-                    x.append(f + i)
-                    y.append(f + j)
-        x, y = np.concatenate(x), np.concatenate(y)
-        n1, n2 = a["n"][x].astype(np.int64), a["n"][y].astype(np.int64)
-        rest = 1 + np.minimum(n1 - a["at"][x] - 1, n2 - a["at"][y] - 1)
-        ok = (100 * n1 >= percent * n2) & ((100 + percent) * rest >= percent * (n1 + n2))
-        x, y = x[ok], y[ok]
-        f, z = first[size > FEW], size[size > FEW]
-        i = R.ranges(f, z - 1)
-        near = 100 * a["n"][i].astype(np.int64) >= percent * a["n"][i + 1].astype(np.int64)
-        # runs without a gap in length, each a star around its shortest set
-        run = np.flatnonzero(near & np.r_[True, ~near[:-1] | (i[1:] != i[:-1] + 1)]) if len(i) else i
-        lead = i[run][np.cumsum(np.isin(np.arange(len(i)), run))[near] - 1] if len(i) else i
-        x, y = np.concatenate([x, lead]), np.concatenate([y, i[near] + 1])
-        k1, k2 = a["k"][x].view(np.int64), a["k"][y].view(np.int64)
-        pairs = np.unique(np.stack([np.minimum(k1, k2), np.maximum(k1, k2)], axis=1), axis=0) if len(k1) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        k, n, at = a["k"].view(np.int64), a["n"].astype(np.int64), a["at"].astype(np.int64)
+        none = np.zeros(0, np.int64)
+        pairs, forest = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+
+        def add(out: list, x: np.ndarray, y: np.ndarray):
+            out.append(np.unique(np.stack([np.minimum(k[x], k[y]), np.maximum(k[x], k[y])], axis=1), axis=0))
+
+        # shingles that cannot have more pairs than are listed
+        few = size <= 2 * each + 1
+        f, z = first[few & (size > 1)], size[few & (size > 1)]
+        i = R.ranges(f, z)
+        for x, y in meetings(n[i], at[i], np.cumsum(z) - z, z, percent):
+            add(pairs, i[x], i[y])
+        for u, m in zip(first[~few].tolist(), size[~few].tolist(), strict=True):
+            got, count, root = [(none, none)], 0, None
+            for x, y in meetings(n[u:u + m], at[u:u + m], np.zeros(1, np.int64), np.array([m]), percent):
+                count += len(x)
+                if root is None and count <= each * m:
+                    got.append((x, y))
+                    continue
+                if root is None:
+                    root = np.arange(m)
+                    for p, q in got:
+                        root = joined(root, p, q)
+                root = joined(root, x, y)
+            if root is None:
+                add(pairs, u + np.concatenate([x for x, _ in got]), u + np.concatenate([y for _, y in got]))
+            else:
+                far = np.flatnonzero(root != np.arange(m))
+                add(forest, u + root[far], u + far)
+        pairs, forest = np.unique(np.concatenate(pairs), axis=0), np.unique(np.concatenate(forest), axis=0)
+        both = np.concatenate([pairs, forest])
+        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1]), "dense": pa.array(np.arange(len(both)) >= len(pairs))})
+    return run
+
+
+def _alike(percent: int):
+    """Pairs whose sketches do not rule out that they are similar."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = b.column(2).to_numpy()
+            gap = np.array([least_difference(x.as_py(), y.as_py()) for x, y in zip(b.column(3), b.column(4), strict=True)], np.int64)
+            b = b.filter(pa.array((100 + percent) * (total - gap) >= 2 * percent * total))
+            yield b.select(["a", "b"])
     return run
 
 
@@ -230,9 +314,7 @@ def similar(members: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[
     codes = [gone]
     # each place meets the later places of its shingle, a bounded number of entries at a time
     left = np.repeat(first + size, size) - np.arange(len(tok)) - 1
-    cuts = np.unique(np.searchsorted(np.cumsum(left), np.arange(0, int(left.sum()) + PAIRS, PAIRS))) if len(left) else gone
-    cuts = np.unique(np.concatenate([[0], cuts, [len(left)]]))
-    for u, v in zip(cuts[:-1], cuts[1:], strict=True):
+    for u, v in _blocks(left):
         i = np.repeat(np.arange(u, v), left[u:v])
         j = R.ranges(np.arange(u, v) + 1, left[u:v])
         a, b = who[i], who[j]
@@ -341,15 +423,31 @@ def _tasks(members: DataFrame, percent: int, block: int) -> DataFrame:
     return small.union(x.select("k", "docs", "n", "row", F.explode(targets).alias("t")).select("k", "docs", "n", "row", "t.task", "t.side"))
 
 
+def _edges(posts: DataFrame, classes: DataFrame, sketches: DataFrame, percent: int, each: int) -> DataFrame:
+    """(a, b): classes that may be similar, or that a forest of a shingle with very many pairs links."""
+    pairs = posts.groupBy("shard").applyInArrow(_candidates(percent, each), "a long, b long, dense boolean")
+    pairs = cut_lineage(pairs.groupBy("a", "b").agg(F.max("dense").alias("dense")))
+    listed = pairs.where("not dense").select("a", "b")
+    ends = listed.select(F.col("a").alias("k")).union(listed.select("b")).distinct()
+    # merged at every size: the sketches grow with the documents
+    met = cut_lineage(classes.join(ends.hint("merge"), "k").select("k", "n", "row").join(sketches.hint("merge"), "row").select("k", "n", "sketch"))
+
+    def of(name: str) -> DataFrame:
+        return met.select(F.col("k").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+
+    wide = listed.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").select("a", "b", F.expr("n_a + n_b"), "sketch_a", "sketch_b")
+    return wide.mapInArrow(_alike(percent), "a long, b long").union(pairs.where("dense").select("a", "b"))
+
+
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT,
-                often: int = OFTEN, most: int = MOST, block: int = BLOCK) -> DataFrame:
+                often: int = OFTEN, most: int = MOST, block: int = BLOCK, each: int = EACH) -> DataFrame:
     """row, doc_id, n_shingles, component_id, n_links (documents linked with it) and
     stays (the first document of its component) of each row."""
     ship_code()
     spark = docs.sparkSession
     d = pick(docs, doc_id=doc_id, text=text).withColumn("row", F.monotonically_increasing_id())
     kind = d.schema["doc_id"].dataType.simpleString()
-    t = cut_lineage(d.select("row", "doc_id", "text").mapInArrow(_classes(words), f"row long, doc_id {kind}, n long, k long"))
+    t = cut_lineage(d.select("row", "doc_id", "text").mapInArrow(_classes(words), f"row long, doc_id {kind}, n long, k long, sketch binary"))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(slots(spark), -(-total // SHARD_TEXT))
     counts = d.select("text").mapInArrow(_prefix_counts(words, percent, n), "shard int, load binary")
@@ -358,11 +456,10 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     by = np.argsort(hot_t)
     shared = spark.sparkContext.broadcast((hot_t[by], hot_n[by]))
     posts = d.select("text").mapInArrow(_postings(words, percent, n, shared), "shard int, load binary")
-    edges = posts.groupBy("shard").applyInArrow(_candidates(percent), "a long, b long")
-    clusters = components(edges)
     classes = t.where("n > 0").groupBy("k").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("docs"),
                                                 F.min(F.struct(F.isnull("doc_id").alias("z"), "doc_id", "row")).alias("best"))
     classes = cut_lineage(classes.select("k", "n", "docs", F.col("best.doc_id").alias("doc_id"), F.col("best.row").alias("row")))
+    clusters = components(_edges(posts, classes, t.select("row", "sketch"), percent, each))
     members = cut_lineage(classes.join(clusters.withColumnRenamed("node", "k").withColumnRenamed("comp", "cluster"), "k"))
     # only documents that may be members send their sets; the join leaves the members
     maybe = spark.sparkContext.broadcast(bitmap(members, "row"))
@@ -379,7 +476,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     c = cut_lineage(c.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("docs") - 1))
     first = c.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("z"), "doc_id", "row")).alias("first"))
     c = c.join(first, "comp").select("k", "n_links", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
-    out = t.join(c, "k", "left")
+    out = t.drop("sketch").join(c, "k", "left")
     return out.select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
                       F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), ((F.col("n") == 0) | (F.col("row") == F.col("first_row"))).alias("stays"))
 

@@ -1,6 +1,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,36 @@ def test_hot_near_group_is_split(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == sorted(brute.near(rows))
 
 
+@pytest.mark.parametrize("each", [0, 1, 10**6])
+def test_near_groups_by_lists_and_forests(spark, each):
+    rows = brute.awkward(120) + [(1000 + i, " ".join(f"w{j}" for j in range(60) if j != i)) for i in range(40)]
+    got = ngram_join.near_groups(brute.frame(spark, rows), each=each).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=key) == sorted(brute.near(rows), key=key)
+
+
+def test_shared_passages_do_not_chain_unlike_documents(spark, monkeypatch):
+    met, tasks = [], ngram_join._tasks
+    monkeypatch.setattr(ngram_join, "_tasks", lambda members, *a: (met.append(members.count()), tasks(members, *a))[1])
+    passage = [" ".join(f"p{i}.{j}" for j in range(20)) for i in range(201)]
+    rows = [(i, f"{passage[i]} {' '.join(f'own{i}.{j}' for j in range(60))} {passage[i + 1]}") for i in range(200)]
+    rows += [(500, rows[7][1] + " more"), (501, rows[9][1][:-6])]
+    got = ngram_join.near_groups(brute.frame(spark, rows, extra=False)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == sorted(brute.near(rows))
+    assert met == [4]
+
+
+def test_sketches_never_rule_out_similar_sets():
+    rnd = random.Random(3)
+    for n in (1, 5, 255, 256, 257, 512, 700, 3000):
+        a = {rnd.getrandbits(64) for _ in range(n)}
+        for change in (0, 1, n // 10, n // 5, n):
+            b = set(list(a)[change:]) | {rnd.getrandbits(64) for _ in range(rnd.randrange(change + 1))} or {1}
+            x, y = (ngram_join.sketch(np.array(sorted(s), np.uint64)) for s in (a, b))
+            assert ngram_join.least_difference(x, y) == ngram_join.least_difference(y, x) <= len(a ^ b)
+        other = ngram_join.sketch(np.array(sorted(rnd.getrandbits(64) for _ in range(n)), np.uint64))
+        assert ngram_join.least_difference(ngram_join.sketch(np.array(sorted(a), np.uint64)), other) > n // 3
+
+
 @pytest.mark.parametrize("hot", [20_000, 2, 0])
 def test_repeats(spark, hot):
     rows = [(i, t[:3000] if t else t) for i, t in brute.awkward(50)]
